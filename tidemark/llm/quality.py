@@ -109,6 +109,12 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
+def _bin(feature: str, cuts: list[float]) -> Column:
+    """How many of the cuts the value exceeds."""
+    above = F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda t: F.col(feature) > t)
+    return F.size(above).alias("b_" + feature)
+
+
 def _candidates(rows: DataFrame, rule: list[Condition], cuts: dict[str, list[float]]) -> list[tuple[Condition, int, int]]:
     """(condition, bad rows, good rows) if the condition were added to the rule; from counts by feature and bin."""
     pairs = F.array(*[F.struct(F.lit(f).alias("f"), F.col("b_" + f).alias("b")) for f in FEATURES])
@@ -142,7 +148,7 @@ def learn(stats: DataFrame, label: str = "label") -> DecisionList:
     tails = [0.002, 0.005, 0.01, 0.02, 0.98, 0.99, 0.995, 0.998]
     row = stats.agg(*[F.percentile_approx(f, sorted(points + tails), 10_000).alias(f) for f in FEATURES]).first()
     cuts = {f: sorted(set(row[f] or [])) for f in FEATURES}
-    binned = stats.select("bad", (F.crc32(F.concat(F.lit("prune"), F.col("doc_id").cast("string"))) % 3 == 0).alias("aside"), *[F.size(F.filter(F.array(*map(F.lit, cuts[f])), lambda t, f=f: F.col(f) > t)).alias("b_" + f) if cuts[f] else F.lit(0).alias("b_" + f) for f in FEATURES])
+    binned = stats.select("bad", (F.crc32(F.concat(F.lit("prune"), F.col("doc_id").cast("string"))) % 3 == 0).alias("aside"), *[_bin(f, cuts[f]) for f in FEATURES])
     left = frozen(binned, "quality-bins")
     out = DecisionList()
     while len(out.rules) < MAX_RULES:
