@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, mixing, quality, toxicity
+from tidemark.llm import bpe, exact_dedup, mixing, pii, quality, token_io, toxicity
 from tidemark.llm.common import table
 
 
@@ -20,10 +21,27 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_io.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return out.select("doc_id", "start", "n_tokens", token_io.crc32_of("ids").alias("ids_crc32"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _count_of(kind: str):
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.sanitise(table(spark, sf_dir, "documents"), with_text=False)
+    shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [_count_of(kind) for kind in ("email", "ip", "card", "phone")]
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+    return found.select("doc_id", *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -46,11 +64,15 @@ SELECT doc_id, size, source_size, target, ((floor(rate) + CASE WHEN u < rate - f
 """
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.judge(docs, rules)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_toxicity, op7_mix, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op4_toxicity, op5_pii, op7_mix, op8_byte_bpe, op9_quality_rules)}
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op7_mix": OP7_SQL}
