@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, mixing, pii, quality, token_io, toxicity
+from tidemark.llm import bpe, exact_dedup, mixing, ngram_join, pii, quality, token_io, toxicity
 from tidemark.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents")).drop("_row")
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -74,5 +78,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, rules)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op4_toxicity, op5_pii, op7_mix, op8_byte_bpe, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op4_toxicity, op5_pii, op6_ngram_join, op7_mix, op8_byte_bpe, op9_quality_rules)}
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op7_mix": OP7_SQL}

@@ -125,6 +125,17 @@ class ToxicityModel:
         return out.select("doc.*", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "calibrated")).alias("_score"))
 
 
+def _grown(rows: DataFrame):
+    """Trees of the rows; None if these have labels of one kind only."""
+    if rows.select("label").distinct().count() < 2:
+        return None
+    return GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.2, minInstancesPerNode=8, seed=7, checkpointInterval=-1, maxMemoryInMB=128).fit(rows)
+
+
+def _raw(trees, rows: DataFrame) -> DataFrame:
+    return trees.transform(rows).select("label", vector_to_array("probability")[1].alias("raw"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, text: str = "text", doc_id: str = "doc_id") -> ToxicityModel:
     sample = frozen(fit_sample(docs, labels, "toxic", fit_rows, text, doc_id), "toxic-sample")
     n = {r["t"]: r["count"] for r in sample.groupBy((F.col("label") > 0).alias("t")).count().collect()}
@@ -135,13 +146,14 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, text: str
     lexicon = learn_lexicon(sample, toxic, clean)
     rows = sample.select("doc_id", (F.col("label") > 0).cast("double").alias("label"), dense_features(F.col("text"), lexicon).alias("features"))
     rows = frozen(rows.withColumn("part", F.crc32(F.concat(F.lit("part"), F.col("doc_id").cast("string"))) % 4), "toxic-features")
-    both = lambda d: d.select("label").distinct().count() == 2
-    grown = rows.where("part > 0")
-    grown = grown if both(grown) else rows
-    trees = GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.2, seed=7, checkpointInterval=-1, maxMemoryInMB=128).fit(grown)
-    aside = rows.where("part = 0")
-    aside = aside if aside.count() >= 200 and both(aside) else rows
-    raw = trees.transform(aside).select("label", vector_to_array("probability")[1].alias("raw"))
+    trees, raw = _grown(rows.where("part > 0")), rows.where("part = 0")
+    if trees and rows.count() >= 1000:
+        raw = _raw(trees, raw)
+    else:  # too few to set rows aside: halves score one another, and the trees use all
+        halves = [rows.where("part < 2"), rows.where("part >= 2")]
+        ends = [_grown(h) for h in halves]
+        trees = _grown(rows)
+        raw = _raw(ends[0] or trees, halves[1]).unionByName(_raw(ends[1] or trees, halves[0]))
     calibration = IsotonicRegression(featuresCol="raw", predictionCol="calibrated").fit(raw)
     return ToxicityModel(lexicon, prior, trees, calibration)
 
