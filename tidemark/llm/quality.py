@@ -143,7 +143,9 @@ def _grow(rows: DataFrame, cuts: dict[str, list[float]], bad: int, good: int) ->
 
 def learn(stats: DataFrame, label: str = "label") -> DecisionList:
     """Rules that reject rows like those labelled 0.  ``stats`` is a bounded sample of labelled rows with their statistics."""
-    stats = frozen(stats.where(~base_failed()).select("doc_id", (1 - F.col(label)).alias("bad"), *[F.col(f).cast("double").alias(f) for f in FEATURES]), "quality-stats")
+    # filtered after writing: a filter on statistics would be moved below the join with the labels, and compute them for all rows
+    stats = frozen(stats.select("doc_id", F.col(label).alias("label"), "n_repeat_words", *FEATURES), "quality-stats").where(~base_failed())
+    stats = stats.select("doc_id", (1 - F.col("label")).alias("bad"), *[F.col(f).cast("double").alias(f) for f in FEATURES])
     points = [k / BINS for k in range(1, BINS)]
     tails = [0.002, 0.005, 0.01, 0.02, 0.98, 0.99, 0.995, 0.998]
     row = stats.agg(*[F.percentile_approx(f, sorted(points + tails), 10_000).alias(f) for f in FEATURES]).first()
