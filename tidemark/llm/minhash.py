@@ -22,7 +22,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import frozen
@@ -103,19 +103,22 @@ class Signatures:
         return out.view(np.int64)
 
 
-def signatures(items: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """(_row, text) to (_row, set_hash, n, bands); texts without words have none."""
+def signatures(items: DataFrame, k: int, bands: int, rows: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(_row, text, ``keep``) to (_row, set_hash, n, bands, ``keep``); texts without words have none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, signer = WordHashes(), Signatures(bands, rows)
         for b in batches:
             out = []
-            for row, text in zip(b["_row"], b["text"], strict=True):
-                if len(x := shingles(text, known, k)):
-                    out.append((row, xxhash.xxh3_128_digest(x.tobytes()), len(x), signer.band_hashes(x).tobytes()))
-            yield pd.DataFrame(out, columns=["_row", "set_hash", "n", "bands"])
+            for text in b["text"]:
+                x = shingles(text, known, k)
+                out.append((xxhash.xxh3_128_digest(x.tobytes()), len(x), signer.band_hashes(x).tobytes() if len(x) else b""))
+            out = pd.DataFrame(out, columns=["set_hash", "n", "bands"], index=b.index)
+            yield pd.concat([b[["_row", *keep]], out], axis=1)[out["n"] > 0]
 
-    return items.mapInPandas(run, "_row long, set_hash binary, n int, bands binary")
+    kinds = dict(items.dtypes)
+    kept = "".join(f", {c} {kinds[c]}" for c in keep)
+    return items.select("_row", "text", *keep).mapInPandas(run, f"_row long{kept}, set_hash binary, n int, bands binary")
 
 
 def _band(i: int):
@@ -125,8 +128,10 @@ def _band(i: int):
 def _members(reps: DataFrame, bands: int) -> DataFrame:
     """(_row, buckets): of each representative, the buckets that are kept, with their sizes."""
     each = reps.select("_row", F.explode(F.array(*[_band(i) for i in range(bands)])).alias("bucket"))
-    sizes = each.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("_row")).alias("x"), F.bit_xor(F.xxhash64("_row", F.lit(1))).alias("y")).where("size > 1")
-    kept = sizes.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
+    # two integers a row are all that moves; most buckets have one member and end here
+    each = frozen(each.withColumn("size", F.count("*").over(Window.partitionBy("bucket"))).where("size > 1"), "bucket-members")
+    sizes = each.groupBy("bucket").agg(F.first("size").alias("size"), F.bit_xor(F.xxhash64("_row")).alias("x"), F.bit_xor(F.xxhash64("_row", F.lit(1))).alias("y"))
+    kept = sizes.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
     return each.join(frozen(kept, "buckets"), "bucket").groupBy("_row").agg(F.collect_list(F.struct("bucket", "size")).alias("buckets"))
 
 
@@ -223,12 +228,12 @@ def links(items: DataFrame, reps: DataFrame, k: int, bands: int, threshold: Frac
     return tasks.mapInPandas(compare, "_row long, parent long, links long, docs long")
 
 
-def near_duplicates(items: DataFrame, k: int = WORDS, threshold: Fraction = THRESHOLD, recall: float = RECALL, most_hashes: int = 128) -> DataFrame:
-    """(_row, text) to (_row, rep, root, copies, n_links, n_linked) for all texts with words: the representative of
+def near_duplicates(items: DataFrame, k: int = WORDS, threshold: Fraction = THRESHOLD, recall: float = RECALL, most_hashes: int = 128, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(_row, text, ``keep``) to (_row, ``keep``, rep, root, copies, n_links, n_linked) for all texts with words: the representative of
     the equal sets, the least representative of the component, the number of texts with that set,
     the number of other sets at or above the threshold, and the number of texts that have these."""
     bands, rows = choose_bands(float(threshold), recall, most_hashes)
-    signed = frozen(signatures(items, k, bands, rows), "signatures")
+    signed = frozen(signatures(items, k, bands, rows, keep), "signatures")
     reps = signed.groupBy("set_hash").agg(F.min("_row").alias("_row"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     reps = frozen(reps, "representatives")
     found = frozen(links(items, reps.select("_row", "copies", "bands"), k, bands, threshold), "links")
@@ -236,4 +241,4 @@ def near_duplicates(items: DataFrame, k: int = WORDS, threshold: Fraction = THRE
     counts = found.groupBy("_row").agg(F.sum("links").alias("n_links"), F.sum("docs").alias("n_linked"))
     of_rep = reps.select("set_hash", F.col("_row").alias("rep"), "copies").join(counts.withColumnRenamed("_row", "rep"), "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     of_rep = frozen(of_rep.select("set_hash", "rep", F.coalesce("root", "rep").alias("root"), "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_linked", F.lit(0)).alias("n_linked")), "classes")
-    return signed.select("_row", "set_hash").join(of_rep, "set_hash").drop("set_hash")
+    return signed.select("_row", *keep, "set_hash").join(of_rep, "set_hash").drop("set_hash")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, mixing, ngram_join, pii, quality, token_io, toxicity
+from tidemark.llm import bpe, exact_dedup, mixing, ngram_join, pii, quality, substring_dedup, token_io, toxicity
 from tidemark.llm.common import table
 
 
@@ -78,5 +78,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, rules)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op4_toxicity, op5_pii, op6_ngram_join, op7_mix, op8_byte_bpe, op9_quality_rules)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("doc_row")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op4_toxicity, op5_pii, op6_ngram_join, op7_mix, op8_byte_bpe, op9_quality_rules, op10_substring_dedup)}
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op7_mix": OP7_SQL}
