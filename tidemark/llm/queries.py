@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, mixing, ngram_join, pii, quality, substring_dedup, token_io, toxicity
+from tidemark.llm import bpe, exact_dedup, mixing, ngram_join, pii, quality, substring_dedup, token_io, toxicity, warc
 from tidemark.llm.common import table
 
 
@@ -26,6 +26,23 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", token_io.crc32_of("ids").alias("ids_crc32"))
 
 
+def op3_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a second replica that was written with damage: bodies of pages 13, 110, ... (mod 97) have a first letter more, and pages
+    7, 218, ... (mod 211) are lost."""
+    pages = table(spark, sf_dir, "pages")
+    damaged = pages.where("page_id is null or page_id % 211 <> 7").withColumn("html", F.when(F.col("page_id") % 97 == 13, F.concat(F.lit("x"), "html")).otherwise(F.col("html")))
+    return warc.audited(warc.replica(pages), warc.replica(damaged))
+
+
+OP3_SQL = """
+WITH r AS (SELECT page_id, page_id // 4096 AS shard, concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: resource', chr(13), chr(10), 'WARC-Record-ID: <urn:page:', page_id, '>', chr(13), chr(10),
+  'WARC-Target-URI: ', url, chr(13), chr(10), 'Content-Length: ', strlen(html), chr(13), chr(10), chr(13), chr(10), html, chr(13), chr(10), chr(13), chr(10)) AS record FROM pages)
+SELECT page_id, shard, (sum(strlen(record)) OVER w - strlen(record))::BIGINT AS first_byte, (sum(strlen(record)) OVER w)::BIGINT AS end_byte, sha256(record) AS sha256,
+  CASE WHEN page_id % 211 = 7 THEN 'missing' WHEN page_id % 97 = 13 THEN 'changed' ELSE 'ok' END AS status
+FROM r WINDOW w AS (PARTITION BY shard ORDER BY page_id)
+"""
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -82,5 +99,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("doc_row")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op4_toxicity, op5_pii, op6_ngram_join, op7_mix, op8_byte_bpe, op9_quality_rules, op10_substring_dedup)}
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op7_mix": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op3_warc_audit, op4_toxicity, op5_pii, op6_ngram_join, op7_mix, op8_byte_bpe, op9_quality_rules, op10_substring_dedup)}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op3_warc_audit": OP3_SQL, "op7_mix": OP7_SQL}
