@@ -199,7 +199,8 @@ def links(items: DataFrame, reps: DataFrame, k: int, bands: int, threshold: Frac
         for b in batches:
             yield b.assign(text=[shingles(t, known, k).tobytes() for t in b["text"]]).rename(columns={"text": "shingles"})
 
-    own = items.join(members, "_row").select("_row", "copies", "buckets", "text")
+    # sorted and merged at every size: few candidates could be broadcast, but most inputs have too many
+    own = items.join(members.hint("merge"), "_row").select("_row", "copies", "buckets", "text")
     own = own.mapInPandas(sets_of, "_row long, copies long, buckets array<struct<bucket: long, size: long>>, shingles binary")
     own = own.select("_row", "copies", "shingles", F.transform("buckets", lambda b: b["bucket"]).alias("own"), F.explode("buckets").alias("b"))
     blocks = F.ceil(F.col("b.size") / BLOCK).cast("int")
