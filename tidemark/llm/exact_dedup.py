@@ -84,7 +84,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", blo
     """One row per row of ``docs``: _row, doc_id, keep_id, group_size, kept, text_sha256."""
     named = identities(docs, text, doc_id, block_chars, hashed).select("_row", "doc_id", "text_sha256", "level", "name.h", "name.r")
     groups = named.groupBy("level", "h", "r").agg(F.min(id_order(F.col("doc_id"), F.col("_row"))).alias("first"), F.count("*").alias("group_size"))
-    joined = named.join(groups, ["level", "h", "r"])
+    # written, so that the join reads plain shuffles on both sides, and a partition with a large group can be split
+    joined = named.join(frozen(groups, "groups"), ["level", "h", "r"])
     return joined.select("_row", "doc_id", F.col("first.id").alias("keep_id"), "group_size", (F.col("_row") == F.col("first.row")).alias("kept"), "text_sha256")
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_order, with_row_id
+from tidemark.llm.common import frozen, id_order, with_row_id
 from tidemark.llm.minhash import near_duplicates
 
 
@@ -26,7 +26,7 @@ def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **ho
     rows = own.select("_row", "doc_id").join(found, "_row", "left")
     rows = rows.select("_row", "doc_id", F.coalesce("root", "_row").alias("root"), *[F.coalesce(c, F.lit(v)).cast("long").alias(a) for c, v, a in (("copies", 1, "n_copies"), ("n_links", 0, "n_links"), ("n_linked", 0, "n_linked_docs"))])
     first = rows.groupBy("root").agg(F.min(id_order(F.col("doc_id"), F.col("_row"))).alias("first"), F.count("*").alias("class_size"))
-    out = rows.join(first, "root")
+    out = rows.join(frozen(first, "class-firsts"), "root")  # written, so that a partition with a large class can be split
     return out.select("_row", "doc_id", F.col("first.id").alias("class_id"), "class_size", (F.col("_row") == F.col("first.row")).alias("kept"), "n_copies", "n_links", "n_linked_docs")
 
 
