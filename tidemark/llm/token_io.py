@@ -16,8 +16,10 @@ longer than a block makes a longer block; an empty table gives empty tables.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,9 +34,9 @@ from tidemark.llm.pieces import is_plain, splitter
 
 LIMIT = 20
 BLOCK = 65_536
-STRIDE = 256
+STRIDE = 128
 SHARD_TOKENS = 16_000_000
-KNOWN = 200_000
+KNOWN = 500_000
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -79,9 +81,11 @@ def canonical_codes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode_block(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, stride: int = STRIDE) -> tuple[bytes, bytes]:
-    """(checkpoints as little-endian unsigned 64-bit bit offsets, payload)."""
-    size = lengths[ids]
+    """(checkpoints as little-endian unsigned 32-bit bit offsets, payload)."""
+    size = lengths[ids].astype(np.int64)
     ends = np.cumsum(size)
+    if len(ends) and ends[-1] >= 1 << 32:
+        raise ValueError("a block of over 4 Gbit")
     at = ends - size
     words = int(ends[-1] + 31) // 32 + 1 if len(ids) else 1
     slot, shift = at >> 5, (64 - size - (at & 31)).astype(np.uint64)
@@ -89,7 +93,7 @@ def encode_block(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, stride
     # codes don't overlap, so sums are unions; each sum is below 2**32 and exact in a double
     out = np.bincount(slot, (both >> np.uint64(32)).astype(np.float64), words + 1)
     out += np.bincount(slot + 1, (both & np.uint64(0xFFFFFFFF)).astype(np.float64), words + 1)
-    return at[::stride].astype("<u8").tobytes(), out[:words].astype(np.int64).astype(">u4").tobytes()
+    return at[::stride].astype("<u4").tobytes(), out[:words].astype(np.int64).astype(">u4").tobytes()
 
 
 class Decoder:
@@ -102,23 +106,26 @@ class Decoder:
         spans = np.left_shift(1, self.width - own)
         pad = (1 << self.width) - int(spans.sum())
         self.ids = np.concatenate([np.repeat(ids, spans), np.zeros(pad, np.int64)]).astype(np.int32)
-        self.sizes = np.concatenate([np.repeat(own, spans), np.ones(pad, np.int64)]).astype(np.int64)
+        self.sizes = np.concatenate([np.repeat(own, spans), np.ones(pad, np.int64)]).astype(np.int32)
 
     def block(self, checkpoints: bytes, payload: bytes, n: int, stride: int = STRIDE) -> np.ndarray:
         if not n:
             return np.zeros(0, np.int32)
-        b = np.frombuffer(payload + b"\0" * 8, np.uint8).astype(np.uint64)
-        window = b[:-4] << np.uint64(32) | b[1:-3] << np.uint64(24) | b[2:-2] << np.uint64(16) | b[3:-1] << np.uint64(8) | b[4:]
-        at = np.frombuffer(checkpoints, "<u8").astype(np.int64)
-        out = np.zeros((len(at), stride), np.int32)
-        mask, last, left = np.uint64((1 << self.width) - 1), len(window) - 1, n - (len(at) - 1) * stride
-        for k in range(min(stride, n)):
+        b = np.frombuffer(payload + b"\0" * 8, np.uint8)
+        # 32 bits from each byte on; a code of 20 bits at most and 7 bits before it fit
+        window = np.zeros(len(b) - 4, np.uint32)
+        for k in range(4):
+            window[k::4] = np.frombuffer(b, ">u4", (len(b) - 4 - k + 3) // 4, k) if len(b) - 4 > k else 0
+        at = np.frombuffer(checkpoints, "<u4").astype(np.int64)
+        out = np.zeros((min(stride, n), len(at)), np.int32)
+        drop, last, left = np.uint32(32 - self.width), len(window) - 1, n - (len(at) - 1) * stride
+        for k in range(len(out)):
             lanes = slice(None) if k < left else slice(0, len(at) - 1)
             p = at[lanes]
-            key = (window[np.minimum(p >> 3, last)] >> (40 - self.width - (p & 7)).astype(np.uint64)) & mask
-            key = key.astype(np.int64)
-            out[lanes, k] = self.ids[key]
+            key = (window[np.minimum(p >> 3, last)] << (p & 7).astype(np.uint32)) >> drop
+            out[k, lanes] = self.ids[key]
             at[lanes] += self.sizes[key]
+        out = out.T
         return out.reshape(-1)[: n]
 
 
@@ -137,43 +144,68 @@ def _library(path: str):
 
     out = Tokenizer.from_file(path)
     out.encode_special_tokens = True
-    return out, {}
+    return out
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with: printable ones stand for themselves, the others follow U+0100."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
+
 
+class PieceIds(dict):
+    """Packed ids of pieces by the library's model, remembered up to a bound."""
 
-def library_ids(texts: list[str], path: str, pattern: str | None) -> Iterator[np.ndarray]:
-    """Ids of whole texts.  Where the tokenizer splits by ``pattern`` first, the different pieces are encoded by the library once
-    each and remembered; texts with characters outside the settled blocks, on whose classes
-    libraries may differ, are encoded by it whole."""
-    tokenizer, known = _library(path)
-    whole = [i for i, t in enumerate(texts) if pattern is None or not is_plain(t)]
-    found = dict(zip(whole, (e.ids for e in tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)), strict=True))
-    parts = {i: splitter(pattern)[0].findall(t) for i, t in enumerate(texts) if i not in found}
-    if len(known) > KNOWN:
-        known.clear()
-    new = list(set().union(*parts.values()) - known.keys())
-    known.update(zip(new, (tuple(e.ids) for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-    for i in range(len(texts)):
-        yield found[i] if i in found else [x for p in map(known.__getitem__, parts[i]) for x in p]
+    def __init__(self, path: str, code: str):
+        self.model, self.letters, self.code = _library(path).model, _byte_letters(), code
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) > KNOWN:
+            self.clear()
+        shown = piece.encode().decode("latin-1").translate(self.letters)
+        self[piece] = out = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return out
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int, pattern: str | None = BYTE_LEVEL_PATTERN, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_tokens (with the end id), ids as little-endian unsigned 32-bit integers; written once to the shared folder."""
+@lru_cache
+def _pieces(path: str, code: str) -> PieceIds | None:
+    """None unless the tokenizer splits by the byte-level pattern and nothing else."""
+    made = json.loads(_library(path).to_str())
+    step = made["pre_tokenizer"] or {}
+    plain = step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space")
+    return PieceIds(path, code) if plain and not made["normalizer"] and made["model"].get("type") == "BPE" else None
+
+
+def library_ids(texts: list[str], path: str, code: str) -> Iterator[bytes]:
+    """Packed ids of whole texts, as encode(text, add_special_tokens=False) gives them.  A byte-level tokenizer splits first, and
+    encodes each piece alone; so the library's model is asked once for each different piece.  Texts with characters outside
+    the settled blocks, on whose classes patterns may differ, and those of other tokenizers, are encoded by the library whole."""
+    known = _pieces(path, code)
+    for text in texts:
+        if known is not None and is_plain(text):
+            yield b"".join(map(known.__getitem__, splitter(BYTE_LEVEL_PATTERN)[0].findall(text)))
+        else:
+            yield array(code, _library(path).encode(text, add_special_tokens=False).ids).tobytes()
+
+
+def tokenize(docs: DataFrame, path: str, end_id: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, n_tokens (with the end id), ids (packed, 16 bits each if the vocabulary allows); written once to the shared folder."""
+    code = "H" if vocabulary(path, end_id) <= 1 << 16 else "I"
+    end = array(code, [end_id]).tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = b["text"].tolist()
-            for lo, hi in chunks(texts):
-                ids = [np.fromiter(x, np.uint16 if small else np.uint32) for x in ([*x, end_id] for x in library_ids(texts[lo:hi], path, pattern))]
-                yield pd.DataFrame({"doc_id": b["doc_id"].array[lo:hi], "n_tokens": [len(x) for x in ids], "ids": [x.tobytes() for x in ids]})
+            ids = [x + end for x in library_ids(b["text"].tolist(), path, code)]
+            yield pd.DataFrame({"doc_id": b["doc_id"].array, "n_tokens": [len(x) // len(end) for x in ids], "ids": ids})
 
-    small = vocabulary(path, end_id) <= 1 << 16
     kind = docs.select(doc_id).dtypes[0][1]
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return frozen(own.mapInPandas(run, f"doc_id {kind}, n_tokens long, ids binary"), "tokens")
 
 
 def vocabulary(path: str, end_id: int) -> int:
-    return max(_library(path)[0].get_vocab_size(), end_id + 1)
+    return max(_library(path).get_vocab_size(), end_id + 1)
 
 
 # --- files ---
@@ -199,19 +231,19 @@ def write(tokens: DataFrame, folder: str, size: int, shard_tokens: int = SHARD_T
     lengths = code_lengths(counts)
     own = np.nonzero(lengths)[0]
     spark.createDataFrame(pd.DataFrame({"id": own.astype(np.int32), "length": lengths[own].astype(np.int32)}), "id int, length int").coalesce(1).write.parquet(f"{folder}/codes")
-    codes = canonical_codes(lengths)[0]
+    codes, short = canonical_codes(lengths)[0], lengths.astype(np.uint8)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, start, ids, docs, held = 0, 0, [], [], 0
 
         def done() -> pd.DataFrame:
             joined = np.concatenate(ids)
-            checkpoints, payload = encode_block(joined, codes, lengths)
+            checkpoints, payload = encode_block(joined, codes, short)
             return pd.DataFrame({"shard": [shard], "block": [block], "start": [start], "doc_ids": [[None if d is None or d != d else int(d) for d in docs]], "doc_tokens": [[len(x) for x in ids]], "checkpoints": [checkpoints], "payload": [payload]})
 
         for b in batches:
             for shard, d, x in zip(b["shard"], b["doc_id"], b["ids"], strict=True):
-                ids.append(np.frombuffer(x, kind).astype(np.int64))
+                ids.append(np.frombuffer(x, kind))
                 docs.append(d)
                 held += len(ids[-1])
                 if held >= BLOCK:
