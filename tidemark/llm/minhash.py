@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -97,10 +97,19 @@ class Signatures:
         low = np.full(len(self.a), np.uint64(2**64 - 1))
         for i in range(0, len(x), 1024):
             np.minimum(low, (x[i : i + 1024, None] * self.a + self.b).min(axis=0), out=low)
-        out = np.arange(1, self.bands + 1, dtype=np.uint64) * GOLDEN
-        for m in (low >> np.uint64(24)).reshape(self.bands, self.rows).T:
-            out = mixed(out ^ m)
-        return out.view(np.int64)
+        return self._banded(low[None])[0]
+
+    def band_hashes_of(self, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """band_hashes() of the sets that begin at ``starts`` in ``x``, a row each."""
+        low = [np.minimum.reduceat(x * a + b, starts) for a, b in zip(self.a, self.b, strict=True)]
+        return self._banded(np.array(low).T)
+
+    def _banded(self, low: np.ndarray) -> np.ndarray:
+        parts = (low >> np.uint64(24)).reshape(len(low), self.bands, self.rows)
+        out = np.broadcast_to(np.arange(1, self.bands + 1, dtype=np.uint64) * GOLDEN, parts.shape[:2])
+        for j in range(self.rows):
+            out = mixed(out ^ parts[:, :, j])
+        return np.ascontiguousarray(out).view(np.int64)
 
 
 def signatures(items: DataFrame, k: int, bands: int, rows: int, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -189,20 +198,30 @@ def _compare(rows, copies, sides, sets, buckets, bucket: int, across: bool, thre
     return pd.DataFrame({"_row": rows, "parent": _parents(linked, rows), "links": links, "docs": docs})[keep]
 
 
-def links(items: DataFrame, reps: DataFrame, k: int, bands: int, threshold: Fraction) -> DataFrame:
-    """(_row, parent, links, docs): for each task's members with links, their number, with copies and without, and a
-    row of the same component.  ``items``: (_row, text)."""
-    members = frozen(_members(reps, bands).join(reps.select("_row", "copies"), "_row"), "members")
+def sets_of_texts(items: DataFrame, k: int) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds the shingle sets to members (_row, ...), from items (_row, text)."""
 
-    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHashes()
-        for b in batches:
-            yield b.assign(text=[shingles(t, known, k).tobytes() for t in b["text"]]).rename(columns={"text": "shingles"})
+    def add(members: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known = WordHashes()
+            for b in batches:
+                yield b.assign(text=[shingles(t, known, k).tobytes() for t in b["text"]]).rename(columns={"text": "shingles"})
+
+        # sorted and merged at every size: few candidates could be broadcast, but most inputs have too many
+        own = items.join(members.hint("merge"), "_row").select("_row", "copies", "buckets", "text")
+        return own.mapInPandas(run, MEMBERS)
+
+    return add
 
-    # sorted and merged at every size: few candidates could be broadcast, but most inputs have too many
-    own = items.join(members.hint("merge"), "_row").select("_row", "copies", "buckets", "text")
-    own = own.mapInPandas(sets_of, "_row long, copies long, buckets array<struct<bucket: long, size: long>>, shingles binary")
-    own = own.select("_row", "copies", "shingles", F.transform("buckets", lambda b: b["bucket"]).alias("own"), F.explode("buckets").alias("b"))
+
+MEMBERS = "_row long, copies long, buckets array<struct<bucket: long, size: long>>, shingles binary"
+
+
+def links(reps: DataFrame, bands: int, threshold: Fraction, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(_row, parent, links, docs): for each task's members with links, their number, with copies and without, and a
+    row of the same component.  ``sets`` adds the shingle sets to members."""
+    members = frozen(_members(reps, bands).join(reps.select("_row", "copies"), "_row"), "members")
+    own = sets(members).select("_row", "copies", "shingles", F.transform("buckets", lambda b: b["bucket"]).alias("own"), F.explode("buckets").alias("b"))
     blocks = F.ceil(F.col("b.size") / BLOCK).cast("int")
     side = F.pmod(F.xxhash64("_row", "b.bucket"), blocks).cast("int")
     tasks = own.select("_row", "copies", "shingles", "own", "b.bucket", side.alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
@@ -235,9 +254,14 @@ def near_duplicates(items: DataFrame, k: int = WORDS, threshold: Fraction = THRE
     the number of other sets at or above the threshold, and the number of texts that have these."""
     bands, rows = choose_bands(float(threshold), recall, most_hashes)
     signed = frozen(signatures(items, k, bands, rows, keep), "signatures")
+    return classes(signed, bands, threshold, sets_of_texts(items, k), keep)
+
+
+def classes(signed: DataFrame, bands: int, threshold: Fraction, sets: Callable[[DataFrame], DataFrame], keep: tuple[str, ...] = ()) -> DataFrame:
+    """near_duplicates() from written signatures (_row, ``keep``, set_hash, bands)."""
     reps = signed.groupBy("set_hash").agg(F.min("_row").alias("_row"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     reps = frozen(reps, "representatives")
-    found = frozen(links(items, reps.select("_row", "copies", "bands"), k, bands, threshold), "links")
+    found = frozen(links(reps.select("_row", "copies", "bands"), bands, threshold, sets), "links")
     roots = components(found.select(F.col("_row").alias("u"), F.col("parent").alias("v")))
     counts = found.groupBy("_row").agg(F.sum("links").alias("n_links"), F.sum("docs").alias("n_linked"))
     of_rep = reps.select("set_hash", F.col("_row").alias("rep"), "copies").join(counts.withColumnRenamed("_row", "rep"), "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")

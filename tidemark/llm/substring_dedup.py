@@ -17,7 +17,7 @@ repeat one another; offsets are in code points, end exclusive; other columns are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import frozen, with_row_id
-from tidemark.llm.minhash import WORD, WordHashes, near_duplicates, rolling
+from tidemark.llm.minhash import MEMBERS, WORDS, Signatures, WordHashes, choose_bands, classes, rolling, shingles, word_hashes
 
 LEAST_WORDS = 25
 REACH = 5
@@ -36,21 +36,7 @@ MOST_HASHES = 32
 SCHEMA = "doc_row long, kind string, start int, end int, class_row long, removed boolean"
 
 
-def paragraphs(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """(_row, doc_row, start, end, text) of the lines with at least ``least`` words; docs: (_row, text)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for row, text in zip(b["_row"], b["text"], strict=True):
-                at = 0
-                for line in text.split("\n"):
-                    if len(line) >= 2 * least - 1 and len(WORD.findall(line)) >= least:
-                        out.append((row, at, at + len(line), line))
-                    at += len(line) + 1
-            yield pd.DataFrame(out, columns=["doc_row", "start", "end", "text"])
-
-    return docs.mapInPandas(run, "doc_row long, start int, end int, text string").withColumn("_row", F.monotonically_increasing_id())
+CUT = "kind string, doc_row long, start int, end int, words int, hash long, set_hash binary, bands binary"
 
 
 def cuts(hashes: np.ndarray, reach: int = REACH) -> np.ndarray:
@@ -66,47 +52,62 @@ def cuts(hashes: np.ndarray, reach: int = REACH) -> np.ndarray:
     return np.nonzero(least)[0]
 
 
-def pieces(docs: DataFrame) -> DataFrame:
-    """(hash, doc_row, start, end, words) of all sub-paragraphs; each ends where the next begins."""
+def _words(text: str, known: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """hashes, starts and ends of the words, and the places of line ends."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    white = np.concatenate([[True], (points == 32) | ((points >= 9) & (points <= 13)), [True]])
+    edges = np.nonzero(white[1:] != white[:-1])[0]
+    return word_hashes(text, known), edges[0::2], edges[1::2], np.append(np.nonzero(points == 10)[0], len(points))
+
+
+def _cut(row: int, text: str, known: WordHashes, signer: Signatures, least: int) -> list[tuple]:
+    """Rows of CUT for one document."""
+    hashes, starts, ends, line_ends = _words(text, known)
+    n = len(hashes)
+    if not n:
+        return []
+    at = cuts(hashes)
+    to = np.append(at[1:], n)
+    raw = hashes.tobytes()
+    to_char = np.append(starts[at[1:]], ends[-1])
+    out = [("piece", row, s, e, j - i, xxhash.xxh3_64_intdigest(raw[8 * i : 8 * j]) - 2**63, None, None) for s, e, i, j in zip(starts[at].tolist(), to_char.tolist(), at.tolist(), to.tolist(), strict=True)]
+    last = np.searchsorted(starts, line_ends)
+    first = np.append(0, last[:-1])
+    long = np.nonzero(last - first >= least)[0]
+    if len(long):
+        grams, counts = rolling(hashes, WORDS), last[long] - first[long] - WORDS + 1
+        offsets = np.cumsum(counts) - counts
+        x = grams[np.repeat(first[long] - offsets, counts) + np.arange(counts.sum())]
+        bands = signer.band_hashes_of(x, offsets)
+        begin = np.append(0, line_ends[:-1] + 1)
+        for i, line in enumerate(long.tolist()):
+            own = np.unique(x[offsets[i] : offsets[i] + counts[i]])
+            out.append(("paragraph", row, int(begin[line]), int(line_ends[line]), int(last[line] - first[line]), None, xxhash.xxh3_128_digest(own.tobytes()), bands[i].tobytes()))
+    return out
+
+
+def cut_texts(docs: DataFrame, bands: int, rows: int, least: int = LEAST_WORDS) -> DataFrame:
+    """CUT and _row, of docs (_row, text): the lines of at least ``least`` words with their signatures, and all sub-paragraphs, each of
+    which ends where the next begins.  Written to the shared folder: texts are read once for both."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHashes()
+        known, signer = WordHashes(), Signatures(bands, rows)
+        names = [x.split(" ")[0] for x in CUT.split(", ")]
         for b in batches:
+            held: list[tuple] = []
             for row, text in zip(b["_row"], b["text"], strict=True):
-                found = list(WORD.finditer(text))
-                if not found:
-                    continue
-                hashes = np.fromiter((known[m[0]] for m in found), np.uint64, len(found))
-                at = cuts(hashes)
-                to = np.append(at[1:], len(found))
-                starts = np.fromiter((found[i].start() for i in at), np.int64, len(at))
-                raw = hashes.tobytes()
-                keys = [xxhash.xxh3_64_intdigest(raw[8 * i : 8 * j]) - 2**63 for i, j in zip(at.tolist(), to.tolist(), strict=True)]
-                yield pd.DataFrame({"hash": keys, "doc_row": row, "start": starts, "end": np.append(starts[1:], found[-1].end()), "words": to - at})
-
-    return docs.mapInPandas(_gathered(run), "hash long, doc_row long, start int, end int, words int")
-
-
-def _gathered(run, rows: int = 50_000):
-    """``run`` with its small frames joined to frames of about ``rows`` rows."""
-
-    def whole(batches):
-        held, n = [], 0
-        for x in run(batches):
-            held.append(x)
-            n += len(x)
-            if n >= rows:
-                yield pd.concat(held)
-                held, n = [], 0
-        if held:
-            yield pd.concat(held)
-
-    return whole
-
-
-def passages(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """SCHEMA: runs of sub-paragraphs that other documents have too, of at least ``least`` words."""
-    cut = frozen(pieces(docs), "pieces")
+                held += _cut(row, text, known, signer, least)
+                if len(held) > 20_000:
+                    yield pd.DataFrame(held, columns=names)
+                    held = []
+            yield pd.DataFrame(held, columns=names)
+
+    return frozen(docs.mapInPandas(run, CUT).withColumn("_row", F.monotonically_increasing_id()), "cut-texts")
+
+
+def passages(cut: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """SCHEMA, of cut_texts(): runs of sub-paragraphs that other documents have too, of at least ``least`` words."""
+    cut = cut.where("kind = 'piece'").select("hash", "doc_row", "start", "end", "words")
     shared = cut.groupBy("hash").agg(F.min("doc_row").alias("class_row"), F.max("doc_row").alias("last")).where("class_row <> last")
     shared = frozen(shared.select("hash", "class_row"), "shared-pieces")
     runs = cut.join(shared, "hash").groupBy("doc_row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "words", "class_row"))).alias("pieces"))
@@ -128,10 +129,31 @@ def passages(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     return runs.mapInPandas(merge, SCHEMA)
 
 
-def near_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """SCHEMA: paragraphs with near copies, by component."""
-    items = paragraphs(docs, least)
-    found = near_duplicates(items, threshold=threshold, most_hashes=MOST_HASHES, keep=("doc_row", "start", "end"))
+def _sets_of_lines(docs: DataFrame, signed: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Adds the shingle sets to member paragraphs; each document's text is sent once, to all of its members."""
+
+    def add(members: DataFrame) -> DataFrame:
+        own = signed.select("_row", "doc_row", "start", "end").join(members, "_row")
+        by_doc = own.groupBy("doc_row").agg(F.collect_list(F.struct("_row", "start", "end", "copies", "buckets")).alias("lines"))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known = WordHashes()
+            for b in batches:
+                out = []
+                for text, lines in zip(b["text"], b["lines"], strict=True):
+                    out += [(x["_row"], x["copies"], x["buckets"], shingles(text[x["start"] : x["end"]], known).tobytes()) for x in lines]
+                yield pd.DataFrame(out, columns=["_row", "copies", "buckets", "shingles"])
+
+        texts = docs.withColumnRenamed("_row", "doc_row").join(by_doc.hint("merge"), "doc_row").select("text", "lines")
+        return texts.mapInPandas(run, MEMBERS)
+
+    return add
+
+
+def near_paragraphs(docs: DataFrame, cut: DataFrame, bands: int, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """SCHEMA, of cut_texts(): paragraphs with near copies, by component."""
+    signed = cut.where("kind = 'paragraph'").select("_row", "doc_row", "start", "end", "set_hash", "bands")
+    found = classes(signed, bands, threshold, _sets_of_lines(docs, signed), keep=("doc_row", "start", "end"))
     first = found.groupBy("root").agg(F.min(F.struct("doc_row", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
     out = found.join(first, "root")
     return out.select("doc_row", F.lit("paragraph").alias("kind"), "start", "end", F.col("first.doc_row").alias("class_row"), (F.struct("doc_row", "start") != F.col("first")).alias("removed"))
@@ -142,7 +164,9 @@ def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     (doc_id of the document whose copy stays), removed."""
     own = with_row_id(docs).select("_row", F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     texts = own.select("_row", "text")
-    found = frozen(near_paragraphs(texts, least).unionByName(passages(texts, least)), "repeats")
+    bands, rows = choose_bands(float(THRESHOLD), most_hashes=MOST_HASHES)
+    cut = cut_texts(texts, bands, rows, least)
+    found = frozen(near_paragraphs(texts, cut, bands).unionByName(passages(cut, least)), "repeats")
     ids = own.select(F.col("_row").alias("doc_row"), "doc_id")
     out = found.join(ids, "doc_row").join(ids.select(F.col("doc_row").alias("class_row"), F.col("doc_id").alias("class_id")), "class_row")
     return out.select("doc_row", "doc_id", "kind", "start", "end", "class_id", "removed")
