@@ -101,6 +101,12 @@ def excursions(bars: DataFrame, trades: DataFrame, keys=KEYS) -> DataFrame:
     return out.withColumn("ret", (F.col("exit_price") - F.col("entry_price")) / F.col("entry_price"))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's, over rows that have both; 0 where either doesn't vary."""
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(a) * F.stddev_pop(b)), F.lit(0.0))
+
+
 def trade_analysis(found: DataFrame, keys=KEYS) -> DataFrame:
     """Holding times, excursions, edge ratios (mfe over mae, finite ones) and the correlation of entry volatility with return and win."""
     win = F.col("net_pnl") > 0
@@ -109,7 +115,7 @@ def trade_analysis(found: DataFrame, keys=KEYS) -> DataFrame:
     agg = [F.count("*").alias("trades"), F.avg("bars_held").alias("mean_bars"), F.stddev_pop("bars_held").alias("std_bars"), index("bars_held", 1, 2).alias("median_bars"), index("bars_held", 1, 4).alias("p25_bars"), index("bars_held", 3, 4).alias("p75_bars")]
     for c in ("mae", "mfe"):
         agg += [F.avg(c).alias(f"mean_{c}"), F.stddev_pop(c).alias(f"std_{c}"), F.percentile(c, 0.5).alias(f"median_{c}"), F.percentile(c, 0.9).alias(f"p90_{c}"), F.avg(F.when(win, F.col(c))).alias(f"winners_{c}"), F.avg(F.when(~win, F.col(c))).alias(f"losers_{c}")]
-    agg += [F.avg(edge).alias("mean_edge"), F.avg((edge > 1).cast("double")).alias("pct_edge_over_1"), F.coalesce(F.nanvl(F.corr("entry_vol", "ret"), F.lit(0.0)), F.lit(0.0)).alias("corr_vol_return"), F.coalesce(F.nanvl(F.corr("entry_vol", win.cast("double")), F.lit(0.0)), F.lit(0.0)).alias("corr_vol_win")]
+    agg += [F.avg(edge).alias("mean_edge"), F.avg((edge > 1).cast("double")).alias("pct_edge_over_1"), correlation(F.col("entry_vol"), F.col("ret")).alias("corr_vol_return"), correlation(F.col("entry_vol"), win.cast("double")).alias("corr_vol_win")]
     return found.groupBy(*keys).agg(*agg)
 
 

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.analysis import correlation
+
 RANKINGS = ("sharpe", "cagr", "sortino", "max_drawdown", "calmar", "win_rate", "profit_factor", "total_return")
 
 
@@ -131,7 +133,7 @@ def parameter_stats(df: DataFrame, parameter: str, share: float = 0.25) -> DataF
     w = Window.partitionBy("strategy_type")
     ranked = df.where(F.col(parameter).isNotNull()).withColumns({"_r": F.row_number().over(w.orderBy(*by("sharpe", False, *[c for c in ("symbol", "config_id") if c in df.columns]))), "_n": F.count("*").over(w)})
     best = F.when(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share)), F.col(parameter).cast("double"))
-    return ranked.groupBy("strategy_type").agg(F.avg(best).alias("mean_best"), F.min(best).alias("min_best"), F.max(best).alias("max_best"), F.corr(F.col(parameter).cast("double"), "sharpe").alias("correlation"))
+    return ranked.groupBy("strategy_type").agg(F.avg(best).alias("mean_best"), F.min(best).alias("min_best"), F.max(best).alias("max_best"), correlation(F.col(parameter).cast("double"), F.col("sharpe")).alias("correlation"))
 
 
 def universal_winners(df: DataFrame, least_symbols: int = 20) -> DataFrame:

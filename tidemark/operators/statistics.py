@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 ITERATIONS = 10_000
 SEED = 42
@@ -118,7 +119,7 @@ def t_cdf(t: float, df: float) -> float:
     return 1.0 - tail if t > 0 else tail
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_cdf_of(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(x) else t_cdf(x, d) for x, d in zip(t, df, strict=True)], dtype="float64")
 

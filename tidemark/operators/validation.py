@@ -60,8 +60,8 @@ def walk_forward(folds: DataFrame, keys=KEYS) -> DataFrame:
 
 def grade(mean: Column, profitable: Column, degradation: Column, std: Column) -> Column:
     """A: strict tests and a mean over 0.8; B: strict tests; C: basic ones; D: positive, and over half of the folds profitable."""
-    basic = (mean >= 0.3) & (profitable >= 0.6) & (degradation >= 0.5)
-    strict = (mean >= 0.5) & (profitable >= 0.75) & (degradation >= 0.7) & (std < 0.5)
+    basic = (mean > 0.3) & (profitable >= 0.6) & (degradation > 0.5)
+    strict = (mean > 0.5) & (profitable >= 0.75) & (degradation > 0.7) & (std < 0.5)
     return F.when(strict & (mean > 0.8), "A").when(strict, "B").when(basic, "C").when((mean > 0) & (profitable > 0.5), "D").otherwise("F")
 
 
