@@ -1,14 +1,14 @@
 """Merkle fixity audit of WARC records.
 
-A replica is a table of records with integer ids.  Records of ``SHARD`` consecutive ids form an archive file, in the order of ids,
-and have byte offsets in it.  A leaf is the SHA-256 of a record; a node of level l covers ``FANOUT``**l consecutive ids, an ordered range
+A replica is a table of records with integer ids.  Records of 4096 consecutive ids form an archive file, in the order of ids,
+and have byte offsets in it.  A leaf is the SHA-256 of a record; a node of level l covers 16**l consecutive ids, an ordered range
 of offsets, and hashes its children in order; the topmost node is the root.  Since a node is found from an id by division, trees are
-built by grouping (``FANOUT`` children at most in a group), and a lost record doesn't shift its neighbours.
+built by grouping (16 children at most in a group), and a lost record doesn't shift its neighbours.
 
 An audit compares roots, and then level by level only the children of nodes that differ.  The levels are written, with a row per
 node, so descending reads what it needs by joins on (level, node).
 
-Edge cases: records with a null id get negative ids from their hash; records with one id, such as repeated rows, share a
+Edge cases: records with a null id get ids from 2**52 on by their hash; records with one id, such as repeated rows, share a
 leaf, the hash of their sorted hashes and counts; null urls and bodies are empty; empty replicas have no root and are equal.
 """
 
@@ -21,8 +21,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import frozen
 
-FANOUT = 16
-SHARD = 4096
+#: Children of a node and records of an archive file, as powers of two: 16 and 4096.
+FANOUT_BITS = 4
+SHARD_BITS = 12
+FANOUT = 1 << FANOUT_BITS
+#: Where the ids of records without one begin.
+UNNUMBERED = 1 << 52
 
 
 def record(page_id: Column, url: Column, body: Column) -> Column:
@@ -47,13 +51,13 @@ class Tree:
 def leaves(records: DataFrame) -> DataFrame:
     """(node, n, first, end, digest, shard): one leaf per id."""
     own = records.select("page_id", F.sha2("record", 256).alias("digest"), F.octet_length("record").cast("long").alias("length"))
-    node = F.coalesce("page_id", -1 - F.conv(F.substring("digest", 1, 12), 16, 10).cast("long"))
+    node = F.coalesce("page_id", UNNUMBERED + F.conv(F.substring("digest", 1, 12), 16, 10).cast("long"))
     # repeated records are counted before they meet
     own = own.groupBy(node.alias("node"), "digest").agg(F.count("*").alias("n"), F.sum("length").alias("length"))
     one = F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("digest", "n"))), lambda x: F.concat_ws("x", x["digest"], x["n"])))
     digest = F.when((F.count("*") == 1) & (F.sum("n") == 1), F.first("digest")).otherwise(F.sha2(one, 256))
     own = own.groupBy("node").agg(digest.alias("digest"), F.sum("n").alias("n"), F.sum("length").alias("length"))
-    shard = F.floor(F.col("node") / SHARD)
+    shard = F.shiftright("node", SHARD_BITS)
     end = F.sum("length").over(Window.partitionBy("shard").orderBy("node"))
     return own.withColumn("shard", shard).select("node", "n", (end - F.col("length")).alias("first"), end.alias("end"), "digest", "shard")
 
@@ -61,7 +65,8 @@ def leaves(records: DataFrame) -> DataFrame:
 def tree(own: DataFrame, low: int | None, high: int | None) -> Tree:
     """The tree over written leaves, up to the level where the ids from ``low`` to ``high`` have one node."""
     levels = [own]
-    while low is not None and low // FANOUT ** (len(levels) - 1) != high // FANOUT ** (len(levels) - 1):
+    # ids of both signs keep two topmost nodes
+    while low is not None and low >> FANOUT_BITS * (len(levels) - 1) != high >> FANOUT_BITS * (len(levels) - 1) and FANOUT_BITS * len(levels) < 64:
         levels.append(frozen(_parents(levels[-1]), f"level{len(levels)}"))
     return Tree(levels)
 
@@ -69,7 +74,7 @@ def tree(own: DataFrame, low: int | None, high: int | None) -> Tree:
 def _parents(level: DataFrame) -> DataFrame:
     children = F.array_sort(F.collect_list(F.struct("node", "digest", "first", "end")))
     shown = F.transform(children, lambda c: F.concat_ws(":", c["node"], c["first"], c["end"], c["digest"]))
-    grouped = level.groupBy(F.floor(F.col("node") / FANOUT).alias("node")).agg(F.sum("n").alias("n"), children[0]["first"].alias("first"), F.element_at(children, -1)["end"].alias("end"), F.sha2(F.concat_ws(",", shown), 256).alias("digest"))
+    grouped = level.groupBy(F.shiftright("node", FANOUT_BITS).alias("node")).agg(F.sum("n").alias("n"), children[0]["first"].alias("first"), F.element_at(children, -1)["end"].alias("end"), F.sha2(F.concat_ws(",", shown), 256).alias("digest"))
     return grouped
 
 
@@ -91,7 +96,7 @@ def audit(records: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame]:
         under = frozen(found.select("node"), "differing")
         if under.isEmpty():
             break
-        parent = F.floor(F.col("node") / FANOUT)
+        parent = F.shiftright("node", FANOUT_BITS)
         x, y = (t.withColumn("_up", parent).join(under.withColumnRenamed("node", "_up"), "_up", "left_semi") for t in (x, y))
         found = _differing(x, y)
     status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "added").otherwise("changed")
