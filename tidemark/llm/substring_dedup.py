@@ -36,7 +36,8 @@ MOST_HASHES = 32
 SCHEMA = "doc_row long, kind string, start int, end int, class_row long, removed boolean"
 
 
-CUT = "kind string, doc_row long, start int, end int, words int, hash long, set_hash binary, bands binary"
+#: paragraph: true for lines, false for sub-paragraphs.
+CUT = "paragraph boolean, doc_row long, start int, end int, words int, hash long, set_hash binary, bands binary"
 
 
 def cuts(hashes: np.ndarray, reach: int = REACH) -> np.ndarray:
@@ -60,30 +61,31 @@ def _words(text: str, known: WordHashes) -> tuple[np.ndarray, np.ndarray, np.nda
     return word_hashes(text, known), edges[0::2], edges[1::2], np.append(np.nonzero(points == 10)[0], len(points))
 
 
-def _cut(row: int, text: str, known: WordHashes, signer: Signatures, least: int) -> list[tuple]:
-    """Rows of CUT for one document."""
+def _cut(row: int, text: str, known: WordHashes, signer: Signatures, least: int) -> tuple[tuple | None, list[tuple]]:
+    """Columns of a document's sub-paragraphs, and rows of its paragraphs (CUT without ``paragraph``)."""
     hashes, starts, ends, line_ends = _words(text, known)
     n = len(hashes)
     if not n:
-        return []
+        return None, []
     at = cuts(hashes)
     to = np.append(at[1:], n)
     raw = hashes.tobytes()
-    to_char = np.append(starts[at[1:]], ends[-1])
-    out = [("piece", row, s, e, j - i, xxhash.xxh3_64_intdigest(raw[8 * i : 8 * j]) - 2**63, None, None) for s, e, i, j in zip(starts[at].tolist(), to_char.tolist(), at.tolist(), to.tolist(), strict=True)]
+    keys = [xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip((at * 8).tolist(), (to * 8).tolist(), strict=True)]
+    pieces = np.full(len(at), row), starts[at], np.append(starts[at[1:]], ends[-1]), to - at, np.array(keys, np.uint64).view(np.int64)
     last = np.searchsorted(starts, line_ends)
     first = np.append(0, last[:-1])
     long = np.nonzero(last - first >= least)[0]
-    if len(long):
-        grams, counts = rolling(hashes, WORDS), last[long] - first[long] - WORDS + 1
-        offsets = np.cumsum(counts) - counts
-        x = grams[np.repeat(first[long] - offsets, counts) + np.arange(counts.sum())]
-        bands = signer.band_hashes_of(x, offsets)
-        begin = np.append(0, line_ends[:-1] + 1)
-        for i, line in enumerate(long.tolist()):
-            own = np.unique(x[offsets[i] : offsets[i] + counts[i]])
-            out.append(("paragraph", row, int(begin[line]), int(line_ends[line]), int(last[line] - first[line]), None, xxhash.xxh3_128_digest(own.tobytes()), bands[i].tobytes()))
-    return out
+    if not len(long):
+        return pieces, []
+    grams, counts = rolling(hashes, WORDS), last[long] - first[long] - WORDS + 1
+    offsets = np.cumsum(counts) - counts
+    x = grams[np.repeat(first[long] - offsets, counts) + np.arange(counts.sum())]
+    bands = signer.band_hashes_of(x, offsets)
+    begin = np.append(0, line_ends[:-1] + 1)
+    return pieces, [
+        (row, int(begin[line]), int(line_ends[line]), int(last[line] - first[line]), None, xxhash.xxh3_128_digest(np.unique(x[o : o + c]).tobytes()), bands[i].tobytes())
+        for i, (line, o, c) in enumerate(zip(long.tolist(), offsets.tolist(), counts.tolist(), strict=True))
+    ]
 
 
 def cut_texts(docs: DataFrame, bands: int, rows: int, least: int = LEAST_WORDS) -> DataFrame:
@@ -92,22 +94,33 @@ def cut_texts(docs: DataFrame, bands: int, rows: int, least: int = LEAST_WORDS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, signer = WordHashes(), Signatures(bands, rows)
-        names = [x.split(" ")[0] for x in CUT.split(", ")]
+        names = [x.split(" ")[0] for x in CUT.split(", ")][1:]
+
+        def frames(pieces: list[tuple], lines: list[tuple]) -> Iterator[pd.DataFrame]:
+            if pieces:
+                yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*pieces, strict=True)), strict=False))).assign(paragraph=False, set_hash=None, bands=None)
+            if lines:
+                yield pd.DataFrame(lines, columns=names).assign(paragraph=True)
+
         for b in batches:
-            held: list[tuple] = []
+            pieces, lines, held = [], [], 0
             for row, text in zip(b["_row"], b["text"], strict=True):
-                held += _cut(row, text, known, signer, least)
-                if len(held) > 20_000:
-                    yield pd.DataFrame(held, columns=names)
-                    held = []
-            yield pd.DataFrame(held, columns=names)
+                own, more = _cut(row, text, known, signer, least)
+                if own:
+                    pieces.append(own)
+                    held += len(own[0])
+                lines += more
+                if held > 100_000:
+                    yield from frames(pieces, lines)
+                    pieces, lines, held = [], [], 0
+            yield from frames(pieces, lines)
 
     return frozen(docs.mapInPandas(run, CUT).withColumn("_row", F.monotonically_increasing_id()), "cut-texts")
 
 
 def passages(cut: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """SCHEMA, of cut_texts(): runs of sub-paragraphs that other documents have too, of at least ``least`` words."""
-    cut = cut.where("kind = 'piece'").select("hash", "doc_row", "start", "end", "words")
+    cut = cut.where("not paragraph").select("hash", "doc_row", "start", "end", "words")
     shared = cut.groupBy("hash").agg(F.min("doc_row").alias("class_row"), F.max("doc_row").alias("last")).where("class_row <> last")
     shared = frozen(shared.select("hash", "class_row"), "shared-pieces")
     runs = cut.join(shared, "hash").groupBy("doc_row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "words", "class_row"))).alias("pieces"))
@@ -152,7 +165,7 @@ def _sets_of_lines(docs: DataFrame, signed: DataFrame) -> Callable[[DataFrame],
 
 def near_paragraphs(docs: DataFrame, cut: DataFrame, bands: int, threshold: Fraction = THRESHOLD) -> DataFrame:
     """SCHEMA, of cut_texts(): paragraphs with near copies, by component."""
-    signed = cut.where("kind = 'paragraph'").select("_row", "doc_row", "start", "end", "set_hash", "bands")
+    signed = cut.where("paragraph").select("_row", "doc_row", "start", "end", "set_hash", "bands")
     found = classes(signed, bands, threshold, _sets_of_lines(docs, signed), keep=("doc_row", "start", "end"))
     first = found.groupBy("root").agg(F.min(F.struct("doc_row", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
     out = found.join(first, "root")
