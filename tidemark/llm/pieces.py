@@ -39,7 +39,11 @@ def splitter(pattern: str):
 
 
 def is_plain(text: str) -> bool:
-    return PLAIN.fullmatch(text) is not None
+    try:  # one pass of a fast codec settles most texts
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return PLAIN.fullmatch(text) is not None
 
 
 def split(text: str, pattern: str) -> list[str]:

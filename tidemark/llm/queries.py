@@ -22,8 +22,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = token_io.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
-    return out.select("doc_id", "start", "n_tokens", token_io.crc32_of("ids").alias("ids_crc32"))
+    return token_io.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, digest=True)
 
 
 def op3_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

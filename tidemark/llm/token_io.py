@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
+import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -159,11 +160,15 @@ class PieceIds(dict):
 
     def __init__(self, path: str, code: str):
         self.model, self.letters, self.code = _library(path).model, _byte_letters(), code
+        self.blank = self.letters[0x20]
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) > KNOWN:
             self.clear()
-        shown = piece.encode().decode("latin-1").translate(self.letters)
+        if piece.isascii() and piece.isprintable():
+            shown = piece.replace(" ", self.blank)
+        else:
+            shown = piece.encode().decode("latin-1").translate(self.letters)
         self[piece] = out = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
         return out
 
@@ -258,8 +263,9 @@ def write(tokens: DataFrame, folder: str, size: int, shard_tokens: int = SHARD_T
     dealt.select(F.spark_partition_id().alias("shard"), "doc_id", "ids").mapInPandas(pack, schema).write.parquet(f"{folder}/blocks")
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit), from the files."""
+def read(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit), from the files.
+    With ``digest``, ids_crc32 of these bytes instead of ids."""
     book = spark.read.parquet(f"{folder}/codes").collect()
     lengths = np.zeros(max([r["id"] for r in book], default=-1) + 1, np.uint8)
     for r in book:
@@ -277,20 +283,17 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 sizes = np.asarray(r.doc_tokens, np.int64)
                 ends = np.cumsum(sizes)
                 ids = decoder.block(r.checkpoints, r.payload, int(ends[-1])).astype("<u4")
-                ids = [ids[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)]
-                yield pd.DataFrame({"doc_id": list(r.doc_ids), "start": r.offset + r.start + ends - sizes, "n_tokens": sizes, "ids": ids})
+                ids = [ids[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                shown = {"ids_crc32": [zlib.crc32(x) for x in ids]} if digest else {"ids": [x.tobytes() for x in ids]}
+                yield pd.DataFrame({"doc_id": list(r.doc_ids), "start": r.offset + r.start + ends - sizes, "n_tokens": sizes} | shown)
 
-    return blocks.join(offsets, "shard").select("offset", "start", "doc_ids", "doc_tokens", "checkpoints", "payload").mapInPandas(unpack, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.join(offsets, "shard").select("offset", "start", "doc_ids", "doc_tokens", "checkpoints", "payload").mapInPandas(unpack, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary"))
 
 
-def round_trip(docs: DataFrame, path: str, end_id: int, **how) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, end_id: int, digest: bool = False, **how) -> DataFrame:
     """Write all documents as coded token ids to the shared folder, and read them back from the files."""
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/coded-{uuid.uuid4().hex}"
     write(tokenize(docs, path, end_id, **how), folder, vocabulary(path, end_id))
-    return read(spark, folder)
-
+    return read(spark, folder, digest)
 
-def crc32_of(ids: str = "ids"):
-    """Unsigned crc32 of the ids' bytes."""
-    return F.crc32(F.col(ids))
