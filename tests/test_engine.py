@@ -204,3 +204,20 @@ def test_rest_without_training_operators():
     root = pathlib.Path(__file__).parent.parent / "tidemark"
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "tidemark.llm" in p.read_text()]
     assert isinstance(pd.DataFrame(), pd.DataFrame)
+
+
+def test_result_files(spark, tmp_path):
+    from tidemark.sources import results as files
+
+    df = spark.sql("select 1 iteration, 'donchian' strategy_type, 'c' config_id, 7L config_hash, date'2020-01-01' tested_start, date'2021-01-01' tested_end")
+    files.append_history(df, str(tmp_path / "h"))
+    files.append_history(df, str(tmp_path / "h"))
+    (tmp_path / "h" / "bad.json").write_text("{not json\n")
+    h = files.read_history(spark, str(tmp_path / "h"))
+    assert h.count() == 2 and len(files.tested_index(h).first().ranges) == 1
+    other = df.withColumn("config_hash", F.lit(8).cast("long"))
+    assert explore.untested(df.unionByName(other), h).count() == 1
+    files.save_snapshot(df, str(tmp_path / "s"))
+    assert files.load_snapshot(spark, str(tmp_path / "s")).columns == df.columns
+    files.write_results(df.withColumn("m", F.create_map(F.lit("a"), F.lit(1))), str(tmp_path / "r.csv"))
+    assert spark.read.csv(str(tmp_path / "r.csv"), header=True).count() == 1

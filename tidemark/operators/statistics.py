@@ -80,6 +80,42 @@ def permutation_test(a: np.ndarray, b: np.ndarray, rounds: int = 10_000, seed: i
     return (extreme + 1) / (rounds + 1)
 
 
+def cross_confidence(df: DataFrame, keys: list[str], column: str, least: int, floors: tuple[float, float], rounds: int = 1000, seed: int = SEED, most: int = 100_000) -> DataFrame:
+    """keys, n, mean, lower, upper, grade: a bootstrap of the mean of one value per member (symbol or sector).
+
+    High: lower bound over 0.5, interval under 0.75 wide, at least 80% of members positive, and the worst over the first floor; medium: lower bound over
+    0, 70%, and the worst over the second; insufficient under ``least`` members.  More than ``most`` members raise."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.sort(pdf[column].dropna().to_numpy())
+        if len(x) > most:
+            raise ValueError(f"{len(x)} members; at most {most}")
+        row = pdf.iloc[[0]][keys].copy()
+        if len(x) < least:
+            return row.assign(n=len(x), mean=np.nan, lower=np.nan, upper=np.nan, grade="insufficient")
+        rng = np.random.default_rng(seed)
+        s = np.sort([x[rng.integers(0, len(x), len(x))].mean() for _ in range(rounds)])
+        lower, upper, positive = s[int(0.025 * rounds)], s[min(int(0.975 * rounds), rounds - 1)], (x > 0).mean()
+        high = lower > 0.5 and upper - lower < 0.75 and positive >= 0.8 and x[0] > floors[0]
+        grade = "high" if high else "medium" if lower > 0 and positive >= 0.7 and x[0] > floors[1] else "low"
+        return row.assign(n=len(x), mean=x.mean(), lower=lower, upper=upper, grade=grade)
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long, mean double, lower double, upper double, grade string"
+    return df.select(*keys, column).groupBy(*keys).applyInPandas(run, schema)
+
+
+def symbol_confidence(results: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the Sharpe ratios of the symbols; at least 10."""
+    return cross_confidence(results, keys, "sharpe", 10, (-0.25, -0.75))
+
+
+def sector_confidence(results: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the mean Sharpe ratios of the sectors; at least 5."""
+    means = results.groupBy(*keys, "sector").agg(F.avg("sharpe").alias("sharpe"))
+    return cross_confidence(means, keys, "sharpe", 5, (0.0, -0.25))
+
+
 # --- distributions ---
 
 

@@ -65,14 +65,34 @@ def grade(mean: Column, profitable: Column, degradation: Column, std: Column) ->
     return F.when(strict & (mean > 0.8), "A").when(strict, "B").when(basic, "C").when((mean > 0) & (profitable > 0.5), "D").otherwise("F")
 
 
-def equity_thirds(curve: DataFrame, folds: int = 3, inside: float = 0.85, keys=KEYS) -> DataFrame:
-    """Per series: out-of-sample Sharpe (sample deviation) of the last 15% of each of equal folds of the curve."""
+def equity_folds(curve: DataFrame, folds: int = 3, inside: float = 0.85, least_bars: int = 42, keys=KEYS) -> DataFrame:
+    """Per series and equal fold of its curve: Sharpe (sample deviation) of its first 85% and of the rest.  Folds without 20 returns
+    inside and 5 outside, and series of fewer than ``least_bars`` a fold, have none."""
     from pyspark.sql import Window
 
     r = with_returns(curve, keys).where("ret is not null")
     w = Window.partitionBy(*keys)
-    r = r.withColumns({"_i": F.row_number().over(w.orderBy("ts")) - 1, "_n": F.count("*").over(w)})
+    r = r.withColumns({"_i": F.row_number().over(w.orderBy("ts")) - 1, "_n": F.count("*").over(w)}).where(F.col("_n") >= folds * least_bars)
     size = F.floor(F.col("_n") / folds)
-    r = r.withColumn("fold", F.least(F.floor(F.col("_i") / size), F.lit(folds - 1))).where((F.col("_n") >= folds * 4) & (F.col("_i") - F.col("fold") * size >= F.floor(size * inside)))
-    dev = F.stddev_samp("ret")
-    return r.groupBy(*keys, "fold").agg(F.coalesce(F.when(dev > 1e-10, F.avg("ret") / dev * 252**0.5), F.lit(0.0)).alias("oos_sharpe"))
+    r = r.withColumn("fold", F.least(F.floor(F.col("_i") / size), F.lit(folds - 1)))
+    length = F.when(F.col("fold") == folds - 1, F.col("_n") - size * (folds - 1)).otherwise(size)
+    r = r.withColumns({"_end": F.floor(length * inside), "_at": F.col("_i") - F.col("fold") * size, "_length": length}).where((F.col("_end") >= 20) & (F.col("_length") - F.col("_end") >= 5))
+    r = r.withColumns({"_in": F.when(F.col("_at") < F.col("_end"), F.col("ret")), "_out": F.when(F.col("_at") >= F.col("_end"), F.col("ret"))})
+    one = lambda c: F.coalesce(F.when(F.stddev_samp(c) >= 1e-10, F.avg(c) / F.stddev_samp(c) * 252**0.5), F.lit(0.0))
+    return r.groupBy(*keys, "fold").agg(one("_in").alias("is_sharpe"), one("_out").alias("oos_sharpe"))
+
+
+def pooled_walk_forward(folds: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Over all series' equity_folds(), by ``keys``: mean, deviation (sample), share of positive folds, degradation, one-sided p and grade;
+    nothing for fewer than three folds."""
+    from tidemark.operators.statistics import mean_p_values
+
+    own = folds if keys else folds.withColumn("all", F.lit("all"))
+    by = list(keys) or ["all"]
+    out = own.groupBy(*by).agg(F.count("*").alias("folds"), F.avg("oos_sharpe").alias("mean_oos_sharpe"), F.stddev_samp("oos_sharpe").alias("std_oos_sharpe"), F.avg((F.col("oos_sharpe") > 0).cast("double")).alias("pct_profitable"), F.avg("is_sharpe").alias("_is")).where("folds >= 3")
+    out = out.withColumn("degradation", F.when(F.abs("_is") > 1e-6, F.col("mean_oos_sharpe") / F.col("_is")).otherwise(0.0)).drop("_is")
+    letter = F.lit("F")
+    # Mean, degradation and profitable share that each grade must exceed.
+    for name, mean, kept, positive in (("D", 0.0, 0.2, 0.5), ("C", 0.1, 0.3, 0.6), ("B", 0.3, 0.5, 0.7), ("A", 0.5, 0.7, 0.8)):
+        letter = F.when((F.col("mean_oos_sharpe") > mean) & (F.col("degradation") > kept) & (F.col("pct_profitable") > positive), name).otherwise(letter)
+    return out.withColumn("grade", letter).join(mean_p_values(own, by, "oos_sharpe").select(*by, "p"), by)

@@ -598,7 +598,22 @@ def val_grades(spark, d):
 
 @query
 def val_thirds(spark, d):
-    return rounded(validation.equity_thirds(_buy_and_hold(spark, d)))
+    return rounded(validation.equity_folds(_buy_and_hold(spark, d)))
+
+
+@query
+def val_pooled(spark, d):
+    return rounded(validation.pooled_walk_forward(validation.equity_folds(_buy_and_hold(spark, d))))
+
+
+@query
+def stat_symbol_confidence(spark, d):
+    return rounded(statistics.symbol_confidence(result_table(spark, d), ["config_id"]))
+
+
+@query
+def stat_sector_confidence(spark, d):
+    return rounded(statistics.sector_confidence(result_table(spark, d), ["config_id"]))
 
 
 @query
