@@ -181,6 +181,13 @@ def test_pipeline_stages(spark, docs, tmp_path, labels):
         assert (last.count() == 0) == empty
 
 
+def test_large_ids_beside_nulls(spark):
+    big = 2**60 + 1
+    d = frozen(spark.createDataFrame([(big, "some words"), (None, "more words"), (big + 1, None)], "doc_id long, text string"), "large-ids")
+    for got in (token_io.round_trip(d, P.path("byte_bpe_50k.json"), 2), bpe.encode_documents(d, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN), pii.sanitise(d)):
+        assert {r.doc_id for r in got.collect()} == {big, big + 1, None}
+
+
 def test_bands():
     bands, rows = ngram_join.near_duplicates.__globals__["choose_bands"](0.8)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= 128

@@ -197,8 +197,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
                 yield out
 
     kind = docs.select(doc_id).dtypes[0][1]
-    schema = f"doc_id {kind}, n_tokens long, " + "ids array<int>, " * ids + "ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInPandas(run, schema)
+    schema = "doc_id string, n_tokens long, " + "ids array<int>, " * ids + "ids_sha256 string, decoded_sha256 string"
+    # ids pass as strings: pandas would make floats of integers with nulls among them
+    own = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return own.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:

@@ -140,7 +140,8 @@ def disclosures(docs: DataFrame, generalise: float = GENERALISE, least_texts: in
 
 def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", generalise: float = GENERALISE, remove: float = REMOVE, least_texts: int = LEAST_TEXTS, with_text: bool = True) -> DataFrame:
     """doc_id, spans (array of kind, start, end, value), sanitised text (unless ``with_text`` is False)."""
-    own = with_row_id(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
+    # ids pass as strings: pandas would make floats of integers with nulls among them
+    own = with_row_id(docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
     hidden = disclosures(own.select("_row", "text"), generalise, least_texts)
     hidden = frozen(hidden.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("terms")), "hidden")
 
@@ -160,7 +161,8 @@ def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", genera
 
     kind = docs.select(doc_id).dtypes[0][1]
     both = own.join(hidden, "_row", "left").select("doc_id", "text", "terms")
-    return both.mapInPandas(run, f"doc_id {kind}, spans array<struct<kind: string, start: int, end: int>>, sanitised string")
+    out = both.mapInPandas(run, "doc_id string, spans array<struct<kind: string, start: int, end: int>>, sanitised string")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def _hide(text: str, spans: list[Span], terms: dict[str, float], remove: float) -> str:

@@ -205,8 +205,10 @@ def tokenize(docs: DataFrame, path: str, end_id: int, text: str = "text", doc_id
             yield pd.DataFrame({"doc_id": b["doc_id"].array, "n_tokens": [len(x) // len(end) for x in ids], "ids": ids})
 
     kind = docs.select(doc_id).dtypes[0][1]
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return frozen(own.mapInPandas(run, f"doc_id {kind}, n_tokens long, ids binary"), "tokens")
+    # ids pass as strings: pandas would make floats of integers with nulls among them
+    own = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    out = own.mapInPandas(run, "doc_id string, n_tokens long, ids binary")
+    return frozen(out.withColumn("doc_id", F.col("doc_id").cast(kind)), "tokens")
 
 
 def vocabulary(path: str, end_id: int) -> int:
@@ -244,7 +246,7 @@ def write(tokens: DataFrame, folder: str, size: int, shard_tokens: int = SHARD_T
         def done() -> pd.DataFrame:
             joined = np.concatenate(ids)
             checkpoints, payload = encode_block(joined, codes, short)
-            return pd.DataFrame({"shard": [shard], "block": [block], "start": [start], "doc_ids": [[None if d is None or d != d else int(d) for d in docs]], "doc_tokens": [[len(x) for x in ids]], "checkpoints": [checkpoints], "payload": [payload]})
+            return pd.DataFrame({"shard": [shard], "block": [block], "start": [start], "doc_ids": [docs], "doc_tokens": [[len(x) for x in ids]], "checkpoints": [checkpoints], "payload": [payload]})
 
         for b in batches:
             for shard, d, x in zip(b["shard"], b["doc_id"], b["ids"], strict=True):
@@ -259,8 +261,8 @@ def write(tokens: DataFrame, folder: str, size: int, shard_tokens: int = SHARD_T
 
     shards = max(1, -(-int(counts.sum()) // shard_tokens))
     dealt = tokens.repartitionByRange(shards, F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "ids")
-    schema = "shard int, block int, start long, doc_ids array<long>, doc_tokens array<int>, checkpoints binary, payload binary"
-    dealt.select(F.spark_partition_id().alias("shard"), "doc_id", "ids").mapInPandas(pack, schema).write.parquet(f"{folder}/blocks")
+    schema = "shard int, block int, start long, doc_ids array<string>, doc_tokens array<int>, checkpoints binary, payload binary"
+    dealt.select(F.spark_partition_id().alias("shard"), F.col("doc_id").cast("string").alias("doc_id"), "ids").mapInPandas(pack, schema).write.parquet(f"{folder}/blocks")
 
 
 def read(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
@@ -287,7 +289,8 @@ def read(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
                 shown = {"ids_crc32": [zlib.crc32(x) for x in ids]} if digest else {"ids": [x.tobytes() for x in ids]}
                 yield pd.DataFrame({"doc_id": list(r.doc_ids), "start": r.offset + r.start + ends - sizes, "n_tokens": sizes} | shown)
 
-    return blocks.join(offsets, "shard").select("offset", "start", "doc_ids", "doc_tokens", "checkpoints", "payload").mapInPandas(unpack, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary"))
+    out = blocks.join(offsets, "shard").select("offset", "start", "doc_ids", "doc_tokens", "checkpoints", "payload").mapInPandas(unpack, "doc_id string, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary"))
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int, digest: bool = False, **how) -> DataFrame:
