@@ -190,4 +190,4 @@ def test_large_ids_beside_nulls(spark):
 
 def test_bands():
     bands, rows = ngram_join.near_duplicates.__globals__["choose_bands"](0.8)
-    assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= 128
+    assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= 128

@@ -15,9 +15,9 @@ which that is at least the target recall at the threshold.  Sets are compared by
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Callable, Iterator
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,10 +30,9 @@ from tidemark.llm.components import components
 
 WORDS = 5
 THRESHOLD = Fraction(4, 5)
-RECALL = 0.999
+RECALL = 0.9999
 BLOCK = 512
 COLUMNS = 8192
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,16 +47,6 @@ def choose_bands(threshold: float, recall: float = RECALL, most_hashes: int = 12
     return found
 
 
-class WordHashes(dict):
-    """Hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * GOLDEN
     return x ^ (x >> np.uint64(29))
@@ -75,14 +64,51 @@ def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
     return mixed(out + np.uint64(k))
 
 
-def word_hashes(text: str, known: WordHashes) -> np.ndarray:
-    words = WORD.findall(text)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+class _Powers:
+    """Powers of an odd number modulo 2**64 and their inverses, as far as the longest text so far needs."""
+
+    base = 0xD6E8FEB86659FD93
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = 1 << n.bit_length()
+            run = lambda x: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)]))
+            self.up, self.down = run(self.base), run(pow(self.base, -1, 2**64))
+        return self.up, self.down
+
+
+@lru_cache
+def _tables() -> tuple[np.ndarray, _Powers]:
+    """A random-looking number for each code point, and powers."""
+    return mixed(mixed(np.arange(1, 0x110001, dtype=np.uint64) * GOLDEN)), _Powers()
+
+
+def located_words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes, starts and ends of the words, and the code points of the text.
+
+    A word's hash is a polynomial in its characters' numbers, from sums over the whole text at once: terms carry the power of their place
+    in the text, and the power of the word's start is divided out."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    white = np.ones(len(points) + 2, bool)
+    white[1:-1] = (points == 32) | ((points >= 9) & (points <= 13))
+    edges = np.nonzero(white[1:] != white[:-1])[0]
+    starts, ends = edges[0::2], edges[1::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts, ends, points
+    numbers, powers = _tables()
+    up, down = powers.of(len(points))
+    terms = numbers[points] * up[: len(points)]
+    terms[white[1:-1]] = 0
+    sums = np.add.reduceat(terms, starts) * down[starts]
+    return mixed(sums + (ends - starts).astype(np.uint64)), starts, ends, points
 
 
-def shingles(text: str, known: WordHashes, k: int = WORDS) -> np.ndarray:
+def shingles(text: str, k: int = WORDS) -> np.ndarray:
     """Sorted different shingle hashes; empty for texts without words."""
-    return np.unique(rolling(word_hashes(text, known), k))
+    return np.unique(rolling(located_words(text)[0], k))
 
 
 class Signatures:
@@ -116,11 +142,11 @@ def signatures(items: DataFrame, k: int, bands: int, rows: int, keep: tuple[str,
     """(_row, text, ``keep``) to (_row, set_hash, n, bands, ``keep``); texts without words have none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, signer = WordHashes(), Signatures(bands, rows)
+        signer = Signatures(bands, rows)
         for b in batches:
             out = []
             for text in b["text"]:
-                x = shingles(text, known, k)
+                x = shingles(text, k)
                 out.append((xxhash.xxh3_128_digest(x.tobytes()), len(x), signer.band_hashes(x).tobytes() if len(x) else b""))
             out = pd.DataFrame(out, columns=["set_hash", "n", "bands"], index=b.index)
             yield pd.concat([b[["_row", *keep]], out], axis=1)[out["n"] > 0]
@@ -203,9 +229,8 @@ def sets_of_texts(items: DataFrame, k: int) -> Callable[[DataFrame], DataFrame]:
 
     def add(members: DataFrame) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known = WordHashes()
             for b in batches:
-                yield b.assign(text=[shingles(t, known, k).tobytes() for t in b["text"]]).rename(columns={"text": "shingles"})
+                yield b.assign(text=[shingles(t, k).tobytes() for t in b["text"]]).rename(columns={"text": "shingles"})
 
         # sorted and merged at every size: few candidates could be broadcast, but most inputs have too many
         own = items.join(members.hint("merge"), "_row").select("_row", "copies", "buckets", "text")

@@ -27,12 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import frozen, with_row_id
-from tidemark.llm.minhash import MEMBERS, WORDS, Signatures, WordHashes, choose_bands, classes, rolling, shingles, word_hashes
+from tidemark.llm.minhash import MEMBERS, WORDS, Signatures, choose_bands, classes, located_words, rolling, shingles
 
 LEAST_WORDS = 25
 REACH = 5
 THRESHOLD = Fraction(4, 5)
 MOST_HASHES = 32
+RECALL = 0.999
 SCHEMA = "doc_row long, kind string, start int, end int, class_row long, removed boolean"
 
 
@@ -53,17 +54,10 @@ def cuts(hashes: np.ndarray, reach: int = REACH) -> np.ndarray:
     return np.nonzero(least)[0]
 
 
-def _words(text: str, known: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """hashes, starts and ends of the words, and the places of line ends."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    white = np.concatenate([[True], (points == 32) | ((points >= 9) & (points <= 13)), [True]])
-    edges = np.nonzero(white[1:] != white[:-1])[0]
-    return word_hashes(text, known), edges[0::2], edges[1::2], np.append(np.nonzero(points == 10)[0], len(points))
-
-
-def _cut(row: int, text: str, known: WordHashes, signer: Signatures, least: int) -> tuple[tuple | None, list[tuple]]:
+def _cut(row: int, text: str, signer: Signatures, least: int) -> tuple[tuple | None, list[tuple]]:
     """Columns of a document's sub-paragraphs, and rows of its paragraphs (CUT without ``paragraph``)."""
-    hashes, starts, ends, line_ends = _words(text, known)
+    hashes, starts, ends, points = located_words(text)
+    line_ends = np.append(np.nonzero(points == 10)[0], len(points))
     n = len(hashes)
     if not n:
         return None, []
@@ -93,7 +87,7 @@ def cut_texts(docs: DataFrame, bands: int, rows: int, least: int = LEAST_WORDS)
     which ends where the next begins.  Written to the shared folder: texts are read once for both."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, signer = WordHashes(), Signatures(bands, rows)
+        signer = Signatures(bands, rows)
         names = [x.split(" ")[0] for x in CUT.split(", ")][1:]
 
         def frames(pieces: list[tuple], lines: list[tuple]) -> Iterator[pd.DataFrame]:
@@ -105,7 +99,7 @@ def cut_texts(docs: DataFrame, bands: int, rows: int, least: int = LEAST_WORDS)
         for b in batches:
             pieces, lines, held = [], [], 0
             for row, text in zip(b["_row"], b["text"], strict=True):
-                own, more = _cut(row, text, known, signer, least)
+                own, more = _cut(row, text, signer, least)
                 if own:
                     pieces.append(own)
                     held += len(own[0])
@@ -150,11 +144,10 @@ def _sets_of_lines(docs: DataFrame, signed: DataFrame) -> Callable[[DataFrame],
         by_doc = own.groupBy("doc_row").agg(F.collect_list(F.struct("_row", "start", "end", "copies", "buckets")).alias("lines"))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known = WordHashes()
             for b in batches:
                 out = []
                 for text, lines in zip(b["text"], b["lines"], strict=True):
-                    out += [(x["_row"], x["copies"], x["buckets"], shingles(text[x["start"] : x["end"]], known).tobytes()) for x in lines]
+                    out += [(x["_row"], x["copies"], x["buckets"], shingles(text[x["start"] : x["end"]]).tobytes()) for x in lines]
                 yield pd.DataFrame(out, columns=["_row", "copies", "buckets", "shingles"])
 
         texts = docs.withColumnRenamed("_row", "doc_row").join(by_doc.hint("merge"), "doc_row").select("text", "lines")
@@ -177,7 +170,7 @@ def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     (doc_id of the document whose copy stays), removed."""
     own = with_row_id(docs).select("_row", F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     texts = own.select("_row", "text")
-    bands, rows = choose_bands(float(THRESHOLD), most_hashes=MOST_HASHES)
+    bands, rows = choose_bands(float(THRESHOLD), RECALL, MOST_HASHES)
     cut = cut_texts(texts, bands, rows, least)
     found = frozen(near_paragraphs(texts, cut, bands).unionByName(passages(cut, least)), "repeats")
     ids = own.select(F.col("_row").alias("doc_row"), "doc_id")
