@@ -284,3 +284,32 @@ m AS (SELECT symbol, rn, 0 AS pos, NULL::VARCHAR AS side, NULL::DOUBLE AS price,
   FROM m JOIN s ON s.symbol = m.symbol AND s.rn = m.rn + 1 JOIN s y ON y.symbol = m.symbol AND y.rn = m.rn)))""",
     f"SELECT s.symbol, s.ts, m.pos AS position_state, m.side AS fill_side, {r4('m.price')} AS fill_price, {r4('m.cash')} AS cash, {r4('m.cash + m.pos * s.close')} AS equity FROM m JOIN s USING (symbol, rn)",
 )
+
+# strategies on recurrences
+REC: dict[str, tuple] = {}
+CHANGES = "ch AS (SELECT symbol, rn, greatest(close - pc, 0) AS up, greatest(pc - close, 0) AS dn FROM b WHERE pc IS NOT NULL)"
+JOIN = "LEFT JOIN {0} ON {0}.symbol = b.symbol AND {0}.rn = b.rn"
+REC["rsi"] = crossing(f"{CHANGES}, {ema(5, '1.0::DOUBLE / 5', 'up', 'ch', 'u')}, {ema(5, '1.0::DOUBLE / 5', 'dn', 'ch', 'n')}, z AS (SELECT b.*, CASE WHEN n.v = 0 THEN 100 ELSE 100 - 100 / (1 + u.v / n.v) END AS v FROM b {JOIN.format('u')} {JOIN.format('n')})", "v", 6, 45, 55)
+MACD = f"{ema(12, '2.0::DOUBLE / 13', 'close', 'b', 'f')}, {ema(26, '2.0::DOUBLE / 27', 'close', 'b', 's')}, ln AS (SELECT f.symbol, f.rn, f.v - s.v AS line FROM f JOIN s ON s.symbol = f.symbol AND s.rn = f.rn), {ema(9, '2.0::DOUBLE / 10', 'line', 'ln', 'g')}"
+REC["macd"] = crossing(f"{MACD}, z AS (SELECT b.*, ln.line - g.v AS v FROM b {JOIN.format('ln')} {JOIN.format('g')})", "v", 35, 0, 0)
+DMI = (
+    f"m AS (SELECT symbol, rn, coalesce({TR}, high - low) AS tr, CASE WHEN high - ph > pl - low AND high - ph > 0 THEN high - ph ELSE 0 END AS pd, CASE WHEN pl - low > high - ph AND pl - low > 0 THEN pl - low ELSE 0 END AS md FROM b), {ema(14, '1.0::DOUBLE / 14', 'tr', 'm', 'a')}, {ema(14, '1.0::DOUBLE / 14', 'pd', 'm', 'u')}, {ema(14, '1.0::DOUBLE / 14', 'md', 'm', 'n')}, "
+    f"di AS (SELECT a.symbol, a.rn, CASE WHEN a.v = 0 THEN 0 ELSE 100 * u.v / a.v END AS p, CASE WHEN a.v = 0 THEN 0 ELSE 100 * n.v / a.v END AS q FROM a JOIN u USING (symbol, rn) JOIN n USING (symbol, rn)), dx AS (SELECT *, CASE WHEN p + q = 0 THEN 0 ELSE 100 * abs(p - q) / (p + q) END AS dx FROM di), {ema(14, '1.0::DOUBLE / 14', 'dx', 'dx', 'ax')}"
+)
+REC["dmi_adx"] = (f"{DMI}, t AS (SELECT b.*, di.p, di.q, ax.v AS adx FROM b {JOIN.format('di')} {JOIN.format('ax')})", "t", "rn > 28 AND p > q AND adx > 12", "rn > 28 AND (p <= q OR adx < 12)", "rn > 28 AND q > p AND adx > 12", "rn > 28 AND (q <= p OR adx < 12)")
+ST = f"{T}, st0 AS (SELECT symbol, rn, close, (high + low) / 2 AS mid, avg(coalesce(tr, high - low)) OVER {w(10)} AS atr FROM t), {supertrend(0.2, False, 's1')}, y AS (SELECT b.*, s1.up, lag(s1.up) OVER (PARTITION BY b.symbol ORDER BY b.ts) AS was FROM b {JOIN.format('s1')})"
+REC["supertrend"] = (ST, "y", "rn > 10 AND up AND NOT was", "rn > 10 AND NOT up AND was")
+REC["supertrend_cooldown"] = REC["supertrend"]
+KC = f"{T}, {ema(20, '2.0::DOUBLE / 21', 'close', 'b', 'e1')}, y AS (SELECT b.*, e1.v AS c, 0.1 * avg(t.tr) OVER (PARTITION BY b.symbol ORDER BY b.ts ROWS 9 PRECEDING) AS a FROM b JOIN t ON t.symbol = b.symbol AND t.rn = b.rn {JOIN.format('e1')})"
+REC["keltner"] = (KC, "y", "rn > 20 AND close > c + a", "rn > 20 AND (close < c - a OR close < c)", "rn > 20 AND close < c - a", "rn > 20 AND (close > c + a OR close > c)")
+SK = f"k0 AS (SELECT *, CASE WHEN rn >= 14 THEN CASE WHEN max(high) OVER {w(14)} = min(low) OVER {w(14)} THEN 50.0 ELSE 100 * (close - min(low) OVER {w(14)}) / (max(high) OVER {w(14)} - min(low) OVER {w(14)}) END END AS raw FROM b), k1 AS (SELECT *, CASE WHEN rn >= 16 THEN avg(raw) OVER {w(3)} END AS k FROM k0), k2 AS (SELECT *, CASE WHEN rn >= 18 THEN avg(k) OVER {w(3)} END AS d FROM k1), y AS (SELECT *, k - d AS gap, lag(k - d) OVER ({S}) AS gap0 FROM k2)"
+REC["stochastic"] = (SK, "y", "rn > 20 AND gap0 <= 0 AND gap > 0 AND k < 20 AND d < 20", "rn > 20 AND gap0 >= 0 AND gap < 0 AND k > 80 AND d > 80")
+IC = f"i AS (SELECT *, CASE WHEN rn >= 52 THEN {HALF(9)} END AS t, CASE WHEN rn >= 52 THEN {HALF(26)} END AS kj, CASE WHEN rn >= 52 THEN {HALF(52)} END AS sb FROM b), y AS (SELECT *, (t + kj) / 2 AS sa, t - kj AS gap, lag(t - kj) OVER ({S}) AS gap0 FROM i)"
+REC["ichimoku"] = (IC, "y", "rn > 78 AND close > greatest(sa, sb) AND gap0 <= 0 AND gap > 0", "rn > 78 AND (close < least(sa, sb) OR (gap0 >= 0 AND gap < 0))")
+for _name, (_ctes, _rel, *_tests) in REC.items():
+    _cols = ", ".join(f"coalesce({t}, FALSE) AS {c}" for t, c in zip(_tests, ("raw_entry", "raw_exit", "raw_entry_short", "raw_exit_short"), strict=False))
+    SQL[f"str_{_name}"] = recursive(f"{NATION}, {_ctes}", f"SELECT symbol, ts, {_cols} FROM {_rel}")
+
+# votes of three Donchian strategies
+VOTE = "t AS (SELECT *, " + ", ".join(f"coalesce(rn > {n} AND close > max(high) OVER {p(n)}, FALSE)::INT AS e{n}, coalesce(rn > {n} AND close < min(low) OVER {p(n // 2)}, FALSE)::INT AS x{n}" for n in (10, 20, 40)) + " FROM b)"
+SQL["str_vote_majority"] = with_(f"{NATION}, {VOTE}", "SELECT symbol, ts, e10 + e20 + e40 > 1 AS raw_entry, x10 + x20 + x40 > 1 AS raw_exit FROM t")
