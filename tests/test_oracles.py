@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from tidemark.plans.oracle import SQL
@@ -28,7 +29,8 @@ def plain(df):
             df[c] = df[c].astype("datetime64[us]")
         else:
             df[c] = df[c].astype(float).round(6)
-    return df.sort_values(list(df.columns)).reset_index(drop=True)
+    exact = [c for c in df if df[c].dtype != float]
+    return df.sort_values(exact + [c for c in df if c not in exact]).reset_index(drop=True)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -36,4 +38,6 @@ def test_same_rows(spark, con, name):
     a, b = plain(QUERIES[name](spark, SF).toPandas()), plain(con.sql(SQL[name]).df())
     assert list(a.columns) == list(b.columns) and len(a) == len(b)
     for c in a:
-        assert ((a[c] == b[c]) | (a[c].isna() & b[c].isna())).all(), (c, a[c][a[c] != b[c]].head(), b[c][a[c] != b[c]].head())
+        # sums in another order can round the other way at a half
+        same = np.isclose(a[c], b[c], rtol=0, atol=1.01e-4, equal_nan=True) if a[c].dtype == float else (a[c] == b[c]) | (a[c].isna() & b[c].isna())
+        assert same.all(), (c, a[c][~same].head(), b[c][~same].head())
