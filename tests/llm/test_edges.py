@@ -118,6 +118,19 @@ def test_pii_terms(spark):
     assert all("zanzibar" not in t for t in got.sanitised) and not any(s["kind"] == "term" for x in got.spans[got.doc_id >= 8] for s in x)
 
 
+def test_pii_terms_of_single_texts(spark):
+    """Each address is in one text: its rare words go by themselves, and a word of one mail domain by pooled evidence."""
+    rows = [(i, f"common words here user{i}@corp.example quagga {'xyzzy' if i == 3 else ''}") if i < 12 else (i, f"common words here {prose(9, i)}") for i in range(1600)]
+    got = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")
+    terms = {i: {rows[i][1][s["start"] : s["end"]] for s in x if s["kind"] == "term"} for i, x in got.spans.items()}
+    assert all("quagga" in terms[i] and not {"common", "words", "here"} & terms[i] for i in range(12))
+    assert all(not terms[i] for i in range(12, 1600)) and "xyzzy" in terms[3]
+    copies = [(i, rows[3][1]) for i in range(12)] + rows[12:]
+    shares = {r.term: r.share for r in pii.disclosures(spark.createDataFrame(copies, "_row long, text string"), 0.0).where("_row = 0").collect()}
+    alone = {r.term: r.share for r in pii.disclosures(spark.createDataFrame(rows, "_row long, text string"), 0.0).where("_row = 3").collect()}
+    assert shares["quagga"] < alone["quagga"] < 1  # twelve copies of a text are one text
+
+
 def test_ngram_join(docs, none):
     got = ngram_join.ngram_join(docs).toPandas()
     assert len(got) == len(ROWS) and ngram_join.ngram_join(none).count() == 0

@@ -1,15 +1,16 @@
 """Information-theoretic sanitisation of personal data.
 
-Base spans (email, ip, card, phone) are found by patterns.  Each different value is a protected entity c.  Over the corpus,
-p(c), p(t) and p(c, t) are the shares of documents that hold the entity, the term (a word of letters, lower case), and both.
-A term discloses the share PMI(t; c) / IC(c) of what is to be known about the entity, with PMI = log2 p(c, t) / (p(c) p(t)) and
-IC = -log2 p(c): 1 if the term always comes with it, 0 if independent.  In documents that hold the entity, terms with a share of at
-least ``generalise`` become their kind (<WORD>), and those of at least ``remove`` go.  Estimates from fewer than ``least_texts``
-different texts count as no evidence: in them, any rare word comes with any entity.
-
-Entities in fewer than ``least_texts`` different texts can disclose nothing and leave the job early; the words of
-the documents of the others are counted by (entity, term), pre-aggregated on the map side, and so are the document frequencies of all
-terms.  Only documents with terms to hide are joined with their terms.
+Base spans (email, ip, card, phone) are found by patterns.  Each different value is a protected entity c, and so are its telling parts
+(mail domain and local name, network of an ip, issuer of a card, line of a phone), by which evidence on values of one text each
+pools.  Over the corpus, p(c), p(t) and p(c, t) are the shares of documents that hold the entity, the term (a word of letters, lower
+case), and both.  A term discloses the share PMI(t; c) / IC(c) of what is to be known about the entity, with PMI = log2 p(c | t) / p(c)
+and IC = -log2 p(c): 1 if the term always comes with it, 0 if independent.  For p(c | t) stands the lower end of its confidence interval
+(Wilson's, one-sided, ``Z``), so that few texts count for less, by degrees, and none for nothing.  In documents that hold
+the entity, terms with a share of at least ``generalise`` become their kind (<WORD>), and those of at least ``remove`` go.
+
+Each different text with entities is read once.  Its words meet the document frequencies of all terms first: those whose share can't
+reach ``generalise`` however often they come with the entity leave there, which is most; the others are counted by (entity, term).
+Only documents with terms to hide are joined with their terms.
 
 Edge cases: a null text is empty, without spans; repeated rows count as documents, but as one text; ids may be null or repeated;
 long runs of letters or digits take linear time; other columns aren't read.
@@ -23,14 +24,15 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import frozen, with_row_id
 
 GENERALISE = 0.8
 REMOVE = 0.95
-LEAST_TEXTS = 3
+#: 95 % one-sided.
+Z = 1.645
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -88,8 +90,22 @@ def _key(kind: str, value: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}:{value}") - 2**63
 
 
+def protected(kind: str, value: str) -> Iterator[int]:
+    """Numbers of an entity and its parts."""
+    yield _key(kind, value)
+    if kind == "email":
+        local, _, domain = value.lower().rpartition("@")
+        yield from (_key("local", local), _key("domain", domain))
+    elif kind == "ip":
+        octets = [str(int(x)) for x in value.split(".")]
+        yield from (_key("network", ".".join(octets[:k])) for k in (2, 3))
+    else:
+        digits = "".join(DIGITS.findall(value))
+        yield _key("issuer", digits[:6]) if kind == "card" else _key("line", digits[:-4])
+
+
 def entities(docs: DataFrame) -> DataFrame:
-    """(_row, text_hash, entity) of ``docs`` (_row, text): the different base entities of each document."""
+    """(_row, text_hash, entities, terms) of ``docs`` (_row, text) with entities: the different ones and their parts, and the different terms."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -97,10 +113,10 @@ def entities(docs: DataFrame) -> DataFrame:
             for row, text in zip(b["_row"], b["text"], strict=True):
                 if spans := base_spans(text):
                     h = xxhash.xxh3_64_intdigest(text) - 2**63
-                    rows += [(row, h, e) for e in {_key(k, text[s:e]) for k, s, e in spans}]
-            yield pd.DataFrame(rows, columns=["_row", "text_hash", "entity"])
+                    rows.append((row, h, list({x for k, s, e in spans for x in protected(k, text[s:e])}), list(set(TERM.findall(text.lower())))))
+            yield pd.DataFrame(rows, columns=["_row", "text_hash", "entities", "terms"])
 
-    return docs.mapInPandas(run, "_row long, text_hash long, entity long")
+    return docs.mapInPandas(run, "_row long, text_hash long, entities array<long>, terms array<string>")
 
 
 def term_frequencies(docs: DataFrame, most: int = 200_000) -> DataFrame:
@@ -120,29 +136,42 @@ def term_frequencies(docs: DataFrame, most: int = 200_000) -> DataFrame:
     return docs.select("text").mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
-def disclosures(docs: DataFrame, generalise: float = GENERALISE, least_texts: int = LEAST_TEXTS) -> DataFrame:
+def lower_share(n: Column, df: Column, df_c: Column, texts: Column, total: int, z: float = Z) -> Column:
+    """The share of an entity in ``df_c`` of ``total`` documents that a term in ``df`` documents discloses, ``n`` of which, in ``texts``
+    different texts, hold both: with the lower end of the interval of n / df, on as many observations as are different."""
+    p, m = n / df, df * texts / n
+    low = (p + z * z / (2 * m) - z * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+    share = 1 + F.log2(low) / F.log2(F.lit(float(total)) / df_c)
+    return F.when(df_c < total, share).otherwise(F.lit(0.0))
+
+
+def disclosures(docs: DataFrame, generalise: float = GENERALISE, z: float = Z) -> DataFrame:
     """(_row, term, share) of ``docs`` (_row, text): the terms to hide in each document, with the greatest share they disclose."""
     found = frozen(entities(docs), "entities")
-    known = found.groupBy("entity").agg(F.count("*").alias("df_c"), F.countDistinct("text_hash").alias("texts")).where(F.col("texts") >= least_texts)
-    known = frozen(known.select("entity", "df_c"), "known-entities")
-    held = frozen(found.join(known.select("entity"), "entity", "left_semi").select("_row", "text_hash", "entity"), "held-entities")
-    by_row = frozen(held.groupBy("_row", "text_hash").agg(F.collect_list("entity").alias("entities")), "rows-with-entities")
-    words = docs.join(by_row, "_row").select("_row", "text_hash", "entities", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0))).alias("terms"))
-    pairs = words.select("text_hash", F.explode("entities").alias("entity"), "terms").select("text_hash", "entity", F.explode("terms").alias("term"))
-    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("n"), F.countDistinct("text_hash").alias("texts")).where(F.col("texts") >= least_texts)
+    each = found.select("_row", "text_hash", F.explode("entities").alias("entity"))
+    known = frozen(each.groupBy("entity").agg(F.count("*").alias("df_c")), "known-entities")
+    texts = found.groupBy("text_hash").agg(F.min("_row").alias("_row"), F.count("*").alias("copies"))
+    texts = frozen(texts.select("_row", "copies"), "texts-with-entities")
+    held = each.join(texts, "_row").join(known, "entity").groupBy("_row", "copies").agg(F.collect_list(F.struct("entity", "df_c")).alias("entities"))
+    held = frozen(held, "entities-of-texts")
     total = docs.count()
-    scored = joint.join(known, "entity").join(term_frequencies(docs), "term")
-    pmi = F.log2(F.col("n") * F.lit(float(total)) / (F.col("df") * F.col("df_c")))
-    share = F.when(F.col("df_c") < total, pmi / F.log2(F.lit(float(total)) / F.col("df_c"))).otherwise(F.lit(0.0))
-    hidden = frozen(scored.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise), "disclosing")
-    return held.join(hidden, "entity").groupBy("_row", "term").agg(F.max("share").alias("share"))
-
-
-def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", generalise: float = GENERALISE, remove: float = REMOVE, least_texts: int = LEAST_TEXTS, with_text: bool = True) -> DataFrame:
+    frequencies = frozen(term_frequencies(docs), "term-frequencies")
+    words = found.select("_row", "terms").join(held, "_row").select("copies", "entities", F.explode("terms").alias("term"))
+    # no term discloses more than if it came with the entity wherever both can be: an exact bound
+    most = F.least("df", F.col("entity.df_c"))
+    rare = words.join(frequencies, "term").select("term", "df", "copies", F.explode("entities").alias("entity"))
+    rare = frozen(rare.where(lower_share(most, F.col("df"), F.col("entity.df_c"), most, total, z) >= generalise).select("term", "df", "copies", "entity.*"), "rare-terms")
+    joint = rare.groupBy("entity", "term").agg(F.sum("copies").alias("n"), F.count("*").alias("texts"), F.first("df").alias("df"), F.first("df_c").alias("df_c"))
+    share = lower_share(*map(F.col, ("n", "df", "df_c", "texts")), total, z)
+    hidden = frozen(joint.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise), "disclosing")
+    return each.join(hidden, "entity").groupBy("_row", "term").agg(F.max("share").alias("share"))
+
+
+def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", generalise: float = GENERALISE, remove: float = REMOVE, z: float = Z, with_text: bool = True) -> DataFrame:
     """doc_id, spans (array of kind, start, end, value), sanitised text (unless ``with_text`` is False)."""
     # ids pass as strings: pandas would make floats of integers with nulls among them
     own = with_row_id(docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
-    hidden = disclosures(own.select("_row", "text"), generalise, least_texts)
+    hidden = disclosures(own.select("_row", "text"), generalise, z)
     hidden = frozen(hidden.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("terms")), "hidden")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
