@@ -73,6 +73,17 @@ def test_token_files(spark, docs, none):
     assert token_io.round_trip(none, path, 2).count() == 0
 
 
+def test_token_files_with_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    texts = ["end.<|endoftext|> next", "<|endoftext|>", "a<|endoftext|><|endoftext|>\u4e2d", "<|endoftext", "plain"]
+    got = token_io.round_trip(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, 2).toPandas().sort_values("doc_id")
+    want = [[*e.ids, 2] for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got.ids] == want and want[0][2] == 50256
+    assert got.start.tolist() == [0, *np.cumsum([len(x) for x in want])[:-1].tolist()]
+
+
 @pytest.mark.parametrize("counts", [[5], [1, 1], [2**k for k in range(40)], [0, 3, 0, 9, 1]])
 def test_code_lengths(counts):
     lengths = token_io.code_lengths(np.array(counts), 8)

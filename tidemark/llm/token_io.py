@@ -143,9 +143,13 @@ def _library(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel unit
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(path)
+
+
+@lru_cache
+def _added(path: str) -> tuple[str, ...]:
+    """Contents of the tokenizer's added tokens, which the library finds in texts before it splits them."""
+    return tuple(x["content"] for x in json.loads(_library(path).to_str())["added_tokens"])
 
 
 def _byte_letters() -> dict[int, str]:
@@ -185,10 +189,11 @@ def _pieces(path: str, code: str) -> PieceIds | None:
 def library_ids(texts: list[str], path: str, code: str) -> Iterator[bytes]:
     """Packed ids of whole texts, as encode(text, add_special_tokens=False) gives them.  A byte-level tokenizer splits first, and
     encodes each piece alone; so the library's model is asked once for each different piece.  Texts with characters outside
-    the settled blocks, on whose classes patterns may differ, and those of other tokenizers, are encoded by the library whole."""
-    known = _pieces(path, code)
+    the settled blocks, on whose classes patterns may differ, those with the content of an added token, and those of other tokenizers,
+    are encoded by the library whole."""
+    known, added = _pieces(path, code), _added(path)
     for text in texts:
-        if known is not None and is_plain(text):
+        if known is not None and is_plain(text) and not any(x in text for x in added):
             yield b"".join(map(known.__getitem__, splitter(BYTE_LEVEL_PATTERN)[0].findall(text)))
         else:
             yield array(code, _library(path).encode(text, add_special_tokens=False).ids).tobytes()
