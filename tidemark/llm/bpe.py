@@ -8,7 +8,7 @@ Pieces of over LONG bytes, for which a round a merge would be quadratic, take th
 Pieces are remembered in a table of bounded size per Python worker; the work is narrow, with no shuffle.
 
 Edge cases: a null text is empty and has no ids; repeated rows get equal results; very long texts are read whole, a batch
-at a time; an empty table gives an empty table.
+at a time; other columns, whatever their names, aren't read; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -5,12 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The contract's white space: blank and U+0009 to U+000D, as a Java/Python/RE2 character class.
 WHITE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bits of a row number for the place in a file; the others number the file.
+ROW_BITS = 28
+SEEDS = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,20 +22,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``.  Where it is unset, a local session takes a temporary folder;
+    a cluster, whose executors would each write to their own disk, gets an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Folders that this process wrote and hasn't removed.
+_written: set[str] = set()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which clear() removes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.add(path)
+    return path
+
+
 def frozen(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = scratch(spark, name)
+    df.write.option("maxRecordsPerFile", 1 << ROW_BITS).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _written.discard(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove what frozen() wrote for ``frames``, when all that was made from them is written too."""
+    for df in frames:
+        _remove(df.sparkSession, df._folder)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all that the operators of this process wrote to the shared folder, once their results have been used."""
+    for path in list(_written):
+        _remove(spark, path)
 
 
 def normalised(text: Column) -> Column:
@@ -44,10 +82,46 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WHITE), lambda w: w != "")
 
 
-def with_row_id(docs: DataFrame, name: str = "_row") -> DataFrame:
-    """A row number that tells repeated rows apart.  ``docs`` must be a stable relation, such as a table
-    read from files, so that the same row gets the same number each time it is read."""
-    return docs.withColumn(name, F.monotonically_increasing_id())
+def _is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is a read of files with at most columns chosen and rows filtered, by expressions that give the same on each read."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias", "View") and node.deterministic():
+        node = node.children().head()
+    return node.nodeName() == "LogicalRelation"
+
+
+def _file_number(path: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64(path, F.lit(seed)), F.lit(1 << 63 - ROW_BITS))
+
+
+def _settled(docs: DataFrame) -> int | None:
+    """A seed for which all files of ``docs`` have different numbers; None if there are none, or rows can't be told by file and place.
+    One row per file is looked at, in Spark."""
+    try:
+        own = docs.select(docs.metadataColumn("_metadata").alias("m")).select("m.file_path", "m.row_index")
+    except AnalysisException:
+        return None
+    files = own.groupBy("file_path").agg(F.max("row_index").alias("last"))
+    found = files.agg(F.count("*"), F.max("last"), *[F.count_distinct(_file_number(F.col("file_path"), s)) for s in range(SEEDS)]).first()
+    if found[0] and found[1] >= 1 << ROW_BITS:
+        return None
+    return next((s for s in range(SEEDS) if found[2 + s] == found[0]), None)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(_row, doc): the rows of ``docs`` as structs, with a number each, which tells repeated rows apart.
+
+    The number is made of the file and the row's place in it, so it doesn't depend on how a read splits files, which
+    changes with the number of executors.  Tables that aren't reads of Parquet files are written to the shared folder first."""
+    seed = _settled(docs) if _is_scan(docs) else None
+    if seed is None:
+        docs = frozen(docs, "table")
+        seed = _settled(docs)
+        if seed is None:
+            raise ValueError("rows can't be numbered")
+    m = docs.metadataColumn("_metadata")
+    row = F.shiftleft(_file_number(m["file_path"], seed), ROW_BITS) + m["row_index"]
+    return docs.select(row.alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
 
 
 def id_order(doc_id: Column, row: Column) -> Column:

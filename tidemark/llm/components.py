@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import frozen
+from tidemark.llm.common import discard, frozen
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -28,8 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = frozen(small.where("u <> v").distinct(), "edges")
+        e, old = frozen(small.where("u <> v").distinct(), "edges"), e
         before, mark = mark, _mark(e)
+        discard(old)
         if mark == before:
             break
     leaves = e.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -1,18 +1,17 @@
 """Exact dedup by deterministic block naming.
 
-Normalised texts are cut into fixed-size blocks.  Blocks are ordered by (64-bit hash, content), and a
-block's integer name is its hash together with its rank among the distinct blocks of that hash.  So
-two blocks have one name only if their contents are equal: the hash is the radix of the sort, and the
-ranks settle its collisions.  Adjacent names are then paired and named in the same way, level by level,
-until each document has a single name.  The identity (level, hash, rank) is collision-free.
+Normalised texts are cut into fixed-size blocks.  The distinct blocks are sorted, and their places in that order are their integer
+names.  Adjacent names are then paired, the distinct pairs sorted and named in the same way, level by level, until each
+document has a single name.  The identity (level, name) is collision-free: a name stands for one content and no other.
 
-Each level moves its distinct contents once, pre-aggregated on the map side, so a text that a third of
-all documents share is sent once per map task.  Names stay in one array per document, hence pairing
-needs no shuffle.
+Blocks are sorted by (64-bit hash, content).  Contents move once, pre-aggregated on the map side, so a text that a third
+of all documents share is sent once per map task, to find hashes of several contents (there are hardly any) and rank these; what is
+sorted is (hash, rank).  A sort is by ranges; the number of a row within its range and the number of the range make the name,
+so names ascend over the whole table without passing through one task.
 
 Edge cases: a null text is empty; empty texts equal one another; null ids sort after all others;
-of repeated rows (same id, same text) exactly one is kept; an empty table gives an empty table; other
-columns, whatever their names, aren't read.
+of repeated rows (same id, same text) exactly one is kept; an empty table gives an empty table; texts of any length are read whole;
+other columns, whatever their names, aren't read, and drop_copies returns them as they were.
 """
 
 from __future__ import annotations
@@ -22,15 +21,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import frozen, id_order, normalised, with_row_id
+from tidemark.llm.common import frozen, id_order, normalised, numbered
 
 BLOCK_CHARS = 2048
-NAME = "struct<h: bigint, r: int>"
 
 
 def _ranks(items: DataFrame, hashed: Callable[[Column], Column]) -> DataFrame:
-    """(content, rank) of the contents in ``items.names`` whose hash has other contents too; mostly empty."""
-    distinct = items.select(F.explode("names").alias("content")).distinct().withColumn("h", hashed(F.col("content")))
+    """(content, rank) of the contents in ``items.blocks`` whose hash has other contents too; mostly empty."""
+    distinct = items.select(F.explode("blocks").alias("content")).distinct().withColumn("h", hashed(F.col("content")))
     crowded = frozen(distinct.groupBy("h").count().where("count > 1").select("h"), "crowded")
     if crowded.isEmpty():
         return crowded
@@ -38,59 +36,78 @@ def _ranks(items: DataFrame, hashed: Callable[[Column], Column]) -> DataFrame:
     return frozen(distinct.join(crowded, "h").select("content", rank.alias("r")), "ranks")
 
 
-def _named(items: DataFrame, hashed: Callable[[Column], Column], ranks: DataFrame) -> DataFrame:
-    """Replace the contents in ``names`` by their names; where hashes collide, ranks come from a join."""
+def _keyed(items: DataFrame, hashed: Callable[[Column], Column], ranks: DataFrame) -> DataFrame:
+    """Replace ``blocks`` by ``keys``, their (hash, rank); where hashes collide, ranks come from a join."""
     if ranks.columns == ["h"]:
-        return items.withColumn("names", F.transform("names", lambda c: F.struct(hashed(c).alias("h"), F.lit(0).alias("r"))))
-    rest = [c for c in items.columns if c not in ("names", "_row")]
-    each = items.select("_row", F.posexplode("names").alias("pos", "content")).join(ranks, "content", "left")
-    each = each.select("_row", F.struct("pos", hashed(F.col("content")).alias("h"), F.coalesce("r", F.lit(0)).alias("r")).alias("n"))
+        return items.withColumn("keys", F.transform("blocks", lambda c: F.struct(hashed(c).alias("a"), F.lit(0).cast("long").alias("b")))).drop("blocks")
+    each = items.select("_row", F.posexplode("blocks").alias("pos", "content")).join(ranks, "content", "left")
+    each = each.select("_row", F.struct("pos", hashed(F.col("content")).alias("a"), F.coalesce("r", F.lit(0)).cast("long").alias("b")).alias("n"))
     lists = each.groupBy("_row").agg(F.array_sort(F.collect_list("n")).alias("n"))
-    lists = lists.select("_row", F.transform("n", lambda n: F.struct(n["h"].alias("h"), n["r"].alias("r"))).alias("names"))
-    return items.select("_row", *rest).join(lists, "_row").select("names", "_row", *rest)
+    lists = lists.select("_row", F.transform("n", lambda n: F.struct(n["a"].alias("a"), n["b"].alias("b"))).alias("keys"))
+    return items.drop("blocks").join(lists, "_row")
+
+
+def _names(keys: DataFrame) -> DataFrame:
+    """(a, b, name): the distinct keys in ascending order, with integers that ascend with them."""
+    ordered = keys.distinct().repartitionByRange("a", F.col("b").asc_nulls_first()).sortWithinPartitions("a", F.col("b").asc_nulls_first())
+    return frozen(ordered.withColumn("name", F.monotonically_increasing_id()), "names")
+
+
+def _named(items: DataFrame) -> DataFrame:
+    """(_row, names) from (_row, keys)."""
+    each = items.select("_row", F.posexplode("keys").alias("pos", "key")).select("_row", "pos", "key.a", "key.b")
+    names = _names(each.select("a", "b"))
+    at = each.join(names.withColumnRenamed("a", "_a").withColumnRenamed("b", "_b"), (F.col("a") == F.col("_a")) & F.col("b").eqNullSafe(F.col("_b")))
+    lists = at.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("n"))
+    return frozen(lists.select("_row", F.transform("n", lambda n: n["name"]).alias("names")), "named")
 
 
 def _pairs(names: Column) -> Column:
     """Adjacent names two by two; a last odd one pairs with null."""
     count = F.floor((F.size(names) - 1) / 2).cast("int")
-    return F.transform(F.sequence(F.lit(0), count), lambda i: F.struct(F.get(names, i * 2).alias("left"), F.get(names, i * 2 + 1).alias("right")))
+    return F.transform(F.sequence(F.lit(0), count), lambda i: F.struct(F.get(names, i * 2).alias("a"), F.get(names, i * 2 + 1).alias("b")))
 
 
-def identities(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block_chars: int = BLOCK_CHARS, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
-    """(_row, doc_id, text_sha256, level, name) of each row; equal (level, name) if and only if equal texts.
+def identities(rows: DataFrame, block_chars: int = BLOCK_CHARS, hashed: Callable[[Column], Column] = F.xxhash64) -> tuple[DataFrame, DataFrame]:
+    """Of ``rows`` (_row, doc_id, text): (_row, doc_id, text_sha256), written, and (_row, level, name); equal (level, name) if and only if equal texts.
 
     ``hashed`` may be any deterministic hash, even a poor one: it only decides how much the ranks have to settle.
     """
-    own = with_row_id(docs).select("_row", F.col(doc_id).alias("doc_id"), normalised(F.col(text)).alias("_norm"))
+    own = rows.select("_row", "doc_id", normalised(F.col("text")).alias("_norm"))
     blocks = F.regexp_extract_all("_norm", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0))
-    cut = F.when(F.col("_norm") == "", F.array(F.lit(""))).otherwise(blocks)
-    items = own.select("_row", "doc_id", F.sha2("_norm", 256).alias("text_sha256"), cut.alias("names"))
-    level, done = 0, []
+    cut = own.select("_row", "doc_id", "_norm", F.when(F.col("_norm") == "", F.array(F.lit(""))).otherwise(blocks).alias("blocks"))
+    keyed = _keyed(cut.select("_row", "doc_id", F.sha2("_norm", 256).alias("text_sha256"), "blocks"), hashed, _ranks(cut.select("blocks"), hashed))
+    written = frozen(keyed, "keys")
+    items, level, done = written.select("_row", "keys"), 0, []
     while True:
-        items = frozen(_named(items, hashed, _ranks(items.select("names"), hashed)), f"names{level}")
-        single = items.where(F.size("names") == 1)
-        done.append(single.select("_row", "doc_id", "text_sha256", F.lit(level).alias("level"), F.col("names")[0].alias("name")))
-        items = items.where(F.size("names") > 1)
+        named = _named(items)
+        done.append(named.where(F.size("names") == 1).select("_row", F.lit(level).alias("level"), F.col("names")[0].alias("name")))
+        items = named.where(F.size("names") > 1).select("_row", _pairs(F.col("names")).alias("keys"))
         if items.isEmpty():
             break
-        items, level = items.withColumn("names", _pairs(F.col("names"))), level + 1
+        level += 1
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out
+    return written.select("_row", "doc_id", "text_sha256"), out
 
 
-def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block_chars: int = BLOCK_CHARS, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
-    """One row per row of ``docs``: _row, doc_id, keep_id, group_size, kept, text_sha256."""
-    named = identities(docs, text, doc_id, block_chars, hashed).select("_row", "doc_id", "text_sha256", "level", "name.h", "name.r")
-    groups = named.groupBy("level", "h", "r").agg(F.min(id_order(F.col("doc_id"), F.col("_row"))).alias("first"), F.count("*").alias("group_size"))
+def _dedup(rows: DataFrame, **how) -> DataFrame:
+    own, named = identities(rows, **how)
+    named = named.join(own, "_row")
+    groups = named.groupBy("level", "name").agg(F.min(id_order(F.col("doc_id"), F.col("_row"))).alias("first"), F.count("*").alias("group_size"))
     # written, so that the join reads plain shuffles on both sides, and a partition with a large group can be split
-    joined = named.join(frozen(groups, "groups"), ["level", "h", "r"])
+    joined = named.join(frozen(groups, "groups"), ["level", "name"])
     return joined.select("_row", "doc_id", F.col("first.id").alias("keep_id"), "group_size", (F.col("_row") == F.col("first.row")).alias("kept"), "text_sha256")
 
 
+def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
+    """One row per row of ``docs``: _row, doc_id, keep_id, group_size, kept, text_sha256."""
+    return _dedup(numbered(docs).select("_row", F.col("doc")[doc_id].alias("doc_id"), F.col("doc")[text].alias("text")), **how)
+
+
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_dedup(docs, text, doc_id).where("kept").select("_row")
-    rows = with_row_id(docs, "_tm_row")
-    return rows.join(kept.withColumnRenamed("_row", "_tm_row"), "_tm_row", "left_semi").drop("_tm_row")
+    rows = numbered(docs)
+    gone = _dedup(rows.select("_row", F.col("doc")[doc_id].alias("doc_id"), F.col("doc")[text].alias("text"))).where("not kept").select("_row")
+    return rows.join(frozen(gone, "gone"), "_row", "left_anti").select("doc.*")

@@ -3,8 +3,8 @@
 1. Each text becomes the set of its shingles of ``k`` words (64-bit hashes) and one hash per band of its MinHash signature.
 2. Texts with equal shingle sets form one class; only its representative goes on, with the number of its copies.
 3. Representatives are grouped by band hash.  Buckets of one member fall away, and of buckets with the same members one stays.
-4. A bucket of n members is dealt to blocks of about ``BLOCK``; a task compares two blocks, so no task holds a whole large
-   bucket.  Intersections of the full sets come from products of 0/1 matrices.  A pair that shares several buckets counts in the first
+4. A bucket is dealt to blocks of about ``BLOCK`` members and about ``BLOCK_SHINGLES`` shingles at most; a task compares two
+   blocks, so no task holds a whole large bucket, whatever the length of its texts.  Intersections of the full sets come from products of 0/1 matrices.  A pair that shares several buckets counts in the first
    of them.  A task returns, for each member, its number of links and one parent: a spanning forest, never the pairs.
 5. The forests' edges give the components.
 
@@ -22,16 +22,17 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import frozen
+from tidemark.llm.common import discard, frozen
 from tidemark.llm.components import components
 
 WORDS = 5
 THRESHOLD = Fraction(4, 5)
 RECALL = 0.9999
 BLOCK = 512
+BLOCK_SHINGLES = 1_000_000
 COLUMNS = 8192
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -147,27 +148,22 @@ def signatures(items: DataFrame, k: int, bands: int, rows: int, keep: tuple[str,
             out = []
             for text in b["text"]:
                 x = shingles(text, k)
-                out.append((xxhash.xxh3_128_digest(x.tobytes()), len(x), signer.band_hashes(x).tobytes() if len(x) else b""))
+                out.append((xxhash.xxh3_128_digest(x.tobytes()), len(x), signer.band_hashes(x) if len(x) else None))
             out = pd.DataFrame(out, columns=["set_hash", "n", "bands"], index=b.index)
             yield pd.concat([b[["_row", *keep]], out], axis=1)[out["n"] > 0]
 
     kinds = dict(items.dtypes)
     kept = "".join(f", {c} {kinds[c]}" for c in keep)
-    return items.select("_row", "text", *keep).mapInPandas(run, f"_row long{kept}, set_hash binary, n int, bands binary")
+    return items.select("_row", "text", *keep).mapInPandas(run, f"_row long{kept}, set_hash binary, n int, bands array<long>")
 
 
-def _band(i: int):
-    return F.conv(F.hex(F.substring("bands", 8 * i + 1, 8)), 16, -10).cast("long")
-
-
-def _members(reps: DataFrame, bands: int) -> DataFrame:
-    """(_row, buckets): of each representative, the buckets that are kept, with their sizes."""
-    each = reps.select("_row", F.explode(F.array(*[_band(i) for i in range(bands)])).alias("bucket"))
-    # two integers a row are all that moves; most buckets have one member and end here
-    each = frozen(each.withColumn("size", F.count("*").over(Window.partitionBy("bucket"))).where("size > 1"), "bucket-members")
-    sizes = each.groupBy("bucket").agg(F.first("size").alias("size"), F.bit_xor(F.xxhash64("_row")).alias("x"), F.bit_xor(F.xxhash64("_row", F.lit(1))).alias("y"))
-    kept = sizes.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
-    return each.join(frozen(kept, "buckets"), "bucket").groupBy("_row").agg(F.collect_list(F.struct("bucket", "size")).alias("buckets"))
+def _members(reps: DataFrame) -> DataFrame:
+    """(_row, buckets): of each representative, the buckets that are kept, with their sizes and shingles."""
+    each = reps.select("_row", "n", F.explode("bands").alias("bucket"))
+    # counted before they meet: a bucket of a third of all rows sends one row per map task
+    sizes = each.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.bit_xor(F.xxhash64("_row")).alias("x"), F.bit_xor(F.xxhash64("_row", F.lit(1))).alias("y")).where("size > 1")
+    kept = frozen(sizes.groupBy("size", "weight", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "size", "weight"), "buckets")
+    return each.join(kept, "bucket").groupBy("_row").agg(F.collect_list(F.struct("bucket", "size", "weight")).alias("buckets"))
 
 
 def similar(x: np.ndarray, owner: np.ndarray, sizes: np.ndarray, threshold: Fraction) -> np.ndarray:
@@ -239,15 +235,15 @@ def sets_of_texts(items: DataFrame, k: int) -> Callable[[DataFrame], DataFrame]:
     return add
 
 
-MEMBERS = "_row long, copies long, buckets array<struct<bucket: long, size: long>>, shingles binary"
+MEMBERS = "_row long, copies long, buckets array<struct<bucket: long, size: long, weight: long>>, shingles binary"
 
 
-def links(reps: DataFrame, bands: int, threshold: Fraction, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def links(reps: DataFrame, threshold: Fraction, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(_row, parent, links, docs): for each task's members with links, their number, with copies and without, and a
     row of the same component.  ``sets`` adds the shingle sets to members."""
-    members = frozen(_members(reps, bands).join(reps.select("_row", "copies"), "_row"), "members")
+    members = frozen(_members(reps).join(reps.select("_row", "copies"), "_row"), "members")
     own = sets(members).select("_row", "copies", "shingles", F.transform("buckets", lambda b: b["bucket"]).alias("own"), F.explode("buckets").alias("b"))
-    blocks = F.ceil(F.col("b.size") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("b.size") / BLOCK, F.col("b.weight") / BLOCK_SHINGLES)).cast("int")
     side = F.pmod(F.xxhash64("_row", "b.bucket"), blocks).cast("int")
     tasks = own.select("_row", "copies", "shingles", "own", "b.bucket", side.alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     tasks = tasks.select("*", F.least("side", "other").alias("first"), F.greatest("side", "other").alias("second")).drop("other")
@@ -279,16 +275,17 @@ def near_duplicates(items: DataFrame, k: int = WORDS, threshold: Fraction = THRE
     the number of other sets at or above the threshold, and the number of texts that have these."""
     bands, rows = choose_bands(float(threshold), recall, most_hashes)
     signed = frozen(signatures(items, k, bands, rows, keep), "signatures")
-    return classes(signed, bands, threshold, sets_of_texts(items, k), keep)
+    return classes(signed, threshold, sets_of_texts(items, k), keep)
 
 
-def classes(signed: DataFrame, bands: int, threshold: Fraction, sets: Callable[[DataFrame], DataFrame], keep: tuple[str, ...] = ()) -> DataFrame:
-    """near_duplicates() from written signatures (_row, ``keep``, set_hash, bands)."""
-    reps = signed.groupBy("set_hash").agg(F.min("_row").alias("_row"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+def classes(signed: DataFrame, threshold: Fraction, sets: Callable[[DataFrame], DataFrame], keep: tuple[str, ...] = ()) -> DataFrame:
+    """near_duplicates() from written signatures (_row, ``keep``, set_hash, n, bands)."""
+    reps = signed.groupBy("set_hash").agg(F.min("_row").alias("_row"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     reps = frozen(reps, "representatives")
-    found = frozen(links(reps.select("_row", "copies", "bands"), bands, threshold, sets), "links")
+    found = frozen(links(reps.select("_row", "copies", "n", "bands"), threshold, sets), "links")
     roots = components(found.select(F.col("_row").alias("u"), F.col("parent").alias("v")))
     counts = found.groupBy("_row").agg(F.sum("links").alias("n_links"), F.sum("docs").alias("n_linked"))
     of_rep = reps.select("set_hash", F.col("_row").alias("rep"), "copies").join(counts.withColumnRenamed("_row", "rep"), "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     of_rep = frozen(of_rep.select("set_hash", "rep", F.coalesce("root", "rep").alias("root"), "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_linked", F.lit(0)).alias("n_linked")), "classes")
+    discard(reps, found)
     return signed.select("_row", *keep, "set_hash").join(of_rep, "set_hash").drop("set_hash")

@@ -11,7 +11,8 @@ costs one row per map task.  The rates join back as a table of sources.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in order; sources of size 0 have
 target 0 and rate 0; draws depend on doc_id and seed alone, so repeated rows share their draw, and
-so do rows with a null id; an empty table gives an empty table.
+so do rows with a null id; texts of any length are read whole; other columns keep their names and values, whatever they are called; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations

@@ -2,23 +2,27 @@
 
 Base spans (email, ip, card, phone) are found by patterns.  Each different value is a protected entity c, and so are its telling parts
 (mail domain and local name, network of an ip, issuer of a card, line of a phone), by which evidence on values of one text each
-pools.  Over the corpus, p(c), p(t) and p(c, t) are the shares of documents that hold the entity, the term (a word of letters, lower
-case), and both.  A term discloses the share PMI(t; c) / IC(c) of what is to be known about the entity, with PMI = log2 p(c | t) / p(c)
-and IC = -log2 p(c): 1 if the term always comes with it, 0 if independent.  For p(c | t) stands the lower end of its confidence interval
-(Wilson's, one-sided, ``Z``), so that few texts count for less, by degrees, and none for nothing.  In documents that hold
-the entity, terms with a share of at least ``generalise`` become their kind (<WORD>), and those of at least ``remove`` go.
-
-Each different text with entities is read once.  Its words meet the document frequencies of all terms first: those whose share can't
-reach ``generalise`` however often they come with the entity leave there, which is most; the others are counted by (entity, term).
-Only documents with terms to hide are joined with their terms.
+pools.  Over the corpus, p(c) and p(t) are the shares of documents that hold the entity and the term (a word of three letters or more, lower
+case), and p(c, t) of those that hold the term within ``NEAR`` words of the entity.  A term discloses the share PMI(t; c) / IC(c) of what is
+to be known about the entity, with PMI = log2 p(c | t) / p(c) and IC = -log2 p(c): 1 if the term always comes with it, 0 if independent.  For
+p(c | t) stands the lower end of its confidence interval (Wilson's, one-sided, ``Z``), so that few texts count for less, by degrees,
+and none for nothing.  In documents that hold the entity, terms with a share of at least ``generalise`` become their kind (<WORD>), and
+those of at least ``remove`` go.
+
+Each different text with entities is read once.  A mention meets at most 2 * ``NEAR`` words, so pairs grow with the length of a text, not with
+its square.  They meet the document frequencies of all terms first: those whose share can't reach ``generalise`` however often they
+come with the entity leave there, which is most; the others are counted by (entity, term).  Only documents with entities are dealt out to meet
+their terms; all others pass through where they are read.
 
 Edge cases: a null text is empty, without spans; repeated rows count as documents, but as one text; ids may be null or repeated;
-long runs of letters or digits take linear time; other columns aren't read.
+very long texts, and long runs of letters or digits, take linear time; other columns, whatever their names, aren't read; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,12 +31,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import frozen, with_row_id
+from tidemark.llm.common import frozen, numbered
 
 GENERALISE = 0.8
 REMOVE = 0.95
 #: 95 % one-sided.
 Z = 1.645
+NEAR = 100
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -104,19 +109,28 @@ def protected(kind: str, value: str) -> Iterator[int]:
         yield _key("issuer", digits[:6]) if kind == "card" else _key("line", digits[:-4])
 
 
-def entities(docs: DataFrame) -> DataFrame:
-    """(_row, text_hash, entities, terms) of ``docs`` (_row, text) with entities: the different ones and their parts, and the different terms."""
+def entities(docs: DataFrame, near: int = NEAR) -> DataFrame:
+    """(_row, text_hash, entities, terms, of) of ``docs`` (_row, text) with entities: the different ones and their parts, the different terms
+    near any, and for each of these the places in ``entities`` of those it is near."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for row, text in zip(b["_row"], b["text"], strict=True):
-                if spans := base_spans(text):
-                    h = xxhash.xxh3_64_intdigest(text) - 2**63
-                    rows.append((row, h, list({x for k, s, e in spans for x in protected(k, text[s:e])}), list(set(TERM.findall(text.lower())))))
-            yield pd.DataFrame(rows, columns=["_row", "text_hash", "entities", "terms"])
-
-    return docs.mapInPandas(run, "_row long, text_hash long, entities array<long>, terms array<string>")
+                if not (spans := base_spans(text)):
+                    continue
+                numbers: dict[int, int] = {}
+                of: dict[str, set[int]] = {}
+                words = [(m.start(), m[0].lower()) for m in TERM.finditer(text)]
+                for kind, start, end in spans:
+                    own = [numbers.setdefault(x, len(numbers)) for x in protected(kind, text[start:end])]
+                    for _, term in words[max(0, bisect_left(words, (start,)) - near) : bisect_left(words, (end,)) + near]:
+                        of.setdefault(term, set()).update(own)
+                h = xxhash.xxh3_64_intdigest(text) - 2**63
+                rows.append((row, h, list(numbers), list(of), [sorted(x) for x in of.values()]))
+            yield pd.DataFrame(rows, columns=["_row", "text_hash", "entities", "terms", "of"])
+
+    return docs.mapInPandas(run, "_row long, text_hash long, entities array<long>, terms array<string>, of array<array<int>>")
 
 
 def term_frequencies(docs: DataFrame, most: int = 200_000) -> DataFrame:
@@ -126,7 +140,7 @@ def term_frequencies(docs: DataFrame, most: int = 200_000) -> DataFrame:
         held: Counter = Counter()
         for b in batches:
             for text in b["text"]:
-                held.update(set(TERM.findall(text.lower())))
+                held.update({x.lower() for x in TERM.findall(text)})
                 if len(held) > most:
                     yield pd.DataFrame(held.items(), columns=["term", "n"])
                     held.clear()
@@ -145,52 +159,71 @@ def lower_share(n: Column, df: Column, df_c: Column, texts: Column, total: int,
     return F.when(df_c < total, share).otherwise(F.lit(0.0))
 
 
-def disclosures(docs: DataFrame, generalise: float = GENERALISE, z: float = Z) -> DataFrame:
+def disclosures(docs: DataFrame, generalise: float = GENERALISE, z: float = Z, near: int = NEAR) -> DataFrame:
     """(_row, term, share) of ``docs`` (_row, text): the terms to hide in each document, with the greatest share they disclose."""
-    found = frozen(entities(docs), "entities")
-    each = found.select("_row", "text_hash", F.explode("entities").alias("entity"))
+    found = frozen(entities(docs, near), "entities")
+    each = found.select("_row", F.posexplode("entities").alias("at", "entity"))
     known = frozen(each.groupBy("entity").agg(F.count("*").alias("df_c")), "known-entities")
     texts = found.groupBy("text_hash").agg(F.min("_row").alias("_row"), F.count("*").alias("copies"))
     texts = frozen(texts.select("_row", "copies"), "texts-with-entities")
-    held = each.join(texts, "_row").join(known, "entity").groupBy("_row", "copies").agg(F.collect_list(F.struct("entity", "df_c")).alias("entities"))
+    held = each.join(texts, "_row").join(known, "entity").groupBy("_row", "copies").agg(F.array_sort(F.collect_list(F.struct("at", "entity", "df_c"))).alias("held"))
     held = frozen(held, "entities-of-texts")
     total = docs.count()
     frequencies = frozen(term_frequencies(docs), "term-frequencies")
-    words = found.select("_row", "terms").join(held, "_row").select("copies", "entities", F.explode("terms").alias("term"))
+    words = found.select("_row", "terms", "of").join(held, "_row").select("copies", "held", F.explode(F.arrays_zip("terms", "of")).alias("w"))
+    words = words.select("copies", F.col("w.terms").alias("term"), F.transform("w.of", lambda i: F.get("held", i)).alias("entities"))
     # no term discloses more than if it came with the entity wherever both can be: an exact bound
     most = F.least("df", F.col("entity.df_c"))
     rare = words.join(frequencies, "term").select("term", "df", "copies", F.explode("entities").alias("entity"))
-    rare = frozen(rare.where(lower_share(most, F.col("df"), F.col("entity.df_c"), most, total, z) >= generalise).select("term", "df", "copies", "entity.*"), "rare-terms")
+    rare = rare.where(lower_share(most, F.col("df"), F.col("entity.df_c"), most, total, z) >= generalise)
+    rare = frozen(rare.select("term", "df", "copies", "entity.entity", "entity.df_c"), "rare-terms")
     joint = rare.groupBy("entity", "term").agg(F.sum("copies").alias("n"), F.count("*").alias("texts"), F.first("df").alias("df"), F.first("df_c").alias("df_c"))
     share = lower_share(*map(F.col, ("n", "df", "df_c", "texts")), total, z)
     hidden = frozen(joint.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise), "disclosing")
     return each.join(hidden, "entity").groupBy("_row", "term").agg(F.max("share").alias("share"))
 
 
-def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", generalise: float = GENERALISE, remove: float = REMOVE, z: float = Z, with_text: bool = True) -> DataFrame:
-    """doc_id, spans (array of kind, start, end, value), sanitised text (unless ``with_text`` is False)."""
+def _with_terms(text: str, spans: list[Span], terms: dict[str, float]) -> list[Span]:
+    """``spans`` and those of the terms outside them; both are swept in the order of the text."""
+    taken, out, i, reach = sorted((s, e) for _, s, e in spans), list(spans), 0, 0
+    for m in TERM.finditer(text) if terms else ():
+        while i < len(taken) and taken[i][0] < m.end():
+            reach, i = max(reach, taken[i][1]), i + 1
+        if reach <= m.start() and m[0].lower() in terms:
+            out.append(("term", *m.span()))
+    return out
+
+
+def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", generalise: float = GENERALISE, remove: float = REMOVE, z: float = Z, near: int = NEAR) -> DataFrame:
+    """doc_id, spans (array of kind, start, end), sanitised text."""
+    kind = docs.select(doc_id).dtypes[0][1]
     # ids pass as strings: pandas would make floats of integers with nulls among them
-    own = with_row_id(docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
-    hidden = disclosures(own.select("_row", "text"), generalise, z)
+    own = numbered(docs).select("_row", F.col("doc")[doc_id].cast("string").alias("doc_id"), F.coalesce(F.col("doc")[text], F.lit("")).alias("text"))
+    hidden = disclosures(own.select("_row", "text"), generalise, z, near)
     hidden = frozen(hidden.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("terms")), "hidden")
+    schema = "doc_id string, spans array<struct<kind: string, start: int, end: int>>, sanitised string"
+
+    def plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b[[not base_spans(t) for t in b["text"]]]
+            if len(b):
+                yield pd.DataFrame({"doc_id": b["doc_id"].array, "spans": [[] for _ in range(len(b))], "sanitised": b["text"].array})
+
+    def telling(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[[bool(base_spans(t)) for t in b["text"]]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for source, terms in zip(b["text"], b["terms"], strict=True):
-                spans = base_spans(source)
-                taken = sorted((s, e) for _, s, e in spans)
                 terms = dict(terms) if terms else {}
-                for m in TERM.finditer(source) if terms else ():
-                    if m[0].lower() in terms and not any(s < m.end() and m.start() < e for s, e in taken):
-                        spans.append(("term", *m.span()))
-                rows.append((spans, _hide(source, spans, terms, remove) if with_text else None))
-            out = pd.DataFrame({"doc_id": b["doc_id"], "spans": [[{"kind": k, "start": s, "end": e} for k, s, e in r[0]] for r in rows]})
-            yield out.assign(sanitised=[r[1] for r in rows])
+                spans = _with_terms(source, base_spans(source), terms)
+                rows.append(([{"kind": k, "start": s, "end": e} for k, s, e in spans], _hide(source, spans, terms, remove)))
+            yield pd.DataFrame(rows, columns=["spans", "sanitised"]).assign(doc_id=b["doc_id"].array)[["doc_id", "spans", "sanitised"]]
 
-    kind = docs.select(doc_id).dtypes[0][1]
-    both = own.join(hidden, "_row", "left").select("doc_id", "text", "terms")
-    out = both.mapInPandas(run, "doc_id string, spans array<struct<kind: string, start: int, end: int>>, sanitised string")
+    both = own.mapInPandas(telling, "_row long, doc_id string, text string").join(hidden, "_row", "left").select("doc_id", "text", "terms")
+    out = both.mapInPandas(run, schema).unionByName(own.mapInPandas(plain, schema))
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 

@@ -10,7 +10,8 @@ Two windows of a text are taken as equal if their 64-bit hashes are; within a te
 get one hash with a probability under 3e-8.
 
 Edge cases: a null or blank text has no words and fails the base rules; without labels, or with labels of one kind, there are
-no rules and only the base rules decide; repeated rows get the same verdict; texts are read whole.
+no rules and only the base rules decide; repeated rows get the same verdict; texts are read whole; other columns, whatever their
+names, aren't read; an empty table gives an empty table.
 """
 
 from __future__ import annotations

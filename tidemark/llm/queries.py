@@ -51,11 +51,11 @@ def _count_of(kind: str):
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.sanitise(table(spark, sf_dir, "documents"), with_text=False)
+    found = pii.sanitise(table(spark, sf_dir, "documents"))
     shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     counts = [_count_of(kind) for kind in ("email", "ip", "card", "phone")]
     base = F.filter("spans", lambda s: s["kind"] != "term")
-    return found.select("doc_id", *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"), F.sha2("sanitised", 256).alias("sanitised_sha256"))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,20 +4,25 @@ Paragraphs are the lines of at least ``LEAST_WORDS`` words.  Their bands are tun
 with few hashes, since paragraphs are short and many; colliding ones are joined and verified on their full shingle sets, and the links'
 components are the classes.
 
-A repeated passage need not be a line: it may stand in the middle of one.  So texts are also cut into sub-paragraphs at places that their
-words alone decide (where the hash of three words is the least of its surroundings), so that a passage falls into the same
-pieces wherever it stands.  For sets this small a similarity of 0.8 means equality nearly always, so they have a single band: the hash of all
-their words.  Runs of consecutive pieces that other documents have too, of at least ``LEAST_WORDS`` words, are passages.
-
-Of each class the first member in table order stays; the others are removals.
-
-Edge cases: null, empty and short texts have no paragraphs and no rows; a line repeated within one document is a repeat; repeated rows
-repeat one another; offsets are in code points, end exclusive; other columns aren't read; an empty table gives an empty table.
+A repeated passage need not be a line: it may stand in the middle of one, or run over several, with words changed.  For these each text also
+gives sub-paragraph windows of ``WINDOW`` words.  They begin at anchors: of each ``SPREAD`` consecutive 3-word shingles the one with
+the least hash, which is a MinHash of one row for every stretch of text, and depends on the words of the stretch alone.  So any common run of
+``WINDOW + SPREAD - 1`` words, 24, has an equal window in all its copies, without exception; and a passage of over 50 words with a similarity of
+0.8 has such a run between its changes.  Equal windows only propose: adjoining ones make runs, each run is extended word by word along
+the text of its partner (the first occurrence; for the first, the last) to where they differ, and runs that are
+at most ``GAP`` words apart make one passage.  What has ``LEAST_PASSAGE`` words or more counts.  Gaps are the only words not matched, hence at least 0.8 of
+a passage's words are matched in order with copies elsewhere, an edit distance of at most a fifth of its length.
+
+Of each class of paragraphs, and of each window, the first member in the order of row numbers stays; the others are removals.
+
+Edge cases: null, empty and short texts have no paragraphs and no rows; what is repeated within one document is a repeat; repeated rows
+repeat one another; texts of any length are read whole; offsets are in code points, end exclusive; other columns, whatever their names, aren't read,
+and without_repeats returns them as they were; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -26,161 +31,253 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import frozen, with_row_id
+from tidemark.llm.common import discard, frozen, numbered
 from tidemark.llm.minhash import MEMBERS, WORDS, Signatures, choose_bands, classes, located_words, rolling, shingles
 
 LEAST_WORDS = 25
-REACH = 5
+LEAST_PASSAGE = 40
+SPREAD = 14
+WINDOW = 11
+GAP = 3
 THRESHOLD = Fraction(4, 5)
 MOST_HASHES = 32
 RECALL = 0.999
 SCHEMA = "doc_row long, kind string, start int, end int, class_row long, removed boolean"
 
-
-#: paragraph: true for lines, false for sub-paragraphs.
-CUT = "paragraph boolean, doc_row long, start int, end int, words int, hash long, set_hash binary, bands binary"
+#: of: the document's row; lines have start to bands, windows at (a word number) and key.
+CUT = "of long, start int, end int, n int, set_hash binary, bands array<long>, at int, key long"
 
 
-def cuts(hashes: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """Word numbers at which pieces begin: 0 and the places whose hash is the first least one within ``reach`` on both sides."""
-    n = len(hashes)
-    if n <= 2 * reach + 3:
-        return np.zeros(min(n, 1), np.int64)
+def anchors(hashes: np.ndarray, spread: int = SPREAD, window: int = WINDOW) -> np.ndarray:
+    """Numbers of the words at which windows begin."""
+    if len(hashes) < window:
+        return np.zeros(0, np.int64)
     h = rolling(hashes, 3)
-    wide = np.concatenate([np.full(reach, np.uint64(2**64 - 1)), h, np.full(reach, np.uint64(2**64 - 1))])
-    windows = np.lib.stride_tricks.sliding_window_view(wide, 2 * reach + 1)
-    least = windows.argmin(axis=1) == reach
-    least[0] = True
-    return np.nonzero(least)[0]
+    wide = np.lib.stride_tricks.sliding_window_view(h, min(spread, len(h)))
+    at = np.unique(np.arange(len(wide)) + wide.argmin(axis=1))
+    return at[at + window <= len(hashes)]
 
 
-def _cut(row: int, text: str, signer: Signatures, least: int) -> tuple[tuple | None, list[tuple]]:
-    """Columns of a document's sub-paragraphs, and rows of its paragraphs (CUT without ``paragraph``)."""
-    hashes, starts, ends, points = located_words(text)
+def window_keys(hashes: np.ndarray, at: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """A signed 64-bit hash of the words of each window."""
+    if not len(at):
+        return np.zeros(0, np.int64)
+    return rolling(hashes[at[:, None] + np.arange(window)].T, window)[0].view(np.int64)
+
+
+def _lines(row: int, words: tuple, signer: Signatures, least: int) -> list[tuple]:
+    """(of, start, end, n, set_hash, bands) of a document's paragraphs."""
+    hashes, starts, _, points = words
     line_ends = np.append(np.nonzero(points == 10)[0], len(points))
-    n = len(hashes)
-    if not n:
-        return None, []
-    at = cuts(hashes)
-    to = np.append(at[1:], n)
-    raw = hashes.tobytes()
-    keys = [xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip((at * 8).tolist(), (to * 8).tolist(), strict=True)]
-    pieces = np.full(len(at), row), starts[at], np.append(starts[at[1:]], ends[-1]), to - at, np.array(keys, np.uint64).view(np.int64)
     last = np.searchsorted(starts, line_ends)
     first = np.append(0, last[:-1])
     long = np.nonzero(last - first >= least)[0]
     if not len(long):
-        return pieces, []
+        return []
     grams, counts = rolling(hashes, WORDS), last[long] - first[long] - WORDS + 1
     offsets = np.cumsum(counts) - counts
     x = grams[np.repeat(first[long] - offsets, counts) + np.arange(counts.sum())]
     bands = signer.band_hashes_of(x, offsets)
     begin = np.append(0, line_ends[:-1] + 1)
-    return pieces, [
-        (row, int(begin[line]), int(line_ends[line]), int(last[line] - first[line]), None, xxhash.xxh3_128_digest(np.unique(x[o : o + c]).tobytes()), bands[i].tobytes())
-        for i, (line, o, c) in enumerate(zip(long.tolist(), offsets.tolist(), counts.tolist(), strict=True))
-    ]
+    sets = [np.unique(x[o : o + c]) for o, c in zip(offsets.tolist(), counts.tolist(), strict=True)]
+    return [(row, int(begin[line]), int(line_ends[line]), len(s), xxhash.xxh3_128_digest(s.tobytes()), bands[i]) for i, (line, s) in enumerate(zip(long.tolist(), sets, strict=True))]
+
+
+def _filled(rows: pd.DataFrame, names: list[str]) -> pd.DataFrame:
+    """All of ``names`` as columns, null where ``rows`` hasn't them."""
+    return rows.assign(**{c: None for c in names if c not in rows.columns})[names]
 
 
 def cut_texts(docs: DataFrame, bands: int, rows: int, least: int = LEAST_WORDS) -> DataFrame:
-    """CUT and _row, of docs (_row, text): the lines of at least ``least`` words with their signatures, and all sub-paragraphs, each of
-    which ends where the next begins.  Written to the shared folder: texts are read once for both."""
+    """CUT and _row, of docs (_row, text): the lines of at least ``least`` words with their signatures, and the windows of all texts.  Written
+    to the shared folder: texts are read once for both."""
+    names = [x.split(" ")[0] for x in CUT.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         signer = Signatures(bands, rows)
-        names = [x.split(" ")[0] for x in CUT.split(", ")][1:]
 
-        def frames(pieces: list[tuple], lines: list[tuple]) -> Iterator[pd.DataFrame]:
-            if pieces:
-                yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*pieces, strict=True)), strict=False))).assign(paragraph=False, set_hash=None, bands=None)
+        def frames(windows: list[tuple], lines: list[tuple]) -> Iterator[pd.DataFrame]:
+            if windows:
+                yield _filled(pd.DataFrame(dict(zip(("of", "at", "key"), map(np.concatenate, zip(*windows, strict=True)), strict=True))), names)
             if lines:
-                yield pd.DataFrame(lines, columns=names).assign(paragraph=True)
+                yield _filled(pd.DataFrame(lines, columns=names[:6]), names)
 
         for b in batches:
-            pieces, lines, held = [], [], 0
+            windows, lines, held = [], [], 0
             for row, text in zip(b["_row"], b["text"], strict=True):
-                own, more = _cut(row, text, signer, least)
-                if own:
-                    pieces.append(own)
-                    held += len(own[0])
-                lines += more
+                words = located_words(text)
+                at = anchors(words[0])
+                if len(at):
+                    windows.append((np.full(len(at), row), at, window_keys(words[0], at)))
+                    lines += _lines(row, words, signer, least)
+                    held += len(at)
                 if held > 100_000:
-                    yield from frames(pieces, lines)
-                    pieces, lines, held = [], [], 0
-            yield from frames(pieces, lines)
+                    yield from frames(windows, lines)
+                    windows, lines, held = [], [], 0
+            yield from frames(windows, lines)
 
     return frozen(docs.mapInPandas(run, CUT).withColumn("_row", F.monotonically_increasing_id()), "cut-texts")
 
 
-def passages(cut: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """SCHEMA, of cut_texts(): runs of sub-paragraphs that other documents have too, of at least ``least`` words."""
-    cut = cut.where("not paragraph").select("hash", "doc_row", "start", "end", "words")
-    shared = cut.groupBy("hash").agg(F.min("doc_row").alias("class_row"), F.max("doc_row").alias("last")).where("class_row <> last")
-    shared = frozen(shared.select("hash", "class_row"), "shared-pieces")
-    runs = cut.join(shared, "hash").groupBy("doc_row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "words", "class_row"))).alias("pieces"))
+#: A run of windows with equal partners: its words [at, to), its document's number of the run, and the partners of its first and last window.
+RUNS = "of long, run int, at int, to int, removed boolean, first_of long, first_at int, last_of long, last_at int, class_row long"
+
+
+def runs(cut: DataFrame) -> DataFrame:
+    """RUNS of windows that occur elsewhere too, in this document or another; written."""
+    windows = cut.where("key is not null").select("key", "of", "at")
+    place = F.struct("of", "at")
+    shared = windows.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    shared = frozen(shared, "shared-windows")
+    # merged at every size: few shared windows could be broadcast, but most inputs have too many
+    met = windows.join(shared.hint("merge"), "key").select("of", F.struct("at", (F.col("first") != place).alias("removed"), F.when(F.col("first") != place, F.col("first")).otherwise(F.col("last")).alias("partner"), F.col("first.of").alias("class_row")).alias("w"))
+    lists = met.groupBy("of").agg(F.sort_array(F.collect_list("w")).alias("windows"))
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for doc, own in zip(b["doc_row"], b["pieces"], strict=True):
-                held = None
-                for p in [*own, None]:
-                    if held and p and p["start"] == held["end"] and (p["class_row"] < doc) == (held["class_row"] < doc):
-                        held |= {"end": p["end"], "words": held["words"] + p["words"], "class_row": min(held["class_row"], p["class_row"])}
-                        continue
-                    if held and held["words"] >= least:
-                        out.append((doc, "passage", held["start"], held["end"], held["class_row"], held["class_row"] < doc))
-                    held = dict(p if isinstance(p, dict) else p.asDict()) if p is not None else None
-            yield pd.DataFrame(out, columns=["doc_row", "kind", "start", "end", "class_row", "removed"])
+            for of, windows in zip(b["of"], b["windows"], strict=True):
+                own: list[list] = []
+                for w in windows:
+                    p = w["partner"]
+                    if own and w["at"] <= own[-1][3] and w["removed"] == own[-1][4]:
+                        own[-1][3], own[-1][7:9], own[-1][9] = w["at"] + WINDOW, (p["of"], p["at"]), min(own[-1][9], w["class_row"])
+                    else:
+                        own.append([of, len(own), w["at"], w["at"] + WINDOW, w["removed"], p["of"], p["at"], p["of"], p["at"], w["class_row"]])
+                out += own
+            yield pd.DataFrame(out, columns=[x.split(" ")[0] for x in RUNS.split(", ")])
 
-    return runs.mapInPandas(merge, SCHEMA)
+    return frozen(lists.mapInPandas(chain, RUNS), "runs")
 
 
-def _sets_of_lines(docs: DataFrame, signed: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """Adds the shingle sets to member paragraphs; each document's text is sent once, to all of its members."""
+#: side: -1 before, 1 behind the word number ``at``; words: 32-bit hashes of up to SPREAD words, nearest first; places: where each begins (ends), after that of the run itself.
+SURROUNDINGS = "of long, at int, side int, words binary, places binary"
 
-    def add(members: DataFrame) -> DataFrame:
-        own = signed.select("_row", "doc_row", "start", "end").join(members, "_row")
-        by_doc = own.groupBy("doc_row").agg(F.collect_list(F.struct("_row", "start", "end", "copies", "buckets")).alias("lines"))
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                out = []
-                for text, lines in zip(b["text"], b["lines"], strict=True):
-                    out += [(x["_row"], x["copies"], x["buckets"], shingles(text[x["start"] : x["end"]]).tobytes()) for x in lines]
-                yield pd.DataFrame(out, columns=["_row", "copies", "buckets", "shingles"])
+def _surroundings(found: DataFrame) -> DataFrame:
+    """(of, at, side, own) of the words next to each end of each run and of its partners, once each; ``own``: whether places are needed."""
+    ends = [("of", "at", -1, True), ("of", "to", 1, True), ("first_of", "first_at", -1, False), ("last_of", F.col("last_at") + WINDOW, 1, False)]
+    parts = [found.select(F.col(of).alias("of"), (F.col(at) if isinstance(at, str) else at).alias("at"), F.lit(side).alias("side"), F.lit(own).alias("own")) for of, at, side, own in ends]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return out.groupBy("of", "at", "side").agg(F.max("own").alias("own"))
 
-        texts = docs.withColumnRenamed("_row", "doc_row").join(by_doc.hint("merge"), "doc_row").select("text", "lines")
-        return texts.mapInPandas(run, MEMBERS)
 
-    return add
+def _beside(words: tuple, at: int, side: int, own: bool) -> tuple[bytes, bytes]:
+    hashes, starts, ends, _ = words
+    near = np.arange(max(0, at - SPREAD), at)[::-1] if side < 0 else np.arange(at, min(len(hashes), at + SPREAD))
+    places = b""
+    if own:
+        places = (starts[np.append(at, near)] if side < 0 else ends[np.append(at - 1, near)]).astype("<i4").tobytes()
+    return hashes[near].astype("<u4").tobytes(), places
 
 
-def near_paragraphs(docs: DataFrame, cut: DataFrame, bands: int, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """SCHEMA, of cut_texts(): paragraphs with near copies, by component."""
-    signed = cut.where("paragraph").select("_row", "doc_row", "start", "end", "set_hash", "bands")
-    found = classes(signed, bands, threshold, _sets_of_lines(docs, signed), keep=("doc_row", "start", "end"))
-    first = found.groupBy("root").agg(F.min(F.struct("doc_row", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+class Texts:
+    """What later steps need of the texts, taken in one pass: the shingle sets of member paragraphs, and the words beside runs."""
+
+    def __init__(self, docs: DataFrame, lines: DataFrame, found: DataFrame):
+        self.docs, self.lines, self.needed = docs, lines, _surroundings(found)
+        self.beside: DataFrame | None = None
+
+    def sets(self, members: DataFrame) -> DataFrame:
+        """Adds the shingle sets to member paragraphs; each document's text is sent once, to all that ask for it."""
+        own = self.lines.join(members, "_row")
+        own = own.groupBy("of").agg(F.collect_list(F.struct("_row", "start", "end", "copies", "buckets")).alias("lines"))
+        ends = self.needed.groupBy("of").agg(F.collect_list(F.struct("at", "side", "own")).alias("ends"))
+        asked = own.join(ends, "of", "full_outer")
+        schema = f"{MEMBERS}, {SURROUNDINGS}"
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                rows, beside = [], []
+                for of, text, lines, ends in zip(b["of"], b["text"], b["lines"], b["ends"], strict=True):
+                    if lines is not None:
+                        rows += [(x["_row"], x["copies"], x["buckets"], shingles(text[x["start"] : x["end"]]).tobytes()) for x in lines]
+                    if ends is not None:
+                        words = located_words(text)
+                        beside += [(of, x["at"], x["side"], *_beside(words, x["at"], x["side"], x["own"])) for x in ends]
+                names = ["_row", "copies", "buckets", "shingles", "of", "at", "side", "words", "places"]
+                if rows:
+                    yield _filled(pd.DataFrame(rows, columns=names[:4]), names)
+                if beside:
+                    yield _filled(pd.DataFrame(beside, columns=names[4:]), names)
+
+        texts = self.docs.withColumnRenamed("_row", "of").join(asked.hint("merge"), "of").select("of", "text", "lines", "ends")
+        both = frozen(texts.mapInPandas(run, schema), "from-texts")
+        self.beside = both.where("of is not null").select("of", "at", "side", "words", "places")
+        return both.where("_row is not null").select("_row", "copies", "buckets", "shingles")
+
+
+def passages(found: DataFrame, beside: DataFrame, least: int = LEAST_PASSAGE) -> DataFrame:
+    """SCHEMA, of runs(): runs extended along their partners' texts, joined over gaps, of at least ``least`` words."""
+    out = found
+    for side, name, at, of, there in ((-1, "left", "at", "first_of", F.col("first_at")), (1, "right", "to", "last_of", F.col("last_at") + WINDOW)):
+        own = beside.where(F.col("side") == side).select("of", F.col("at").alias(at), F.col("words").alias(f"{name}_words"), F.col("places").alias(f"{name}_places"))
+        other = beside.where(F.col("side") == side).select(F.col("of").alias("_of"), F.col("at").alias("_at"), F.col("words").alias(f"{name}_others"))
+        out = out.join(own, ["of", at]).withColumn("_there", there)
+        out = out.join(other, (F.col(of) == F.col("_of")) & (F.col("_there") == F.col("_at"))).drop("_of", "_at", "_there")
+    sides = ["left_words", "left_places", "left_others", "right_words", "right_places", "right_others"]
+    lists = out.groupBy("of").agg(F.sort_array(F.collect_list(F.struct("run", "at", "to", "removed", "class_row", *sides))).alias("runs"))
+
+    def more(a: bytes, b: bytes) -> int:
+        n = min(len(a), len(b)) // 4
+        same = np.frombuffer(a, "<u4", n) == np.frombuffer(b, "<u4", n)
+        return n if same.all() else int(same.argmin())
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for of, own in zip(b["of"], b["runs"], strict=True):
+                made: list[list] = []
+                for r in own:
+                    left, right = more(r["left_words"], r["left_others"]), more(r["right_words"], r["right_others"])
+                    at, to = r["at"] - left, r["to"] + right
+                    start, end = int(np.frombuffer(r["left_places"], "<i4")[left]), int(np.frombuffer(r["right_places"], "<i4")[right])
+                    if made and at <= made[-1][1] + GAP and r["removed"] == made[-1][4]:
+                        p = made[-1]
+                        p[1], p[3], p[5] = max(p[1], to), max(p[3], end), min(p[5], r["class_row"])
+                    else:
+                        made.append([at, to, start, end, r["removed"], r["class_row"]])
+                rows += [(of, "passage", start, end, c, removed) for at, to, start, end, removed, c in made if to - at >= least]
+            yield pd.DataFrame(rows, columns=["doc_row", "kind", "start", "end", "class_row", "removed"])
+
+    return lists.mapInPandas(join, SCHEMA)
+
+
+def near_paragraphs(lines: DataFrame, texts: Texts, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """SCHEMA, of lines (_row, of, start, end, n, set_hash, bands): paragraphs with near copies, by component."""
+    found = classes(lines, threshold, texts.sets, keep=("of", "start", "end"))
+    first = found.groupBy("root").agg(F.min(F.struct("of", "start")).alias("first"), F.count("*").alias("members")).where("members > 1")
     out = found.join(first, "root")
-    return out.select("doc_row", F.lit("paragraph").alias("kind"), "start", "end", F.col("first.doc_row").alias("class_row"), (F.struct("doc_row", "start") != F.col("first")).alias("removed"))
+    return out.select(F.col("of").alias("doc_row"), F.lit("paragraph").alias("kind"), "start", "end", F.col("first.of").alias("class_row"), (F.struct("of", "start") != F.col("first")).alias("removed"))
+
 
+def _repeats(own: DataFrame, least: int = LEAST_WORDS, least_passage: int = LEAST_PASSAGE) -> DataFrame:
+    """SCHEMA, of ``own`` (_row, text); written."""
+    bands, rows = choose_bands(float(THRESHOLD), RECALL, MOST_HASHES)
+    docs = own.select("_row", F.coalesce("text", F.lit("")).alias("text"))
+    cut = cut_texts(docs, bands, rows, least)
+    lines, found = cut.where("bands is not null").select("_row", "of", "start", "end", "n", "set_hash", "bands"), runs(cut)
+    texts = Texts(docs, lines.select("_row", "of", "start", "end"), found)
+    near = near_paragraphs(lines, texts)
+    out = frozen(near.unionByName(passages(found, texts.beside, least_passage)), "repeats")
+    discard(cut, found)
+    return out
 
-def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST_WORDS) -> DataFrame:
+
+def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
     """Members of classes of repeated passages: doc_id, kind (paragraph, or passage within or across lines), start, end, class_id
     (doc_id of the document whose copy stays), removed."""
-    own = with_row_id(docs).select("_row", F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    texts = own.select("_row", "text")
-    bands, rows = choose_bands(float(THRESHOLD), RECALL, MOST_HASHES)
-    cut = cut_texts(texts, bands, rows, least)
-    found = frozen(near_paragraphs(texts, cut, bands).unionByName(passages(cut, least)), "repeats")
-    ids = own.select(F.col("_row").alias("doc_row"), "doc_id")
+    own = numbered(docs).select("_row", F.col("doc")[doc_id].alias("doc_id"), F.col("doc")[text].alias("text"))
+    found, ids = _repeats(own, **how), own.select(F.col("_row").alias("doc_row"), "doc_id")
     out = found.join(ids, "doc_row").join(ids.select(F.col("doc_row").alias("class_row"), F.col("doc_id").alias("class_id")), "class_row")
     return out.select("doc_row", "doc_id", "kind", "start", "end", "class_id", "removed")
 
 
-def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
     """``docs`` with the removals cut out of their texts."""
-    gone = substring_dedup(docs, text, doc_id, least).where("removed").groupBy(F.col("doc_row").alias("_tm_row")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_tm_gone"))
+    rows = numbered(docs)
+    gone = _repeats(rows.select("_row", F.col("doc")[text].alias("text")), **how).where("removed")
+    gone = gone.groupBy(F.col("doc_row").alias("_row")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone"))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -195,5 +292,5 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
         return pd.Series([one(t, o) for t, o in zip(texts, spans, strict=True)], dtype=object)
 
-    joined = with_row_id(docs, "_tm_row").join(frozen(gone, "gone"), "_tm_row", "left")
-    return joined.withColumn(text, cut(F.col(text), F.col("_tm_gone"))).drop("_tm_row", "_tm_gone")
+    joined = rows.join(frozen(gone, "gone"), "_row", "left").withColumn("text", cut(F.col("doc")[text], F.col("gone")))
+    return joined.select(*[F.col("text").alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns])

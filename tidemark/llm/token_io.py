@@ -10,15 +10,14 @@ A data set is a folder with two tables: ``codes`` (id, length), of at most one r
 block, start in the shard, ids and lengths of its documents, checkpoints, payload).  Blocks are binary columns of Parquet files,
 since executors reach a shared store only through Spark.
 
-Edge cases: a null text is empty, and has the end id alone; null ids sort last; repeated rows are written once each; a document
-longer than a block makes a longer block; an empty table gives empty tables.
+Edge cases: a null text is empty, and has the end id alone; null ids sort last; repeated rows are written once each; ids may be of any type that casts to a
+string and back; a document longer than a block makes a longer block; other columns, whatever their names, aren't read; an empty table gives empty tables.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -30,13 +29,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import chunks
-from tidemark.llm.common import frozen, shared_dir
+from tidemark.llm.common import frozen, scratch
 from tidemark.llm.pieces import is_plain, splitter
 
 LIMIT = 20
 BLOCK = 65_536
 STRIDE = 128
-SHARD_TOKENS = 16_000_000
+#: Ids a shard, at most and (where there are fewer shards than twice the cores) at least.
+SHARD_TOKENS = 128_000_000
+LEAST_SHARD_TOKENS = 1_000_000
 KNOWN = 500_000
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -264,10 +265,14 @@ def write(tokens: DataFrame, folder: str, size: int, shard_tokens: int = SHARD_T
         if ids:
             yield done()
 
-    shards = max(1, -(-int(counts.sum()) // shard_tokens))
-    dealt = tokens.repartitionByRange(shards, F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "ids")
+    total = int(counts.sum())
+    shards = max(1, -(-total // shard_tokens), min(2 * spark.sparkContext.defaultParallelism, total // LEAST_SHARD_TOKENS))
+    # the hash spreads null and repeated ids over ranges
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("ids")]
+    dealt = tokens.repartitionByRange(shards, *order).sortWithinPartitions(*order, "ids")
     schema = "shard int, block int, start long, doc_ids array<string>, doc_tokens array<int>, checkpoints binary, payload binary"
-    dealt.select(F.spark_partition_id().alias("shard"), F.col("doc_id").cast("string").alias("doc_id"), "ids").mapInPandas(pack, schema).write.parquet(f"{folder}/blocks")
+    out = dealt.select(F.spark_partition_id().alias("shard"), F.col("doc_id").cast("string").alias("doc_id"), "ids").mapInPandas(pack, schema)
+    out.withColumn("doc_ids", F.col("doc_ids").cast(f"array<{dict(tokens.dtypes)['doc_id']}>")).write.parquet(f"{folder}/blocks")
 
 
 def read(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
@@ -294,14 +299,15 @@ def read(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
                 shown = {"ids_crc32": [zlib.crc32(x) for x in ids]} if digest else {"ids": [x.tobytes() for x in ids]}
                 yield pd.DataFrame({"doc_id": list(r.doc_ids), "start": r.offset + r.start + ends - sizes, "n_tokens": sizes} | shown)
 
-    out = blocks.join(offsets, "shard").select("offset", "start", "doc_ids", "doc_tokens", "checkpoints", "payload").mapInPandas(unpack, "doc_id string, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary"))
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+    kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
+    out = blocks.join(offsets, "shard").select("offset", "start", F.col("doc_ids").cast("array<string>").alias("doc_ids"), "doc_tokens", "checkpoints", "payload").mapInPandas(unpack, "doc_id string, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary"))
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int, digest: bool = False, **how) -> DataFrame:
     """Write all documents as coded token ids to the shared folder, and read them back from the files."""
     spark = docs.sparkSession
-    folder = f"{shared_dir(spark)}/coded-{uuid.uuid4().hex}"
+    folder = scratch(spark, "coded")
     write(tokenize(docs, path, end_id, **how), folder, vocabulary(path, end_id))
     return read(spark, folder, digest)
 

@@ -8,7 +8,10 @@ least hashes of their ids), and scores all rows in the JVM.
 
 Edge cases: a null or empty text has all-zero features and gets the score of these; without labels of both kinds
 every row gets the smoothed share of toxic labels, (toxic + 0.5) / (labels + 5); repeated labels or rows count as
-often as they occur; null ids are never learnt from; very long texts are read whole.
+often as they occur; null ids are never learnt from; very long texts are read whole, in linear time; other columns, whatever their names, aren't read,
+and drop_toxic returns them as they were; an empty table gives an empty table.
+
+Calibration is cross-fitted: trees of each half of the sample score the other half, and the isotonic curve is fitted on these scores.
 """
 
 from __future__ import annotations
@@ -33,7 +36,8 @@ PREFIXES = (4, 5, 6)
 NEAR = 5
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deiner ihr euch euer sie tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros os su".split())
 LETTERS = re.compile(r"[^\W\d_]+")
-MASKED = re.compile(r"[^\W\d_]+[0-9@$!*#.\-]+[^\W\d_]+(?:[0-9@$!*#.\-]+[^\W\d_]+)*")
+#: Begins where no letter stands before it, and gives nothing back: linear on any text.
+MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]++[0-9@$!*#.\-]++[^\W\d_]++(?:[0-9@$!*#.\-]++[^\W\d_]++)*+")
 UNMASK = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": "", "#": "", ".": "", "-": "", "2": "", "6": "", "8": "", "9": ""})
 CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 SHOUTED = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b")
@@ -116,13 +120,13 @@ class ToxicityModel:
     calibration: object = None
 
     def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """``docs`` with a last column ``_score`` between 0 and 1."""
+        """(doc, score) of each row of ``docs``, as a struct, between 0 and 1."""
+        own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
         if self.trees is None:
-            return docs.withColumn("_score", F.lit(self.prior))
-        own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), dense_features(F.col(text), self.lexicon).alias("features"))
-        raw = self.trees.transform(own).withColumn("raw", vector_to_array("probability")[1])
+            return own.withColumn("score", F.lit(self.prior))
+        raw = self.trees.transform(own.withColumn("features", dense_features(F.col("doc")[text], self.lexicon))).withColumn("raw", vector_to_array("probability")[1])
         out = self.calibration.transform(raw.drop("features", "probability", "rawPrediction", "prediction"))
-        return out.select("doc.*", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "calibrated")).alias("_score"))
+        return out.select("doc", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "calibrated")).alias("score"))
 
 
 def _grown(rows: DataFrame):
@@ -146,24 +150,20 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, text: str
     lexicon = learn_lexicon(sample, toxic, clean)
     rows = sample.select("doc_id", (F.col("label") > 0).cast("double").alias("label"), dense_features(F.col("text"), lexicon).alias("features"))
     rows = frozen(rows.withColumn("part", F.crc32(F.concat(F.lit("part"), F.col("doc_id").cast("string"))) % 4), "toxic-features")
-    trees, raw = _grown(rows.where("part > 0")), rows.where("part = 0")
-    if trees and rows.count() >= 1000:
-        raw = _raw(trees, raw)
-    else:  # too few to set rows aside: halves score one another, and the trees use all
-        halves = [rows.where("part < 2"), rows.where("part >= 2")]
-        ends = [_grown(h) for h in halves]
-        trees = _grown(rows)
-        raw = _raw(ends[0] or trees, halves[1]).unionByName(_raw(ends[1] or trees, halves[0]))
+    halves = [rows.where("part < 2"), rows.where("part >= 2")]
+    ends = [_grown(h) for h in halves]
+    trees = _grown(rows)
+    raw = _raw(ends[0] or trees, halves[1]).unionByName(_raw(ends[1] or trees, halves[0]))
     calibration = IsotonicRegression(featuresCol="raw", predictionCol="calibrated").fit(raw)
     return ToxicityModel(lexicon, prior, trees, calibration)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs``."""
-    scored = fit(docs, labels, **how).score(docs.select("doc_id", "text"))
-    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    scored = fit(docs, labels, **how).score(docs.select("doc_id", "text")).withColumn("doc_id", F.col("doc.doc_id"))
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that score below 0.5, with all their columns."""
-    return fit(docs, labels, **how).score(docs).where("_score < 0.5").select([F.col(f"`{c}`") for c in docs.columns])
+    return fit(docs, labels, **how).score(docs).where("score < 0.5").select("doc.*")

@@ -1,15 +1,17 @@
 """Merkle fixity audit of WARC records.
 
 A replica is a table of records with integer ids.  Records of 4096 consecutive ids form an archive file, in the order of ids,
-and have byte offsets in it.  A leaf is the SHA-256 of a record; a node of level l covers 16**l consecutive ids, an ordered range
-of offsets, and hashes its children in order; the topmost node is the root.  Since a node is found from an id by division, trees are
-built by grouping (16 children at most in a group), and a lost record doesn't shift its neighbours.
+and have byte offsets in it.  A leaf is the SHA-256 of a record; a node of level l covers 16**l consecutive ids, and so an ordered range
+of offsets.  It hashes its children in order, each with its number, its length in bytes and its digest: lengths fix the offsets within the
+node, while a longer, shorter or lost record elsewhere leaves the digest as it was.  The topmost node is the root.  Since a node is found from
+an id by division, trees are built by grouping, 16 children at most in a group.
 
-An audit compares roots, and then level by level only the children of nodes that differ.  The levels are written, with a row per
-node, so descending reads what it needs by joins on (level, node).
+An audit compares roots, and then level by level only the children of nodes that differ: a damaged record costs 16 nodes a level.  The levels
+are written, with a row per node, so descending reads what it needs by joins on (level, node).
 
 Edge cases: records with a null id get ids from 2**52 on by their hash; records with one id, such as repeated rows, share a
-leaf, the hash of their sorted hashes and counts; null urls and bodies are empty; empty replicas have no root and are equal.
+leaf, the hash of their sorted hashes and counts; null urls and bodies are empty; records of any length are hashed whole; other columns, whatever
+their names, aren't read; empty replicas have no root and are equal.
 """
 
 from __future__ import annotations
@@ -43,23 +45,23 @@ def replica(pages: DataFrame, page_id: str = "page_id", url: str = "url", body:
 
 @dataclass
 class Tree:
-    """Written levels, leaves first: (node, n, first, end, digest), with byte offsets in the node's first and last archive file."""
+    """Written levels, leaves first: (node, length, digest), the leaves with their place in the archive file besides."""
 
     levels: list[DataFrame]
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """(node, n, first, end, digest, shard): one leaf per id."""
+    """(node, length, first, end, digest, shard): one leaf per id."""
     own = records.select("page_id", F.sha2("record", 256).alias("digest"), F.octet_length("record").cast("long").alias("length"))
     node = F.coalesce("page_id", UNNUMBERED + F.conv(F.substring("digest", 1, 12), 16, 10).cast("long"))
     # repeated records are counted before they meet
     own = own.groupBy(node.alias("node"), "digest").agg(F.count("*").alias("n"), F.sum("length").alias("length"))
     one = F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("digest", "n"))), lambda x: F.concat_ws("x", x["digest"], x["n"])))
     digest = F.when((F.count("*") == 1) & (F.sum("n") == 1), F.first("digest")).otherwise(F.sha2(one, 256))
-    own = own.groupBy("node").agg(digest.alias("digest"), F.sum("n").alias("n"), F.sum("length").alias("length"))
+    own = own.groupBy("node").agg(digest.alias("digest"), F.sum("length").alias("length"))
     shard = F.shiftright("node", SHARD_BITS)
     end = F.sum("length").over(Window.partitionBy("shard").orderBy("node"))
-    return own.withColumn("shard", shard).select("node", "n", (end - F.col("length")).alias("first"), end.alias("end"), "digest", "shard")
+    return own.withColumn("shard", shard).select("node", "length", (end - F.col("length")).alias("first"), end.alias("end"), "digest", "shard")
 
 
 def tree(own: DataFrame, low: int | None, high: int | None) -> Tree:
@@ -72,17 +74,26 @@ def tree(own: DataFrame, low: int | None, high: int | None) -> Tree:
 
 
 def _parents(level: DataFrame) -> DataFrame:
-    children = F.array_sort(F.collect_list(F.struct("node", "digest", "first", "end")))
-    shown = F.transform(children, lambda c: F.concat_ws(":", c["node"], c["first"], c["end"], c["digest"]))
-    grouped = level.groupBy(F.shiftright("node", FANOUT_BITS).alias("node")).agg(F.sum("n").alias("n"), children[0]["first"].alias("first"), F.element_at(children, -1)["end"].alias("end"), F.sha2(F.concat_ws(",", shown), 256).alias("digest"))
-    return grouped
+    children = F.array_sort(F.collect_list(F.struct("node", "length", "digest")))
+    shown = F.transform(children, lambda c: F.concat_ws(":", c["node"], c["length"], c["digest"]))
+    return level.groupBy(F.shiftright("node", FANOUT_BITS).alias("node")).agg(F.sum("length").alias("length"), F.sha2(F.concat_ws(",", shown), 256).alias("digest"))
 
 
 def _differing(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Nodes whose digests differ, or that one side lacks."""
-    left = a.select("node", F.col("digest").alias("a"), F.col("first").alias("a_first"), F.col("end").alias("a_end"))
-    right = b.select("node", F.col("digest").alias("b"), F.col("first").alias("b_first"), F.col("end").alias("b_end"))
-    return left.join(right, "node", "full_outer").where(~F.col("a").eqNullSafe(F.col("b")))
+    """(node, a, b): nodes whose digests differ, or that one side lacks; of leaves with their rows."""
+    left = a.select("node", F.struct(*a.columns).alias("a"))
+    right = b.select("node", F.struct(*b.columns).alias("b"))
+    return left.join(right, "node", "full_outer").where(~F.col("a.digest").eqNullSafe(F.col("b.digest")))
+
+
+def descend(a: Tree, b: Tree) -> list[DataFrame]:
+    """The nodes that differ, from the roots down to the leaves; of each level only children of the last one's are compared."""
+    found = [frozen(_differing(a.levels[-1], b.levels[-1]), "differing")]
+    for x, y in zip(a.levels[-2::-1], b.levels[-2::-1], strict=True):
+        under = found[-1].select(F.col("node").alias("_up"))
+        x, y = (t.withColumn("_up", F.shiftright("node", FANOUT_BITS)).join(under, "_up", "left_semi").drop("_up") for t in (x, y))
+        found.append(frozen(_differing(x, y), "differing"))
+    return found
 
 
 def audit(records: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -90,17 +101,9 @@ def audit(records: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame]:
     that only ``other`` has (added), with their offsets in their archive files."""
     sides = [frozen(leaves(x), "leaves") for x in (records, other)]
     ends = sides[0].select("node").unionByName(sides[1].select("node")).agg(F.min("node"), F.max("node")).first()
-    a, b = (tree(x, ends[0], ends[1]) for x in sides)
-    found = _differing(a.levels[-1], b.levels[-1])
-    for x, y in zip(a.levels[-2::-1], b.levels[-2::-1], strict=True):
-        under = frozen(found.select("node"), "differing")
-        if under.isEmpty():
-            break
-        parent = F.shiftright("node", FANOUT_BITS)
-        x, y = (t.withColumn("_up", parent).join(under.withColumnRenamed("node", "_up"), "_up", "left_semi") for t in (x, y))
-        found = _differing(x, y)
+    found = descend(*(tree(x, ends[0], ends[1]) for x in sides))[-1]
     status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "added").otherwise("changed")
-    return sides[0], frozen(found.select(F.col("node").alias("page_id"), F.coalesce("a_first", "b_first").alias("first"), F.coalesce("a_end", "b_end").alias("end"), status.alias("status")), "located")
+    return sides[0], found.select(F.col("node").alias("page_id"), F.coalesce("a.first", "b.first").alias("first"), F.coalesce("a.end", "b.end").alias("end"), status.alias("status"))
 
 
 def audited(records: DataFrame, other: DataFrame) -> DataFrame:
