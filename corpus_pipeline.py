@@ -1,4 +1,8 @@
-"""A training corpus in five stages, from documents to token ids."""
+"""A training corpus in five stages, from documents to token ids.
+
+Each stage takes all documents that the one before kept, with all their columns; nulls in any column, empty texts, repeated rows, very long
+texts and empty tables have the results that the operators' modules state.
+"""
 
 from __future__ import annotations
 
@@ -10,22 +14,27 @@ from tidemark.llm.common import frozen, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5 stay; without labels of both kinds, all do."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal normalised texts the one with the least doc_id stays; null counts as empty."""
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays; documents without words are classes of their own."""
     return ngram_join.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, up to twice; sources of size 0 go."""
     return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and digests of each document; a null text has no ids."""
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
