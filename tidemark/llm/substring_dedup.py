@@ -4,14 +4,14 @@ Paragraphs are the lines of at least ``LEAST_WORDS`` words.  Their bands are tun
 with few hashes, since paragraphs are short and many; colliding ones are joined and verified on their full shingle sets, and the links'
 components are the classes.
 
-A repeated passage need not be a line: it may stand in the middle of one, or run over several, with words changed.  For these each text also
-gives sub-paragraph windows of ``WINDOW`` words.  They begin at anchors: of each ``SPREAD`` consecutive 3-word shingles the one with
-the least hash, which is a MinHash of one row for every stretch of text, and depends on the words of the stretch alone.  So any common run of
-``WINDOW + SPREAD - 1`` words, 24, has an equal window in all its copies, without exception; and a passage of over 50 words with a similarity of
-0.8 has such a run between its changes.  Equal windows only propose: adjoining ones make runs, each run is extended word by word along
-the text of its partner (the first occurrence; for the first, the last) to where they differ, and runs that are
-at most ``GAP`` words apart make one passage.  What has ``LEAST_PASSAGE`` words or more counts.  Gaps are the only words not matched, hence at least 0.8 of
-a passage's words are matched in order with copies elsewhere, an edit distance of at most a fifth of its length.
+A repeated passage need not be a line: it may stand in the middle of one, or run over several, with words changed.  Passages are sought in
+what stays when repeated paragraphs are gone.  For these each text also gives sub-paragraph windows of ``WINDOW`` words.  They begin at anchors: of
+each ``SPREAD`` consecutive 3-word shingles the one with the least hash, which is a MinHash of one row for every stretch of text, and depends on the
+words of the stretch alone.  So any common run of ``WINDOW + SPREAD - 1`` words, 24, has an equal window in all its copies, without exception; and
+a passage of over 50 words with a similarity of 0.8 has such a run between its changes.  Equal windows only propose: adjoining ones make runs, each
+run is extended word by word along the text of its partner (the first occurrence; for the first, the last) to where they differ, and
+runs that are at most ``GAP`` words apart make one passage.  What has ``LEAST_PASSAGE`` words or more counts.  Gaps are the only words not matched,
+hence at least 0.8 of a passage's words are matched in order with copies elsewhere, an edit distance of at most a fifth of its length.
 
 Of each class of paragraphs, and of each window, the first member in the order of row numbers stays; the others are removals.
 
@@ -22,7 +22,7 @@ and without_repeats returns them as they were; an empty table gives an empty tab
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -44,8 +44,8 @@ MOST_HASHES = 32
 RECALL = 0.999
 SCHEMA = "doc_row long, kind string, start int, end int, class_row long, removed boolean"
 
-#: of: the document's row; lines have start to bands, windows at (a word number) and key.
-CUT = "of long, start int, end int, n int, set_hash binary, bands array<long>, at int, key long"
+#: of: the document's row; lines have start to bands (first, last: their word numbers), the windows of a document ats (word numbers) and keys.
+CUT = "of long, start int, end int, first int, last int, n int, set_hash binary, bands array<long>, ats array<int>, keys array<long>"
 
 
 def anchors(hashes: np.ndarray, spread: int = SPREAD, window: int = WINDOW) -> np.ndarray:
@@ -66,7 +66,7 @@ def window_keys(hashes: np.ndarray, at: np.ndarray, window: int = WINDOW) -> np.
 
 
 def _lines(row: int, words: tuple, signer: Signatures, least: int) -> list[tuple]:
-    """(of, start, end, n, set_hash, bands) of a document's paragraphs."""
+    """(of, start, end, first, last, n, set_hash, bands) of a document's paragraphs."""
     hashes, starts, _, points = words
     line_ends = np.append(np.nonzero(points == 10)[0], len(points))
     last = np.searchsorted(starts, line_ends)
@@ -80,7 +80,7 @@ def _lines(row: int, words: tuple, signer: Signatures, least: int) -> list[tuple
     bands = signer.band_hashes_of(x, offsets)
     begin = np.append(0, line_ends[:-1] + 1)
     sets = [np.unique(x[o : o + c]) for o, c in zip(offsets.tolist(), counts.tolist(), strict=True)]
-    return [(row, int(begin[line]), int(line_ends[line]), len(s), xxhash.xxh3_128_digest(s.tobytes()), bands[i]) for i, (line, s) in enumerate(zip(long.tolist(), sets, strict=True))]
+    return [(row, int(begin[line]), int(line_ends[line]), int(first[line]), int(last[line]), len(s), xxhash.xxh3_128_digest(s.tobytes()), bands[i]) for i, (line, s) in enumerate(zip(long.tolist(), sets, strict=True))]
 
 
 def _filled(rows: pd.DataFrame, names: list[str]) -> pd.DataFrame:
@@ -96,46 +96,65 @@ def cut_texts(docs: DataFrame, bands: int, rows: int, least: int = LEAST_WORDS)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         signer = Signatures(bands, rows)
 
-        def frames(windows: list[tuple], lines: list[tuple]) -> Iterator[pd.DataFrame]:
-            if windows:
-                yield _filled(pd.DataFrame(dict(zip(("of", "at", "key"), map(np.concatenate, zip(*windows, strict=True)), strict=True))), names)
-            if lines:
-                yield _filled(pd.DataFrame(lines, columns=names[:6]), names)
-
         for b in batches:
             windows, lines, held = [], [], 0
+
+            def frames() -> Iterator[pd.DataFrame]:
+                if windows:
+                    yield _filled(pd.DataFrame(windows, columns=["of", "ats", "keys"]), names)  # noqa: B023
+                if lines:
+                    yield _filled(pd.DataFrame(lines, columns=names[:8]), names)  # noqa: B023
+
             for row, text in zip(b["_row"], b["text"], strict=True):
                 words = located_words(text)
                 at = anchors(words[0])
                 if len(at):
-                    windows.append((np.full(len(at), row), at, window_keys(words[0], at)))
+                    windows.append((row, at, window_keys(words[0], at)))
                     lines += _lines(row, words, signer, least)
                     held += len(at)
                 if held > 100_000:
-                    yield from frames(windows, lines)
+                    yield from frames()
                     windows, lines, held = [], [], 0
-            yield from frames(windows, lines)
+            yield from frames()
 
     return frozen(docs.mapInPandas(run, CUT).withColumn("_row", F.monotonically_increasing_id()), "cut-texts")
 
 
+def remaining(cut: DataFrame, gone: DataFrame) -> DataFrame:
+    """(key, of, at): the windows of cut_texts() that no removed paragraph (doc_row, first, last) touches."""
+    lists = gone.groupBy(F.col("doc_row").alias("of")).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("gone"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for of, at, keys, out in zip(b["of"], b["ats"], b["keys"], b["gone"], strict=True):
+                if out is not None:
+                    first, last = (np.array([x[k] for x in out]) for k in ("first", "last"))
+                    stays = np.searchsorted(last, at, "right") == np.searchsorted(first, at + WINDOW, "left")
+                    at, keys = at[stays], keys[stays]
+                yield pd.DataFrame({"key": keys, "of": np.full(len(at), of), "at": at})
+
+    windows = cut.where("keys is not null").select("of", "ats", "keys").join(frozen(lists, "removed-lines"), "of", "left")
+    return windows.mapInPandas(run, "key long, of long, at int")
+
+
 #: A run of windows with equal partners: its words [at, to), its document's number of the run, and the partners of its first and last window.
 RUNS = "of long, run int, at int, to int, removed boolean, first_of long, first_at int, last_of long, last_at int, class_row long"
 
 
-def runs(cut: DataFrame) -> DataFrame:
-    """RUNS of windows that occur elsewhere too, in this document or another; written."""
-    windows = cut.where("key is not null").select("key", "of", "at")
+def runs(windows: DataFrame, least: int = LEAST_PASSAGE) -> DataFrame:
+    """RUNS of windows (key, of, at) that occur elsewhere too, in this document or another; written.  Runs that couldn't reach ``least`` words if they
+    were extended on both sides as far as they can be are left out."""
     place = F.struct("of", "at")
     shared = windows.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     shared = frozen(shared, "shared-windows")
     # merged at every size: few shared windows could be broadcast, but most inputs have too many
     met = windows.join(shared.hint("merge"), "key").select("of", F.struct("at", (F.col("first") != place).alias("removed"), F.when(F.col("first") != place, F.col("first")).otherwise(F.col("last")).alias("partner"), F.col("first.of").alias("class_row")).alias("w"))
     lists = met.groupBy("of").agg(F.sort_array(F.collect_list("w")).alias("windows"))
+    reach = SPREAD - 1
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
+            out: list[list] = []
             for of, windows in zip(b["of"], b["windows"], strict=True):
                 own: list[list] = []
                 for w in windows:
@@ -144,7 +163,14 @@ def runs(cut: DataFrame) -> DataFrame:
                         own[-1][3], own[-1][7:9], own[-1][9] = w["at"] + WINDOW, (p["of"], p["at"]), min(own[-1][9], w["class_row"])
                     else:
                         own.append([of, len(own), w["at"], w["at"] + WINDOW, w["removed"], p["of"], p["at"], p["of"], p["at"], w["class_row"]])
-                out += own
+                near: list[list] = []
+                for r in [*own, None]:
+                    if r and near and r[2] - near[-1][3] <= 2 * reach + GAP:
+                        near.append(r)
+                        continue
+                    if near and near[-1][3] - near[0][2] + 2 * reach >= least:
+                        out += near
+                    near = [r]
             yield pd.DataFrame(out, columns=[x.split(" ")[0] for x in RUNS.split(", ")])
 
     return frozen(lists.mapInPandas(chain, RUNS), "runs")
@@ -171,48 +197,51 @@ def _beside(words: tuple, at: int, side: int, own: bool) -> tuple[bytes, bytes]:
     return hashes[near].astype("<u4").tobytes(), places
 
 
-class Texts:
-    """What later steps need of the texts, taken in one pass: the shingle sets of member paragraphs, and the words beside runs."""
+def _texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """``docs`` (_row, text) joined with ``asked`` (of, ...): each text is sent once to all that ask for it, and those that nobody asks for are left out
+    first, by a table of rows alone, which the planner may broadcast if it is small."""
+    texts = docs.withColumnRenamed("_row", "of")
+    return texts.join(frozen(asked.select("of"), "asked"), "of", "left_semi").join(asked.hint("merge"), "of")
 
-    def __init__(self, docs: DataFrame, lines: DataFrame, found: DataFrame):
-        self.docs, self.lines, self.needed = docs, lines, _surroundings(found)
-        self.beside: DataFrame | None = None
 
-    def sets(self, members: DataFrame) -> DataFrame:
-        """Adds the shingle sets to member paragraphs; each document's text is sent once, to all that ask for it."""
-        own = self.lines.join(members, "_row")
-        own = own.groupBy("of").agg(F.collect_list(F.struct("_row", "start", "end", "copies", "buckets")).alias("lines"))
-        ends = self.needed.groupBy("of").agg(F.collect_list(F.struct("at", "side", "own")).alias("ends"))
-        asked = own.join(ends, "of", "full_outer")
-        schema = f"{MEMBERS}, {SURROUNDINGS}"
+def _sets_of_lines(docs: DataFrame, lines: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Adds the shingle sets to member paragraphs."""
+
+    def add(members: DataFrame) -> DataFrame:
+        own = lines.select("_row", "of", "start", "end").join(members, "_row")
+        asked = own.groupBy("of").agg(F.collect_list(F.struct("_row", "start", "end", "copies", "buckets")).alias("lines"))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                rows, beside = [], []
-                for of, text, lines, ends in zip(b["of"], b["text"], b["lines"], b["ends"], strict=True):
-                    if lines is not None:
-                        rows += [(x["_row"], x["copies"], x["buckets"], shingles(text[x["start"] : x["end"]]).tobytes()) for x in lines]
-                    if ends is not None:
-                        words = located_words(text)
-                        beside += [(of, x["at"], x["side"], *_beside(words, x["at"], x["side"], x["own"])) for x in ends]
-                names = ["_row", "copies", "buckets", "shingles", "of", "at", "side", "words", "places"]
-                if rows:
-                    yield _filled(pd.DataFrame(rows, columns=names[:4]), names)
-                if beside:
-                    yield _filled(pd.DataFrame(beside, columns=names[4:]), names)
-
-        texts = self.docs.withColumnRenamed("_row", "of").join(asked.hint("merge"), "of").select("of", "text", "lines", "ends")
-        both = frozen(texts.mapInPandas(run, schema), "from-texts")
-        self.beside = both.where("of is not null").select("of", "at", "side", "words", "places")
-        return both.where("_row is not null").select("_row", "copies", "buckets", "shingles")
-
-
-def passages(found: DataFrame, beside: DataFrame, least: int = LEAST_PASSAGE) -> DataFrame:
+                rows = [(x["_row"], x["copies"], x["buckets"], shingles(text[x["start"] : x["end"]]).tobytes()) for text, own in zip(b["text"], b["lines"], strict=True) for x in own]
+                yield pd.DataFrame(rows, columns=["_row", "copies", "buckets", "shingles"])
+
+        return _texts(docs, frozen(asked, "asked-lines")).select("text", "lines").mapInPandas(run, MEMBERS)
+
+    return add
+
+
+def beside(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """SURROUNDINGS of runs and their partners; written."""
+    asked = frozen(_surroundings(found).groupBy("of").agg(F.collect_list(F.struct("at", "side", "own")).alias("ends")), "asked-ends")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for of, text, ends in zip(b["of"], b["text"], b["ends"], strict=True):
+                words = located_words(text)
+                rows += [(of, x["at"], x["side"], *_beside(words, x["at"], x["side"], x["own"])) for x in ends]
+            yield pd.DataFrame(rows, columns=[x.split(" ")[0] for x in SURROUNDINGS.split(", ")])
+
+    return frozen(_texts(docs, asked).select("of", "text", "ends").mapInPandas(run, SURROUNDINGS), "surroundings")
+
+
+def passages(found: DataFrame, words: DataFrame, least: int = LEAST_PASSAGE) -> DataFrame:
     """SCHEMA, of runs(): runs extended along their partners' texts, joined over gaps, of at least ``least`` words."""
     out = found
     for side, name, at, of, there in ((-1, "left", "at", "first_of", F.col("first_at")), (1, "right", "to", "last_of", F.col("last_at") + WINDOW)):
-        own = beside.where(F.col("side") == side).select("of", F.col("at").alias(at), F.col("words").alias(f"{name}_words"), F.col("places").alias(f"{name}_places"))
-        other = beside.where(F.col("side") == side).select(F.col("of").alias("_of"), F.col("at").alias("_at"), F.col("words").alias(f"{name}_others"))
+        own = words.where(F.col("side") == side).select("of", F.col("at").alias(at), F.col("words").alias(f"{name}_words"), F.col("places").alias(f"{name}_places"))
+        other = words.where(F.col("side") == side).select(F.col("of").alias("_of"), F.col("at").alias("_at"), F.col("words").alias(f"{name}_others"))
         out = out.join(own, ["of", at]).withColumn("_there", there)
         out = out.join(other, (F.col(of) == F.col("_of")) & (F.col("_there") == F.col("_at"))).drop("_of", "_at", "_there")
     sides = ["left_words", "left_places", "left_others", "right_words", "right_places", "right_others"]
@@ -243,12 +272,12 @@ def passages(found: DataFrame, beside: DataFrame, least: int = LEAST_PASSAGE) ->
     return lists.mapInPandas(join, SCHEMA)
 
 
-def near_paragraphs(lines: DataFrame, texts: Texts, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """SCHEMA, of lines (_row, of, start, end, n, set_hash, bands): paragraphs with near copies, by component."""
-    found = classes(lines, threshold, texts.sets, keep=("of", "start", "end"))
-    first = found.groupBy("root").agg(F.min(F.struct("of", "start")).alias("first"), F.count("*").alias("members")).where("members > 1")
+def near_paragraphs(docs: DataFrame, lines: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """SCHEMA and first, last, of lines (_row, of, start, end, first, last, n, set_hash, bands): paragraphs with near copies, by component."""
+    found = classes(lines, threshold, _sets_of_lines(docs, lines), keep=("of", "start", "end", "first", "last"))
+    first = found.groupBy("root").agg(F.min(F.struct("of", "start")).alias("one"), F.count("*").alias("members")).where("members > 1")
     out = found.join(first, "root")
-    return out.select(F.col("of").alias("doc_row"), F.lit("paragraph").alias("kind"), "start", "end", F.col("first.of").alias("class_row"), (F.struct("of", "start") != F.col("first")).alias("removed"))
+    return out.select(F.col("of").alias("doc_row"), F.lit("paragraph").alias("kind"), "start", "end", F.col("one.of").alias("class_row"), (F.struct("of", "start") != F.col("one")).alias("removed"), "first", "last")
 
 
 def _repeats(own: DataFrame, least: int = LEAST_WORDS, least_passage: int = LEAST_PASSAGE) -> DataFrame:
@@ -256,11 +285,11 @@ def _repeats(own: DataFrame, least: int = LEAST_WORDS, least_passage: int = LEAS
     bands, rows = choose_bands(float(THRESHOLD), RECALL, MOST_HASHES)
     docs = own.select("_row", F.coalesce("text", F.lit("")).alias("text"))
     cut = cut_texts(docs, bands, rows, least)
-    lines, found = cut.where("bands is not null").select("_row", "of", "start", "end", "n", "set_hash", "bands"), runs(cut)
-    texts = Texts(docs, lines.select("_row", "of", "start", "end"), found)
-    near = near_paragraphs(lines, texts)
-    out = frozen(near.unionByName(passages(found, texts.beside, least_passage)), "repeats")
-    discard(cut, found)
+    near = frozen(near_paragraphs(docs, cut.where("bands is not null").select("_row", "of", "start", "end", "first", "last", "n", "set_hash", "bands")), "paragraphs")
+    found = runs(remaining(cut, near.where("removed").select("doc_row", "first", "last")), least_passage)
+    out = near.drop("first", "last").unionByName(passages(found, beside(docs, found), least_passage))
+    out = frozen(out, "repeats")
+    discard(cut, near, found)
     return out
 
 
