@@ -52,7 +52,7 @@ def drawdown_regimes(curve: DataFrame, steps: tuple[float, float, float] = (0.05
 
 
 def by_regime(curve: DataFrame, regimes: DataFrame, trades: DataFrame, keys=KEYS) -> DataFrame:
-    """Per regime: days, pct, trades entered, win rate, mean net profit, compounded return and Sharpe.  Bars and entries that
+    """Per regime: days, share of days, trades entered, win rate, mean net profit, compounded return and Sharpe.  Bars and entries that
     no regime matches count as neutral."""
     state = regimes.select(*keys, "ts", "regime")
     r = with_returns(curve.select(*keys, "ts", "equity"), keys).join(state, [*keys, "ts"], "left").withColumn("regime", F.coalesce("regime", F.lit("neutral")))
@@ -61,20 +61,35 @@ def by_regime(curve: DataFrame, regimes: DataFrame, trades: DataFrame, keys=KEYS
     size = F.exp(F.sum(F.when(factor != 0, F.log(F.abs(factor)))))
     sign = F.when(F.count_if(factor == 0) > 0, 0.0).when(F.count_if(factor < 0) % 2 == 1, -1.0).otherwise(1.0)
     days = r.groupBy(*keys, "regime").agg(F.count("*").alias("days"), (size * sign - 1.0).alias("total_return"), sharpe().alias("sharpe"))
-    days = days.withColumn("pct", 100.0 * F.col("days") / F.sum("days").over(Window.partitionBy(*keys)))
+    days = days.withColumn("share", F.col("days") / F.sum("days").over(Window.partitionBy(*keys)))
     t = trades.join(state.withColumnRenamed("ts", "entry_ts"), [*keys, "entry_ts"], "left").withColumn("regime", F.coalesce("regime", F.lit("neutral")))
     t = t.groupBy(*keys, "regime").agg(F.count("*").alias("trades"), F.avg((F.col("net_pnl") > 0).cast("double")).alias("win_rate"), F.avg("net_pnl").alias("avg_net_pnl"))
     return days.join(t, [*keys, "regime"], "left").fillna(0, ["trades", "win_rate", "avg_net_pnl"])
 
 
-def concentration(regime_rows: DataFrame, keys=KEYS) -> DataFrame:
-    """hhi of the absolute returns of the regimes, their number, and the penalty factor: 0 up to 0.5, then rising to 1."""
-    x = F.abs("total_return")
-    share = F.try_divide(x, F.sum(x).over(Window.partitionBy(*keys)))
-    out = regime_rows.withColumn("_s", share).groupBy(*keys).agg(F.coalesce(F.sum(F.col("_s") * F.col("_s")), F.lit(0.0)).alias("hhi"), F.count("*").alias("regimes"))
-    low = 1.0 / F.col("regimes")
-    score = F.when(F.col("regimes") > 1, (F.col("hhi") - low) / (1.0 - low)).otherwise(F.lit(1.0))
-    return out.withColumn("score", score).withColumn("penalty", F.when(F.col("score") <= 0.5, 0.0).otherwise((F.col("score") - 0.5) * 2.0))
+# The regimes of each kind, all of which count in a concentration.
+REGIMES = {"volatility": ("high", "neutral", "low"), "trend": ("strong_up", "up", "neutral", "down", "strong_down"), "drawdown": ("normal", "shallow", "deep", "recovery")}
+
+
+def concentration(regime_rows: DataFrame, kind: str = "volatility", keys=KEYS) -> DataFrame:
+    """hhi of the absolute returns of all regimes of the kind, score = (hhi - 1/n) / (1 - 1/n) within 0 and 1 (0 without returns), the dominant regime, its
+    share (of positive returns, if its own is positive), and the penalty: 0 up to a score of 0.5, then rising to 1.  Of equal regimes the last
+    in order dominates."""
+    names = REGIMES[kind]
+    of = {r: F.coalesce(F.max(F.when(F.col("regime") == r, F.col("total_return"))), F.lit(0.0)) for r in names}
+    out = regime_rows.groupBy(*keys).agg(*[v.alias(f"_{r}") for r, v in of.items()])
+    each = [F.col(f"_{r}") for r in names]
+    total = sum((F.abs(c) for c in each[1:]), F.abs(each[0]))
+    positive = sum((F.greatest(c, F.lit(0.0)) for c in each[1:]), F.greatest(each[0], F.lit(0.0)))
+    out = out.withColumns({"_total": total, "_positive": positive})
+    out = out.withColumn("_top", F.greatest(*[F.struct(F.abs(c).alias("size"), F.lit(i).alias("i"), F.lit(r).alias("regime"), c.alias("ret")) for i, (r, c) in enumerate(zip(names, each, strict=True))]))
+    some, low = F.col("_total") >= 1e-10, 1.0 / len(names)
+    hhi = sum((c * c for c in each[1:]), each[0] * each[0]) / (F.col("_total") * F.col("_total"))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("hhi") - low) / (1.0 - low)))
+    share = F.when((F.col("_positive") > 0) & (F.col("_top.ret") > 0), F.col("_top.ret") / F.col("_positive")).otherwise(F.col("_top.size") / F.col("_total"))
+    out = out.withColumn("hhi", F.when(some, hhi).otherwise(0.0)).withColumn("score", F.when(some, score).otherwise(0.0))
+    out = out.withColumns({"dominant": F.when(some, F.col("_top.regime")).otherwise(names[0]), "dominant_share": F.when(some, share).otherwise(0.0)})
+    return out.select(*keys, "hhi", "score", "dominant", "dominant_share", F.when(F.col("score") <= 0.5, 0.0).otherwise((F.col("score") - 0.5) * 2.0).alias("penalty"))
 
 
 def combined_score(vol: Column, trend: Column, drawdown: Column) -> Column:
@@ -108,19 +123,29 @@ def correlation(x: Column, y: Column) -> Column:
 
 
 def trade_analysis(found: DataFrame, keys=KEYS) -> DataFrame:
-    """Holding times, excursions, edge ratios (mfe over mae, finite ones) and the correlation of entry volatility with return and win."""
+    """Holding times, excursions, edge ratios (mfe over mae, finite ones) and the correlation of entry volatility with return and win.
+    Order statistics are ranks from sorts within the series; no array of a series is built."""
     win = F.col("net_pnl") > 0
     edge = F.when(F.col("mae") > 0, F.col("mfe") / F.col("mae"))
-    index = lambda c, num, den: F.get(F.array_sort(F.collect_list(c)), F.floor(F.count(c) * num / den).cast("int"))
-    agg = [F.count("*").alias("trades"), F.avg("bars_held").alias("mean_bars"), F.stddev_pop("bars_held").alias("std_bars"), index("bars_held", 1, 2).alias("median_bars"), index("bars_held", 1, 4).alias("p25_bars"), index("bars_held", 3, 4).alias("p75_bars")]
+    w = Window.partitionBy(*keys)
+    found = found.withColumns({"_n": F.count("*").over(w)} | {f"_{c}": F.row_number().over(w.orderBy(c, "entry_ts")) - 1 for c in ("bars_held", "mae", "mfe")})
+    at = lambda c, i: F.max(F.when(F.col(f"_{c}") == i, F.col(c)))
+    index = lambda c, num, den: at(c, F.floor(F.col("_n") * num / den))
+    agg = [F.count("*").alias("trades"), F.avg("bars_held").alias("mean_bars"), F.stddev_pop("bars_held").alias("std_bars"), F.min("bars_held").alias("min_bars"), F.max("bars_held").alias("max_bars"), index("bars_held", 1, 2).alias("median_bars"), index("bars_held", 1, 4).alias("p25_bars"), index("bars_held", 3, 4).alias("p75_bars")]
     for c in ("mae", "mfe"):
-        agg += [F.avg(c).alias(f"mean_{c}"), F.stddev_pop(c).alias(f"std_{c}"), F.percentile(c, 0.5).alias(f"median_{c}"), F.percentile(c, 0.9).alias(f"p90_{c}"), F.avg(F.when(win, F.col(c))).alias(f"winners_{c}"), F.avg(F.when(~win, F.col(c))).alias(f"losers_{c}")]
+        agg += [F.avg(c).alias(f"mean_{c}"), F.stddev_pop(c).alias(f"std_{c}"), F.max(c).alias(f"max_{c}"), index(c, 1, 2).alias(f"median_{c}"), index(c, 3, 4).alias(f"p75_{c}"), index(c, 9, 10).alias(f"p90_{c}"), F.avg(F.when(win, F.col(c))).alias(f"winners_{c}"), F.avg(F.when(~win, F.col(c))).alias(f"losers_{c}")]
     agg += [F.avg(edge).alias("mean_edge"), F.avg((edge > 1).cast("double")).alias("pct_edge_over_1"), correlation(F.col("entry_vol"), F.col("ret")).alias("corr_vol_return"), correlation(F.col("entry_vol"), win.cast("double")).alias("corr_vol_win")]
     return found.groupBy(*keys).agg(*agg)
 
 
 def holding_histogram(found: DataFrame, edges: tuple[int, ...] = (5, 10, 20, 50), keys=KEYS) -> DataFrame:
-    bucket = F.lit(f">{edges[-1]}")
-    for e in reversed(edges):
-        bucket = F.when(F.col("bars_held") <= e, f"<={e}").otherwise(bucket)
-    return found.groupBy(*keys, bucket.alias("bucket")).agg(F.count("*").alias("trades"))
+    """bucket, trades, share, avg_return, win_rate of each holding time: every bucket of a series with trades, the overflow only if it has any."""
+    held = F.col("bars_held")
+    labels = [f"{lo + 1}-{hi} days" for lo, hi in zip((0, *edges), edges, strict=False)] + [f"{edges[-1] + 1}+ days"]
+    at = F.lit(len(edges))
+    for i in reversed(range(len(edges))):
+        at = F.when(held <= edges[i], i).otherwise(at)
+    counts = found.groupBy(*keys, at.alias("_i")).agg(F.count("*").alias("trades"), F.avg("ret").alias("avg_return"), F.avg((F.col("net_pnl") > 0).cast("double")).alias("win_rate"))
+    every = found.groupBy(*keys).agg(F.count("*").alias("_all")).withColumn("_i", F.explode(F.array(*[F.lit(i) for i in range(len(labels))])))
+    out = every.join(counts, [*keys, "_i"], "left").fillna(0, ["trades", "avg_return", "win_rate"]).where(f"_i < {len(edges)} or trades > 0")
+    return out.select(*keys, F.element_at(F.array(*map(F.lit, labels)), F.col("_i") + 1).alias("bucket"), "trades", (F.col("trades") / F.col("_all")).alias("share"), "avg_return", "win_rate")

@@ -140,7 +140,7 @@ def supertrend_asymmetric(bars, atr: int = 10, entry_k: float = 2.0, exit_k: flo
 
 
 @strategy
-def supertrend_cooldown(bars, atr: int = 10, k: float = 3.0, classic: bool = False, keys=KEYS):
+def supertrend_cooldown(bars, atr: int = 10, k: float = 3.0, cooldown: int = 5, classic: bool = False, keys=KEYS):
     """As supertrend: the cooldown that the name promises has no effect in the system this follows."""
     return supertrend(bars, atr, k, classic, keys)
 
@@ -323,12 +323,12 @@ def ichimoku(bars, tenkan: int = 9, kijun: int = 26, senkou: int = 52, keys=KEYS
 
 def combine(bars: DataFrame, children: list[tuple[str, dict]], vote: str = "majority", weights: list[int] | None = None, keys=KEYS) -> DataFrame:
     """Signals of several strategies on one position.  majority: over half; weighted: over half of the weights, as whole numbers;
-    unanimous: any exit first, then all entries."""
+    unanimous: any exit first, then all entries.  Each child adds its two columns to the same bars; nothing is joined."""
     df, n = bars, len(children)
     for i, (name, params) in enumerate(children):
-        extra = [c for c in bars.columns if c not in (*keys, "ts")]
-        own = STRATEGIES[name](bars, **params, keys=keys).select(*keys, "ts", F.col("raw_entry").alias(f"child_{i}_entry"), F.col("raw_exit").alias(f"child_{i}_exit"))
-        df = df.join(own, [*keys, "ts"]) if extra else own
+        held = [f"child_{j}_{side}" for j in range(i) for side in ("entry", "exit")]
+        own = STRATEGIES[name](df, **params, keys=keys)
+        df = own.select(*bars.columns, *held, F.col("raw_entry").alias(f"child_{i}_entry"), F.col("raw_exit").alias(f"child_{i}_exit"))
     weights = [1] * n if vote != "weighted" else weights
     total = sum(weights)
     count = lambda side: reduce(lambda a, b: a + b, [F.col(f"child_{i}_{side}").cast("int") * w for i, w in enumerate(weights)])
@@ -346,5 +346,21 @@ def multi_horizon(base: str, horizons: list[int]) -> list[tuple[str, dict]]:
     return [(base, made(h)) for h in horizons]
 
 
+@strategy
+def ensemble(bars, base: str = "donchian", horizons: tuple[int, ...] = (20, 50, 100), vote: str = "majority", keys=KEYS):
+    """One kind of strategy at several horizons, which are also the weights of a weighted vote."""
+    return combine(bars, multi_horizon(base, list(horizons)), vote, list(horizons), keys)
+
+
 #: Turtle presets.
 TURTLE = {"s1": {"entry": 20, "exit": 10}, "s2": {"entry": 55, "exit": 20}}
+
+
+@strategy
+def turtle_s1(bars, keys=KEYS):
+    return donchian(bars, **TURTLE["s1"], keys=keys)
+
+
+@strategy
+def turtle_s2(bars, keys=KEYS):
+    return donchian(bars, **TURTLE["s2"], keys=keys)

@@ -186,8 +186,8 @@ def adjusted(df: DataFrame, p: str = "p", family: list[str] | None = None, ties:
 
 
 def downgraded(grade: Column, adjusted_p: Column, alpha: float = 0.05) -> Column:
-    """One grade lower where the adjusted p isn't below alpha."""
-    lower = F.when(grade == "high", "medium").when(grade == "medium", "low").otherwise("insufficient")
+    """High becomes medium and medium low where the adjusted p isn't below alpha; other grades stay."""
+    lower = F.when(grade == "high", "medium").when(grade == "medium", "low").otherwise(grade)
     return F.when(adjusted_p >= alpha, lower).otherwise(grade)
 
 

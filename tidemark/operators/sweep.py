@@ -4,14 +4,14 @@
 last n bars for all n come from one accumulated maximum over a ring of highs.  Bars are sent once per chunk of configurations, and only
 one row per (symbol, configuration) leaves.  A series of any length takes bounded memory.
 
-``strategy_sweep`` takes any strategy: the grid is a table of configurations, joined to bars by strategy, and simulated in
-windows by (symbol, config_id).
+``multi_strategy_sweep`` does the same for most strategies, whose signals have vector machines (``machines``): bars are sent once per chunk of
+configurations, of whatever strategy, and the plan doesn't grow with the grid.  Strategies without one (SAR, Darvas, calendar ranges, ensembles, some
+oscillators) are simulated in windows, a branch of the plan per configuration; their grids are small.
 """
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,24 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.backtest import Costs, long_only
+from tidemark.operators.grids import DEPTHS, grid, valid  # noqa: F401  (part of this module's interface)
+from tidemark.operators.machines import MACHINES, History, handles
 from tidemark.operators.metrics import CAP, YEAR, metrics
 from tidemark.operators.signals import STRATEGIES
 
 METRICS = "final_equity double, total_return double, cagr double, sharpe double, sortino double, max_drawdown double, calmar double, win_rate double, profit_factor double, num_trades long, turnover double"
 CHUNK = 4096
-
-
-def grid(**ranges) -> list[dict]:
-    """All combinations of the named values."""
-    return [dict(zip(ranges, c, strict=True)) for c in itertools.product(*ranges.values())]
-
-
-#: Constraints that configurations must meet, by strategy.
-VALID: dict[str, Callable[[dict], bool]] = {"donchian": lambda c: c["exit"] < c["entry"], "ma_cross": lambda c: c["fast"] < c["slow"], "macd": lambda c: c["fast"] < c["slow"]}
-
-
-def valid(strategy: str, configs: list[dict]) -> list[dict]:
-    return [c for c in configs if VALID.get(strategy, lambda c: True)(c)]
+MIXED_CHUNK = 1024
 
 
 def config_id(strategy: str, config: dict) -> str:
@@ -154,31 +144,73 @@ def donchian_sweep(bars: DataFrame, configs: list[dict], costs: Costs = Costs(),
     return dealt.mapInPandas(run, f"symbol string, entry_lookback int, exit_lookback int, config_id string, {METRICS}")
 
 
-def strategy_sweep(bars: DataFrame, strategy: str, configs: list[dict], costs: Costs = Costs()) -> DataFrame:  # noqa: B008
-    """symbol, strategy_type, config_id, params and the metrics: the union over the valid configurations, each in windows by symbol."""
+RUN = f"symbol string, strategy_type string, config_id string, params map<string,string>, {METRICS}"
+
+
+def _walked(bars: DataFrame, parts: list[tuple[str, list[dict]]], costs: Costs) -> DataFrame:
+    """RUN rows of chunks of configurations: one walk along each series for each chunk."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = machine = past = runs = None
+
+        def done() -> pd.DataFrame:
+            strategy, configs = parts[key[1]]
+            out = runs.table()
+            out.insert(0, "symbol", key[0])
+            out.insert(1, "strategy_type", strategy)
+            out.insert(2, "config_id", [config_id(strategy, c) for c in configs])
+            out.insert(3, "params", [{k: str(v) for k, v in c.items()} for c in configs])
+            return out
+
+        columns = ("symbol", "part", "ts", "open", "high", "low", "close", "volume")
+        for b in batches:
+            for symbol, part, ts, *bar in zip(*(b[c].to_numpy() for c in columns), strict=True):
+                if (symbol, part) != key:
+                    if key is not None:
+                        yield done()
+                    key = symbol, part
+                    machine = MACHINES[parts[part][0]](parts[part][1])
+                    past, runs = History(machine.longest()), _Runs(machine.size, costs)
+                past.push(*bar)
+                entry, leave = machine.step(past)
+                ready = past.seen > machine.warm
+                runs.step(ts, bar[0], bar[3], entry & ready, leave & ready)
+        if key is not None:
+            yield done()
+
+    spread = bars.select("symbol", "ts", "open", "high", "low", "close", "volume", F.explode(F.array(*[F.lit(i) for i in range(len(parts))])).alias("part"))
+    return spread.repartition("symbol", "part").sortWithinPartitions("symbol", "part", "ts").mapInPandas(run, RUN)
+
+
+def windowed_sweep(bars: DataFrame, strategy: str, configs: list[dict], costs: Costs = Costs()) -> DataFrame:  # noqa: B008
+    """RUN rows of the valid configurations of any strategy, each in windows by symbol."""
     out = None
     for c in valid(strategy, configs):
         own = metrics(long_only(STRATEGIES[strategy](bars, **c), costs), costs)
-        params = F.create_map(*[F.lit(x) for k, v in c.items() for x in (k, str(v))])
+        params = F.create_map(*[F.lit(x) for k, v in c.items() for x in (k, str(v))]).cast("map<string,string>")
         own = own.select("symbol", F.lit(strategy).alias("strategy_type"), F.lit(config_id(strategy, c)).alias("config_id"), params.alias("params"), *[m for m in own.columns if m != "symbol"])
         out = own if out is None else out.unionByName(own)
     return out
 
 
-def multi_strategy_sweep(bars: DataFrame, grids: dict[str, list[dict]], costs: Costs = Costs()) -> DataFrame:  # noqa: B008
-    out = None
+def multi_strategy_sweep(bars: DataFrame, grids: dict[str, list[dict]], costs: Costs = Costs(), chunk: int = MIXED_CHUNK) -> DataFrame:  # noqa: B008
+    """symbol, strategy_type, config_id, params and the metrics of each valid configuration of each strategy."""
+    parts, out = [], None
     for name, configs in grids.items():
-        own = strategy_sweep(bars, name, configs, costs)
-        out = own if out is None else out.unionByName(own)
-    return out
+        own = valid(name, configs)
+        vector = [c for c in own if handles(name, c)]
+        parts += [(name, vector[i : i + chunk]) for i in range(0, len(vector), chunk)]
+        if rest := [c for c in own if not handles(name, c)]:
+            found = windowed_sweep(bars, name, rest, costs)
+            out = found if out is None else out.unionByName(found)
+    if parts:
+        found = _walked(bars, parts, costs)
+        out = found if out is None else found.unionByName(out)
+    return bars.sparkSession.createDataFrame([], RUN) if out is None else out
 
 
-#: Grids by depth.
-DEPTHS: dict[str, dict[str, list[dict]]] = {
-    "quick": {"donchian": grid(entry=[20, 50], exit=[10]), "ma_cross": grid(fast=[10, 20], slow=[50]), "tsmom": grid(lookback=[60, 120])},
-    "standard": {"donchian": grid(entry=[10, 20, 40, 55], exit=[5, 10, 20]), "ma_cross": grid(fast=[5, 10, 20], slow=[50, 100, 200]), "tsmom": grid(lookback=[20, 60, 120, 252]), "bollinger_squeeze": grid(n=[20], k=[2.0], squeeze=[0.05, 0.1]), "rsi": grid(n=[7, 14]), "macd": grid(fast=[12], slow=[26], signal=[9])},
-}
-DEPTHS["comprehensive"] = DEPTHS["standard"] | {"donchian": grid(entry=range(10, 101, 10), exit=range(5, 51, 5)), "aroon": grid(n=[14, 25, 50]), "cci": grid(n=[14, 20, 40]), "roc": grid(n=[10, 20, 50]), "williams_r": grid(n=[14, 28])}
+def strategy_sweep(bars: DataFrame, strategy: str, configs: list[dict], costs: Costs = Costs()) -> DataFrame:  # noqa: B008
+    return multi_strategy_sweep(bars, {strategy: configs}, costs)
 
 
 def write_in_batches(bars: DataFrame, strategy: str, configs: list[dict], path: str, costs: Costs = Costs(), batch: int = 50) -> DataFrame:  # noqa: B008
@@ -190,30 +222,31 @@ def write_in_batches(bars: DataFrame, strategy: str, configs: list[dict], path:
     return done.agg(F.count("*").alias("n"), F.max("sharpe").alias("best_sharpe"), F.avg("sharpe").alias("mean_sharpe"), F.max("cagr").alias("best_cagr"), F.avg("cagr").alias("mean_cagr"), F.count_if(F.col("total_return") > 0).alias("positive"))
 
 
-def neighbours(results: DataFrame, metric: str = "sharpe") -> DataFrame:
-    """Of each configuration: the mean and population variance of ``metric`` over its neighbours at a step or two of the grid, and
-    stability = 1 / (1 + |value - mean|).  Neighbours meet by equality of grid ranks, not by comparing all pairs."""
-    from pyspark.sql import Window
+def neighbours(results: DataFrame, metric: str = "sharpe", keys: tuple[str, ...] = ("symbol", "strategy_type")) -> DataFrame:
+    """Of each configuration: the number, mean and population variance of ``metric`` over its neighbours, whose entry and exit lookbacks
+    differ by 2 at most, and stability = 1 / (1 + |value - mean| / max(deviation, 0.001)), or 1 where neighbours don't vary or there are none.
 
-    ranks = {c: F.dense_rank().over(Window.partitionBy("symbol").orderBy(c)) for c in ("entry_lookback", "exit_lookback")}
-    own = results.select("symbol", "config_id", F.col(metric).alias("value"), *[r.alias("_" + c) for c, r in ranks.items()])
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3) if i or j])
-    around = own.select("symbol", "config_id", "value", F.explode(steps).alias("s"), "_entry_lookback", "_exit_lookback")
-    around = around.select("symbol", "config_id", "value", (F.col("_entry_lookback") + F.col("s.i")).alias("_entry_lookback"), (F.col("_exit_lookback") + F.col("s.j")).alias("_exit_lookback"))
-    others = own.select("symbol", "_entry_lookback", "_exit_lookback", F.col("value").alias("near"))
-    found = around.join(others, ["symbol", "_entry_lookback", "_exit_lookback"]).groupBy("symbol", "config_id").agg(F.first("value").alias("value"), F.count("*").alias("n"), F.avg("near").alias("mean"), F.var_pop("near").alias("variance"))
-    return found.withColumn("stability", 1.0 / (1.0 + F.abs(F.col("value") - F.col("mean"))))
+    Neighbours meet by equality on shifted lookbacks, 24 for each configuration, not by comparing all pairs."""
+    own = results.select(*keys, "config_id", "entry_lookback", "exit_lookback", F.col(metric).alias("value"))
+    shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3) if i or j])
+    around = own.withColumn("s", F.explode(shifts)).select(*keys, "config_id", (F.col("entry_lookback") + F.col("s.i")).alias("entry_lookback"), (F.col("exit_lookback") + F.col("s.j")).alias("exit_lookback"))
+    others = own.select(*keys, "entry_lookback", "exit_lookback", F.col("value").alias("near"))
+    met = around.join(others, [*keys, "entry_lookback", "exit_lookback"]).groupBy(*keys, "config_id").agg(F.count("*").alias("n"), F.avg("near").alias("mean"), F.var_pop("near").alias("variance"))
+    found = own.join(met, [*keys, "config_id"], "left").select(*keys, "config_id", "value", F.coalesce("n", F.lit(0)).alias("n"), "mean", F.coalesce("variance", F.lit(0.0)).alias("variance"))
+    off = F.abs(F.col("value") - F.col("mean")) / F.greatest(F.sqrt("variance"), F.lit(0.001))
+    return found.withColumn("stability", F.when(F.col("variance") > 0, 1.0 / (1.0 + off)).otherwise(1.0))
 
 
 def cost_sensitivity(signals: DataFrame, levels: list[float], qty: float = 1.0, cash: float = 100_000.0) -> DataFrame:
-    """total_return by symbol and fee level, and breakeven_bps, the first level at which it isn't positive."""
+    """total_return by symbol and fee level, and breakeven_bps, the first level at which it isn't positive.
+
+    Positions don't depend on costs: one simulation without fees gives the final equity and the traded value, to which fees are proportional."""
     from pyspark.sql import Window
 
-    out = None
-    for bps in levels:
-        costs = Costs(cash=cash, qty=qty, fee_bps=bps)
-        own = metrics(long_only(signals, costs), costs).select("symbol", F.lit(float(bps)).alias("fee_bps"), "total_return")
-        out = own if out is None else out.unionByName(own)
+    free = long_only(signals, Costs(cash=cash, qty=qty))
+    ends = free.groupBy("symbol").agg(F.max_by("equity", "ts").alias("_end"), F.coalesce(F.sum(F.col("fill_price") * qty), F.lit(0.0)).alias("_traded"))
+    fee = F.explode(F.array(*[F.lit(float(x)) for x in levels]))
+    out = ends.withColumn("fee_bps", fee).select("symbol", "fee_bps", ((F.col("_end") - F.col("_traded") * F.col("fee_bps") / 10_000 - cash) / cash).alias("total_return"))
     return out.withColumn("breakeven_bps", F.min(F.when(F.col("total_return") <= 0, F.col("fee_bps"))).over(Window.partitionBy("symbol")))
 
 
