@@ -88,6 +88,51 @@ def test_states_cross_batches(spark, walk):
     assert small == column(rec.along(walk, ["symbol"], ["ts"], {"d": rec.dmi(5)}), "adx")
 
 
+@pytest.mark.parametrize("name", sorted(sweep.MACHINES))
+def test_machines_match_windows(walk, name):
+    """Vector machines simulate what the windowed strategies give, for the defaults and a variant of every strategy."""
+    variant = {"tsmom": {"lookback": 20}, "high_52w": {"n": 60, "entry_pct": 0.99, "exit_pct": 0.98}, "high_52w_momentum": {"n": 60, "entry_pct": 0.97}, "high_52w_trailing": {"n": 60, "trail": 0.02}, "ma_cross": {"fast": 5, "slow": 20, "kind": "ema"}, "keltner": {"k": 0.3}, "starc": {"k": 0.2}, "bollinger_squeeze": {"squeeze": 0.3, "k": 0.8}, "dmi_adx": {"threshold": 15.0}}
+    variant |= {s: {"k": 1.0} for s in ("supertrend", "supertrend_volume", "supertrend_confirmed", "supertrend_cooldown")} | {"supertrend_asymmetric": {"entry_k": 0.8, "exit_k": 1.2}}
+    configs = [{}, variant[name]] if name in variant else [{}]
+    a, b = (f(walk, name, configs, Costs(fee_bps=5)).toPandas().sort_values("config_id").reset_index(drop=True) for f in (sweep.strategy_sweep, sweep.windowed_sweep))
+    assert a.config_id.tolist() == b.config_id.tolist() and a.params.tolist() == b.params.tolist()
+    for c in ("final_equity", "sharpe", "sortino", "max_drawdown", "profit_factor", "num_trades", "turnover", "cagr"):
+        np.testing.assert_allclose(a[c], b[c], rtol=1e-9, atol=1e-12)
+
+
+def test_plan_does_not_grow_with_the_grid(walk):
+    plans = [sweep.multi_strategy_sweep(walk, {"ma_cross": sweep.grid(fast=range(2, n), slow=[50, 100]), "rsi": sweep.grid(n=range(5, n))})._jdf.queryExecution().executedPlan().toString().count("Exchange") for n in (8, 40)]
+    assert plans[0] == plans[1]
+
+
+def test_depth_grids():
+    # Valid configurations of some strategies at the three depths.
+    sizes = {d: {s: len(c) for s, c in g.items()} for d, g in sweep.DEPTHS.items()}
+    assert [sizes[d]["donchian"] for d in ("quick", "standard", "comprehensive")] == [3, 18, 42] and [len(g) for g in sizes.values()] == [26, 26, 26]
+    assert sizes["standard"]["ma_cross"] == 16 and sizes["comprehensive"]["psar"] == 75 and sizes["quick"]["turtle_s1"] == 1
+
+
+def test_neighbours(spark):
+    rows = [("s", "t", f"{n}/{k}", n, k, v) for n, k, v in ((10, 5, 1.0), (11, 5, 1.2), (12, 6, 0.8), (13, 5, 9.0), (40, 5, 2.0))]
+    got = {r.config_id: r for r in sweep.neighbours(spark.createDataFrame(rows, "symbol string, strategy_type string, config_id string, entry_lookback int, exit_lookback int, sharpe double")).collect()}
+    assert got["10/5"].n == 2 and got["10/5"].stability == pytest.approx(1.0) and got["40/5"].n == 0 and got["40/5"].stability == 1
+    assert got["11/5"].stability == pytest.approx(1 / (1 + abs(1.2 - 3.6) / np.std([1.0, 0.8, 9.0])))
+
+
+def test_grades_fall_no_lower_than_low(spark):
+    df = spark.createDataFrame([("high",), ("medium",), ("low",), ("insufficient",)], "g string")
+    assert [r.x for r in df.select(statistics.downgraded(F.col("g"), F.lit(0.5)).alias("x")).collect()] == ["medium", "low", "low", "insufficient"]
+
+
+def test_concentration_counts_absent_regimes(spark):
+    from tidemark.operators import analysis
+
+    rows = [("a", "high", 0.2), ("b", "high", 0.0), ("c", "high", 0.1), ("c", "neutral", -0.1), ("c", "low", 0.1)]
+    got = {r.symbol: r for r in analysis.concentration(spark.createDataFrame(rows, "symbol string, regime string, total_return double")).collect()}
+    assert (got["a"].score, got["a"].dominant, got["a"].dominant_share) == (1.0, "high", 1.0) and got["b"].score == 0
+    assert got["c"].score == pytest.approx(0, abs=1e-12) and got["c"].dominant == "low" and got["c"].dominant_share == pytest.approx(0.5)
+
+
 def test_sweep_matches_windows(walk):
     configs = sweep.grid(entry=[10, 30], exit=[5, 20])
     a = sweep.donchian_sweep(walk, configs, Costs(fee_bps=5), chunk=2).toPandas().sort_values("config_id").reset_index(drop=True)
@@ -137,12 +182,44 @@ def test_universe(spark):
 def test_distributions():
     assert statistics.t_cdf(2.228, 10) == pytest.approx(0.975, abs=1e-4) and statistics.t_cdf(0, 5) == 0.5
     assert statistics.incomplete_beta(0.5, 2, 2) == pytest.approx(0.5)
+
+
+def test_bootstrap_of_long_series(spark):
+    """More values than any cap would let pass; the interval of the mean of normal values is that of theory."""
+    df = spark.range(300_000).select(F.lit("a").alias("k"), "id", F.randn(3).alias("x")).unionByName(spark.range(50).select(F.lit("b").alias("k"), "id", (F.col("id") % 5).cast("double").alias("x")))
+    got = {r.k: r for r in statistics.bootstrap(df, ["k"], "x", ["id"], rounds=200).collect()}
+    assert got["a"].n == 300_000 and got["b"].n == 50 and got["b"].value == pytest.approx(2.0)
+    assert got["a"].std_error == pytest.approx(300_000**-0.5, rel=0.2) and got["a"].lower < got["a"].value < got["a"].upper
+    assert got["b"].std_error == pytest.approx(2**0.5 / 50**0.5, rel=0.25)
+
+
+@pytest.mark.parametrize("method", ["iid", "moving", "stationary"])
+def test_bootstrap_of_sharpe(spark, walk, method):
+    from tidemark.operators.metrics import with_returns
+
+    r = with_returns(walk.withColumn("equity", F.col("close")))
+    a, b = (statistics.bootstrap_sharpe(r, ["symbol"], method=method, rounds=300).first() for _ in range(2))
+    x = np.array([v.ret for v in r.where("ret is not null").orderBy("ts").collect()])
+    assert a == b and a.n == 399 and a.sharpe == pytest.approx(x.mean() / x.std(ddof=1) * 252**0.5) and a.lower < a.sharpe < a.upper and a["mean"] == pytest.approx(x.mean())
+
+
+def test_permutation(spark):
     r = np.random.default_rng(0)
-    assert statistics.permutation_test(r.normal(0, 1, 50), r.normal(2, 1, 50), 500) < 0.01
-    x = np.arange(20.0)
-    for m in ("iid", "moving", "stationary"):
-        s = statistics.resample(x, np.random.default_rng(1), 50, m, 4)
-        assert s.shape == (50, 20) and np.isin(s, x).all()
+    rows = [("far", i, float(v), i < 50) for i, v in enumerate([*r.normal(0, 1, 50), *r.normal(2, 1, 50)])] + [("same", i, float(v), i < 50) for i, v in enumerate(r.normal(0, 1, 100))] + [("one", 0, 1.0, True)]
+    got = {x.k: x for x in statistics.permutation_test(spark.createDataFrame(rows, "k string, i int, x double, f boolean"), ["k"], "x", F.col("f"), ["i"], rounds=500).collect()}
+    assert got["far"].p < 0.01 and got["same"].p > 0.05 and got["one"].p is None and got["far"].n_first == 50
+
+
+def test_adjusted_matches_one_sort(spark):
+    r = np.random.default_rng(1)
+    p = np.round(r.random(500) ** 3, 2)
+    got = statistics.adjusted(spark.createDataFrame([(i, float(x)) for i, x in enumerate(p)] + [(999, None)], "config_id int, p double")).toPandas().set_index("config_id")
+    order = np.argsort(p, kind="stable")
+    holm = np.minimum(np.maximum.accumulate(p[order] * (500 - np.arange(500))), 1)
+    bh = np.minimum(np.minimum.accumulate((p[order] * 500 / np.arange(1, 501))[::-1])[::-1], 1)
+    np.testing.assert_allclose(got.loc[order, "holm"], holm)
+    np.testing.assert_allclose(got.loc[order, "bh"], bh)
+    assert np.isnan(got.loc[999, "bh"])
 
 
 def test_adjusted_p_values(spark):
@@ -163,8 +240,16 @@ def test_explore(spark):
     s = explore.latin_hypercube("donchian", 20, 1)
     assert s == explore.latin_hypercube("donchian", 20, 1) and all(5 <= c["entry"] <= 500 and 2 <= c["exit"] <= 200 for c in s)
     sched = explore.Schedule()
-    assert sched.exploit_probability(0) == 0 and sched.exploit_probability(10) == 0.8 and sched.exploit_probability(10_000) == 0.3
-    assert explore.combo_size(3) == 1 and scan.parse_grid("entry:5..9:2;exit:1,2") == {"entry": [5, 7, 9], "exit": [1, 2]}
+    assert sched.exploit_probability(0) == 0 and sched.exploit_probability(50) == 0.25 and sched.exploit_probability(10_000) == 0.05
+    assert [explore.combo_size(i) for i in (0, 3, 6, 8, 20, 60)] == [1, 1, 3, 2, 4, 4] and explore.combo_size(20, 3) == 2 and explore.combo_size(20, warm_up=30) == 1
+    # Shares of modes after the warm-up, with winners and little coverage, in it, and each fifth iteration.
+    assert dict(sched.shares(151, 0.1, True)) == pytest.approx({"local": 0.775 * 0.15, "exploit": 0.225, "random": 0.775 * 0.45, "cover": 0.775 * 0.4})
+    assert dict(sched.shares(3)) == {"cover": 0.5, "random": 0.4, "local": 0.1} and sched.shares(55) == (("random", 1.0),)
+    draws = [sched.mode(i, 0.7, True) for i in range(51, 3000) if i % 5]
+    assert 0.3 < draws.count("random") / len(draws) < 0.45 and draws[0] == sched.mode(51, 0.7, True)
+    tested = spark.createDataFrame([("donchian", {"entry": 5.0, "exit": 200.0}), ("donchian", {"entry": 500.0, "exit": 2.0})], "strategy_type string, params map<string,double>")
+    assert {r.cell for r in explore.visits(tested, "donchian").collect()} == {49 * 50, 49}
+    assert scan.parse_grid("entry:5..9:2;exit:1,2") == {"entry": [5, 7, 9], "exit": [1, 2]}
     assert scan.parse_strategy("Donchian:20,x,10") == ("donchian", [20.0, 10.0])
 
 

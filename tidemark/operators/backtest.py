@@ -143,6 +143,11 @@ def target_from_risk(account: float, percent: float) -> float:
     return account * percent / 100.0
 
 
+def turtle_size(account: float, atr: Column, most: float = 1e9, least: float = 1.0) -> Column:
+    """The preset of one percent of the account at risk; ``atr`` is Wilder's."""
+    return volatility_size(target_from_risk(account, 1.0), atr, most, least)
+
+
 class _Pyramid:
     """Adds a unit each time close is ``k`` entry ATRs above the last fill, up to ``units``; all leave together."""
 

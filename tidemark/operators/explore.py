@@ -59,9 +59,9 @@ def sample_table(spark: SparkSession, strategy: str, n: int, seed: int = 42) ->
 
 
 def cell_of(strategy: str, params: str = "params", size: float = CELL) -> Column:
-    """Mixed-radix number of the cell of a configuration in the unit cube."""
-    per, out = round(1 / size), F.lit(0).cast("long")
-    for name, lo, hi, _ in BOUNDS[strategy]:
+    """Mixed-radix number of the cell of a configuration in the unit cube; the first parameter is the least digit."""
+    per, out = math.ceil(1 / size), F.lit(0).cast("long")
+    for name, lo, hi, _ in reversed(BOUNDS[strategy]):
         at = F.least(F.floor(normal(F.col(params)[name], lo, hi) / size), F.lit(per - 1))
         out = out * per + at
     return out
@@ -73,7 +73,7 @@ def visits(tested: DataFrame, strategy: str) -> DataFrame:
 
 
 def coverage_ratio(visited: DataFrame, strategy: str, size: float = CELL) -> DataFrame:
-    return visited.agg((F.count("*") / float(round(1 / size) ** len(BOUNDS[strategy]))).alias("coverage"))
+    return visited.agg((F.count("*") / float(math.ceil(1 / size) ** len(BOUNDS[strategy]))).alias("coverage"))
 
 
 def least_visited(visited: DataFrame, candidates: DataFrame, n: int = 1) -> DataFrame:
@@ -88,13 +88,26 @@ def untested(candidates: DataFrame, history: DataFrame, tolerance_days: int = 7)
     return candidates.join(h, near, "left_anti")
 
 
+# Shares of (local jitter, pure random, cover) by how much is covered, in the warm-up, and with many jumps.
+RATIOS = ((0.3, (0.15, 0.45, 0.40)), (0.6, (0.20, 0.45, 0.35)), (math.inf, (0.25, 0.40, 0.35)))
+WARM_UP_SHARES = (("cover", 0.50), ("random", 0.40), ("local", 0.10))
+JUMPY_SHARES = (("random", 0.70), ("cover", 0.20), ("local", 0.10))
+# Cells that count as full coverage, whatever the number of parameters; the jump probability from which winners are never exploited.
+REFERENCE_CELLS = 1000
+JUMPY = 0.8
+
+
 @dataclass(frozen=True)
 class Schedule:
-    warm_up: int = 10
-    exploit: float = 0.8
+    """Fixed values of the defaults: those of the system followed."""
+
+    warm_up: int = 50
+    exploit: float = 0.25
     decay: float = 0.9
-    interval: int = 20
-    floor: float = 0.3
+    interval: int = 100
+    floor: float = 0.05
+    random_every: int = 5
+    jump: float = 0.15
 
     def exploit_probability(self, iteration: int) -> float:
         """0 in the warm-up, then a geometric decay down to the floor."""
@@ -104,17 +117,38 @@ class Schedule:
             return self.exploit
         return max(self.exploit * self.decay ** ((iteration - self.warm_up) // self.interval), self.floor)
 
-    def mode(self, iteration: int, seed: int = 0) -> str:
-        """exploit, or one of the ways to explore, by a draw that depends on the seed and iteration alone."""
-        rng = np.random.default_rng((seed, iteration))
-        if rng.random() < self.exploit_probability(iteration):
-            return "exploit"
-        return ("random", "latin_hypercube", "least_visited")[int(rng.integers(3))]
+    def shares(self, iteration: int, coverage: float = 0.0, winners: bool = False) -> tuple[tuple[str, float], ...]:
+        """(mode, probability): exploit a winner, jitter locally, random, or cover the least visited cells."""
+        if self.jump >= JUMPY:
+            return JUMPY_SHARES
+        if iteration < self.warm_up:
+            return WARM_UP_SHARES
+        if self.random_every and iteration and iteration % self.random_every == 0:
+            return (("random", 1.0),)
+        exploit = self.exploit_probability(iteration) if winners else 0.0
+        local, random, cover = next(r for most, r in RATIOS if coverage < most)
+        return ("local", (1 - exploit) * local), ("exploit", exploit), ("random", (1 - exploit) * random), ("cover", (1 - exploit) * cover)
+
+    def mode(self, iteration: int, coverage: float = 0.0, winners: bool = False, seed: int = 0) -> str:
+        """A mode by a draw that depends on the seed and iteration alone."""
+        shares, draw = self.shares(iteration, coverage, winners), np.random.default_rng((seed, iteration)).random()
+        for name, share in shares:
+            if draw < share:
+                return name
+            draw -= share
+        return shares[-1][0]
+
+
+def effective_coverage(visited: DataFrame) -> DataFrame:
+    """coverage: visited cells as a share of REFERENCE_CELLS, at most 1."""
+    return visited.agg(F.least(F.count("*") / float(REFERENCE_CELLS), F.lit(1.0)).alias("coverage"))
 
 
-def combo_size(iteration: int, warm_up: int = 10) -> int:
-    """1 (single strategies) in the warm-up; then 1, 2, 3, 2, 4 in turn."""
-    return 1 if iteration < warm_up else (1, 2, 3, 2, 4)[(iteration - warm_up) % 5]
+def combo_size(iteration: int, largest: int = 4, warm_up: int = 0) -> int:
+    """Strategies of a combination: 4 each 20th iteration, 3 each 6th, 2 each other even one, else 1, as in the warm-up; ``largest`` leaves out larger ones."""
+    if iteration == 0 or iteration < warm_up or largest < 2:
+        return 1
+    return 4 if iteration % 20 == 0 and largest >= 4 else 3 if iteration % 6 == 0 and largest >= 3 else 2 if iteration % 2 == 0 else 1
 
 
 def random_combos(strategies: dict[str, list[dict]], size: int, n: int, seed: int = 42) -> list[list[tuple[str, dict]]]:
@@ -134,4 +168,4 @@ def jittered(strategy: str, config: dict[str, float], pct: float = 0.1, jump: fl
 
 
 def cells(strategy: str, size: float = CELL) -> float:
-    return math.prod([round(1 / size)] * len(BOUNDS[strategy]))
+    return math.prod([math.ceil(1 / size)] * len(BOUNDS[strategy]))

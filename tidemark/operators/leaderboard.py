@@ -80,6 +80,24 @@ def robust_score(df: DataFrame, weights: dict[str, float] = WEIGHTS["default"])
     return out
 
 
+#: Cross-symbol metrics that boards rank by, and their columns.
+RANKINGS = {"avg_sharpe": "avg_sharpe", "min_sharpe": "min_sharpe", "geo_mean_cagr": "geo_cagr", "hit_rate": "hit_rate", "mean_oos_sharpe": "oos_sharpe"}
+
+
+def rank_value(df: DataFrame, metric: str) -> Column:
+    """The value that a metric ranks by: a column of RANKINGS, or the robust score by the weights of a risk profile (``composite:<profile>``).
+    Without an out-of-sample Sharpe the mean Sharpe stands for it."""
+    if metric.startswith("composite"):
+        return robust_score(df, profile_weights(metric.partition(":")[2] or "balanced"))
+    column = RANKINGS[metric]
+    return F.col("avg_sharpe") if column not in df.columns else F.coalesce(column, "avg_sharpe") if column == "oos_sharpe" else F.col(column)
+
+
+def ranked_by(df: DataFrame, metric: str, n: int, key: str = "config_id", per_strategy: int | None = None) -> DataFrame:
+    """The board of ``n`` by any cross-symbol metric or profile, with its rank_value."""
+    return board(df.withColumn("rank_value", rank_value(df, metric)), "rank_value", n, key, per_strategy)
+
+
 def board(df: DataFrame, metric: str, n: int, key: str = "config_id", per_strategy: int | None = None) -> DataFrame:
     """The best row of each key, the best ``n`` of these (at most ``per_strategy`` of each strategy), with their rank."""
     best = df.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*by(metric, False, key)))).where("_k = 1").drop("_k")
@@ -105,18 +123,30 @@ def common_dates(curves: DataFrame, group: str | None = None) -> DataFrame:
     return joined.where("_n = _all").select(*keys, "ts")
 
 
-def combine_curves(curves: DataFrame, weighting: str = "equal", how: str = "arithmetic", cash: float = 100_000.0, last: int = 60, least: int = 20) -> DataFrame:
-    """ts, ret, equity of the portfolio of symbols over their common dates; empty if these are fewer than ``least``.
+def _common_returns(curves: DataFrame) -> DataFrame:
+    own = curves.join(common_dates(curves), "ts", "left_semi").select("symbol", "ts", "equity")
+    return with_returns(own, ("symbol",)).where("ret is not null").select("symbol", "ts", "ret")
 
-    Weights: equal, inverse_volatility, inverse_variance or sharpe (at least 0.1), from the last ``last`` returns."""
-    dates = common_dates(curves)
-    own = curves.join(dates, "ts", "left_semi").select("symbol", "ts", "equity")
-    r = with_returns(own, ("symbol",)).where("ret is not null").select("symbol", "ts", "ret")
+
+def _weights(r: DataFrame, weighting: str, last: int) -> DataFrame:
     recent = r.withColumn("_k", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))).where(F.col("_k") <= last)
     sd = F.greatest(F.stddev_samp("ret"), F.lit(1e-10))
     raw = {"equal": F.lit(1.0), "inverse_volatility": 1.0 / sd, "inverse_variance": 1.0 / (sd * sd), "sharpe": F.greatest(F.avg("ret") / sd * 252**0.5, F.lit(0.1))}[weighting]
     w = recent.groupBy("symbol").agg(raw.alias("_w"), F.count("*").alias("_used"))
-    w = w.select("symbol", (F.col("_w") / F.sum("_w").over(Window.partitionBy(F.lit(1)))).alias("weight"))
+    return w.select("symbol", (F.col("_w") / F.sum("_w").over(Window.partitionBy(F.lit(1)))).alias("weight"))  # a table of symbols
+
+
+def symbol_weights(curves: DataFrame, weighting: str = "equal", last: int = 60) -> DataFrame:
+    """(symbol, weight) of a portfolio of curves."""
+    return _weights(_common_returns(curves), weighting, last)
+
+
+def combine_curves(curves: DataFrame, weighting: str = "equal", how: str = "arithmetic", cash: float = 100_000.0, last: int = 60, least: int = 20) -> DataFrame:
+    """ts, ret, equity of the portfolio of symbols over their common dates; empty if these are fewer than ``least``.
+
+    Weights: equal, inverse_volatility, inverse_variance or sharpe (at least 0.1), from the last ``last`` returns."""
+    r = _common_returns(curves)
+    w = _weights(r, weighting, last)
     joined = r.join(w, "symbol")
     total = F.sum(F.col("weight") * F.col("ret")) if how == "arithmetic" else F.exp(F.sum(F.col("weight") * F.log(F.greatest(1.0 + F.col("ret"), F.lit(1e-10))))) - 1.0
     out = joined.groupBy("ts").agg(total.alias("ret"))
@@ -127,6 +157,19 @@ def combine_curves(curves: DataFrame, weighting: str = "equal", how: str = "arit
     return out.select("ts", "ret", (cash * grown).alias("equity"))
 
 
+def portfolio_summary(curves: DataFrame, weighting: str = "equal", how: str = "arithmetic", cash: float = 100_000.0, last: int = 60, least: int = 20) -> DataFrame:
+    """symbols, overlap_days, max_drawdown, sharpe (of the sample deviation), cagr (252 days a year) and the weights of a combined portfolio; no row if
+    it is empty."""
+    curve = combine_curves(curves, weighting, how, cash, last, least)
+    peak = F.greatest(F.max("equity").over(Window.partitionBy(F.lit(1)).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)), F.lit(cash))
+    dev = F.stddev_samp("ret")
+    row = curve.withColumn("_down", (peak - F.col("equity")) / peak).agg(F.count("*").alias("_n"), F.max("_down").alias("max_drawdown"), F.when(dev > 1e-10, F.avg("ret") / dev * 252**0.5).otherwise(0.0).alias("sharpe"), F.max_by("equity", "ts").alias("_end")).where("_n > 0")
+    days = F.col("_n") + 1
+    weights = symbol_weights(curves, weighting, last).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("symbol", "weight")))).alias("weights"), F.count("*").alias("symbols"))
+    cagr = F.when(F.col("_end") > 0, F.pow(F.col("_end") / cash, 252.0 / days) - 1.0).otherwise(-1.0)
+    return row.crossJoin(weights).select("symbols", days.alias("overlap_days"), "max_drawdown", "sharpe", cagr.alias("cagr"), "weights")
+
+
 def average_curve(curves: DataFrame) -> DataFrame:
     """Mean equity of the symbols by date."""
     return curves.groupBy("ts").agg(F.avg("equity").alias("equity"), F.count("*").alias("symbols"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.analysis import correlation
+from tidemark.operators.order import with_running
 
 RANKINGS = ("sharpe", "cagr", "sortino", "max_drawdown", "calmar", "win_rate", "profit_factor", "total_return")
 
@@ -74,7 +75,8 @@ def split_by_date(df: DataFrame, train_end: str, gap_days: int = 0) -> tuple[Dat
 
 
 def heatmap(df: DataFrame, metric: str) -> DataFrame:
-    return df.select("entry_lookback", "exit_lookback", F.col(metric).alias("value"))
+    keys = [c for c in ("symbol", "strategy_type") if c in df.columns]
+    return df.select(*keys, "entry_lookback", "exit_lookback", F.col(metric).alias("value"))
 
 
 # --- aggregations ---
@@ -85,11 +87,11 @@ def summary(df: DataFrame) -> DataFrame:
 
 
 def sensitivity(df: DataFrame, metric: str) -> DataFrame:
-    """(parameter, param_value, mean, variance, count) by entry and by exit: one pass, by grouping sets."""
-    df.createOrReplaceTempView("_sensitivity")
-    grouped = df.sparkSession.sql(f"""SELECT entry_lookback, exit_lookback, avg({metric}) AS mean, var_pop({metric}) AS variance, count(*) AS count
-        FROM _sensitivity GROUP BY GROUPING SETS ((entry_lookback), (exit_lookback))""")
-    return grouped.select(F.when(F.col("entry_lookback").isNotNull(), "entry_lookback").otherwise("exit_lookback").alias("parameter"), F.coalesce("entry_lookback", "exit_lookback").cast("string").alias("param_value"), "mean", "variance", "count")
+    """(parameter, param_value, mean, variance, count) by entry and by exit, nulls being values: one pass, by grouping sets."""
+    entry, leave = F.col("entry_lookback"), F.col("exit_lookback")
+    grouped = df.groupingSets([[entry], [leave]], entry, leave).agg(F.grouping("entry_lookback").alias("_by_exit"), F.avg(metric).alias("mean"), F.var_pop(metric).alias("variance"), F.count("*").alias("count"))
+    by_exit = F.col("_by_exit") == 1
+    return grouped.select(F.when(by_exit, "exit_lookback").otherwise("entry_lookback").alias("parameter"), F.when(by_exit, leave).otherwise(entry).cast("string").alias("param_value"), "mean", "variance", "count")
 
 
 def compare_strategies(df: DataFrame) -> DataFrame:
@@ -120,11 +122,11 @@ def robustness(df: DataFrame, least_symbols: int = 1) -> DataFrame:
     return out.withColumns({"robust_score": F.col("mean_sharpe") - 0.5 * dev, "robustness": F.col("mean_sharpe") / (1.0 + dev)})
 
 
-def top_performers(df: DataFrame, share: float = 0.1) -> DataFrame:
-    """By strategy: rows, rows among the best ``share`` of all, and the percentage.  The cut is a rank in one pass over counts by value."""
-    values = df.groupBy("sharpe").agg(F.count("*").alias("n"))
-    ranked = values.withColumn("before", F.sum("n").over(Window.orderBy(F.desc("sharpe"))) - F.col("n"))
-    out = df.join(ranked.select("sharpe", "before"), "sharpe").crossJoin(df.agg(F.greatest(F.lit(1), F.floor(F.count("*") * share)).alias("most")))
+def top_performers(df: DataFrame, share: float = 0.1, width: float = 0.01) -> DataFrame:
+    """By strategy: rows, rows among the best ``share`` of all, and the percentage.  The cut is a rank over counts by value, in buckets of ``width``."""
+    values = df.groupBy((-F.col("sharpe")).alias("_v")).agg(F.count("*").alias("n"))
+    ranked = with_running(values, [], F.floor(F.col("_v") / width), "_v", sums={"upto": F.col("n")})
+    out = df.join(ranked.select((-F.col("_v")).alias("sharpe"), (F.col("upto") - F.col("n")).alias("before")), "sharpe").crossJoin(df.agg(F.greatest(F.lit(1), F.floor(F.count("*") * share)).alias("most")))
     return out.groupBy("strategy_type").agg(F.count("*").alias("total"), F.count_if(F.col("before") < F.col("most")).alias("in_top")).withColumn("pct_in_top", 100.0 * F.col("in_top") / F.col("total"))
 
 
@@ -156,13 +158,28 @@ def combo_components(df: DataFrame) -> DataFrame:
     return out.crossJoin(total).withColumn("pct_of_combos", 100.0 * F.col("configs") / F.col("all_combos")).drop("all_combos")
 
 
-def synergy(combos: DataFrame, singles: DataFrame) -> DataFrame:
+def synergy(combos: DataFrame, singles: DataFrame, keys: tuple[str, ...] = ("symbol", "config_id")) -> DataFrame:
     """Sharpe of each combination minus the mean of its components' own (0 for none found)."""
     own = singles.groupBy("strategy_type").agg(F.avg("sharpe").alias("own")).withColumnRenamed("strategy_type", "component")
-    out = exploded(combos).join(own, "component", "left").groupBy("config_id").agg(F.first("sharpe").alias("sharpe"), F.coalesce(F.avg("own"), F.lit(0.0)).alias("expected"))
+    out = exploded(combos).join(own, "component", "left").groupBy(*keys).agg(F.max("sharpe").alias("sharpe"), F.coalesce(F.avg("own"), F.lit(0.0)).alias("expected"))
     return out.withColumn("synergy", F.col("sharpe") - F.col("expected"))
 
 
+def voting_methods(df: DataFrame) -> DataFrame:
+    """Of combinations, by voting_method: count, median, mean and deviation of Sharpe, and medians and means of the rest, the best median first."""
+    out = df.where("is_combo").groupBy("voting_method").agg(F.count("*").alias("n"), F.median("sharpe").alias("median_sharpe"), F.avg("sharpe").alias("mean_sharpe"), F.stddev_samp("sharpe").alias("std_sharpe"), F.median("cagr").alias("median_cagr"), F.avg("max_drawdown").alias("avg_max_dd"), F.avg("num_trades").alias("avg_trades"))
+    return out.orderBy(F.desc("median_sharpe"), "voting_method")
+
+
+def combo_robustness(df: DataFrame, least_symbols: int = 5) -> DataFrame:
+    """Combo and Single: the number of configurations on at least ``least_symbols`` symbols, and the means over them of the share of symbols with a
+    positive Sharpe, of Sharpe, of its deviation and of mean / (1 + deviation); 0 where there are none."""
+    own = df.groupBy("is_combo", "strategy_type", "config_id").agg(F.count("*").alias("n"), F.avg("sharpe").alias("m"), F.stddev_samp("sharpe").alias("d"), F.avg((F.col("sharpe") > 0).cast("double")).alias("w")).where(F.col("n") >= least_symbols)
+    found = own.groupBy("is_combo").agg(F.count("*").alias("num_configs"), F.avg("w").alias("avg_symbol_win_ratio"), F.avg("m").alias("avg_sharpe"), F.avg("d").alias("avg_sharpe_std"), F.avg(F.col("m") / (1.0 + F.coalesce("d", F.lit(0.0)))).alias("avg_robustness_score"))
+    both = df.sparkSession.createDataFrame([("Combo", True), ("Single", False)], "category string, is_combo boolean")
+    return both.join(found, "is_combo", "left").drop("is_combo").fillna(0)
+
+
 def combo_against_single(df: DataFrame, key: str = "is_combo") -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n"), F.avg("sharpe").alias("mean_sharpe"), F.median("sharpe").alias("median_sharpe"), F.max("sharpe").alias("max_sharpe"), (100.0 * F.avg((F.col("sharpe") > 0).cast("double"))).alias("pct_positive"))
 
@@ -182,10 +199,54 @@ def entropy(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     return counts.crossJoin(counts.agg(F.sum("n").alias("total"))).agg((-F.sum(p * F.log2(p))).alias("entropy"), F.count("*").alias("bins_used"))
 
 
+def parameter_spread(df: DataFrame, parameters: list[str], early: int = 20, late: int = 50, bins: int = 20) -> DataFrame:
+    """By strategy and parameter: least, greatest, mean, deviation, count, means and deviations of early iterations (up to ``early``) and late ones (the
+    last ``late`` and what is before them by one; the later half if there are no more), and the entropy of ``bins`` equal bins; 0 under two values."""
+    ends = df.agg(F.max("iteration").alias("_most")).select(F.when(F.col("_most") > late, F.col("_most") - late).otherwise(F.floor(F.col("_most") / 2)).alias("_late"))
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("parameter"), F.col(p).cast("double").alias("value")) for p in parameters]))
+    own = df.select("strategy_type", "iteration", each.alias("x")).select("strategy_type", "iteration", "x.*").where("value is not null").crossJoin(ends)
+    keys, x = ["strategy_type", "parameter"], F.col("value")
+    is_early, is_late = F.col("iteration") <= early, F.col("iteration") >= F.col("_late")
+    stats = own.groupBy(*keys).agg(F.min(x).alias("all_min"), F.max(x).alias("all_max"), F.avg(x).alias("all_mean"), F.stddev_samp(x).alias("all_std"), F.count(x).alias("all_count"), F.avg(F.when(is_early, x)).alias("early_mean"), F.stddev_samp(F.when(is_early, x)).alias("early_std"), F.avg(F.when(is_late, x)).alias("late_mean"), F.stddev_samp(F.when(is_late, x)).alias("late_std"))
+    return stats.join(_entropies(own, keys, "value", bins), keys, "left").withColumn("entropy", F.when(F.col("all_count") < 2, 0.0).otherwise(F.coalesce("entropy", F.lit(0.0))))
+
+
+def _entropies(df: DataFrame, keys: list[str], column: str, bins: int) -> DataFrame:
+    """keys, entropy in bits of a histogram of ``bins`` equal bins between the least and the greatest value of each group."""
+    ends = df.groupBy(*keys).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"), F.count(column).alias("_all"))
+    at = F.when(F.col("_hi") == F.col("_lo"), 0).otherwise(F.least(F.floor((F.col(column) - F.col("_lo")) * bins / (F.col("_hi") - F.col("_lo"))), F.lit(bins - 1)))
+    counts = df.where(F.col(column).isNotNull()).join(ends, keys).groupBy(*keys, at.alias("_bin")).agg(F.count("*").alias("_n"), F.first("_all").alias("_all"))
+    p = F.col("_n") / F.col("_all")
+    return counts.groupBy(*keys).agg((-F.sum(p * F.log2(p))).alias("entropy"))
+
+
+def convergence(df: DataFrame, column: str = "sharpe", bins: int = 10, least: int = 5) -> DataFrame:
+    """iteration_start, iteration_end, entropy, sample_size of consecutive windows of iterations (a tenth of them each), with initial and final
+    entropy and the relative decrease between them; windows with fewer than ``least`` values, and fewer iterations than that, give no rows."""
+    steps = df.select("iteration").distinct()
+    # a table of iterations
+    steps = steps.withColumns({"_k": F.row_number().over(Window.orderBy("iteration")) - 1, "_all": F.count("*").over(Window.partitionBy(F.lit(1)))})
+    steps = steps.where(F.col("_all") >= 5).select("iteration", F.floor(F.col("_k") / F.greatest(F.lit(1), F.floor(F.col("_all") / 10))).alias("_w"))
+    own = df.where(F.col(column).isNotNull()).join(steps, "iteration")
+    spans = steps.groupBy("_w").agg(F.min("iteration").alias("iteration_start"), F.max("iteration").alias("iteration_end"))
+    found = own.groupBy("_w").agg(F.count("*").alias("sample_size")).where(F.col("sample_size") >= least).join(_entropies(own, ["_w"], column, bins), "_w").join(spans, "_w")
+    ends = found.agg(F.min_by("entropy", "_w").alias("initial_entropy"), F.max_by("entropy", "_w").alias("final_entropy"), F.count("*").alias("_c"))
+    rate = F.when((F.col("_c") >= 2) & (F.col("initial_entropy") > 0), (F.col("initial_entropy") - F.col("final_entropy")) / F.col("initial_entropy")).otherwise(0.0)
+    return found.crossJoin(ends).select("iteration_start", "iteration_end", "entropy", "sample_size", "initial_entropy", "final_entropy", rate.alias("convergence_rate"))
+
+
 def uniqueness(df: DataFrame) -> DataFrame:
-    """By iteration: configurations first seen in it, and all seen up to it."""
+    """By iteration: configurations first seen in it, and all seen up to it; with the number of tests and of configurations, the share of
+    duplicates, and the rate, new configurations per iteration after the first."""
     first = df.groupBy("config_id").agg(F.min("iteration").alias("iteration")).groupBy("iteration").agg(F.count("*").alias("new_configs"))
-    return first.withColumn("seen", F.sum("new_configs").over(Window.orderBy("iteration")))
+    # a table of iterations
+    steps = df.select("iteration").distinct().join(first, "iteration", "left").fillna(0, ["new_configs"])
+    seen = steps.withColumn("seen", F.sum("new_configs").over(Window.orderBy("iteration")))
+    ends = seen.agg(F.min("iteration").alias("_lo"), F.max("iteration").alias("_hi"), F.min_by("seen", "iteration").alias("_from"), F.max("seen").alias("unique_configs"))
+    total = df.agg(F.count("*").alias("total_tests"))
+    out = seen.crossJoin(ends).crossJoin(total)
+    rate = F.when(F.col("_hi") > F.col("_lo"), (F.col("unique_configs") - F.col("_from")) / (F.col("_hi") - F.col("_lo") + 1)).otherwise(0.0)
+    return out.select("iteration", "new_configs", "seen", "total_tests", "unique_configs", (1.0 - F.col("unique_configs") / F.col("total_tests")).alias("duplicate_ratio"), rate.alias("uniqueness_rate"))
 
 
 def coverage(df: DataFrame, x: str, y: str, cells: int = 10) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.signals import STRATEGIES
+from tidemark.operators.signals import side_by_side
 from tidemark.schema import KEYS, before, series, so_far
 
 
@@ -31,10 +31,9 @@ def latest(signals: DataFrame, fresh: int = 5, keys=KEYS) -> DataFrame:
 def scan(bars: DataFrame, strategies: list[tuple[str, dict]], fresh: int = 5, least: int = 1, actionable_only: bool = False, slow: tuple[str, ...] = ("supertrend", "high_52w")) -> DataFrame:
     """Latest signals of strategies on all symbols.  Entries and exits stay if at least ``least`` strategies agree on the symbol, one of
     them slow; holds follow unless only what asks for action is wanted."""
-    out = None
-    for name, params in strategies:
-        own = latest(STRATEGIES[name](bars, **params), fresh).withColumn("strategy", F.lit(name))
-        out = own if out is None else out.unionByName(own)
+    each = [F.struct(F.lit(name).alias("strategy"), F.col(f"child_{i}_entry").alias("raw_entry"), F.col(f"child_{i}_exit").alias("raw_exit")) for i, (name, _) in enumerate(strategies)]
+    rows = side_by_side(bars, strategies).select("symbol", "ts", "close", F.explode(F.array(*each)).alias("s")).select("symbol", "ts", "close", "s.*")
+    out = latest(rows, fresh, ("symbol", "strategy"))
     w = Window.partitionBy("symbol", "signal")
     out = out.withColumns({"confirmations": F.count("*").over(w), "_slow": F.max(F.col("strategy").isin(*slow).cast("int")).over(w)})
     keep = (F.col("signal") != "hold") & (F.col("confirmations") >= least) & (F.col("_slow") == 1)

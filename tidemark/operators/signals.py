@@ -321,14 +321,20 @@ def ichimoku(bars, tenkan: int = 9, kijun: int = 26, senkou: int = 52, keys=KEYS
 # --- votes ---
 
 
-def combine(bars: DataFrame, children: list[tuple[str, dict]], vote: str = "majority", weights: list[int] | None = None, keys=KEYS) -> DataFrame:
-    """Signals of several strategies on one position.  majority: over half; weighted: over half of the weights, as whole numbers;
-    unanimous: any exit first, then all entries.  Each child adds its two columns to the same bars; nothing is joined."""
-    df, n = bars, len(children)
+def side_by_side(bars: DataFrame, children: list[tuple[str, dict]], keys=KEYS) -> DataFrame:
+    """``bars`` with child_<i>_entry and child_<i>_exit of each strategy; nothing is joined."""
+    df = bars
     for i, (name, params) in enumerate(children):
         held = [f"child_{j}_{side}" for j in range(i) for side in ("entry", "exit")]
         own = STRATEGIES[name](df, **params, keys=keys)
         df = own.select(*bars.columns, *held, F.col("raw_entry").alias(f"child_{i}_entry"), F.col("raw_exit").alias(f"child_{i}_exit"))
+    return df
+
+
+def combine(bars: DataFrame, children: list[tuple[str, dict]], vote: str = "majority", weights: list[int] | None = None, keys=KEYS) -> DataFrame:
+    """Signals of several strategies on one position.  majority: over half; weighted: over half of the weights, as whole numbers;
+    unanimous: any exit first, then all entries."""
+    df, n = side_by_side(bars, children, keys), len(children)
     weights = [1] * n if vote != "weighted" else weights
     total = sum(weights)
     count = lambda side: reduce(lambda a, b: a + b, [F.col(f"child_{i}_{side}").cast("int") * w for i, w in enumerate(weights)])

@@ -3,106 +3,174 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from tidemark.operators.order import p_bucket, with_running
+
 ITERATIONS = 10_000
 SEED = 42
 
 
 # --- resampling ---
 
+#: Statistics of a resample, from its number of values, their sum and the sum of their squares.
+STATISTICS: dict[str, Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]] = {}
+
+
+def _statistic(f):
+    STATISTICS[f.__name__] = f
+    return f
+
+
+@_statistic
+def mean(n, s, q):
+    return s / np.maximum(n, 1)
+
+
+@_statistic
+def std(n, s, q):
+    return np.sqrt(np.maximum(q - s * s / np.maximum(n, 1), 0.0) / np.maximum(n - 1, 1))
+
+
+@_statistic
+def sharpe(n, s, q):
+    dev = std(n, s, q)
+    return np.where(dev < 1e-10, 0.0, mean(n, s, q) / np.where(dev < 1e-10, 1.0, dev) * math.sqrt(252.0))
+
+
+def _batches_by_key(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Pieces of sorted batches with one key each."""
+    for b in batches:
+        code = b.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+        cuts = [0, *(np.nonzero(np.diff(code))[0] + 1).tolist(), len(b)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if hi > lo:
+                yield tuple(None if pd.isna(v) else v for v in b.iloc[lo][keys]), b.iloc[lo:hi]
+
+
+def _dealt(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+
+def bootstrap(df: DataFrame, keys: list[str], column: str, order: list[str], statistic: str = "mean", method: str = "iid", block: float | None = None, rounds: int = ITERATIONS, level: float = 0.95, seed: int = SEED) -> DataFrame:
+    """keys, n, value, std_error, lower, upper of a statistic (``STATISTICS``) of each series, by resampling.
+
+    Each round gives each value, or each block of values in ``order``, a Poisson number of copies: blocks are single values (iid), runs of ``block`` values
+    (moving) or of geometric lengths with that mean (stationary); by default the cube root of n, 2 at least.  A round needs the number, sum
+    and sum of squares of its values only, so each series is passed through once, batch by batch: its length isn't bounded, and memory is
+    that of ``rounds`` sums.  The interval is between percentiles at the floor of their index; std_error is of the population."""
+    if method not in ("iid", "moving", "stationary"):
+        raise ValueError(method)
+    total = df.where(F.col(column).isNotNull())
+    sizes = total.groupBy(*keys).agg(F.count("*").alias("_n"))
+    joined = total.select(*keys, *order, F.col(column).cast("double").alias("_x")).join(sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n"), [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]).drop(*[f"_k{i}" for i in range(len(keys))])
+    of = STATISTICS[statistic]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = None
+
+        def done() -> pd.DataFrame:
+            found = np.sort(of(sums[0], sums[1], sums[2]))
+            lower, upper = found[int((1 - level) / 2 * rounds)], found[min(int((1 + level) / 2 * rounds), rounds - 1)]
+            return pd.DataFrame([(*key, int(seen[0]), float(of(*seen[:, None])[0]), float(found.std()), float(lower), float(upper))], columns=[*keys, "n", "value", "std_error", "lower", "upper"])
+
+        for now, b in _batches_by_key(batches, keys):
+            if now != key:
+                if key is not None:
+                    yield done()
+                key, rng = now, np.random.default_rng(seed)
+                sums, seen, at = np.zeros((3, rounds)), np.zeros(3), 0
+                size = 1.0 if method == "iid" else max(block or int(b["_n"].iloc[0]) ** (1 / 3), 2.0 if block is None else 1.0)
+                phase, held = rng.integers(0, max(int(size), 1), rounds), np.zeros(rounds)
+            x = b["_x"].to_numpy()
+            for lo in range(0, len(x), 512):
+                part = x[lo : lo + 512]
+                i = np.arange(at, at + len(part))[:, None]
+                if method == "moving":
+                    fresh = (i + phase) % max(int(size), 1) == 0
+                else:
+                    fresh = rng.random((len(part), rounds)) < 1.0 / size
+                fresh |= i == 0
+                drawn = rng.poisson(1.0, fresh.shape).astype(float)
+                last = np.maximum.accumulate(np.where(fresh, np.arange(len(part))[:, None], -1), axis=0)
+                copies = np.where(last >= 0, np.take_along_axis(drawn, np.maximum(last, 0), 0), held)
+                held, at = copies[-1], at + len(part)
+                values = np.stack([np.ones(len(part)), part, part * part])
+                sums += values @ copies
+                seen += values.sum(axis=1)
+        if key is not None:
+            yield done()
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n long, value double, std_error double, lower double, upper double"
+    return _dealt(joined, keys, order).select(*keys, "_x", "_n").mapInPandas(run, schema)
+
+
+def bootstrap_sharpe(returns: DataFrame, keys: list[str], column: str = "ret", method: str = "stationary", rounds: int = 1000, level: float = 0.95, seed: int = SEED) -> DataFrame:
+    """keys, n, sharpe, std_error, lower, upper, grade and the sample statistics (mean, std, skew, kurtosis) of each series of returns (keys, ts, column).
+    Grades: high if the lower bound is over 0.5, medium if over 0, low from 252 returns on, else insufficient, as with fewer than 30."""
+    found = bootstrap(returns, keys, column, ["ts"], "sharpe", method, None, rounds, level, seed).withColumnRenamed("value", "sharpe")
+    grade = F.when(F.col("lower") > 0.5, "high").when(F.col("lower") > 0, "medium").when(F.col("n") >= 252, "low").otherwise("insufficient")
+    enough = F.col("n") >= 30
+    found = found.select(*keys, "n", *[F.when(enough, F.col(c)).alias(c) for c in ("sharpe", "std_error", "lower", "upper")], F.when(enough, grade).otherwise("insufficient").alias("grade"))
+    moments = sample_statistics(returns, keys, column).select(*keys, "mean", "std", "skew", "kurtosis")
+    return found.join(moments, keys)
+
+
+def permutation_test(df: DataFrame, keys: list[str], column: str, first: Column, order: list[str], rounds: int = ITERATIONS, seed: int = SEED) -> DataFrame:
+    """keys, n_first, n_second, difference, p: two-sided test of the difference of means between the rows for which ``first`` holds and the others.
+
+    Each round draws a subset of the first group's size without replacement as rows go by (a row is taken with the probability of those still to be
+    taken among those still to come), which makes all subsets equally likely; so one pass does, in bounded memory.  p = (extreme + 1) / (rounds + 1)."""
+    own = df.where(F.col(column).isNotNull()).select(*keys, *order, F.col(column).cast("double").alias("_x"), F.coalesce(first, F.lit(False)).alias("_first"))
+    sizes = own.groupBy(*keys).agg(F.count("*").alias("_n"), F.count_if("_first").alias("_m"), F.coalesce(F.avg(F.when(F.col("_first"), F.col("_x"))) - F.avg(F.when(~F.col("_first"), F.col("_x"))), F.lit(float("nan"))).alias("_d"), F.sum("_x").alias("_s"))
+    joined = _dealt(own.join(sizes, keys), keys, order).select(*keys, "_x", "_n", "_m", "_d", "_s")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = None
+
+        def done() -> pd.DataFrame:
+            p = None
+            if 0 < m < n:
+                drawn = total / m - (everything - total) / (n - m)
+                p = float((np.abs(drawn) >= abs(seen) - 1e-12).sum() + 1) / (rounds + 1)
+            return pd.DataFrame([(*key, m, n - m, None if m in (0, n) else seen, p)], columns=[*keys, "n_first", "n_second", "difference", "p"])
+
+        for now, b in _batches_by_key(batches, keys):
+            if now != key:
+                if key is not None:
+                    yield done()
+                key, rng = now, np.random.default_rng(seed)
+                n, m, seen, everything = int(b["_n"].iloc[0]), int(b["_m"].iloc[0]), float(b["_d"].iloc[0]), float(b["_s"].iloc[0])
+                left, total, to_come = np.full(rounds, m), np.zeros(rounds), n
+            for x in b["_x"].to_numpy():
+                taken = rng.random(rounds) * to_come < left
+                total += taken * x
+                left, to_come = left - taken, to_come - 1
+        if key is not None:
+            yield done()
+
+    kinds = dict(df.dtypes)
+    return joined.mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n_first long, n_second long, difference double, p double")
+
 
-def resample(data: np.ndarray, rng: np.random.Generator, rounds: int, method: str = "iid", block: float = 1.0) -> np.ndarray:
-    """(rounds, n) resampled values: iid, moving (whole blocks, cut to n) or stationary (geometric blocks on a circle)."""
-    n = len(data)
-    if method == "iid":
-        return data[rng.integers(0, n, (rounds, n))]
-    if method == "moving":
-        size = max(1, min(int(block), n))
-        starts = rng.integers(0, n - size + 1, (rounds, -(-n // size)))
-        return data[(starts[:, :, None] + np.arange(size)).reshape(rounds, -1)[:, :n]]
-    fresh = rng.random((rounds, n)) < 1.0 / max(block, 1.0)
-    fresh[:, 0] = True
-    at = np.where(fresh, np.arange(n), 0)
-    since = np.arange(n) - np.maximum.accumulate(at, axis=1)
-    starts = rng.integers(0, n, (rounds, n))
-    first = np.take_along_axis(starts, np.maximum.accumulate(at, axis=1), 1)
-    return data[(first + since) % n]
-
-
-def series_block(n: int) -> float:
-    return max(n ** (1 / 3), 2.0)
-
-
-def sharpes(samples: np.ndarray, annual: float = 252.0) -> np.ndarray:
-    dev = samples.std(axis=1, ddof=1)
-    return np.where(dev < 1e-10, 0.0, samples.mean(axis=1) / np.where(dev < 1e-10, 1.0, dev) * math.sqrt(annual))
-
-
-def bootstrap_sharpe(returns: DataFrame, keys: list[str], column: str = "ret", method: str = "stationary", rounds: int = 1000, level: float = 0.95, seed: int = SEED, most: int = 100_000) -> DataFrame:
-    """keys, n, sharpe, std_error, lower, upper, grade by resampling each series of returns.
-
-    A resample needs a whole series at hand: series of over ``most`` returns raise rather than fill a task.  Grades: high if the lower bound is over
-    0.5, medium if over 0, low from 252 returns on, else insufficient, as with fewer than 30."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("ts")[column].dropna().to_numpy()
-        if len(x) > most:
-            raise ValueError(f"{len(x)} returns in a series; at most {most}")
-        row = pdf.iloc[[0]][keys].copy()
-        if len(x) < 30:
-            return row.assign(n=len(x), sharpe=np.nan, std_error=np.nan, lower=np.nan, upper=np.nan, grade="insufficient")
-        rng, found = np.random.default_rng(seed), []
-        for lo in range(0, rounds, step := max(1, 2_000_000 // len(x))):
-            found.append(sharpes(resample(x, rng, min(step, rounds - lo), method, series_block(len(x)))))
-        s = np.sort(np.concatenate(found))
-        lower, upper = s[int((1 - level) / 2 * rounds)], s[min(int((1 + level) / 2 * rounds), rounds - 1)]
-        grade = "high" if lower > 0.5 else "medium" if lower > 0 else "low" if len(x) >= 252 else "insufficient"
-        return row.assign(n=len(x), sharpe=sharpes(x[None])[0], std_error=s.std(), lower=lower, upper=upper, grade=grade)
-
-    kinds = dict(returns.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long, sharpe double, std_error double, lower double, upper double, grade string"
-    return returns.select(*keys, "ts", column).groupBy(*keys).applyInPandas(run, schema)
-
-
-def permutation_test(a: np.ndarray, b: np.ndarray, rounds: int = 10_000, seed: int = SEED) -> float:
-    """Two-sided p-value of the difference of means."""
-    both, n = np.concatenate([a, b]), len(a)
-    seen, rng, extreme = abs(a.mean() - b.mean()), np.random.default_rng(seed), 0
-    for _ in range(rounds):
-        x = rng.permutation(both)
-        extreme += abs(x[:n].mean() - x[n:].mean()) >= seen - 1e-15
-    return (extreme + 1) / (rounds + 1)
-
-
-def cross_confidence(df: DataFrame, keys: list[str], column: str, least: int, floors: tuple[float, float], rounds: int = 1000, seed: int = SEED, most: int = 100_000) -> DataFrame:
+def cross_confidence(df: DataFrame, keys: list[str], column: str, least: int, floors: tuple[float, float], rounds: int = 1000, seed: int = SEED) -> DataFrame:
     """keys, n, mean, lower, upper, grade: a bootstrap of the mean of one value per member (symbol or sector).
 
     High: lower bound over 0.5, interval under 0.75 wide, at least 80% of members positive, and the worst over the first floor; medium: lower bound over
-    0, 70%, and the worst over the second; insufficient under ``least`` members.  More than ``most`` members raise."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(pdf[column].dropna().to_numpy())
-        if len(x) > most:
-            raise ValueError(f"{len(x)} members; at most {most}")
-        row = pdf.iloc[[0]][keys].copy()
-        if len(x) < least:
-            return row.assign(n=len(x), mean=np.nan, lower=np.nan, upper=np.nan, grade="insufficient")
-        rng = np.random.default_rng(seed)
-        s = np.sort([x[rng.integers(0, len(x), len(x))].mean() for _ in range(rounds)])
-        lower, upper, positive = s[int(0.025 * rounds)], s[min(int(0.975 * rounds), rounds - 1)], (x > 0).mean()
-        high = lower > 0.5 and upper - lower < 0.75 and positive >= 0.8 and x[0] > floors[0]
-        grade = "high" if high else "medium" if lower > 0 and positive >= 0.7 and x[0] > floors[1] else "low"
-        return row.assign(n=len(x), mean=x.mean(), lower=lower, upper=upper, grade=grade)
-
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long, mean double, lower double, upper double, grade string"
-    return df.select(*keys, column).groupBy(*keys).applyInPandas(run, schema)
+    0, 70%, and the worst over the second; insufficient under ``least`` members."""
+    found = bootstrap(df, keys, column, [column], "mean", "iid", None, rounds, 0.95, seed)
+    own = df.groupBy(*keys).agg(F.min(column).alias("_least"), F.avg((F.col(column) > 0).cast("double")).alias("_positive"))
+    low, up, worst, share = F.col("lower"), F.col("upper"), F.col("_least"), F.col("_positive")
+    grade = F.when((low > 0.5) & (up - low < 0.75) & (share >= 0.8) & (worst > floors[0]), "high").when((low > 0) & (share >= 0.7) & (worst > floors[1]), "medium").otherwise("low")
+    enough = F.col("n") >= least
+    return found.join(own, keys).select(*keys, "n", F.when(enough, F.col("value")).alias("mean"), F.when(enough, low).alias("lower"), F.when(enough, up).alias("upper"), F.when(enough, grade).otherwise("insufficient").alias("grade"))
 
 
 def symbol_confidence(results: DataFrame, keys: list[str]) -> DataFrame:
@@ -172,17 +240,21 @@ def mean_p_values(df: DataFrame, keys: list[str], column: str) -> DataFrame:
 # --- multiple comparisons ---
 
 
-def adjusted(df: DataFrame, p: str = "p", family: list[str] | None = None, ties: tuple[str, ...] = ("config_id",)) -> DataFrame:
-    """bonferroni, holm and bh: adjusted p-values over each family (all rows, if none is named; the tests, not the data)."""
-    keys = [F.col(c) for c in family or []] or [F.lit(1)]
-    every = Window.partitionBy(*keys)
-    w = every.orderBy(p, *ties)
-    out = df.withColumns({"_m": F.count(p).over(every), "_i": F.row_number().over(w)})
-    m, i, x = F.col("_m"), F.col("_i"), F.col(p)
-    rising = w.rowsBetween(Window.unboundedPreceding, 0)
-    falling = w.rowsBetween(0, Window.unboundedFollowing)
+def adjusted(df: DataFrame, p: str = "p", family: list[str] | None = None) -> DataFrame:
+    """bonferroni, holm and bh: adjusted p-values over each family (all rows, if none is named; the tests, not the data).  Rows with equal p have
+    equal adjusted ones, so distinct values are ordered, by buckets of p; no family passes through one task."""
+    keys = family or []
+    values = df.where(F.col(p).isNotNull()).groupBy(*keys, F.col(p).alias("_p")).agg(F.count("*").alias("_c"))
+    ranked = with_running(values, keys, p_bucket(F.col("_p")), "_p", sums={"_i": F.col("_c")})
+    totals = values.groupBy(*keys).agg(F.sum("_c").alias("_m"))
+    ranked = ranked.join(totals, keys) if keys else ranked.crossJoin(totals)
+    x, m, last = F.col("_p"), F.col("_m"), F.col("_i")
     cap = lambda v: F.least(v, F.lit(1.0))
-    return out.withColumns({"bonferroni": cap(x * m), "holm": cap(F.max(x * (m - i + 1)).over(rising)), "bh": cap(F.min(x * m / i).over(falling))}).drop("_m", "_i")
+    ranked = ranked.withColumns({"_h": x * (m - (last - F.col("_c"))), "_q": x * m / last})
+    found = with_running(ranked, keys, p_bucket(x), "_p", greatest={"_holm": F.col("_h")}, least_after={"_bh": F.col("_q")})
+    found = found.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_p"), cap(x * m).alias("bonferroni"), cap(F.col("_holm")).alias("holm"), cap(F.col("_bh")).alias("bh"))
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys] + [F.col(p) == F.col("_p")]
+    return df.join(found, same, "left").drop("_p", *[f"_of_{k}" for k in keys])
 
 
 def downgraded(grade: Column, adjusted_p: Column, alpha: float = 0.05) -> Column:

@@ -44,7 +44,7 @@ SQL["src_bars_event"] = with_(EVENT, f"SELECT symbol, ts, {', '.join(f'{r4(c)} A
 SQL["src_bars_nation"] = with_(NATION, f"SELECT symbol, sector, ts, {', '.join(f'{r4(c)} AS {c}' for c in ('open', 'high', 'low', 'close', 'volume'))}, '1w' AS timeframe FROM b")
 SQL["src_date_range"] = with_(NATION, "SELECT symbol, min(ts)::DATE AS first, max(ts)::DATE AS last FROM b GROUP BY 1")
 SQL["src_by_year"] = with_(NATION, "SELECT symbol, year(ts)::INT AS year, count(*) AS bars FROM b GROUP BY 1, 2")
-SQL["join_sector"] = with_(NATION, "SELECT coalesce(x.r_name, 'Unknown') AS sector, count(*) AS bars, count(DISTINCT symbol) AS symbols FROM b LEFT JOIN (SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 <> 0) x ON x.n_name = symbol GROUP BY 1")
+SQL["join_sector"] = with_(NATION, "SELECT coalesce(x.r_name, 'Unknown') AS sector, count(*) AS bars, count(DISTINCT symbol) AS symbols FROM b LEFT JOIN (SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) x ON x.n_name = symbol GROUP BY 1")
 OB = "ob AS (SELECT o_orderpriority AS symbol, o_orderdate AS ts, o_orderkey, o_totalprice AS open, o_totalprice + o_orderkey % 3 - 1 AS high, o_totalprice - o_orderkey % 5 + 1 AS low, o_totalprice AS close FROM orders)"
 DUP = "SELECT symbol, ts, count(*) AS count FROM ob GROUP BY 1, 2 HAVING count(*) > 1"
 DIS = "SELECT * FROM (SELECT symbol, o_orderkey, ts, lag(ts) OVER (PARTITION BY symbol ORDER BY o_orderkey) AS previous_ts FROM ob) WHERE ts < previous_ts"
@@ -202,7 +202,7 @@ SQL["ana_excursions"] = recursive(
 # tables of results
 SQL["rel_query"] = with_(RESULT, "SELECT symbol, config_id, sharpe, max_drawdown FROM r WHERE sharpe >= -0.2 AND max_drawdown <= 0.9 AND num_trades >= 5 AND win_rate >= 0.3 ORDER BY sharpe DESC, symbol, config_id LIMIT 50")
 SQL["rel_top_per_sector"] = with_(RESULT, "SELECT sector, symbol, config_id, sharpe, rank FROM (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY sharpe DESC, symbol, config_id)::INT AS rank FROM r) WHERE rank <= 3")
-SQL["rel_heatmap"] = with_(RESULT, "SELECT entry_lookback, exit_lookback, sharpe AS value FROM r WHERE symbol = 'NATION_3'")
+SQL["rel_heatmap"] = with_(RESULT, "SELECT symbol, strategy_type, entry_lookback, exit_lookback, sharpe AS value FROM r")
 SQL["rel_split"] = with_(NATION, "SELECT symbol, CASE WHEN ts < '1998-01-01' THEN 'train' ELSE 'test' END AS part, count(*) AS bars, min(ts) AS first, max(ts) AS last FROM b WHERE ts < '1998-01-01' OR ts >= '1998-01-31' GROUP BY 1, 2")
 SQL["rel_slice"] = with_(NATION, f"SELECT symbol, ts, {r4('close')} AS close FROM b WHERE rn > 10 AND rn <= 20")
 SQL["agg_summary"] = with_(RESULT, f"SELECT {r4('avg(sharpe)')} AS avg_sharpe, max(sharpe) AS max_sharpe, min(sharpe) AS min_sharpe, {r4('avg(cagr)')} AS avg_cagr, {r4('avg(max_drawdown)')} AS avg_drawdown, {r4('avg(num_trades)')} AS avg_trades FROM r")
@@ -210,7 +210,7 @@ SQL["agg_sensitivity"] = with_(RESULT, " UNION ALL ".join(f"SELECT '{c}' AS para
 SQL["agg_compare"] = with_(RESULT, f"SELECT strategy_type, count(*) AS n_configs, {r4('avg(sharpe)')} AS avg_sharpe, max(sharpe) AS best_sharpe, min(sharpe) AS worst_sharpe, {r4('avg(cagr)')} AS avg_cagr, max(cagr) AS best_cagr, {r4('avg(max_drawdown)')} AS avg_drawdown, max(max_drawdown) AS worst_drawdown, {r4('avg(num_trades)')} AS avg_trades FROM r GROUP BY 1")
 SQL["agg_strategy_summary"] = with_(RESULT, "SELECT strategy_type, count(*) AS n, count(DISTINCT symbol) AS symbols, " + ", ".join(f"{r4(f'{g}({c})')} AS {n}_{c}" for c in ("sharpe", "cagr", "max_drawdown") for n, g in (("mean", "avg"), ("median", "median"), ("std", "stddev_samp"))) + " FROM r GROUP BY 1")
 SQL["agg_symbol_summary"] = with_(RESULT, f"SELECT symbol, count(*) AS n, {r4('avg(sharpe)')} AS mean_sharpe, {r4('median(sharpe)')} AS median_sharpe, max(sharpe) AS max_sharpe, {r4('avg(cagr)')} AS mean_cagr, {r4('avg(max_drawdown)')} AS mean_drawdown FROM r GROUP BY 1")
-SQL["agg_matrix"] = with_(RESULT, "SELECT strategy_type, " + ", ".join(f"round(avg(sharpe) FILTER (symbol = 'NATION_{i}'), 4) + 0.0 AS \"NATION_{i}\"" for i in range(5)) + " FROM r GROUP BY 1")
+SQL["agg_matrix"] = with_(RESULT, "SELECT strategy_type, " + ", ".join(f"round(avg(sharpe) FILTER (symbol = 'NATION_{i}'), 4) + 0.0 AS \"NATION_{i}\"" for i in range(25)) + " FROM r GROUP BY 1")
 SQL["agg_robustness"] = with_(RESULT, f"SELECT strategy_type, config_id, count(DISTINCT symbol) AS symbols, {r4('avg(sharpe)')} AS mean_sharpe, {r4('stddev_samp(sharpe)')} AS std_sharpe, min(sharpe) AS min_sharpe, max(sharpe) AS max_sharpe, {r4('avg((sharpe > 0)::INT)')} AS win_ratio, {r4('avg(sharpe) - 0.5 * coalesce(stddev_samp(sharpe), 0)')} AS robust_score, {r4('avg(sharpe) / (1 + coalesce(stddev_samp(sharpe), 0))')} AS robustness FROM r GROUP BY 1, 2 HAVING count(DISTINCT symbol) >= 10")
 SQL["agg_top_performers"] = with_(RESULT, f"SELECT strategy_type, count(*) AS total, count(*) FILTER (k <= greatest(1, floor(n * 0.1))) AS in_top, {r4('100.0 * count(*) FILTER (k <= greatest(1, floor(n * 0.1))) / count(*)')} AS pct_in_top FROM (SELECT *, rank() OVER (ORDER BY sharpe DESC) AS k, count(*) OVER () AS n FROM r) GROUP BY 1")
 SQL["agg_universal_winners"] = with_(RESULT + ", p AS (SELECT *, (rank() OVER (PARTITION BY symbol ORDER BY sharpe DESC) + (count(*) OVER (PARTITION BY symbol, sharpe) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY symbol) AS q FROM r)", f"SELECT strategy_type, config_id, count(DISTINCT symbol) AS symbols, count(*) FILTER (q <= 0.5) AS top_half, count(*) FILTER (q <= 0.25) AS top_quarter, count(*) FILTER (q <= 0.1) AS top_tenth, {r4('avg(q)')} AS mean_percentile FROM p GROUP BY 1, 2 HAVING count(DISTINCT symbol) >= 10")
@@ -218,10 +218,10 @@ SQL["agg_parameters"] = with_(RESULT + ", k AS (SELECT *, row_number() OVER (PAR
 for _key, _cols in (("symbol", "symbol, config_id, sharpe"), ("strategy_type", "strategy_type, symbol, config_id, sharpe")):
     SQL["agg_best_per_symbol" if _key == "symbol" else "agg_best_per_strategy"] = with_(RESULT, f"SELECT {_cols} FROM (SELECT *, row_number() OVER (PARTITION BY {_key} ORDER BY (num_trades > 0) DESC, sharpe DESC, symbol, config_id) AS i FROM r) WHERE i = 1")
 SQL["agg_combos"] = with_(RESULT + ", x AS (SELECT *, unnest([strategy_type, 'p' || iteration]) AS component FROM r)", f"SELECT component, count(*) AS n, {r4('avg(sharpe)')} AS mean_sharpe, {r4('median(sharpe)')} AS median_sharpe, count(DISTINCT config_id) AS configs, {r4('100.0 * count(DISTINCT config_id) / (SELECT count(DISTINCT config_id) FROM r)')} AS pct_of_combos FROM x GROUP BY 1")
-SQL["agg_synergy"] = with_(RESULT + ", a AS (SELECT strategy_type, avg(sharpe) AS own FROM r GROUP BY 1)", f"SELECT config_id, {r4('sharpe')} AS sharpe, {r4('own')} AS expected, {r4('sharpe - own')} AS synergy FROM r JOIN a USING (strategy_type) WHERE symbol = 'NATION_1'")
+SQL["agg_synergy"] = with_(RESULT + ", a AS (SELECT strategy_type, avg(sharpe) AS own FROM r GROUP BY 1)", f"SELECT symbol, config_id || '+' || o.strategy_type AS config_id, {r4('sharpe')} AS sharpe, {r4('(a.own + o.own) / 2')} AS expected, {r4('sharpe - (a.own + o.own) / 2')} AS synergy FROM r JOIN a USING (strategy_type), a o")
 SQL["agg_combo_single"] = with_(RESULT, f"SELECT iteration > 2 AS is_combo, count(*) AS n, {r4('avg(sharpe)')} AS mean_sharpe, {r4('median(sharpe)')} AS median_sharpe, max(sharpe) AS max_sharpe, {r4('100 * avg((sharpe > 0)::INT)')} AS pct_positive FROM r GROUP BY 1")
 SQL["agg_entropy"] = with_(RESULT + ", m AS (SELECT CASE WHEN hi = lo THEN 0 ELSE least(floor((max_drawdown - lo) * 20 / (hi - lo)), 19) END AS bin, count(*) AS n FROM r, (SELECT min(max_drawdown) AS lo, max(max_drawdown) AS hi FROM r) GROUP BY 1)", f"SELECT {r4('-sum(n / t * log2(n / t))')} AS entropy, count(*) AS bins_used FROM m, (SELECT sum(n)::DOUBLE AS t FROM m)")
-SQL["agg_uniqueness"] = with_(RESULT + ", q AS (SELECT iteration, count(*) AS new_configs FROM (SELECT config_id, min(iteration) AS iteration FROM r GROUP BY 1) GROUP BY 1)", "SELECT iteration, new_configs, (sum(new_configs) OVER (ORDER BY iteration))::BIGINT AS seen FROM q")
+SQL["agg_uniqueness"] = with_(RESULT + ", q AS (SELECT i.iteration, count(f.config_id) AS new_configs FROM (SELECT DISTINCT iteration FROM r) i LEFT JOIN (SELECT config_id, min(iteration) AS iteration FROM r GROUP BY 1) f ON f.iteration = i.iteration GROUP BY 1), u AS (SELECT *, (sum(new_configs) OVER (ORDER BY iteration))::BIGINT AS seen FROM q), e AS (SELECT min(iteration) AS lo, max(iteration) AS hi, arg_min(seen, iteration) AS first, max(seen) AS total FROM u)", f"SELECT iteration, new_configs, seen, (SELECT count(*) FROM r) AS total_tests, total AS unique_configs, {r4('1 - total / (SELECT count(*) FROM r)')} AS duplicate_ratio, {r4('CASE WHEN hi > lo THEN (total - first) / (hi - lo + 1) ELSE 0 END')} AS uniqueness_rate FROM u, e")
 SQL["join_merge_boards"] = with_(RESULT, "SELECT symbol, config_id, sharpe FROM r WHERE sharpe > -1 OR sharpe < 0.2")
 SQL["join_compare"] = "SELECT 'sharpe' AS metric, 0.001::DOUBLE AS max_diff, 0.001::DOUBLE AS mean_diff, FALSE AS within UNION ALL SELECT 'cagr', 0, 0, TRUE"
 SQL["sec_performance"] = with_(RESULT, "SELECT sector, count(*) AS n, " + ", ".join(f"{r4(f'{g}({c})')} AS {n}_{c}" for c in ("sharpe", "cagr", "max_drawdown") for n, g in (("avg", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max"))) + f", {r4('avg(sortino)')} AS avg_sortino, {r4('avg(win_rate)')} AS avg_win_rate, {r4('avg(num_trades)')} AS avg_trades, sum(num_trades)::BIGINT AS total_trades FROM r GROUP BY 1")
@@ -313,3 +313,166 @@ for _name, (_ctes, _rel, *_tests) in REC.items():
 # votes of three Donchian strategies
 VOTE = "t AS (SELECT *, " + ", ".join(f"coalesce(rn > {n} AND close > max(high) OVER {p(n)}, FALSE)::INT AS e{n}, coalesce(rn > {n} AND close < min(low) OVER {p(n // 2)}, FALSE)::INT AS x{n}" for n in (10, 20, 40)) + " FROM b)"
 SQL["str_vote_majority"] = with_(f"{NATION}, {VOTE}", "SELECT symbol, ts, e10 + e20 + e40 > 1 AS raw_entry, x10 + x20 + x40 > 1 AS raw_exit FROM t")
+
+# --- queries over whole tables of results ---
+COMBO = RESULT + ", c AS (SELECT *, iteration > 2 AS is_combo, CASE iteration WHEN 3 THEN 'majority' WHEN 4 THEN 'weighted' ELSE 'unanimous' END AS voting_method FROM r)"
+SQL["agg_voting_methods"] = with_(COMBO, f"SELECT voting_method, count(*) AS n, {r4('median(sharpe)')} AS median_sharpe, {r4('avg(sharpe)')} AS mean_sharpe, {r4('stddev_samp(sharpe)')} AS std_sharpe, {r4('median(cagr)')} AS median_cagr, {r4('avg(max_drawdown)')} AS avg_max_dd, {r4('avg(num_trades)')} AS avg_trades FROM c WHERE is_combo GROUP BY 1")
+SQL["agg_combo_robustness"] = with_(COMBO + ", cg AS (SELECT is_combo, avg(sharpe) AS m, stddev_samp(sharpe) AS d, avg((sharpe > 0)::INT) AS w FROM c GROUP BY is_combo, strategy_type, config_id HAVING count(*) >= 5)", f"SELECT n.name AS category, count(m) AS num_configs, {r4('coalesce(avg(w), 0)')} AS avg_symbol_win_ratio, {r4('coalesce(avg(m), 0)')} AS avg_sharpe, {r4('coalesce(avg(d), 0)')} AS avg_sharpe_std, {r4('coalesce(avg(m / (1 + coalesce(d, 0))), 0)')} AS avg_robustness_score FROM (VALUES ('Combo', TRUE), ('Single', FALSE)) n(name, flag) LEFT JOIN cg ON cg.is_combo = n.flag GROUP BY 1")
+BIN = "CASE WHEN hi = lo THEN 0 ELSE least(floor((x - lo) * {0} / (hi - lo)), {0} - 1) END"
+SQL["agg_parameter_spread"] = with_(
+    RESULT + ", v AS (SELECT strategy_type, iteration, unnest([{'p': 'num_trades', 'x': num_trades::DOUBLE}, {'p': 'sortino', 'x': sortino}], recursive := true) FROM r), l AS (SELECT CASE WHEN max(iteration) > 3 THEN max(iteration) - 3 ELSE max(iteration) // 2 END AS late FROM r), e AS (SELECT strategy_type, p, min(x) AS lo, max(x) AS hi, count(*) AS n FROM v GROUP BY 1, 2), "
+    f"h AS (SELECT strategy_type, p, {BIN.format(20)} AS bin, count(*) AS k, any_value(n) AS n FROM v JOIN e USING (strategy_type, p) GROUP BY 1, 2, 3), t AS (SELECT strategy_type, p, -sum(k / n * log2(k / n)) AS entropy FROM h GROUP BY 1, 2)",
+    f"SELECT strategy_type, p AS parameter, {r4('min(x)')} AS all_min, {r4('max(x)')} AS all_max, {r4('avg(x)')} AS all_mean, {r4('stddev_samp(x)')} AS all_std, count(x) AS all_count, {r4('avg(x) FILTER (iteration <= 2)')} AS early_mean, {r4('stddev_samp(x) FILTER (iteration <= 2)')} AS early_std, {r4('avg(x) FILTER (iteration >= late)')} AS late_mean, {r4('stddev_samp(x) FILTER (iteration >= late)')} AS late_std, {r4('any_value(entropy)')} AS entropy FROM v JOIN t USING (strategy_type, p), l GROUP BY 1, 2",
+)
+SQL["agg_convergence"] = with_(
+    RESULT + ", i AS (SELECT iteration, row_number() OVER (ORDER BY iteration) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT iteration FROM r)), s AS (SELECT iteration, k // greatest(1, n // 10) AS w FROM i WHERE n >= 5), v AS (SELECT w, sharpe AS x, iteration FROM r JOIN s USING (iteration)), e AS (SELECT w, min(x) AS lo, max(x) AS hi, count(*) AS n, min(iteration) AS a, max(iteration) AS b FROM v GROUP BY 1 HAVING count(*) >= 5), "
+    f"h AS (SELECT w, {BIN.format(10)} AS bin, count(*) AS k, any_value(n) AS n, any_value(a) AS a, any_value(b) AS b FROM v JOIN e USING (w) GROUP BY 1, 2), t AS (SELECT w, any_value(a) AS a, any_value(b) AS b, any_value(n) AS n, -sum(k / n * log2(k / n)) AS y FROM h GROUP BY 1), z AS (SELECT arg_min(y, w) AS y0, arg_max(y, w) AS y1, count(*) AS c FROM t)",
+    f"SELECT a AS iteration_start, b AS iteration_end, {r4('y')} AS entropy, n AS sample_size, {r4('y0')} AS initial_entropy, {r4('y1')} AS final_entropy, {r4('CASE WHEN c >= 2 AND y0 > 0 THEN (y0 - y1) / y0 ELSE 0 END')} AS convergence_rate FROM t, z",
+)
+SQL["agg_discovery"] = with_(RESULT, "SELECT max(iteration) AS last_discovery, (SELECT max(iteration) FROM r) AS iterations, (SELECT max(iteration) FROM r) - max(iteration) AS stagnation FROM (SELECT iteration FROM r ORDER BY sharpe DESC, config_id LIMIT 10)")
+SQL["agg_coverage"] = with_(RESULT + ", e AS (SELECT min(sharpe) AS a, max(sharpe) AS b, min(cagr) AS c, max(cagr) AS d FROM r)", f"SELECT count(DISTINCT (least(floor((sharpe - a) * 10 / (b - a)), 9), least(floor((cagr - c) * 10 / (d - c)), 9))) AS visited, {r4('count(DISTINCT (least(floor((sharpe - a) * 10 / (b - a)), 9), least(floor((cagr - c) * 10 / (d - c)), 9))) / 100.0')} AS coverage FROM r, e")
+SQL["swp_neighbours"] = with_(
+    RESULT + ", g2 AS (SELECT symbol, strategy_type, config_id, entry_lookback // 5 AS n, exit_lookback AS k, sharpe FROM r), h AS (SELECT a.symbol, a.strategy_type, a.config_id, any_value(a.sharpe) AS x, count(b.sharpe) AS n, avg(b.sharpe) AS mean, coalesce(var_pop(b.sharpe), 0) AS v FROM g2 a LEFT JOIN g2 b ON b.symbol = a.symbol AND b.strategy_type = a.strategy_type AND greatest(abs(b.n - a.n), abs(b.k - a.k)) BETWEEN 1 AND 2 GROUP BY 1, 2, 3)",
+    f"SELECT symbol, strategy_type, config_id, n, {r4('mean')} AS mean, {r4('v')} AS variance, {r4('CASE WHEN v > 0 THEN 1 / (1 + abs(x - mean) / greatest(sqrt(v), 0.001)) ELSE 1 END')} AS stability FROM h",
+)
+# Weights of four risk profiles on seven components.
+PROFILE = {
+    "balanced": (0.225, 0.10, 0.15, 0.10, 0.10, 0.20, 0.125),
+    "conservative": (0.175, 0.15, 0.10, 0.15, 0.15, 0.15, 0.125),
+    "aggressive": (0.325, 0.05, 0.20, 0.10, 0.05, 0.15, 0.125),
+    "trend_options": (0.25, 0.05, 0.25, 0.10, 0.05, 0.20, 0.10),
+}
+ACROSS = RESULT + ", a AS (SELECT strategy_type, config_id, avg(sharpe) AS avg_sharpe, min(sharpe) AS min_sharpe, exp(avg(ln(greatest(1 + cagr, 1e-10)))) - 1 AS geo, avg((cagr > 0)::INT) AS hit, max(max_drawdown) AS down FROM r GROUP BY 1, 2)"
+
+
+def robust(sharpe: float, least: float, hit: float, down: float, tail: float, kurtosis: float, regime: float) -> str:
+    return f"({sharpe} * least(greatest(avg_sharpe / 2, 0), 1.5) + {least} * least(greatest(min_sharpe / 2, -0.5), 1) + {hit} * hit + {down} * (1 - least(greatest(down, 0), 1)) + 0.5 * ({tail} + {kurtosis} + {regime}))"
+
+
+SQL["lb_robust_score"] = with_(ACROSS, f"SELECT config_id, {r4(robust(0.25, 0.10, 0.20, 0.15, 0.10, 0.10, 0.10))} AS score, {r4(robust(*PROFILE['trend_options']))} AS trend_score FROM a")
+_boards = " UNION ALL ".join(f"SELECT '{p}' AS profile, (row_number() OVER (ORDER BY v DESC, config_id))::INT AS rank, config_id, {r4('v')} AS rank_value FROM (SELECT *, row_number() OVER (PARTITION BY strategy_type ORDER BY v DESC, config_id) AS i FROM (SELECT strategy_type, config_id, {robust(*ws)} AS v FROM a)) WHERE i <= 3" for p, ws in PROFILE.items())
+SQL["lb_ranked_by_profile"] = with_(ACROSS, f"SELECT * FROM ({_boards}) WHERE rank <= 10")
+_boards = " UNION ALL ".join(f"SELECT '{m}' AS metric, (row_number() OVER (ORDER BY {c} DESC, config_id))::INT AS rank, config_id, {r4(c)} AS rank_value FROM a" for m, c in (("avg_sharpe", "avg_sharpe"), ("min_sharpe", "min_sharpe"), ("geo_mean_cagr", "geo"), ("hit_rate", "hit"), ("mean_oos_sharpe", "avg_sharpe")))
+SQL["lb_ranked_by_metric"] = with_(ACROSS, f"SELECT * FROM ({_boards}) WHERE rank <= 5")
+
+# --- portfolios ---
+ALIGNED = f"{EVENT}, dd AS (SELECT ts FROM e GROUP BY ts HAVING count(DISTINCT symbol) = (SELECT count(DISTINCT symbol) FROM e)), q AS (SELECT symbol, ts, close + 1000 AS equity FROM e SEMI JOIN dd USING (ts)), {RET.format('q')}, wt AS (SELECT symbol, 1 / greatest(stddev_samp(ret), 1e-10) AS v FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM rd WHERE ret IS NOT NULL) WHERE k <= 60 GROUP BY 1), wn AS (SELECT symbol, v / sum(v) OVER () AS weight FROM wt)"
+SQL["lb_portfolio_inverse"] = with_(f"{ALIGNED}, x AS (SELECT ts, exp(sum(weight * ln(greatest(1 + ret, 1e-10)))) - 1 AS ret FROM rd JOIN wn USING (symbol) WHERE ret IS NOT NULL GROUP BY ts)", "SELECT ts, round(ret, 3) + 0.0 AS ret, round(100000 * exp(sum(ln(1 + ret)) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING)), 3) + 0.0 AS equity FROM x")
+SQL["lb_portfolio_summary"] = with_(
+    f"{ALIGNED}, x AS (SELECT ts, sum(weight * ret) AS ret FROM rd JOIN wn USING (symbol) WHERE ret IS NOT NULL GROUP BY ts), c AS (SELECT *, 100000 * exp(sum(ln(1 + ret)) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING)) AS eq FROM x), k AS (SELECT *, greatest(max(eq) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING), 100000) AS pk FROM c)",
+    f"SELECT (SELECT count(*) FROM wn) AS symbols, count(*) + 1 AS overlap_days, {r4('max((pk - eq) / pk)')} AS max_drawdown, {r4('avg(ret) / stddev_samp(ret) * sqrt(252)')} AS sharpe, {r4('pow(arg_max(eq, ts) / 100000, 252.0 / (count(*) + 1)) - 1')} AS cagr, {r4('(SELECT max(weight) FROM wn)')} AS largest_weight FROM k HAVING count(*) >= 20",
+)
+
+# --- more strategies ---
+MORE: dict[str, tuple] = {}
+MORE["turtle_s1"] = SIG["donchian"]
+MORE["turtle_s2"] = (f"t AS (SELECT *, max(high) OVER {p(55)} AS u, min(low) OVER {p(55)} AS l, max(high) OVER {p(20)} AS u2, min(low) OVER {p(20)} AS l2 FROM b)", "t", "rn > 55 AND close > u", "rn > 55 AND close < l2", "rn > 55 AND close < l", "rn > 55 AND close > u2")
+FLIPS = "t2 AS (SELECT *, up AND NOT was AS turned_up, NOT up AND was AS turned_down FROM y)"
+MORE["supertrend_volume"] = (f"{ST}, vy AS (SELECT *, avg(volume) OVER {w(20)} AS vs FROM y)", "vy", "rn > 20 AND up AND NOT was AND volume >= vs", "rn > 20 AND NOT up AND was")
+MORE["supertrend_confirmed"] = (f"{ST}, r1 AS (SELECT *, rn - coalesce(max(CASE WHEN NOT coalesce(up, FALSE) THEN rn END) OVER ({S} ROWS UNBOUNDED PRECEDING), 0) AS run FROM y)", "r1", "rn > 13 AND run = 3", "rn > 13 AND NOT up")
+MORE["supertrend_asymmetric"] = (
+    f"{T}, st0 AS (SELECT symbol, rn, close, (high + low) / 2 AS mid, avg(coalesce(tr, high - low)) OVER {w(10)} AS atr FROM t), {supertrend(0.1, False, 's1')}, {supertrend(0.3, False, 's2')}, y AS (SELECT b.*, s1.up AS u1, lag(s1.up) OVER (PARTITION BY b.symbol ORDER BY b.ts) AS w1, s2.up AS u2, lag(s2.up) OVER (PARTITION BY b.symbol ORDER BY b.ts) AS w2 FROM b {JOIN.format('s1')} {JOIN.format('s2')})",
+    "y", "rn > 10 AND u1 AND NOT w1", "rn > 10 AND NOT u2 AND w2",
+)
+MORE["high_52w_trailing"] = (
+    f"x0 AS (SELECT *, CASE WHEN rn >= 52 THEN close / max(close) OVER {w(52)} END AS x FROM b), x1 AS (SELECT *, coalesce(x < 0.9, TRUE) AS far FROM x0), x2 AS (SELECT *, sum(far::INT) OVER ({S} ROWS UNBOUNDED PRECEDING) AS island FROM x1), "
+    f"x3 AS (SELECT *, max(CASE WHEN NOT far THEN close END) OVER (PARTITION BY symbol, island ORDER BY ts ROWS UNBOUNDED PRECEDING) AS top0 FROM x2), x4 AS (SELECT *, coalesce(top0, last_value(top0 IGNORE NULLS) OVER ({S} ROWS UNBOUNDED PRECEDING)) AS top FROM x3)",
+    "x4", "rn > 52 AND x >= 0.9", "rn > 52 AND close < 0.7 * top",
+)
+MORE["heikin_ashi"] = (
+    f"h AS (SELECT symbol, rn, (open + close) / 2 AS ho, (open + high + low + close) / 4 AS hc FROM b WHERE rn = 1 UNION ALL SELECT b.symbol, b.rn, (h.ho + h.hc) / 2, (b.open + b.high + b.low + b.close) / 4 FROM h JOIN b ON b.symbol = h.symbol AND b.rn = h.rn + 1), "
+    f"h1 AS (SELECT b.*, hc > ho AS bull, hc < ho AS bear FROM b JOIN h ON h.symbol = b.symbol AND h.rn = b.rn), h2 AS (SELECT *, rn - coalesce(max(CASE WHEN NOT bear THEN rn END) OVER ({S} ROWS UNBOUNDED PRECEDING), 0) AS bears, rn - coalesce(max(CASE WHEN NOT bull THEN rn END) OVER ({S} ROWS UNBOUNDED PRECEDING), 0) AS bulls FROM h1), h3 AS (SELECT *, lag(bears) OVER ({S}) AS bears0, lag(bulls) OVER ({S}) AS bulls0 FROM h2)",
+    "h3", "rn > 4 AND bull AND bears0 >= 3", "rn > 4 AND bear", "rn > 4 AND bear AND bulls0 >= 3", "rn > 4 AND bull",
+)
+PS = SQL["rec_parabolic_sar"].removeprefix("WITH RECURSIVE ").rsplit(" SELECT b.symbol, b.ts,", 1)[0].removeprefix(NATION + ", ")
+PSY = f"{PS}, y AS (SELECT b.*, ps.up, lag(ps.up) OVER (PARTITION BY b.symbol ORDER BY b.ts) AS was FROM b {JOIN.format('ps')})"
+MORE["psar"] = (PSY, "y", "rn > 5 AND (coalesce(up AND NOT was, FALSE) OR (rn = 6 AND up))", "rn > 5 AND NOT up AND was", "rn > 5 AND NOT up AND was", "rn > 5 AND up AND NOT was")
+MORE["psar_filtered"] = (f"{PSY}, y2 AS (SELECT *, avg(close) OVER {w(50)} AS sm FROM y)", "y2", "rn > 50 AND up AND NOT was AND close > sm", "rn > 50 AND NOT up AND was")
+MORE["psar_delayed"] = (f"{PSY}, y2 AS (SELECT *, lag(coalesce(up AND NOT was, FALSE), 2) OVER ({S}) AS flip, rn - coalesce(max(CASE WHEN NOT coalesce(up, FALSE) THEN rn END) OVER ({S} ROWS UNBOUNDED PRECEDING), 0) AS run FROM y)", "y2", "rn > 7 AND flip AND run >= 3", "rn > 7 AND NOT up AND was")
+RSI5 = f"{CHANGES}, {ema(5, '1.0::DOUBLE / 5', 'up', 'ch', 'u')}, {ema(5, '1.0::DOUBLE / 5', 'dn', 'ch', 'n')}, z AS (SELECT b.*, CASE WHEN n.v = 0 THEN 100 ELSE 100 - 100 / (1 + u.v / n.v) END AS rsi FROM b {JOIN.format('u')} {JOIN.format('n')})"
+MORE["rsi_bollinger"] = (f"{RSI5}, y AS (SELECT *, {MID} AS mid, {DEV} AS dev FROM z)", "y", "rn > 20 AND rsi < 45 AND close <= mid - 0.5 * dev", "rn > 20 AND (close > mid OR rsi > 60)")
+MORE["macd_adx"] = (f"{MACD}, {DMI}, y AS (SELECT b.*, ln.line - g.v AS hist, lag(ln.line - g.v) OVER (PARTITION BY b.symbol ORDER BY b.ts) AS hist0, ax.v AS adx FROM b {JOIN.format('ln')} {JOIN.format('g')} {JOIN.format('ax')})", "y", "rn > 35 AND hist0 <= 0 AND hist > 0 AND adx > 8", "rn > 35 AND hist0 >= 0 AND hist < 0")
+SKZ = SK.replace("y AS (SELECT *,", "k3 AS (SELECT symbol, rn,")
+MORE["confluence"] = (f"{RSI5}, {SKZ}, y AS (SELECT z.*, k3.gap, k3.gap0, lag(rsi) OVER (PARTITION BY z.symbol ORDER BY z.ts) AS rsi0 FROM z JOIN k3 ON k3.symbol = z.symbol AND k3.rn = z.rn)", "y", "rn > 20 AND rsi0 <= 45 AND rsi > 45 AND gap > 0", "rn > 20 AND (coalesce(rsi0 >= 55 AND rsi < 55, FALSE) OR coalesce(gap0 >= 0 AND gap < 0, FALSE))")
+for _name, (_ctes, _rel, *_tests) in MORE.items():
+    _cols = ", ".join(f"coalesce({t}, FALSE) AS {c}" for t, c in zip(_tests, ("raw_entry", "raw_exit", "raw_entry_short", "raw_exit_short"), strict=False))
+    SQL[f"str_{_name}"] = recursive(f"{NATION}, {_ctes}", f"SELECT symbol, ts, {_cols} FROM {_rel}")
+VOTE3 = "t AS (SELECT *, " + ", ".join(f"coalesce(rn > {n} AND close > max(high) OVER {p(n)}, FALSE)::INT AS e{n}, coalesce(rn > {n} AND close < min(low) OVER {p(n // 2)}, FALSE)::INT AS x{n}" for n in (20, 50, 100)) + " FROM b)"
+SQL["str_ensemble"] = with_(f"{NATION}, {VOTE3}", "SELECT symbol, ts, e20 + e50 + e100 > 1 AS raw_entry, x20 + x50 + x100 > 1 AS raw_exit FROM t")
+VOTEW = "t AS (SELECT *, " + ", ".join(f"coalesce(rn > {n} AND close > lag(close, {n}) OVER ({S}), FALSE)::INT * {n} AS e{n}, coalesce(rn > {n} AND close < lag(close, {n}) OVER ({S}), FALSE)::INT * {n} AS x{n}" for n in (5, 10, 20)) + " FROM b)"
+SQL["str_vote_weighted"] = with_(f"{NATION}, {VOTEW}", "SELECT symbol, ts, e5 + e10 + e20 > 17 AS raw_entry, x5 + x10 + x20 > 17 AS raw_exit FROM t")
+VOTEU = f"{DC.replace('t AS', 't0 AS')}, t1 AS (SELECT *, 100 * (close - lag(close, 12) OVER ({S})) / lag(close, 12) OVER ({S}) AS v FROM t0), t AS (SELECT *, lag(v) OVER ({S}) AS v0 FROM t1)"
+SQL["str_vote_unanimous"] = with_(f"{NATION}, {VOTEU}", "SELECT symbol, ts, e AND NOT x AS raw_entry, x AS raw_exit FROM (SELECT symbol, ts, coalesce(rn > 20 AND close > u, FALSE) AND coalesce(rn > 13 AND v0 <= 0 AND v > 0, FALSE) AS e, coalesce(rn > 20 AND close < l2, FALSE) OR coalesce(rn > 13 AND v0 >= 0 AND v < 0, FALSE) AS x FROM t)")
+
+# --- sized positions and pyramids, one bar a step ---
+SQL["bt_turtle_size"] = recursive(f"{NATION}, {T}, {ema(20, '1.0::DOUBLE / 20', 'coalesce(tr, high - low)', 't', 'aw')}", f"SELECT b.symbol, b.ts, round(aw.v, 2) + 0.0 AS atr_w, round(CASE WHEN aw.v > 0 AND close > 0 THEN least(greatest(1e13 / (aw.v * close), 1), 1e9) END, 2) + 0.0 AS size FROM b {JOIN.format('aw')}")
+SQL["bt_sized"] = recursive(
+    f"""{NATION}, {DC}, tt AS (SELECT *, {TR} AS tr FROM t), s AS (SELECT symbol, ts, rn, open, close, coalesce(rn > 20 AND close > u, FALSE) AS e, coalesce(rn > 20 AND close < l2, FALSE) AS x, CASE WHEN rn >= 14 AND avg(coalesce(tr, high - low)) OVER {w(14)} > 0 THEN least(greatest(1e11 / (avg(coalesce(tr, high - low)) OVER {w(14)} * close), 1), 100) END AS size FROM tt),
+m AS (SELECT symbol, rn, 0.0::DOUBLE AS qty, 1000000.0::DOUBLE AS cash FROM s WHERE rn = 1
+  UNION ALL SELECT s.symbol, s.rn, CASE WHEN m.qty = 0 AND y.e AND y.size IS NOT NULL THEN y.size WHEN m.qty > 0 AND y.x THEN 0 ELSE m.qty END,
+  m.cash + CASE WHEN m.qty = 0 AND y.e AND y.size IS NOT NULL THEN -s.open * 1.0005 * y.size * 1.001 WHEN m.qty > 0 AND y.x THEN s.open * 0.9995 * m.qty * 0.999 ELSE 0 END
+  FROM m JOIN s ON s.symbol = m.symbol AND s.rn = m.rn + 1 JOIN s y ON y.symbol = m.symbol AND y.rn = m.rn)""",
+    f"SELECT s.symbol, s.ts, {r4('m.qty')} AS position_qty, {r4('m.cash')} AS cash, {r4('m.cash + m.qty * s.close')} AS equity FROM m JOIN s USING (symbol, rn)",
+)
+SQL["bt_pyramid"] = recursive(
+    f"""{NATION}, {DC}, tt AS (SELECT *, {TR} AS tr FROM t), {ema(14, '1.0::DOUBLE / 14', 'coalesce(tr, high - low)', 'tt', 'aw')}, s AS (SELECT t.symbol, t.ts, t.rn, t.open, t.close, coalesce(t.rn > 20 AND t.close > u, FALSE) AS e, coalesce(t.rn > 20 AND t.close < l2, FALSE) AS x, aw.v AS atr FROM t LEFT JOIN aw ON aw.symbol = t.symbol AND aw.rn = t.rn),
+m AS (SELECT symbol, rn, 0 AS n, NULL::VARCHAR AS act, NULL::DOUBLE AS lastp, 0.0::DOUBLE AS total, 0.0::DOUBLE AS paid, NULL::DOUBLE AS atr, 1000000.0::DOUBLE AS cash, NULL::INT AS out_n, NULL::DOUBLE AS average, NULL::DOUBLE AS net FROM s WHERE rn = 1
+  UNION ALL SELECT symbol, rn, CASE act WHEN 'entry' THEN 1 WHEN 'add' THEN n + 1 WHEN 'exit' THEN 0 ELSE n END, act, CASE WHEN act IN ('entry', 'add') THEN buy ELSE lastp END, CASE act WHEN 'entry' THEN buy WHEN 'add' THEN total + buy WHEN 'exit' THEN 0 ELSE total END,
+  CASE act WHEN 'entry' THEN buy * 0.001 WHEN 'add' THEN paid + buy * 0.001 WHEN 'exit' THEN 0 ELSE paid END, CASE WHEN act = 'entry' THEN coalesce(atr0, 4.0) ELSE atr END, cash + CASE WHEN act IN ('entry', 'add') THEN -buy * 1.001 WHEN act = 'exit' THEN sell * n * 0.999 ELSE 0 END,
+  CASE WHEN act = 'exit' THEN n END, CASE WHEN act = 'exit' THEN total / n END, CASE WHEN act = 'exit' THEN (sell - total / n) * n - sell * n * 0.001 - paid END
+  FROM (SELECT s.symbol, s.rn, s.open * 1.0005 AS buy, s.open * 0.9995 AS sell, m.n, m.lastp, m.total, m.paid, m.atr, m.cash, y.atr AS atr0, CASE WHEN m.n = 0 THEN CASE WHEN y.e THEN 'entry' END WHEN y.x THEN 'exit' WHEN m.n < 3 AND y.close >= m.lastp + 0.1 * m.atr THEN 'add' END AS act
+  FROM m JOIN s ON s.symbol = m.symbol AND s.rn = m.rn + 1 JOIN s y ON y.symbol = m.symbol AND y.rn = m.rn))""",
+    f"SELECT s.symbol, s.ts, m.n AS units, m.out_n AS exit_units, {r4('m.average')} AS avg_entry_price, {r4('m.net')} AS net_pnl, {r4('m.cash + m.n * s.close')} AS equity FROM m JOIN s USING (symbol, rn)",
+)
+SQL["swp_costs"] = recursive(f"{NATION}, {SIM}, z AS (SELECT symbol, sum(CASE WHEN ef THEN -o WHEN xf THEN o ELSE 0 END) + arg_max(pos * c, rn) AS gain, coalesce(sum(o) FILTER (ef OR xf), 0) AS traded FROM (SELECT q.*, s.open AS o, s.close AS c FROM q JOIN s USING (symbol, rn)) GROUP BY 1), l AS (SELECT symbol, bps, (gain - traded * bps / 10000) / 1000000 AS ret FROM z, (VALUES (0.0), (25.0), (100.0)) v(bps))", f"SELECT symbol, bps::DOUBLE AS fee_bps, {r4('ret')} AS total_return, (min(CASE WHEN ret <= 0 THEN bps END) OVER (PARTITION BY symbol))::DOUBLE AS breakeven_bps FROM l")
+
+# --- validation ---
+THIRDS = f"{NATION}, {HELD}, {RET.format('q')}, k AS (SELECT symbol, ret, row_number() OVER ({S}) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM rd WHERE ret IS NOT NULL), k2 AS (SELECT *, n // 3 AS size, least(i // (n // 3), 2) AS fold FROM k WHERE n >= 126), k3 AS (SELECT *, CASE WHEN fold = 2 THEN n - size * 2 ELSE size END AS len, i - fold * size AS place FROM k2), k4 AS (SELECT *, floor(len * 0.85) AS e FROM k3), th AS (SELECT symbol, fold, " + ", ".join(f"coalesce(CASE WHEN stddev_samp(CASE WHEN place {o} e THEN ret END) >= 1e-10 THEN avg(CASE WHEN place {o} e THEN ret END) / stddev_samp(CASE WHEN place {o} e THEN ret END) * sqrt(252) END, 0) AS {n}" for o, n in (("<", "is_sharpe"), (">=", "oos_sharpe"))) + " FROM k4 WHERE e >= 20 AND len - e >= 5 GROUP BY 1, 2)"
+SQL["val_thirds"] = with_(THIRDS, f"SELECT symbol, fold, {r4('is_sharpe')} AS is_sharpe, {r4('oos_sharpe')} AS oos_sharpe FROM th")
+SQL["val_cv"] = "SELECT i AS fold, greatest(greatest(600 - (5 - i) * 100 - 5, 0) - 300, 0) AS train_start, greatest(600 - (5 - i) * 100 - 5, 0) AS train_end, 600 - (5 - i) * 100 AS test_start, 700 - (5 - i) * 100 AS test_end FROM range(5) t(i)"
+_wf = SQL["val_walk_forward"].removeprefix("WITH ").rsplit(" SELECT symbol, fold::INT", 1)[0]
+SQL["val_grades"] = with_(
+    f"{_wf}, y AS (SELECT symbol, fold, {SHARPE.format('CASE WHEN pos > 0 AND pos < 100 THEN ret END')} AS a, {SHARPE.format('CASE WHEN pos > 105 THEN ret END')} AS o, arg_max(equity, ts) / (arg_min(equity, ts) FILTER (pos >= 105)) - 1 AS r FROM x GROUP BY 1, 2), z AS (SELECT symbol, count(*) AS folds, avg(o) AS m, stddev_pop(o) AS s, avg(CASE WHEN abs(a) > 1e-10 THEN o / a ELSE 1 END) AS g, avg((r > 0)::INT) AS p FROM y GROUP BY 1)",
+    f"SELECT symbol, folds, {r4('m')} AS mean_oos_sharpe, {r4('s')} AS std_oos_sharpe, {r4('g')} AS mean_degradation, {r4('p')} AS pct_profitable, CASE WHEN m > 0.8 AND p >= 0.75 AND g > 0.7 AND s < 0.5 THEN 'A' WHEN m > 0.5 AND p >= 0.75 AND g > 0.7 AND s < 0.5 THEN 'B' WHEN m > 0.3 AND p >= 0.6 AND g > 0.5 THEN 'C' WHEN m > 0 AND p > 0.5 THEN 'D' ELSE 'F' END AS grade FROM z",
+)
+
+# --- regimes and trades ---
+VOLREG = SQL["ana_volatility_regimes"].removeprefix("WITH " + NATION + ", ").split(" SELECT a.symbol", 1)[0].replace("t AS (", "vt AS (", 1).replace("FROM t)", "FROM vt)", 1).replace(" a AS (", " va AS (").replace("FROM a)", "FROM va)").replace(" k AS (", " vk AS (").replace("FROM k ", "FROM vk ").replace(" m AS (", " vm AS (")
+TRENDREG = SQL["ana_trend_regimes"].removeprefix("WITH " + NATION + ", ").split(" SELECT symbol", 1)[0].replace("a AS (", "ta AS (", 1).replace("FROM a)", "FROM ta)").replace(" c AS (", " tc AS (")
+BYREG = "rr AS (SELECT rd.symbol, rd.ts, rd.ret, rd.xf, rd.et, rd.net, coalesce(g.regime, 'neutral') AS regime FROM rd LEFT JOIN reg g ON g.symbol = rd.symbol AND g.ts = rd.ts), dy AS (SELECT symbol, regime, count(*) AS days, product(1 + coalesce(ret, 0)) - 1 AS tr, " + SHARPE.format("ret") + " AS sharpe FROM rr GROUP BY 1, 2), tw AS (SELECT q.symbol, coalesce(g.regime, 'neutral') AS regime, count(*) AS n, avg((q.net > 0)::INT) AS win, avg(q.net) AS avg_net FROM q LEFT JOIN reg g ON g.symbol = q.symbol AND g.ts = q.et WHERE q.xf GROUP BY 1, 2)"
+SQL["ana_by_regime"] = recursive(
+    f"{NATION}, {SIM}, {RET.format('q')}, {VOLREG}, reg AS (SELECT va.symbol, va.ts, CASE WHEN atr > 1.5 * med THEN 'high' WHEN atr < 0.75 * med THEN 'low' ELSE 'neutral' END AS regime FROM va JOIN vm ON vm.symbol = va.symbol), {BYREG}",
+    f"SELECT dy.symbol, dy.regime, days, {r4('tr')} AS total_return, {r4('sharpe')} AS sharpe, {r4('days / sum(days) OVER (PARTITION BY dy.symbol)')} AS share, coalesce(n, 0) AS trades, {r4('coalesce(win, 0)')} AS win_rate, {r4('coalesce(avg_net, 0)')} AS avg_net_pnl FROM dy LEFT JOIN tw ON tw.symbol = dy.symbol AND tw.regime = dy.regime",
+)
+_TR = ("strong_up", "up", "neutral", "down", "strong_down")
+SQL["ana_regime_concentration"] = recursive(
+    f"{NATION}, {SIM}, {RET.format('q')}, {TRENDREG}, reg AS (SELECT symbol, ts, CASE WHEN x > 0.02 THEN 'strong_up' WHEN x > 0.005 THEN 'up' WHEN x < -0.02 THEN 'strong_down' WHEN x < -0.005 THEN 'down' ELSE 'neutral' END AS regime FROM tc), {BYREG}, "
+    f"al AS (SELECT sy.symbol, v.i, v.regime, coalesce(dy.tr, 0) AS ret FROM (SELECT DISTINCT symbol FROM dy) sy, (VALUES {', '.join(f'({i}, {chr(39)}{r}{chr(39)})' for i, r in enumerate(_TR))}) v(i, regime) LEFT JOIN dy ON dy.symbol = sy.symbol AND dy.regime = v.regime), "
+    "ag AS (SELECT symbol, sum(abs(ret)) AS total, sum(greatest(ret, 0)) AS pos, sum(ret * ret) AS sq, arg_max(regime, (abs(ret), i)) AS top, arg_max(ret, (abs(ret), i)) AS topret FROM al GROUP BY 1), h5 AS (SELECT symbol, CASE WHEN total >= 1e-10 THEN sq / (total * total) ELSE 0 END AS hhi, CASE WHEN total >= 1e-10 THEN least(greatest((sq / (total * total) - 0.2) / 0.8, 0), 1) ELSE 0 END AS score, CASE WHEN total >= 1e-10 THEN top ELSE 'strong_up' END AS dominant, CASE WHEN total < 1e-10 THEN 0 WHEN pos > 0 AND topret > 0 THEN topret / pos ELSE abs(topret) / total END AS sh FROM ag)",
+    f"SELECT symbol, {r4('hhi')} AS hhi, {r4('score')} AS score, dominant, {r4('sh')} AS dominant_share, {r4('CASE WHEN score <= 0.5 THEN 0 ELSE (score - 0.5) * 2 END')} AS penalty FROM h5",
+)
+EXC = f"{NATION}, {SIM}, {T.replace('t AS', 'tx AS')}, av AS (SELECT symbol, ts, rn, CASE WHEN rn >= 14 THEN 100 * avg(coalesce(tr, high - low)) OVER {w(14)} / close END AS ev FROM tx), tw AS (SELECT symbol, et, ts AS xt, ep, price, net FROM q WHERE xf), ex AS (SELECT tw.symbol, et, xt, greatest(max((ep - low) / ep), 0) AS mae, greatest(max((high - ep) / ep), 0) AS mfe, count(*) AS held, any_value((price - ep) / ep) AS ret, any_value(net) AS net FROM tw JOIN b ON b.symbol = tw.symbol AND b.ts BETWEEN et AND xt GROUP BY tw.symbol, et, xt)"
+SQL["ana_holding"] = recursive(
+    f"{EXC}, bk AS (SELECT symbol, CASE WHEN held <= 5 THEN 0 WHEN held <= 10 THEN 1 WHEN held <= 20 THEN 2 WHEN held <= 50 THEN 3 ELSE 4 END AS i, count(*) AS n, avg(ret) AS a, avg((net > 0)::INT) AS win FROM ex GROUP BY 1, 2), al AS (SELECT symbol, v.i, v.label, total FROM (SELECT symbol, count(*) AS total FROM ex GROUP BY 1), (VALUES (0, '1-5 days'), (1, '6-10 days'), (2, '11-20 days'), (3, '21-50 days'), (4, '51+ days')) v(i, label))",
+    f"SELECT al.symbol, label AS bucket, coalesce(n, 0) AS trades, {r4('coalesce(n, 0) / total')} AS share, {r4('coalesce(a, 0)')} AS avg_return, {r4('coalesce(win, 0)')} AS win_rate FROM al LEFT JOIN bk ON bk.symbol = al.symbol AND bk.i = al.i WHERE al.i < 4 OR n > 0",
+)
+_at = lambda c, a, b: f"max({c}) FILTER ({c}_i = count_n * {a} // {b})"
+CORR = "coalesce(covar_pop({0}, {1}) / nullif(stddev_pop(CASE WHEN {1} IS NOT NULL THEN {0} END) * stddev_pop(CASE WHEN {0} IS NOT NULL THEN {1} END), 0), 0)"
+SQL["ana_trades"] = recursive(
+    f"{EXC}, ek AS (SELECT ex.*, av.ev, (net > 0)::INT::DOUBLE AS win, CASE WHEN mae > 0 THEN mfe / mae END AS edge, count(*) OVER (PARTITION BY ex.symbol) AS count_n, " + ", ".join(f"row_number() OVER (PARTITION BY ex.symbol ORDER BY {c}, et) - 1 AS {c}_i" for c in ("held", "mae", "mfe")) + " FROM ex JOIN av ON av.symbol = ex.symbol AND av.ts = ex.et)",
+    f"SELECT symbol, count(*) AS trades, {r4('avg(held)')} AS mean_bars, {r4('stddev_pop(held)')} AS std_bars, min(held) AS min_bars, max(held) AS max_bars, {_at('held', 1, 2)} AS median_bars, {_at('held', 1, 4)} AS p25_bars, {_at('held', 3, 4)} AS p75_bars, "
+    + ", ".join(f"{r4(f'avg({c})')} AS mean_{c}, {r4(f'stddev_pop({c})')} AS std_{c}, {r4(f'max({c})')} AS max_{c}, {r4(_at(c, 1, 2))} AS median_{c}, {r4(_at(c, 3, 4))} AS p75_{c}, {r4(_at(c, 9, 10))} AS p90_{c}, {r4(f'avg({c}) FILTER (win = 1)')} AS winners_{c}, {r4(f'avg({c}) FILTER (win = 0)')} AS losers_{c}" for c in ("mae", "mfe"))
+    + f", {r4('avg(edge)')} AS mean_edge, {r4('avg((edge > 1)::INT)')} AS pct_edge_over_1, {r4(CORR.format('ev', 'ret'))} AS corr_vol_return, {r4(CORR.format('ev', 'win'))} AS corr_vol_win FROM ek GROUP BY symbol",
+)
+
+# --- scans ---
+HIST = f"h0 AS (SELECT *, coalesce(last_value(CASE WHEN e THEN 1 WHEN x THEN 0 END IGNORE NULLS) OVER (PARTITION BY symbol, strategy ORDER BY ts ROWS UNBOUNDED PRECEDING), 0) AS pos FROM sg), h1 AS (SELECT *, pos - coalesce(lag(pos) OVER (PARTITION BY symbol, strategy ORDER BY ts), 0) AS tr FROM h0), h2 AS (SELECT symbol, strategy, max(ts) AS ts, arg_max(close, rn) AS close, arg_max(pos, rn) AS position, max(rn) - max(rn) FILTER (tr <> 0) AS ago FROM h1 GROUP BY 1, 2), h3 AS (SELECT *, CASE WHEN ago < 10 THEN CASE WHEN position = 1 THEN 'entry' ELSE 'exit' END ELSE 'hold' END AS signal FROM h2)"
+ONE = "SELECT symbol, ts, rn, close, '{0}' AS strategy, coalesce({1}, FALSE) AS e, coalesce({2}, FALSE) AS x FROM {3}"
+SQL["out_latest"] = with_(f"{NATION}, {DC}, sg AS ({ONE.format('d', SIG['donchian'][2], SIG['donchian'][3], 't')}), {HIST}", f"SELECT symbol, ts, {r4('close')} AS close, position, ago AS bars_since, signal FROM h3")
+_R = SIG["roc"][0].replace("z AS", "rz AS").replace("t AS (", "rt0 AS (").replace("FROM z)", "FROM rz)")
+_H = SIG["high_52w"][0].replace("t AS", "ht AS")
+SQL["out_scan"] = with_(
+    f"{NATION}, {DC}, {_H}, {_R}, sg AS ({ONE.format('donchian', SIG['donchian'][2], SIG['donchian'][3], 't')} UNION ALL {ONE.format('high_52w', SIG['high_52w'][2], SIG['high_52w'][3], 'ht')} UNION ALL {ONE.format('roc', SIG['roc'][2], SIG['roc'][3], 'rt0')}), {HIST}, h4 AS (SELECT *, count(*) OVER (PARTITION BY symbol, signal) AS confirmations, max((strategy IN ('supertrend', 'high_52w'))::INT) OVER (PARTITION BY symbol, signal) AS slow FROM h3)",
+    f"SELECT symbol, strategy, ts, {r4('close')} AS close, position, ago AS bars_since, signal, confirmations FROM h4 WHERE signal = 'hold' OR slow = 1",
+)
+SQL["exp_coverage"] = with_(RESULT, "SELECT (least(floor(greatest(0, least(1, (num_trades * 7 - 5) / 495.0::DOUBLE)) / 0.02::DOUBLE), 49) + 50 * least(floor(greatest(0, least(1, (entry_lookback - 2) / 198.0::DOUBLE)) / 0.02::DOUBLE), 49))::BIGINT AS cell, count(*) AS visits FROM r GROUP BY 1")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from tidemark.functions import indicators as ind
 from tidemark.functions import recurrence as rec
 from tidemark.operators import analysis, cluster, explore, leaderboard, results, scan, sector, statistics, sweep, validation
 from tidemark.operators import signals as sig
-from tidemark.operators.backtest import Costs, along_path, fills, long_only, paired, pyramid, trades, volatility_size
+from tidemark.operators.backtest import Costs, along_path, fills, long_only, paired, pyramid, trades, turtle_size, volatility_size
 from tidemark.operators.metrics import metrics, streaks, with_returns
 from tidemark.sources import bars as src
 from tidemark.sources import quality
@@ -81,7 +82,7 @@ def src_by_year(spark, d):
 @query
 def join_sector(spark, d):
     read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
-    dim = read("nation").where("n_nationkey % 5 <> 0").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("symbol"), F.col("r_name").alias("sector"))
+    dim = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("symbol"), F.col("r_name").alias("sector"))
     return src.with_sector(nation(spark, d).drop("sector"), dim).groupBy("sector").agg(F.count("*").alias("bars"), F.countDistinct("symbol").alias("symbols"))
 
 
@@ -280,6 +281,12 @@ def bt_sized(spark, d):
     return keyed(along_path(b.withColumn("size", volatility_size(1e11, F.col("atr"), 100.0)), COSTS, "long_only", "size"), "position_qty", "cash", "equity")
 
 
+@query
+def bt_turtle_size(spark, d):
+    b = _along(ind.with_true_range(nation(spark, d)), a=rec.wilder(20, "true_range", "atr_w"))
+    return keyed(b.withColumn("size", turtle_size(1e15, F.col("atr_w"))), "atr_w", "size", digits=2)
+
+
 @query
 def bt_pyramid(spark, d):
     b = _along(ind.with_true_range(sig.donchian(nation(spark, d))), a=rec.wilder(14, "true_range", "atr_w"))
@@ -311,7 +318,7 @@ def swp_donchian(spark, d):
 
 @query
 def swp_strategies(spark, d):
-    grids = {"ma_cross": sweep.grid(fast=[5, 10], slow=[20, 50]), "tsmom": sweep.grid(lookback=[20, 50])}
+    grids = {"ma_cross": sweep.grid(fast=[5, 10], slow=[20, 50]), "tsmom": sweep.grid(lookback=[20, 50]), "high_52w": sweep.grid(n=[26, 52], entry_pct=[0.9], exit_pct=[0.5]), "opening_range": sweep.grid(n=[2], period=["month"])}
     return rounded(sweep.multi_strategy_sweep(nation(spark, d), grids, COSTS).select("symbol", "strategy_type", "config_id", "total_return", "sharpe", "max_drawdown", "num_trades"))
 
 
@@ -322,8 +329,9 @@ def swp_costs(spark, d):
 
 @query
 def swp_neighbours(spark, d):
-    r = result_table(spark, d).where("strategy_type = 'BUILDING'").withColumn("exit_lookback", F.lit(1))
-    return rounded(sweep.neighbours(r).select("symbol", "config_id", "n", "mean", "variance", "stability"))
+    # lookbacks of five apart become neighbours
+    r = result_table(spark, d).withColumn("entry_lookback", (F.col("entry_lookback") / 5).cast("int"))
+    return rounded(sweep.neighbours(r).drop("value"))
 
 
 # --- results ---
@@ -341,7 +349,7 @@ def rel_top_per_sector(spark, d):
 
 @query
 def rel_heatmap(spark, d):
-    return results.heatmap(result_table(spark, d).where("symbol = 'NATION_3'"), "sharpe")
+    return results.heatmap(result_table(spark, d), "sharpe")
 
 
 @query
@@ -382,8 +390,8 @@ def agg_symbol_summary(spark, d):
 
 @query
 def agg_matrix(spark, d):
-    names = [f"NATION_{i}" for i in range(5)]
-    return rounded(results.matrix(result_table(spark, d).where(F.col("symbol").isin(names)), names))
+    names = [f"NATION_{i}" for i in range(25)]  # the whole dimension
+    return rounded(results.matrix(result_table(spark, d), names))
 
 
 @query
@@ -425,7 +433,9 @@ def agg_combos(spark, d):
 @query
 def agg_synergy(spark, d):
     r = result_table(spark, d)
-    combos = r.where("symbol = 'NATION_1'").withColumn("components", F.array("strategy_type", F.lit("none")))
+    others = r.select("strategy_type").distinct().select(F.col("strategy_type").alias("other"))
+    # each configuration with each strategy as its second component: five rows of a dimension
+    combos = r.crossJoin(F.broadcast(others)).withColumn("components", F.array("strategy_type", "other")).withColumn("config_id", F.concat_ws("+", "config_id", "other"))
     return rounded(results.synergy(combos, r))
 
 
@@ -446,7 +456,31 @@ def agg_entropy(spark, d):
 
 @query
 def agg_uniqueness(spark, d):
-    return results.uniqueness(result_table(spark, d))
+    return rounded(results.uniqueness(result_table(spark, d)))
+
+
+def _combos(spark, d) -> DataFrame:
+    return result_table(spark, d).withColumns({"is_combo": F.col("iteration") > 2, "voting_method": F.when(F.col("iteration") == 3, "majority").when(F.col("iteration") == 4, "weighted").otherwise("unanimous")})
+
+
+@query
+def agg_voting_methods(spark, d):
+    return rounded(results.voting_methods(_combos(spark, d)))
+
+
+@query
+def agg_combo_robustness(spark, d):
+    return rounded(results.combo_robustness(_combos(spark, d)))
+
+
+@query
+def agg_parameter_spread(spark, d):
+    return rounded(results.parameter_spread(result_table(spark, d), ["num_trades", "sortino"], early=2, late=3))
+
+
+@query
+def agg_convergence(spark, d):
+    return rounded(results.convergence(result_table(spark, d)))
 
 
 @query
@@ -523,7 +557,18 @@ def stat_p_values(spark, d):
 
 @query
 def stat_bootstrap(spark, d):
-    return rounded(statistics.bootstrap_sharpe(with_returns(_buy_and_hold(spark, d)), ["symbol"], rounds=200))
+    return rounded(statistics.bootstrap_sharpe(with_returns(_buy_and_hold(spark, d)), ["symbol"]))
+
+
+@query
+def stat_bootstrap_mean(spark, d):
+    return rounded(statistics.bootstrap(result_table(spark, d), ["sector"], "sharpe", ["sharpe"], "mean", rounds=2000))
+
+
+@query
+def stat_permutation(spark, d):
+    r = result_table(spark, d)
+    return rounded(statistics.permutation_test(r, ["sector"], "sharpe", F.col("strategy_type") == "BUILDING", ["sharpe", "symbol"], rounds=2000))
 
 
 @query
@@ -555,7 +600,7 @@ def ana_by_regime(spark, d):
 @query
 def ana_regime_concentration(spark, d):
     s = simulated(spark, d)
-    return rounded(analysis.concentration(analysis.by_regime(s, analysis.trend_regimes(nation(spark, d)), trades(s))))
+    return rounded(analysis.concentration(analysis.by_regime(s, analysis.trend_regimes(nation(spark, d)), trades(s)), "trend"))
 
 
 @query
@@ -570,7 +615,7 @@ def ana_trades(spark, d):
 
 @query
 def ana_holding(spark, d):
-    return analysis.holding_histogram(analysis.excursions(nation(spark, d), trades(simulated(spark, d))))
+    return rounded(analysis.holding_histogram(analysis.excursions(nation(spark, d), trades(simulated(spark, d)))))
 
 
 # --- validation, clusters, leaderboards ---
@@ -643,6 +688,20 @@ def lb_board(spark, d):
     return rounded(leaderboard.board(leaderboard.across_symbols(result_table(spark, d)), "avg_sharpe", 8, per_strategy=2).select("rank", "config_id", "avg_sharpe"))
 
 
+@query
+def lb_ranked_by_profile(spark, d):
+    a = leaderboard.across_symbols(result_table(spark, d))
+    rows = [leaderboard.ranked_by(a, f"composite:{p}", 10, per_strategy=3).select(F.lit(p).alias("profile"), "rank", "config_id", "rank_value") for p in leaderboard.PROFILES]
+    return rounded(reduce(DataFrame.unionByName, rows))
+
+
+@query
+def lb_ranked_by_metric(spark, d):
+    a = leaderboard.across_symbols(result_table(spark, d))
+    rows = [leaderboard.ranked_by(a, m, 5).select(F.lit(m).alias("metric"), "rank", "config_id", "rank_value") for m in leaderboard.RANKINGS]
+    return rounded(reduce(DataFrame.unionByName, rows))
+
+
 @query
 def lb_common_dates(spark, d):
     return leaderboard.common_dates(src.bars_event(spark, d))
@@ -662,6 +721,12 @@ def lb_portfolio_inverse(spark, d):
     return rounded(leaderboard.combine_curves(_events_held(spark, d), "inverse_volatility", "geometric"), 3)
 
 
+@query
+def lb_portfolio_summary(spark, d):
+    found = leaderboard.portfolio_summary(_events_held(spark, d), "inverse_volatility")
+    return rounded(found.withColumn("largest_weight", F.array_max(F.map_values("weights"))).drop("weights"))
+
+
 @query
 def exp_samples(spark, d):
     return explore.sample_table(spark, "donchian", 50)
@@ -685,7 +750,7 @@ def out_latest(spark, d):
 
 @query
 def out_artifact(spark, d):
-    return scan.artifact(sig.donchian(nation(spark, d)), "donchian", {"entry": 20, "exit": 10}, ["dc_entry_upper", "dc_exit_lower"]).where("symbol = 'NATION_1'")
+    return scan.artifact(sig.donchian(nation(spark, d)), "donchian", {"entry": 20, "exit": 10}, ["dc_entry_upper", "dc_exit_lower"])
 
 
 @query
