@@ -108,7 +108,7 @@ def test_plan_does_not_grow_with_the_grid(walk):
 def test_depth_grids():
     # Valid configurations of some strategies at the three depths.
     sizes = {d: {s: len(c) for s, c in g.items()} for d, g in sweep.DEPTHS.items()}
-    assert [sizes[d]["donchian"] for d in ("quick", "standard", "comprehensive")] == [3, 18, 42] and [len(g) for g in sizes.values()] == [26, 26, 26]
+    assert [sizes[d]["donchian"] for d in ("quick", "standard", "comprehensive")] == [3, 16, 34] and [len(g) for g in sizes.values()] == [26, 26, 26]
     assert sizes["standard"]["ma_cross"] == 16 and sizes["comprehensive"]["psar"] == 75 and sizes["quick"]["turtle_s1"] == 1
 
 
@@ -253,6 +253,41 @@ def test_explore(spark):
     assert scan.parse_strategy("Donchian:20,x,10") == ("donchian", [20.0, 10.0])
 
 
+def test_strategy_grammar():
+    assert scan.strategy_of("Donchian:20,x") == ("donchian", {"entry": 20, "exit": 20}) and scan.strategy_of("macross:5,9,EMA")[1] == {"fast": 5, "slow": 9, "kind": "ema"}
+    assert scan.strategy_of("52wk_high") == ("high_52w", {"n": 252, "entry_pct": 0.95, "exit_pct": 0.9})
+    with pytest.raises(ValueError):
+        scan.strategy_of("nothing:1")
+
+
+def test_sweep_config():
+    from tidemark.sources.configs import sweep_config
+
+    doc = {"symbols": ["A", "B"], "data": {"start_date": "2015-01-01"}, "backtest": {"fees_bps": 5}, "strategies": {"donchian": {"entry_lookbacks": [10, 20], "exit_lookbacks": [5, 15]}, "tsmom": {"enabled": False}, "aroon": None, "unknown": {}}}
+    c = sweep_config(doc)
+    assert c.symbols == ["A", "B"] and c.start == "2015-01-01" and c.costs.fee_bps == 5 and c.costs.qty == 100
+    assert len(c.grids["donchian"]) == 3 and len(c.grids["aroon"]) == 5 and c.total == 8 and sweep_config({}).total == 0
+
+
+def test_cells(spark):
+    df = explore.random_cells(spark, "donchian", 200)
+    back = df.withColumn("params", explore.center_of("donchian", F.col("cell"))).withColumn("again", explore.cell_of("donchian"))
+    assert df.count() > 150 and back.where("cell <> again").count() == 0
+    least = explore.least_visited(spark.createDataFrame([(c.cell, 3) for c in df.limit(5).collect()], "cell long, visits int"), df, 3).collect()
+    assert all(r.visits == 0 for r in least)
+
+
+def test_runs_and_scans(spark, tmp_path):
+    from tidemark.sources import results as files
+
+    df = spark.createDataFrame([("A", 1.0)], "symbol string, sharpe double")
+    files.save_run(df, sweep.manifest(spark, df, sweep="x"), str(tmp_path / "run"))
+    found, manifest = files.load_run(spark, str(tmp_path / "run"))
+    assert found.collect() == df.collect() and manifest.first()["rows"] == 1
+    (tmp_path / "scan.json").write_text(json.dumps([{"symbol": "A", "signal": "entry"}, {"symbol": "B", "signal": "exit"}]))
+    assert files.read_scan(spark, str(tmp_path / "scan.json")).count() == 2
+
+
 def test_clusters_and_boards(spark):
     rows = [(f"c{i}", "s" + str(i % 2), float(i % 4), float(i)) for i in range(20)]
     df = spark.createDataFrame(rows, "config_id string, strategy_type string, sharpe double, cagr double")

@@ -180,3 +180,26 @@ def supertrend_approx(n: int, k: float, keys=KEYS) -> Column:
 def darvas_approx(n: int, keys=KEYS) -> tuple[Column, Column]:
     """Top and bottom: extremes of the 2n bars before the current one."""
     return donchian(2 * n, keys)
+
+
+def psar_approx(n: int, factor: float, keys=KEYS) -> tuple[Column, Column, Column, Column]:
+    """Middle of the bar, bands of ``factor`` ATRs around it, and uptrend while close is above the lower one."""
+    middle, reach = (_c("high") + _c("low")) / 2.0, factor * atr(n, keys)
+    return middle, middle + reach, middle - reach, _c("close") > middle - reach
+
+
+class IndicatorSet:
+    """A list of named indicators, added to bars in one projection: ``IndicatorSet().add(fast=sma(10), slow=sma(50)).apply(bars)``."""
+
+    def __init__(self, found: dict[str, Column] | None = None):
+        self.found = found or {}
+
+    def add(self, **columns: Column) -> IndicatorSet:
+        return IndicatorSet(self.found | columns)
+
+    def bands(self, names: tuple[str, ...], columns: tuple[Column, ...]) -> IndicatorSet:
+        """Several columns of one indicator."""
+        return IndicatorSet(self.found | dict(zip(names, columns, strict=False)))
+
+    def apply(self, bars: DataFrame, keys=KEYS) -> DataFrame:
+        return with_true_range(bars, keys).withColumns(self.found)

@@ -97,6 +97,22 @@ def combined_score(vol: Column, trend: Column, drawdown: Column) -> Column:
     return F.when(trend.isNotNull() & drawdown.isNotNull(), 0.4 * vol + 0.4 * trend + 0.2 * drawdown).when(trend.isNotNull(), 0.5 * vol + 0.5 * trend).when(drawdown.isNotNull(), 0.7 * vol + 0.3 * drawdown).otherwise(vol)
 
 
+def regime_scores(volatility: DataFrame, trend: DataFrame | None = None, drawdown: DataFrame | None = None, keys=KEYS) -> DataFrame:
+    """keys, score, dominant and dominant_share of each kind of by_regime() rows given, and combined_score."""
+    kinds = [(n, d) for n, d in (("volatility", volatility), ("trend", trend), ("drawdown", drawdown)) if d is not None]
+    out = None
+    for kind, rows in kinds:
+        own = concentration(rows, kind, keys).select(*keys, *[F.col(c).alias(f"{kind}_{c}") for c in ("score", "dominant", "dominant_share")])
+        out = own if out is None else out.join(own, [*keys], "left")
+    score = lambda n: F.col(f"{n}_score") if n in dict(kinds) else F.lit(None).cast("double")
+    return out.withColumn("combined_score", combined_score(score("volatility"), score("trend"), score("drawdown")))
+
+
+def analyse(curve: DataFrame, bars: DataFrame, trades: DataFrame, keys=KEYS) -> dict[str, DataFrame]:
+    """The three parts of an analysis: distribution of returns, regimes of volatility, trades."""
+    return {"distribution": return_distribution(curve, keys), "regimes": by_regime(curve, volatility_regimes(bars, keys=keys), trades, keys), "trades": trade_analysis(excursions(bars, trades, keys), keys)}
+
+
 def excursions(bars: DataFrame, trades: DataFrame, keys=KEYS) -> DataFrame:
     """Trades with mae, mfe (shares of the entry price), bars held (both ends included), entry_vol and ret.
 

@@ -68,3 +68,16 @@ def diverse(df: DataFrame, n: int, features: list[str], rank: str = "sharpe", ke
     ranked = found.join(counts, "cluster").withColumns({"_r": F.row_number().over(Window.partitionBy("cluster").orderBy(*by(rank, False, key))), "_share": share})
     # members within their cluster's share first; then the best of the rest, until there are n
     return ranked.orderBy((F.col("_r") > F.col("_share")).asc(), *by(rank, False, key)).limit(n).drop("_r", "_share", "count")
+
+
+#: Features that clusters are made on: performance, and robustness besides.
+FEATURES = ["sharpe", "cagr", "max_drawdown"]
+
+
+def diverse_by_sharpe(df: DataFrame, n: int, features: list[str] | None = None) -> DataFrame:
+    return diverse(df, n, features or FEATURES, "sharpe")
+
+
+def diverse_by_robust_score(df: DataFrame, n: int, features: list[str] | None = None) -> DataFrame:
+    """Of results by configuration with a robust_score."""
+    return diverse(df, n, features or ["mean_sharpe", "win_ratio", "robust_score"], "robust_score")

@@ -81,6 +81,29 @@ def least_visited(visited: DataFrame, candidates: DataFrame, n: int = 1) -> Data
     return candidates.join(visited, "cell", "left").fillna(0, ["visits"]).orderBy("visits", "cell").limit(n)
 
 
+def random_cells(spark: SparkSession, strategy: str, n: int, size: float = CELL, seed: int = 42) -> DataFrame:
+    """``n`` draws of cells of a strategy's cube, for least_visited()."""
+    cell = F.lit(0).cast("long")
+    per = math.ceil(1 / size)
+    for i in range(len(BOUNDS[strategy])):
+        cell = cell * per + F.pmod(F.xxhash64("id", F.lit(f"{seed}:{i}")), F.lit(per))
+    return spark.range(n).select(cell.alias("cell")).distinct()
+
+
+def center_of(strategy: str, cell: Column, size: float = CELL) -> Column:
+    """The parameters in the middle of a cell, as a map."""
+    per, out = math.ceil(1 / size), []
+    for i, (name, lo, hi, _) in enumerate(BOUNDS[strategy]):
+        digit = F.floor(cell / F.lit(per**i).cast("long")) % per
+        out += [F.lit(name), lo + (digit + 0.5) * size * (hi - lo)]
+    return F.create_map(*out)
+
+
+def winners(history: DataFrame, strategy: str, most: int = 500) -> DataFrame:
+    """The latest ``most`` tested configurations with a positive mean Sharpe: a top-k."""
+    return history.where((F.col("strategy_type") == strategy) & (F.col("avg_sharpe") > 0)).orderBy(F.desc("tested_at"), F.desc("avg_sharpe"), "config_id").limit(most)
+
+
 def untested(candidates: DataFrame, history: DataFrame, tolerance_days: int = 7) -> DataFrame:
     """Candidates (config_hash, tested_start, tested_end) without a test of the same hash over about the same range: an anti-join."""
     h = history.select(F.col("config_hash").alias("_h"), F.col("tested_start").alias("_s"), F.col("tested_end").alias("_e"))

@@ -59,6 +59,37 @@ def parse_strategy(text: str) -> tuple[str, list[float]]:
     return name.strip().lower(), [float(x) for x in rest.split(",") if re.fullmatch(r"\s*-?\d+(\.\d+)?\s*", x)]
 
 
+# The strategies that the grammar knows, by each of their names, and the defaults of their parameters in order.
+GRAMMAR: dict[str, tuple[tuple[str, ...], dict]] = {
+    "donchian": (("donchian",), {"entry": 55, "exit": 20}),
+    "high_52w": (("52wk_high", "52wkhigh", "fiftytwoweek"), {"n": 252, "entry_pct": 0.95, "exit_pct": 0.90}),
+    "supertrend": (("supertrend",), {"atr": 10, "k": 3.0}),
+    "psar": (("psar", "parabolic_sar"), {"start": 0.02, "step": 0.02, "most": 0.2}),
+    "ma_cross": (("ma_cross", "macross", "ma_crossover"), {"fast": 50, "slow": 200, "kind": "sma"}),
+    "tsmom": (("tsmom",), {"lookback": 252}),
+    "aroon": (("aroon",), {"n": 25}),
+    "larry_williams": (("larry", "larry_williams", "larrywilliams"), {"k": 2.0, "stop": 1.5, "atr": 14}),
+    "keltner": (("keltner",), {"ema": 20, "atr": 10, "k": 2.0}),
+    "heikin_ashi": (("heikin_ashi", "heikinashi"), {"confirm": 3}),
+    "dmi_adx": (("dmi", "dmi_adx"), {"di": 14, "adx": 14, "threshold": 25.0}),
+}
+
+
+def strategy_of(text: str) -> tuple[str, dict]:
+    """``name:p1,p2`` to a strategy and its parameters; what is missing or can't be read takes its default, an unknown name raises."""
+    name, _, rest = text.partition(":")
+    found = next((s for s, (names, _) in GRAMMAR.items() if name.strip().lower() in names), None)
+    if found is None:
+        raise ValueError(f"unknown strategy {name}")
+    params = dict(GRAMMAR[found][1])
+    for (key, default), given in zip(params.items(), [x.strip() for x in rest.split(",")] if rest else [], strict=False):
+        if isinstance(default, str):
+            params[key] = "ema" if given.lower() == "ema" else default
+        elif re.fullmatch(r"-?\d+" if isinstance(default, int) else r"-?\d+(\.\d+)?", given):
+            params[key] = type(default)(given)
+    return found, params
+
+
 def parse_grid(text: str) -> dict[str, list[int]]:
     """``entry:5..300:1;exit:1,2`` to lists of values."""
     out = {}

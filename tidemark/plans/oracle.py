@@ -476,3 +476,9 @@ SQL["out_scan"] = with_(
     f"SELECT symbol, strategy, ts, {r4('close')} AS close, position, ago AS bars_since, signal, confirmations FROM h4 WHERE signal = 'hold' OR slow = 1",
 )
 SQL["exp_coverage"] = with_(RESULT, "SELECT (least(floor(greatest(0, least(1, (num_trades * 7 - 5) / 495.0::DOUBLE)) / 0.02::DOUBLE), 49) + 50 * least(floor(greatest(0, least(1, (entry_lookback - 2) / 198.0::DOUBLE)) / 0.02::DOUBLE), 49))::BIGINT AS cell, count(*) AS visits FROM r GROUP BY 1")
+TPS = f"avg(tp) OVER {w(20)}"
+SQL["ind_approx"] = with_(
+    f"{NATION}, t AS (SELECT *, {TR} AS tr, (high + low + close) / 3 AS tp FROM b)",
+    f"SELECT symbol, ts, {f(20, f'CASE WHEN stddev_pop(tp) OVER {w(20)} > 0 THEN (tp - {TPS}) / (0.015 * 0.7979 * stddev_pop(tp) OVER {w(20)}) END')} AS cci_approx, {r4('(high + low) / 2')} AS sar_basic, {f(14, f'(high + low) / 2 + 0.12 * avg(tr) OVER {w(14)}')} AS sar_upper, {f(14, f'(high + low) / 2 - 0.12 * avg(tr) OVER {w(14)}')} AS sar_lower, "
+    f"CASE WHEN rn >= 14 THEN (close > (high + low) / 2 - 0.12 * avg(tr) OVER {w(14)})::INT END AS sar_up, CASE WHEN rn >= 10 THEN (close > (high + low) / 2 - 0.3 * avg(tr) OVER {w(10)})::INT END AS st_up, {f(6, f'max(high) OVER {p(6)}', 4, '>')} AS box_top, {f(6, f'min(low) OVER {p(6)}', 4, '>')} AS box_bottom FROM t",
+)

@@ -172,6 +172,12 @@ def ind_ranges(spark, d):
     return keyed(b, "prior_range", "level_up", "level_down", "plus_dm", "minus_dm", "or_high", "or_low", "or_complete")
 
 
+@query
+def ind_approx(spark, d):
+    cols = dict(zip(("sar_basic", "sar_upper", "sar_lower", "sar_up"), ind.psar_approx(14, 0.12), strict=True)) | {"st_up": ind.supertrend_approx(10, 0.3)} | dict(zip(("box_top", "box_bottom"), ind.darvas_approx(3), strict=True))
+    return keyed(flags(ind.cci_approx(ind.IndicatorSet().add(**cols).apply(nation(spark, d)), 20), "sar_up", "st_up"), "cci_approx", *cols)
+
+
 # --- recurrences ---
 
 
@@ -603,6 +609,14 @@ def ana_regime_concentration(spark, d):
     return rounded(analysis.concentration(analysis.by_regime(s, analysis.trend_regimes(nation(spark, d)), trades(s)), "trend"))
 
 
+@query
+def ana_regime_scores(spark, d):
+    s = simulated(spark, d)
+    b, t = nation(spark, d), trades(s)
+    kinds = (analysis.volatility_regimes(b, 10), analysis.trend_regimes(b), analysis.drawdown_regimes(s))
+    return rounded(analysis.regime_scores(*[analysis.by_regime(s, k, t) for k in kinds]))
+
+
 @query
 def ana_excursions(spark, d):
     return rounded(analysis.excursions(nation(spark, d), trades(simulated(spark, d))).select("symbol", "entry_ts", "exit_ts", "mae", "mfe", "bars_held", "ret"))

@@ -47,5 +47,20 @@ def load_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("_version") >= VERSION).drop("_version")
 
 
+def save_run(results: DataFrame, manifest: DataFrame, folder: str) -> None:
+    """A run's folder: results as Parquet, and its manifest as one JSON document."""
+    results.write.mode("overwrite").parquet(f"{folder}/results")
+    manifest.coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
+
+
+def load_run(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{folder}/results"), spark.read.json(f"{folder}/manifest")
+
+
+def read_scan(spark: SparkSession, path: str) -> DataFrame:
+    """Scan results from a JSON document or an array of them."""
+    return spark.read.option("multiLine", True).json(path)
+
+
 def write_quality_report(report: DataFrame, symbol: str, path: str) -> None:
     report.withColumn("symbol", F.lit(symbol)).coalesce(1).write.mode("overwrite").json(path)
