@@ -482,3 +482,57 @@ SQL["ind_approx"] = with_(
     f"SELECT symbol, ts, {f(20, f'CASE WHEN stddev_pop(tp) OVER {w(20)} > 0 THEN (tp - {TPS}) / (0.015 * 0.7979 * stddev_pop(tp) OVER {w(20)}) END')} AS cci_approx, {r4('(high + low) / 2')} AS sar_basic, {f(14, f'(high + low) / 2 + 0.12 * avg(tr) OVER {w(14)}')} AS sar_upper, {f(14, f'(high + low) / 2 - 0.12 * avg(tr) OVER {w(14)}')} AS sar_lower, "
     f"CASE WHEN rn >= 14 THEN (close > (high + low) / 2 - 0.12 * avg(tr) OVER {w(14)})::INT END AS sar_up, CASE WHEN rn >= 10 THEN (close > (high + low) / 2 - 0.3 * avg(tr) OVER {w(10)})::INT END AS st_up, {f(6, f'max(high) OVER {p(6)}', 4, '>')} AS box_top, {f(6, f'min(low) OVER {p(6)}', 4, '>')} AS box_bottom FROM t",
 )
+
+# --- Darvas boxes: one bar a step ---
+
+
+def darvas(n: int) -> str:
+    begins = "(complete AND high > top) OR (NOT complete AND bottom IS NULL AND high >= top)"
+    waits = "NOT complete AND bottom IS NULL"
+    return (
+        "dv AS (SELECT symbol, rn, high AS top, low AS floor, NULL::DOUBLE AS bottom, 0 AS cnt, FALSE AS complete, NULL::DOUBLE AS last_low FROM b WHERE rn = 1 UNION ALL "
+        f"SELECT symbol, rn, CASE WHEN {begins} THEN high ELSE top END, CASE WHEN {begins} THEN low WHEN {waits} THEN least(floor, low) ELSE floor END, "
+        f"CASE WHEN {begins} THEN NULL WHEN {waits} THEN CASE WHEN cnt + 1 >= {n} THEN least(floor, low) END WHEN complete THEN bottom WHEN low > last_low THEN bottom WHEN low < bottom THEN low ELSE bottom END, "
+        f"CASE WHEN {begins} THEN 0 WHEN {waits} THEN CASE WHEN cnt + 1 >= {n} THEN 0 ELSE cnt + 1 END WHEN complete THEN cnt WHEN low > last_low THEN cnt + 1 WHEN low < bottom THEN 0 ELSE cnt END, "
+        f"CASE WHEN {begins} THEN FALSE WHEN {waits} THEN FALSE WHEN complete THEN TRUE WHEN low > last_low THEN cnt + 1 >= {n} ELSE FALSE END, "
+        f"CASE WHEN complete THEN CASE WHEN high > top THEN low ELSE last_low END WHEN {waits} THEN CASE WHEN high < top AND cnt + 1 >= {n} THEN low ELSE last_low END ELSE low END "
+        "FROM (SELECT b.symbol, b.rn, b.high, b.low, dv.top, dv.floor, dv.bottom, dv.cnt, dv.complete, dv.last_low FROM dv JOIN b ON b.symbol = dv.symbol AND b.rn = dv.rn + 1))"
+    )
+
+
+SQL["rec_darvas"] = recursive(f"{NATION}, {darvas(2)}", f"SELECT b.symbol, b.ts, CASE WHEN bottom IS NOT NULL THEN {r4('top')} END AS box_top, {r4('bottom')} AS box_bottom, CASE WHEN bottom IS NOT NULL THEN complete::INT END AS box_complete FROM b {JOIN.format('dv')}")
+SQL["str_darvas"] = recursive(
+    f"{NATION}, {darvas(3)}, y AS (SELECT b.*, CASE WHEN complete THEN top END AS t, CASE WHEN complete THEN bottom END AS o, lag(CASE WHEN complete THEN top END) OVER (PARTITION BY b.symbol ORDER BY b.ts) AS t0, lag(CASE WHEN complete THEN bottom END) OVER (PARTITION BY b.symbol ORDER BY b.ts) AS o0 FROM b {JOIN.format('dv')})",
+    "SELECT symbol, ts, rn > 6 AND (coalesce(close > t, FALSE) OR coalesce(close > t0, FALSE)) AS raw_entry, rn > 6 AND (coalesce(close < o, FALSE) OR coalesce(close < o0, FALSE)) AS raw_exit FROM y",
+)
+
+# --- sweeps of several strategies: the state machine for each configuration ---
+_sig = [("ma_cross", f"ma_cross_fast{n}_slow{k}", f"rn > {k} AND a{n} > a{k} AND NOT p{n} > p{k}", f"rn > {k} AND NOT a{n} > a{k} AND p{n} > p{k}") for n in (5, 10) for k in (20, 50)]
+_sig += [("tsmom", f"tsmom_lookback{n}", f"rn > {n} AND close > c{n}", f"rn > {n} AND close < c{n}") for n in (20, 50)]
+_sig += [("high_52w", f"high_52w_entry_pct0.9_exit_pct0.5_n{n}", f"rn > {n} AND close / m{n} >= 0.9", f"rn > {n} AND close / m{n} < 0.5") for n in (26, 52)]
+_sig += [("opening_range", "opening_range_n2_periodmonth", "rn > 2 AND i >= 2 AND close > oh", "rn > 2 AND i >= 2 AND close < ol")]
+_base = "z0 AS (SELECT *, " + ", ".join([f"avg(close) OVER {w(n)} AS a{n}" for n in (5, 10, 20, 50)] + [f"lag(close, {n}) OVER ({S}) AS c{n}" for n in (20, 50)] + [f"max(close) OVER {w(n)} AS m{n}" for n in (26, 52)] + [f"row_number() OVER ({PM}) AS i"]) + " FROM b), z1 AS (SELECT *, " + ", ".join([f"lag(a{n}) OVER ({S}) AS p{n}" for n in (5, 10, 20, 50)] + [f"max(CASE WHEN i <= 2 THEN high END) OVER ({PM} ROWS UNBOUNDED PRECEDING) AS oh", f"min(CASE WHEN i <= 2 THEN low END) OVER ({PM} ROWS UNBOUNDED PRECEDING) AS ol"]) + " FROM z0)"
+_rows = " UNION ALL ".join(f"SELECT symbol, ts, rn, open, close, '{s}' AS strategy, '{c}' AS config, coalesce({e}, FALSE) AS e, coalesce({x}, FALSE) AS x FROM z1" for s, c, e, x in _sig)
+SQL["swp_strategies"] = recursive(
+    f"""{NATION}, {_base}, s AS ({_rows}),
+m AS (SELECT symbol, config, rn, 0 AS pos, FALSE AS xf, NULL::DOUBLE AS price, 1000000.0::DOUBLE AS cash FROM s WHERE rn = 1
+  UNION ALL SELECT s.symbol, s.config, s.rn, CASE WHEN m.pos = 0 AND y.e THEN 1 WHEN m.pos = 1 AND y.x THEN 0 ELSE m.pos END, m.pos = 1 AND y.x, CASE WHEN m.pos = 0 AND y.e THEN s.open * 1.0005 WHEN m.pos = 1 AND y.x THEN s.open * 0.9995 END,
+  m.cash + CASE WHEN m.pos = 0 AND y.e THEN -s.open * 1.0005 * 1.001 WHEN m.pos = 1 AND y.x THEN s.open * 0.9995 * 0.999 ELSE 0 END
+  FROM m JOIN s ON s.symbol = m.symbol AND s.config = m.config AND s.rn = m.rn + 1 JOIN s y ON y.symbol = m.symbol AND y.config = m.config AND y.rn = m.rn),
+q AS (SELECT s.symbol || '/' || s.config AS symbol, s.symbol AS sym, s.strategy, s.config, s.ts, m.xf, m.cash + m.pos * s.close AS equity FROM m JOIN s USING (symbol, config, rn)), {RET.format("q")}""",
+    f"SELECT sym AS symbol, strategy AS strategy_type, config AS config_id, {r4('(arg_max(equity, ts) - 1000000) / 1000000')} AS total_return, {r4(SHARPE.format('ret'))} AS sharpe, {r4('max(dd)')} AS max_drawdown, count(*) FILTER (xf) AS num_trades FROM rd GROUP BY 1, 2, 3",
+)
+
+# --- p-values ---
+_ERF = "(0.5 * (t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))) * exp(-z * z / 2))"
+SQL["val_pooled"] = with_(
+    f"{THIRDS}, g1 AS (SELECT count(*) AS folds, avg(oos_sharpe) AS m, stddev_samp(oos_sharpe) AS s, avg((oos_sharpe > 0)::INT) AS pp, avg(is_sharpe) AS i FROM th HAVING count(*) >= 3), g3 AS (SELECT *, CASE WHEN abs(i) > 1e-6 THEN m / i ELSE 0 END AS d, abs(m / (s / sqrt(folds))) AS z FROM g1), g4 AS (SELECT *, 1 / (1 + 0.3275911 * z / sqrt(2)) AS t FROM g3)",
+    f"SELECT 'all' AS \"all\", folds, {r4('m')} AS mean_oos_sharpe, {r4('s')} AS std_oos_sharpe, {r4('pp')} AS pct_profitable, {r4('d')} AS degradation, CASE WHEN m > 0.5 AND d > 0.7 AND pp > 0.8 THEN 'A' WHEN m > 0.3 AND d > 0.5 AND pp > 0.7 THEN 'B' WHEN m > 0.1 AND d > 0.3 AND pp > 0.6 THEN 'C' WHEN m > 0 AND d > 0.2 AND pp > 0.5 THEN 'D' ELSE 'F' END AS grade, {r4(f'greatest(1e-10, least(1 - 1e-10, CASE WHEN m >= 0 THEN {_ERF} ELSE 1 - {_ERF} END))')} AS p FROM g4",
+)
+# Student's distribution by its finite series in the cosine of atan(t / sqrt(df))
+_even = "sin(th) * (SELECT sum(exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * pow(cos(th), 2 * k)) FROM range(df // 2) r(k))"
+_odd = "2 / pi() * (th + sin(th) * coalesce((SELECT sum(sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5)) * pow(cos(th), 2 * k + 1)) FROM range((df - 1) // 2) r(k)), 0))"
+SQL["stat_p_values"] = with_(
+    RESULT + f", a1 AS (SELECT config_id, count(sharpe) AS n, avg(sharpe + 0.05) AS mean, CASE WHEN count(sharpe) >= 3 THEN avg(sharpe + 0.05) / (stddev_samp(sharpe) / sqrt(count(sharpe))) END AS t FROM r GROUP BY 1), a2 AS (SELECT *, n - 1 AS df, atan(t / sqrt(n - 1)) AS th FROM a1), a3 AS (SELECT *, CASE WHEN t IS NOT NULL THEN greatest(1e-10, least(1 - 1e-10, 0.5 - 0.5 * CASE WHEN df % 2 = 0 THEN {_even} ELSE {_odd} END)) END AS p FROM a2), a4 AS (SELECT *, count(p) OVER () AS m, row_number() OVER (ORDER BY p NULLS LAST, config_id) AS i FROM a3)",
+    f"SELECT config_id, n, {r4('mean')} AS mean, {r4('t')} AS t, {r4('p')} AS p, {r4('least(1, p * m)')} AS bonferroni, {r4('least(1, CASE WHEN p IS NOT NULL THEN max(p * (m - i + 1)) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) END)')} AS holm, {r4('least(1, CASE WHEN p IS NOT NULL THEN min(p * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) END)')} AS bh FROM a4",
+)

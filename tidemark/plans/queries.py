@@ -218,7 +218,7 @@ def rec_parabolic_sar(spark, d):
 
 @query
 def rec_darvas(spark, d):
-    return keyed(_along(nation(spark, d), a=rec.darvas(2)), "box_top", "box_bottom", "box_complete")
+    return keyed(flags(_along(nation(spark, d), a=rec.darvas(2)), "box_complete"), "box_top", "box_bottom", "box_complete")
 
 
 # --- strategies ---
