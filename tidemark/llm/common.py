@@ -14,7 +14,7 @@ WHITE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of a row number for the place in a file; the others number the file.
 ROW_BITS = 28
-SEEDS = 8
+SEEDS = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,7 +91,9 @@ def _is_scan(df: DataFrame) -> bool:
 
 
 def _file_number(path: Column, seed: int) -> Column:
-    return F.pmod(F.xxhash64(path, F.lit(seed)), F.lit(1 << 63 - ROW_BITS))
+    """The first seeds number files by their name, so that a table may be moved; the others by their whole path."""
+    name = path if seed >= SEEDS else F.substring_index(path, "/", -1)
+    return F.pmod(F.xxhash64(name, F.lit(seed)), F.lit(1 << 63 - ROW_BITS))
 
 
 def _settled(docs: DataFrame) -> int | None:
@@ -102,10 +104,10 @@ def _settled(docs: DataFrame) -> int | None:
     except AnalysisException:
         return None
     files = own.groupBy("file_path").agg(F.max("row_index").alias("last"))
-    found = files.agg(F.count("*"), F.max("last"), *[F.count_distinct(_file_number(F.col("file_path"), s)) for s in range(SEEDS)]).first()
+    found = files.agg(F.count("*"), F.max("last"), *[F.count_distinct(_file_number(F.col("file_path"), s)) for s in range(2 * SEEDS)]).first()
     if found[0] and found[1] >= 1 << ROW_BITS:
         return None
-    return next((s for s in range(SEEDS) if found[2 + s] == found[0]), None)
+    return next((s for s in range(2 * SEEDS) if found[2 + s] == found[0]), None)
 
 
 def numbered(docs: DataFrame) -> DataFrame:

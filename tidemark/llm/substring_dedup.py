@@ -44,8 +44,8 @@ MOST_HASHES = 32
 RECALL = 0.999
 SCHEMA = "doc_row long, kind string, start int, end int, class_row long, removed boolean"
 
-#: of: the document's row; lines have start to bands (first, last: their word numbers), the windows of a document ats (word numbers) and keys.
-CUT = "of long, start int, end int, first int, last int, n int, set_hash binary, bands array<long>, ats array<int>, keys array<long>"
+#: of: the document's row; lines have start to bands (first, last: their word numbers), the windows of a document ats (word numbers, 32 bits each) and keys (64 bits).
+CUT = "of long, start int, end int, first int, last int, n int, set_hash binary, bands array<long>, ats binary, keys binary"
 
 
 def anchors(hashes: np.ndarray, spread: int = SPREAD, window: int = WINDOW) -> np.ndarray:
@@ -109,7 +109,7 @@ def cut_texts(docs: DataFrame, bands: int, rows: int, least: int = LEAST_WORDS)
                 words = located_words(text)
                 at = anchors(words[0])
                 if len(at):
-                    windows.append((row, at, window_keys(words[0], at)))
+                    windows.append((row, at.astype("<i4").tobytes(), window_keys(words[0], at).tobytes()))
                     lines += _lines(row, words, signer, least)
                     held += len(at)
                 if held > 100_000:
@@ -126,15 +126,19 @@ def remaining(cut: DataFrame, gone: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for of, at, keys, out in zip(b["of"], b["ats"], b["keys"], b["gone"], strict=True):
+            ats, keys = (np.frombuffer(b"".join(b[c]), kind) for c, kind in (("ats", "<i4"), ("keys", "<i8")))
+            sizes = b["ats"].map(len).to_numpy() // 4
+            ends, stays = np.cumsum(sizes), np.ones(len(ats), bool)
+            for i, out in enumerate(b["gone"]):
                 if out is not None:
+                    own = slice(ends[i] - sizes[i], ends[i])
                     first, last = (np.array([x[k] for x in out]) for k in ("first", "last"))
-                    stays = np.searchsorted(last, at, "right") == np.searchsorted(first, at + WINDOW, "left")
-                    at, keys = at[stays], keys[stays]
-                yield pd.DataFrame({"key": keys, "of": np.full(len(at), of), "at": at})
+                    stays[own] = np.searchsorted(last, ats[own], "right") == np.searchsorted(first, ats[own] + WINDOW, "left")
+            yield pd.DataFrame({"key": keys[stays], "of": np.repeat(b["of"].to_numpy(), sizes)[stays], "at": ats[stays]})
 
-    windows = cut.where("keys is not null").select("of", "ats", "keys").join(frozen(lists, "removed-lines"), "of", "left")
-    return windows.mapInPandas(run, "key long, of long, at int")
+    windows = cut.where("keys is not null").select("of", "ats", "keys")
+    # merged at every size: few removed lines could be broadcast, but most inputs have too many
+    return windows.join(frozen(lists, "removed-lines").hint("merge"), "of", "left").mapInPandas(run, "key long, of long, at int")
 
 
 #: A run of windows with equal partners: its words [at, to), its document's number of the run, and the partners of its first and last window.
