@@ -48,13 +48,22 @@ SCHEMA = "doc_row long, kind string, start int, end int, class_row long, removed
 CUT = "of long, start int, end int, first int, last int, n int, set_hash binary, bands array<long>, ats binary, keys binary"
 
 
+def _slid(f: np.ufunc, x: np.ndarray, n: int) -> np.ndarray:
+    """f over each run of ``n`` values, by doubling."""
+    size = 1
+    while 2 * size <= n:
+        x, size = f(x[:-size], x[size:]), 2 * size
+    return x if size == n else f(x[: len(x) - (n - size)], x[n - size :])
+
+
 def anchors(hashes: np.ndarray, spread: int = SPREAD, window: int = WINDOW) -> np.ndarray:
-    """Numbers of the words at which windows begin."""
+    """Numbers of the words at which windows begin: those whose 3-word shingle has the least hash of some run of ``spread``."""
     if len(hashes) < window:
         return np.zeros(0, np.int64)
     h = rolling(hashes, 3)
-    wide = np.lib.stride_tricks.sliding_window_view(h, min(spread, len(h)))
-    at = np.unique(np.arange(len(wide)) + wide.argmin(axis=1))
+    spread = min(spread, len(h))
+    least = np.concatenate([np.zeros(spread - 1, np.uint64), _slid(np.minimum, h, spread), np.zeros(spread - 1, np.uint64)])
+    at = np.nonzero(_slid(np.maximum, least, spread) == h)[0]
     return at[at + window <= len(hashes)]
 
 
@@ -65,22 +74,28 @@ def window_keys(hashes: np.ndarray, at: np.ndarray, window: int = WINDOW) -> np.
     return rolling(hashes[at[:, None] + np.arange(window)].T, window)[0].view(np.int64)
 
 
-def _lines(row: int, words: tuple, signer: Signatures, least: int) -> list[tuple]:
-    """(of, start, end, first, last, n, set_hash, bands) of a document's paragraphs."""
-    hashes, starts, _, points = words
-    line_ends = np.append(np.nonzero(points == 10)[0], len(points))
-    last = np.searchsorted(starts, line_ends)
-    first = np.append(0, last[:-1])
-    long = np.nonzero(last - first >= least)[0]
-    if not len(long):
-        return []
-    grams, counts = rolling(hashes, WORDS), last[long] - first[long] - WORDS + 1
-    offsets = np.cumsum(counts) - counts
-    x = grams[np.repeat(first[long] - offsets, counts) + np.arange(counts.sum())]
-    bands = signer.band_hashes_of(x, offsets)
-    begin = np.append(0, line_ends[:-1] + 1)
-    sets = [np.unique(x[o : o + c]) for o, c in zip(offsets.tolist(), counts.tolist(), strict=True)]
-    return [(row, int(begin[line]), int(line_ends[line]), int(first[line]), int(last[line]), len(s), xxhash.xxh3_128_digest(s.tobytes()), bands[i]) for i, (line, s) in enumerate(zip(long.tolist(), sets, strict=True))]
+def _lines(rows: list[int], words: list[tuple], signer: Signatures, least: int) -> pd.DataFrame:
+    """of, start, end, first, last, n, set_hash, bands of the paragraphs of some documents, from their located_words(), all at once."""
+    offset, parts = 0, []
+    for row, (hashes, starts, _, points) in zip(rows, words, strict=True):
+        ends = np.append(np.nonzero(points == 10)[0], len(points))
+        last = np.searchsorted(starts, ends)
+        first = np.append(0, last[:-1])
+        long = np.nonzero(last - first >= least)[0]
+        if len(long):
+            begin = np.append(0, ends[:-1] + 1)
+            parts.append((np.full(len(long), row), begin[long], ends[long], first[long], last[long], first[long] + offset))
+        offset += len(hashes)
+    if not parts:
+        return pd.DataFrame()
+    of, start, end, first, last, at = map(np.concatenate, zip(*parts, strict=True))
+    grams, counts = rolling(np.concatenate([w[0] for w in words]), WORDS), last - first - WORDS + 1
+    places = np.cumsum(counts) - counts
+    x = grams[np.repeat(at - places, counts) + np.arange(counts.sum())]
+    raw = x.tobytes()
+    # paragraphs of equal words in equal order are one set; those of equal sets in another order meet in their bands
+    digests = [xxhash.xxh3_128_digest(raw[8 * o : 8 * (o + c)]) for o, c in zip(places.tolist(), counts.tolist(), strict=True)]
+    return pd.DataFrame({"of": of, "start": start, "end": end, "first": first, "last": last, "n": counts, "set_hash": digests, "bands": list(signer.band_hashes_of(x, places))})
 
 
 def _filled(rows: pd.DataFrame, names: list[str]) -> pd.DataFrame:
@@ -96,26 +111,26 @@ def cut_texts(docs: DataFrame, bands: int, rows: int, least: int = LEAST_WORDS)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         signer = Signatures(bands, rows)
 
-        for b in batches:
-            windows, lines, held = [], [], 0
-
-            def frames() -> Iterator[pd.DataFrame]:
-                if windows:
-                    yield _filled(pd.DataFrame(windows, columns=["of", "ats", "keys"]), names)  # noqa: B023
-                if lines:
-                    yield _filled(pd.DataFrame(lines, columns=names[:8]), names)  # noqa: B023
+        def frames(rows: list[int], words: list[tuple]) -> Iterator[pd.DataFrame]:
+            if rows:
+                ats = [anchors(w[0]) for w in words]
+                windows = pd.DataFrame({"of": rows, "ats": [at.astype("<i4").tobytes() for at in ats], "keys": [window_keys(w[0], at).tobytes() for w, at in zip(words, ats, strict=True)]})
+                yield _filled(windows, names)
+                if len(lines := _lines(rows, words, signer, least)):
+                    yield _filled(lines, names)
 
+        for b in batches:
+            rows, words, held = [], [], 0
             for row, text in zip(b["_row"], b["text"], strict=True):
-                words = located_words(text)
-                at = anchors(words[0])
-                if len(at):
-                    windows.append((row, at.astype("<i4").tobytes(), window_keys(words[0], at).tobytes()))
-                    lines += _lines(row, words, signer, least)
-                    held += len(at)
-                if held > 100_000:
-                    yield from frames()
-                    windows, lines, held = [], [], 0
-            yield from frames()
+                own = located_words(text)
+                if len(own[0]) >= WINDOW:
+                    rows.append(row)
+                    words.append(own)
+                    held += len(own[0])
+                if held > 300_000:
+                    yield from frames(rows, words)
+                    rows, words, held = [], [], 0
+            yield from frames(rows, words)
 
     return frozen(docs.mapInPandas(run, CUT).withColumn("_row", F.monotonically_increasing_id()), "cut-texts")
 
