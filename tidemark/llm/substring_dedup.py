@@ -111,26 +111,26 @@ def cut_texts(docs: DataFrame, bands: int, rows: int, least: int = LEAST_WORDS)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         signer = Signatures(bands, rows)
 
-        def frames(rows: list[int], words: list[tuple]) -> Iterator[pd.DataFrame]:
-            if rows:
+        def frames(of: list[int], words: list[tuple]) -> Iterator[pd.DataFrame]:
+            if of:
                 ats = [anchors(w[0]) for w in words]
-                windows = pd.DataFrame({"of": rows, "ats": [at.astype("<i4").tobytes() for at in ats], "keys": [window_keys(w[0], at).tobytes() for w, at in zip(words, ats, strict=True)]})
+                windows = pd.DataFrame({"of": of, "ats": [at.astype("<i4").tobytes() for at in ats], "keys": [window_keys(w[0], at).tobytes() for w, at in zip(words, ats, strict=True)]})
                 yield _filled(windows, names)
-                if len(lines := _lines(rows, words, signer, least)):
+                if len(lines := _lines(of, words, signer, least)):
                     yield _filled(lines, names)
 
         for b in batches:
-            rows, words, held = [], [], 0
+            of, words, held = [], [], 0
             for row, text in zip(b["_row"], b["text"], strict=True):
                 own = located_words(text)
                 if len(own[0]) >= WINDOW:
-                    rows.append(row)
+                    of.append(row)
                     words.append(own)
                     held += len(own[0])
                 if held > 300_000:
-                    yield from frames(rows, words)
-                    rows, words, held = [], [], 0
-            yield from frames(rows, words)
+                    yield from frames(of, words)
+                    of, words, held = [], [], 0
+            yield from frames(of, words)
 
     return frozen(docs.mapInPandas(run, CUT).withColumn("_row", F.monotonically_increasing_id()), "cut-texts")
 
