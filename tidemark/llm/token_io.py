@@ -35,8 +35,8 @@ from tidemark.llm.pieces import is_plain, splitter
 LIMIT = 20
 BLOCK = 65_536
 STRIDE = 128
-#: Ids a shard, at most and (where there are fewer shards than twice the cores) at least.
-SHARD_TOKENS = 128_000_000
+#: Ids a shard, at most and (where there are fewer shards than eight for each core) at least.
+SHARD_TOKENS = 64_000_000
 LEAST_SHARD_TOKENS = 1_000_000
 KNOWN = 500_000
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -266,10 +266,10 @@ def write(tokens: DataFrame, folder: str, size: int, shard_tokens: int = SHARD_T
             yield done()
 
     total = int(counts.sum())
-    shards = max(1, -(-total // shard_tokens), min(2 * spark.sparkContext.defaultParallelism, total // LEAST_SHARD_TOKENS))
+    shards = max(1, -(-total // shard_tokens), min(8 * spark.sparkContext.defaultParallelism, total // LEAST_SHARD_TOKENS))
     # the hash spreads null and repeated ids over ranges
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("ids")]
-    dealt = tokens.repartitionByRange(shards, *order).sortWithinPartitions(*order, "ids")
+    dealt = tokens.repartitionByRange(shards, *order).sortWithinPartitions(order[0], "ids")
     schema = "shard int, block int, start long, doc_ids array<string>, doc_tokens array<int>, checkpoints binary, payload binary"
     out = dealt.select(F.spark_partition_id().alias("shard"), F.col("doc_id").cast("string").alias("doc_id"), "ids").mapInPandas(pack, schema)
     out.withColumn("doc_ids", F.col("doc_ids").cast(f"array<{dict(tokens.dtypes)['doc_id']}>")).write.parquet(f"{folder}/blocks")
