@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The contract's white space: blank and U+0009 to U+000D, as a Java/Python/RE2 character class.
 WHITE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Bits of a row number for the place in a file; the others number the file.
-ROW_BITS = 28
-SEEDS = 4
+#: Tables of files up to this size (16 bytes a file) are broadcast; beyond it the planner chooses.
+MOST_FILES = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +48,7 @@ def frozen(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("maxRecordsPerFile", 1 << ROW_BITS).parquet(path)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._folder = path
     return out
@@ -90,40 +90,42 @@ def _is_scan(df: DataFrame) -> bool:
     return node.nodeName() == "LogicalRelation"
 
 
-def _file_number(path: Column, seed: int) -> Column:
-    """The first seeds number files by their name, so that a table may be moved; the others by their whole path."""
-    name = path if seed >= SEEDS else F.substring_index(path, "/", -1)
-    return F.pmod(F.xxhash64(name, F.lit(seed)), F.lit(1 << 63 - ROW_BITS))
+def _file_key(path: Column) -> Column:
+    """Tells files apart in a join, if all differ; else their paths do."""
+    return F.xxhash64(path)
 
 
-def _settled(docs: DataFrame) -> int | None:
-    """A seed for which all files of ``docs`` have different numbers; None if there are none, or rows can't be told by file and place.
-    One row per file is looked at, in Spark."""
+def _files(docs: DataFrame) -> tuple[DataFrame, Callable[[Column], Column]] | None:
+    """(key, first) of the files of ``docs``, written, and the key as a function of the path: files are sorted by part number and path, and a file's
+    first row has the number of rows of all files before it.  None if rows can't be told by file and place.  Spark reads a row count
+    per file; the running sum passes over a table of files."""
     try:
         own = docs.select(docs.metadataColumn("_metadata").alias("m")).select("m.file_path", "m.row_index")
     except AnalysisException:
         return None
-    files = own.groupBy("file_path").agg(F.max("row_index").alias("last"))
-    found = files.agg(F.count("*"), F.max("last"), *[F.count_distinct(_file_number(F.col("file_path"), s)) for s in range(2 * SEEDS)]).first()
-    if found[0] and found[1] >= 1 << ROW_BITS:
-        return None
-    return next((s for s in range(2 * SEEDS) if found[2 + s] == found[0]), None)
+    files = own.groupBy("file_path").agg((F.max("row_index") + 1).alias("rows"))
+    part = F.try_to_number(F.regexp_extract("file_path", r"/part-(\d{1,18})[^/]*$", 1), F.lit("9" * 18))
+    before = Window.orderBy(part, "file_path").rowsBetween(Window.unboundedPreceding, -1)
+    files = frozen(files.select("file_path", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first")), "files")
+    count, keys = files.agg(F.count("*"), F.count_distinct(_file_key(F.col("file_path")))).first()
+    key = _file_key if count == keys else lambda path: path
+    files = files.select(key(F.col("file_path")).alias("_key"), F.col("first").alias("_first"))
+    return F.broadcast(files) if count <= MOST_FILES else files, key
 
 
 def numbered(docs: DataFrame) -> DataFrame:
     """(_row, doc): the rows of ``docs`` as structs, with a number each, which tells repeated rows apart.
 
-    The number is made of the file and the row's place in it, so it doesn't depend on how a read splits files, which
+    A row's number is its place in the table, whose files are taken in the order of their part numbers and paths.  It doesn't depend on how a read splits files, which
     changes with the number of executors.  Tables that aren't reads of Parquet files are written to the shared folder first."""
-    seed = _settled(docs) if _is_scan(docs) else None
-    if seed is None:
+    found = _files(docs) if _is_scan(docs) else None
+    if found is None:
         docs = frozen(docs, "table")
-        seed = _settled(docs)
-        if seed is None:
-            raise ValueError("rows can't be numbered")
+        found = _files(docs)
+    files, key = found
     m = docs.metadataColumn("_metadata")
-    row = F.shiftleft(_file_number(m["file_path"], seed), ROW_BITS) + m["row_index"]
-    return docs.select(row.alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    own = docs.select(key(m["file_path"]).alias("_key"), m["row_index"].alias("_at"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    return own.join(files, "_key").select((F.col("_first") + F.col("_at")).alias("_row"), "doc")
 
 
 def id_order(doc_id: Column, row: Column) -> Column:
