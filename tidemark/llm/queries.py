@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, mixing, ngram_join, pii, quality, substring_dedup, token_io, toxicity, warc
+from tidemark.llm import bpe, conversation_trie, exact_dedup, mixing, ngram_join, pii, quality, substring_dedup, token_io, toxicity, warc
 from tidemark.llm.common import table
 
 
@@ -98,5 +100,36 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("doc_row")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op3_warc_audit, op4_toxicity, op5_pii, op6_ngram_join, op7_mix, op8_byte_bpe, op9_quality_rules, op10_substring_dedup)}
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op3_warc_audit": OP3_SQL, "op7_mix": OP7_SQL}
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = conversation_trie.turns(table(spark, sf_dir, "conversations"))
+    nodes, ends = conversation_trie.prefix_tree(*conversation_trie.grafted(placed))
+    digests = conversation_trie.end_digests(ends)
+    return nodes.join(digests, ["depth", "p", "q"], "left").drop("p", "q").fillna({"ends_sha256": hashlib.sha256(b"").hexdigest()})
+
+
+OP13_SQL = r"""
+WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, count(*) AS own, conv_id - conv_id % 20 AS base,
+  xor(list_reduce([4294967295::UBIGINT] || list_transform(range(8 * length(conv_id::VARCHAR)), lambda i: ((ascii(substr(conv_id::VARCHAR, (i // 8 + 1)::INT, 1)) >> (i % 8)::INT) & 1)::UBIGINT),
+    lambda a, b: CASE WHEN xor(a, b) & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END), 4294967295::UBIGINT)::BIGINT % 4 AS h FROM o GROUP BY conv_id),
+c AS (SELECT k.conv_id, k.base, k.h, least(k.h, coalesce(b.own, 0)) AS taken, least(k.h, coalesce(b.own, 0)) + greatest(k.own - k.h, 0) AS n FROM k LEFT JOIN k b ON b.conv_id = k.base),
+r AS (SELECT o.conv_id, taken + place - h + 1 AS depth, role, text FROM o JOIN c USING (conv_id) WHERE place >= h
+  UNION ALL SELECT c.conv_id, place + 1, role, text FROM o JOIN c ON o.conv_id = c.base WHERE place < taken),
+m AS (SELECT conv_id, depth, array_to_string(list(sha256(length(role)::VARCHAR || ':' || role || text)) OVER (PARTITION BY conv_id ORDER BY depth), '') AS prefix,
+  len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM r UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+nd AS (SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words,
+  coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = depth), '') AS ends FROM m JOIN c USING (conv_id) GROUP BY depth, prefix),
+up AS (SELECT nd.conv_id, nd.depth, p.conv_id AS parent FROM nd JOIN m ON m.conv_id = nd.conv_id AND m.depth = nd.depth - 1 JOIN nd p ON p.depth = m.depth AND p.prefix = m.prefix),
+ch AS (SELECT parent AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM up GROUP BY ALL),
+f AS (SELECT nd.*, coalesce(n_children, 0) AS n_children FROM nd LEFT JOIN ch USING (conv_id, depth)),
+s AS (SELECT v.conv_id, v.depth, count(*) FILTER (WHERE u.n_children = 0) AS n_leaves, sum((u.n_convs - 1) * u.words) AS saved_tokens
+  FROM f v JOIN m ON m.depth = v.depth AND m.prefix = v.prefix JOIN f u ON u.conv_id = m.conv_id AND u.depth >= v.depth GROUP BY ALL)
+SELECT f.conv_id, f.depth::BIGINT AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(ends) AS ends_sha256
+FROM f JOIN s USING (conv_id, depth) LEFT JOIN up USING (conv_id, depth)
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op3_warc_audit, op4_toxicity, op5_pii, op6_ngram_join, op7_mix, op8_byte_bpe, op9_quality_rules, op10_substring_dedup, op13_conversation_trie)}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op3_warc_audit": OP3_SQL, "op7_mix": OP7_SQL, "op13_conversation_trie": OP13_SQL}
