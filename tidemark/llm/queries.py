@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, conversation_trie, exact_dedup, mixing, ngram_join, pii, quality, substring_dedup, token_io, toxicity, warc
+from tidemark.llm import bpe, conversation_trie, exact_dedup, hard_negatives, mixing, ngram_join, pii, quality, substring_dedup, token_io, toxicity, warc
 from tidemark.llm.common import table
 
 
@@ -100,6 +100,24 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("doc_row")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose vec_id is divisible by 100; every seventh label is moved on by one."""
+    moved = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    found = hard_negatives.mine(hard_negatives.vectors(moved, F.col("vec_id") % 100 == 0))
+    return found.drop("anchor_row", "positive_row", "negative_row")
+
+
+OP12_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10
+"""
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = conversation_trie.turns(table(spark, sf_dir, "conversations"))
     nodes, ends = conversation_trie.prefix_tree(*conversation_trie.grafted(placed))
@@ -131,5 +149,5 @@ FROM f JOIN s USING (conv_id, depth) LEFT JOIN up USING (conv_id, depth)
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op3_warc_audit, op4_toxicity, op5_pii, op6_ngram_join, op7_mix, op8_byte_bpe, op9_quality_rules, op10_substring_dedup, op13_conversation_trie)}
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op3_warc_audit": OP3_SQL, "op7_mix": OP7_SQL, "op13_conversation_trie": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op3_warc_audit, op4_toxicity, op5_pii, op6_ngram_join, op7_mix, op8_byte_bpe, op9_quality_rules, op10_substring_dedup, op12_hard_negatives, op13_conversation_trie)}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op3_warc_audit": OP3_SQL, "op7_mix": OP7_SQL, "op12_hard_negatives": OP12_SQL, "op13_conversation_trie": OP13_SQL}
