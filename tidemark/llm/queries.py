@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, conversation_trie, exact_dedup, hard_negatives, mixing, ngram_join, pii, quality, substring_dedup, token_io, toxicity, warc
+from tidemark.llm import bpe, conversation_trie, exact_dedup, hard_negatives, licenses, mixing, ngram_join, pii, quality, substring_dedup, token_io, toxicity, warc
 from tidemark.llm.common import table
 
 
@@ -100,6 +100,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("doc_row")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors are the rows whose vec_id is divisible by 100; every seventh label is moved on by one."""
     moved = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
@@ -149,5 +153,5 @@ FROM f JOIN s USING (conv_id, depth) LEFT JOIN up USING (conv_id, depth)
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op3_warc_audit, op4_toxicity, op5_pii, op6_ngram_join, op7_mix, op8_byte_bpe, op9_quality_rules, op10_substring_dedup, op12_hard_negatives, op13_conversation_trie)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op3_warc_audit, op4_toxicity, op5_pii, op6_ngram_join, op7_mix, op8_byte_bpe, op9_quality_rules, op10_substring_dedup, op11_license_scan, op12_hard_negatives, op13_conversation_trie)}
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op3_warc_audit": OP3_SQL, "op7_mix": OP7_SQL, "op12_hard_negatives": OP12_SQL, "op13_conversation_trie": OP13_SQL}
