@@ -131,3 +131,15 @@ def numbered(docs: DataFrame) -> DataFrame:
 def id_order(doc_id: Column, row: Column) -> Column:
     """Orders rows by doc_id, null last, and repeated ids by row number."""
     return F.struct(doc_id.isNull().alias("no"), doc_id.alias("id"), row.alias("row"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, most: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, text, label), written: ``docs`` with ``labels`` (_id, label), at most ``most`` rows, those with the least hashes of (id, text).
+    Labels are bounded first; equal rows count once, and an id on many documents doesn't make the sample larger."""
+    picked = frozen(labels.orderBy(F.xxhash64("_id"), "_id", "label").limit(most), "picked")
+    own = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(picked, "_id")
+    own = frozen(own.withColumn("_h", F.xxhash64("_id", "text")).dropDuplicates(["_h", "_id", "label"]), "labelled")
+    last = own.select("_h").orderBy("_h").limit(most).agg(F.max("_h")).first()[0]
+    out = frozen(own.where(F.col("_h") <= F.lit(last)).orderBy("_h", "_id", "label").limit(most).select(F.col("_id").alias("doc_id"), "text", "label"), "sample")
+    discard(picked, own)
+    return out

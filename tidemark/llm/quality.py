@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import frozen, words_of
+from tidemark.llm.common import frozen, labelled, words_of
 
 FIT_ROWS = 8_000
 BINS = 25
@@ -174,9 +174,8 @@ def learn(stats: DataFrame, label: str = "label") -> DecisionList:
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, text: str = "text", doc_id: str = "doc_id") -> DecisionList:
-    picked = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("label")).where("_id is not null and label is not null").orderBy(F.xxhash64("_id"), "_id", "label").limit(fit_rows)
-    own = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(frozen(picked, "picked"), "_id")
-    return learn(statistics(own, "text", "_id", keep=("label",)))
+    picked = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("label")).where("_id is not null and label is not null")
+    return learn(statistics(labelled(docs, picked, fit_rows, text, doc_id), keep=("label",)))
 
 
 def judge(docs: DataFrame, rules: DecisionList, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

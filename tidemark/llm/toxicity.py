@@ -28,7 +28,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import frozen
+from tidemark.llm.common import frozen, labelled
 
 FIT_ROWS = 20_000
 MAX_TERMS = 2_000
@@ -52,11 +52,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, text, label): the ``rows`` labelled rows outside the held-out fifth with the least id hashes."""
+    """(doc_id, text, label): at most ``rows`` labelled rows outside the held-out fifth."""
     picked = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label")).where(F.col("_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("_id")))
-    picked = picked.orderBy(F.xxhash64("_id"), "_id", "label").limit(rows)
-    own = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return own.join(frozen(picked, "picked"), "_id").withColumnRenamed("_id", "doc_id")
+    return labelled(docs, picked, rows, text, doc_id)
 
 
 def _terms(word: str) -> set[str]:
@@ -141,7 +139,9 @@ def _raw(trees, rows: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, text: str = "text", doc_id: str = "doc_id") -> ToxicityModel:
-    sample = frozen(fit_sample(docs, labels, "toxic", fit_rows, text, doc_id), "toxic-sample")
+    """Trees of the whole sample, calibrated on what trees of each half score the other half; if a half has labels of one kind only, so that
+    nothing grows from it, the trees of the whole sample score the other half."""
+    sample = fit_sample(docs, labels, "toxic", fit_rows, text, doc_id)
     n = {r["t"]: r["count"] for r in sample.groupBy((F.col("label") > 0).alias("t")).count().collect()}
     toxic, clean = n.get(True, 0), n.get(False, 0)
     prior = (toxic + 0.5) / (toxic + clean + 5)
