@@ -9,7 +9,7 @@ p(c | t) stands the lower end of its confidence interval (Wilson's, one-sided, `
 and none for nothing.  In documents that hold the entity, terms with a share of at least ``generalise`` become their kind (<WORD>), and
 those of at least ``remove`` go.
 
-Each different text with entities is read once.  A mention meets at most 2 * ``NEAR`` words, so pairs grow with the length of a text, not with
+Each different text with entities counts once as evidence.  A mention meets at most 2 * ``NEAR`` words, so pairs grow with the length of a text, not with
 its square.  They meet the document frequencies of all terms first: those whose share can't reach ``generalise`` however often they
 come with the entity leave there, which is most; the others are counted by (entity, term).  Only documents with entities are dealt out to meet
 their terms; all others pass through where they are read.
@@ -110,8 +110,8 @@ def protected(kind: str, value: str) -> Iterator[int]:
 
 
 def entities(docs: DataFrame, near: int = NEAR) -> DataFrame:
-    """(_row, text_hash, entities, terms, of) of ``docs`` (_row, text) with entities: the different ones and their parts, the different terms
-    near any, and for each of these the places in ``entities`` of those it is near."""
+    """(_row, text_hash, entities, terms, of, words) of ``docs`` (_row, text) with entities: the different ones and their parts, the different terms
+    near any, for each of these the places in ``entities`` of those it is near, and the different terms of the whole text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -127,10 +127,10 @@ def entities(docs: DataFrame, near: int = NEAR) -> DataFrame:
                     for _, term in words[max(0, bisect_left(words, (start,)) - near) : bisect_left(words, (end,)) + near]:
                         of.setdefault(term, set()).update(own)
                 h = xxhash.xxh3_64_intdigest(text) - 2**63
-                rows.append((row, h, list(numbers), list(of), [sorted(x) for x in of.values()]))
-            yield pd.DataFrame(rows, columns=["_row", "text_hash", "entities", "terms", "of"])
+                rows.append((row, h, list(numbers), list(of), [sorted(x) for x in of.values()], list({w for _, w in words})))
+            yield pd.DataFrame(rows, columns=["_row", "text_hash", "entities", "terms", "of", "words"])
 
-    return docs.mapInPandas(run, "_row long, text_hash long, entities array<long>, terms array<string>, of array<array<int>>")
+    return docs.mapInPandas(run, "_row long, text_hash long, entities array<long>, terms array<string>, of array<array<int>>, words array<string>")
 
 
 def term_frequencies(docs: DataFrame, most: int = 200_000) -> DataFrame:
@@ -180,7 +180,9 @@ def disclosures(docs: DataFrame, generalise: float = GENERALISE, z: float = Z, n
     joint = rare.groupBy("entity", "term").agg(F.sum("copies").alias("n"), F.count("*").alias("texts"), F.first("df").alias("df"), F.first("df_c").alias("df_c"))
     share = lower_share(*map(F.col, ("n", "df", "df_c", "texts")), total, z)
     hidden = frozen(joint.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise), "disclosing")
-    return each.join(hidden, "entity").groupBy("_row", "term").agg(F.max("share").alias("share"))
+    # terms that occur meet what discloses by term: a document never meets its entities' other terms
+    occurring = found.select("_row", F.explode("words").alias("term")).join(hidden, "term")
+    return occurring.join(each.select("_row", "entity"), ["_row", "entity"]).groupBy("_row", "term").agg(F.max("share").alias("share"))
 
 
 def _with_terms(text: str, spans: list[Span], terms: dict[str, float]) -> list[Span]:
