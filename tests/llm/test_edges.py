@@ -284,3 +284,36 @@ def test_large_ids_beside_nulls(spark):
 def test_bands():
     bands, rows = ngram_join.near_duplicates.__globals__["choose_bands"](0.8)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= 128
+
+
+def test_samples_are_bounded(spark):
+    """One id on most documents, with many labels: the sample has no more rows than asked for, and equal rows count once."""
+    d = frozen(spark.range(5000).selectExpr("if(id % 10 = 0, id, 11L) AS doc_id", "concat('text ', id % 4000) AS text"), "one-id")
+    labels = spark.range(5000).where("id % 10 = 0 or id = 11").selectExpr("id AS doc_id", "cast(id % 2 AS int) AS toxic", "cast(id % 2 AS int) AS quality")
+    got = toxicity.fit_sample(d, labels, "toxic", 700).collect()
+    assert len(got) == 700 == len({(r.doc_id, r.text) for r in got})
+    small = labels.where("doc_id < 12")
+    whole = toxicity.fit_sample(d, small, "toxic", 10_000)
+    assert whole.count() == d.join(small, "doc_id").where(~toxicity.held_out(F.col("doc_id"))).select("doc_id", "text").distinct().count()
+    assert quality.fit(d, labels, fit_rows=50) is not None
+
+
+def test_pii_meets_only_terms_that_occur(spark):
+    """A site whose address is on every page, each with words of its own: no page meets the other pages' words."""
+    site = [(i, f"write to me@site.org {prose(8, i)} own{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'xyzw'[i // 100]}") for i in range(400)]
+    other = [(1000 + i, prose(20, 5000 + i)) for i in range(400)]
+    docs = spark.createDataFrame(site + other, "_row long, text string")
+    words = sum(len({w.lower() for w in pii.TERM.findall(t)}) for _, t in site)
+    found = pii.disclosures(docs, 0.2)
+    assert 400 <= found.count() <= words
+    texts = dict(site + other)
+    assert all(r.term in texts[r._row].lower() for r in found.collect())
+
+
+def test_warc_of_one_id(spark):
+    """Many records of one id make one leaf; another record, another count or another order of rows show or don't."""
+    pages = lambda rows: warc.replica(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    rows = [(7, f"u{i % 50}", f"page {i % 50}") for i in range(120)] + [(8, "u", "x")]
+    status = lambda a, b: {r.page_id: r.status for r in warc.audited(pages(a), pages(b)).collect()}
+    assert status(rows, rows[::-1]) == {7: "ok", 8: "ok"}
+    assert status(rows, rows[1:])[7] == "changed" and status(rows, [(7, "u0", "other"), *rows[1:]])[7] == "changed"
