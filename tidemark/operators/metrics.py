@@ -38,8 +38,13 @@ def cagr(last: Column, years: Column, cash: float) -> Column:
 
 def metrics(simulated: DataFrame, costs: Costs = Costs(), keys=KEYS) -> DataFrame:  # noqa: B008
     """total_return, cagr, sharpe, sortino, max_drawdown, calmar, win_rate, profit_factor, num_trades, turnover per run."""
+    return performance(with_returns(simulated, keys), costs, keys)
+
+
+def performance(returns: DataFrame, costs: Costs = Costs(), keys=KEYS) -> DataFrame:  # noqa: B008
+    """metrics() of simulated bars that have ret and drawdown."""
     net = F.col("net_pnl")
-    out = with_returns(simulated, keys).groupBy(*keys).agg(
+    out = returns.groupBy(*keys).agg(
         F.max_by("equity", "ts").alias("final_equity"),
         ((F.unix_seconds(F.max("ts").cast("timestamp")) - F.unix_seconds(F.min("ts").cast("timestamp"))) / 86_400).cast("long").alias("_days"),
         sharpe().alias("sharpe"),

@@ -100,6 +100,9 @@ SQL["rec_ema"] = recursive(
     f"{NATION}, {ema(20, '2.0::DOUBLE / 21', 'close', 'b', 'e1')}, {ema(14, '1.0::DOUBLE / 14', 'close', 'b', 'e2')}, ad AS (SELECT symbol, rn, close AS a, 1.0::DOUBLE AS z FROM b WHERE rn = 1 UNION ALL SELECT b.symbol, b.rn, ad.a * (1 - 2.0::DOUBLE / 21) + b.close, ad.z * (1 - 2.0::DOUBLE / 21) + 1 FROM ad JOIN b ON b.symbol = ad.symbol AND b.rn = ad.rn + 1)",
     f"SELECT b.symbol, b.ts, {r4('e1.v')} AS ema, {r4('e2.v')} AS wilder, CASE WHEN b.rn >= 20 THEN {r4('ad.a / ad.z')} END AS ema_adjusted FROM b LEFT JOIN e1 ON e1.symbol = b.symbol AND e1.rn = b.rn LEFT JOIN e2 ON e2.symbol = b.symbol AND e2.rn = b.rn JOIN ad ON ad.symbol = b.symbol AND ad.rn = b.rn",
 )
+RSI_MEANS = f"ch AS (SELECT symbol, rn, greatest(close - pc, 0) AS up, greatest(pc - close, 0) AS dn FROM b WHERE pc IS NOT NULL), {ema(14, '1.0::DOUBLE / 14', 'up', 'ch', 'u')}, {ema(14, '1.0::DOUBLE / 14', 'dn', 'ch', 'n')}"
+RSI_VALUE = r4("CASE WHEN n.v = 0 THEN 100 ELSE 100 - 100 / (1 + u.v / n.v) END")
+LINES = f"{ema(12, '2.0::DOUBLE / 13', 'close', 'b', 'f')}, {ema(26, '2.0::DOUBLE / 27', 'close', 'b', 's')}, ln AS (SELECT f.symbol, f.rn, f.v - s.v AS line FROM f JOIN s ON s.symbol = f.symbol AND s.rn = f.rn), {ema(9, '2.0::DOUBLE / 10', 'line', 'ln', 'g')}"
 SQL["rec_rsi_macd"] = recursive(
     f"{NATION}, ch AS (SELECT symbol, rn, greatest(close - pc, 0) AS up, greatest(pc - close, 0) AS dn FROM b WHERE pc IS NOT NULL), {ema(14, '1.0::DOUBLE / 14', 'up', 'ch', 'u')}, {ema(14, '1.0::DOUBLE / 14', 'dn', 'ch', 'n')}, {ema(12, '2.0::DOUBLE / 13', 'close', 'b', 'f')}, {ema(26, '2.0::DOUBLE / 27', 'close', 'b', 's')}, "
     f"ln AS (SELECT f.symbol, f.rn, f.v - s.v AS line FROM f JOIN s ON s.symbol = f.symbol AND s.rn = f.rn), {ema(9, '2.0::DOUBLE / 10', 'line', 'ln', 'g')}",
@@ -333,7 +336,7 @@ SQL["agg_discovery"] = with_(RESULT, "SELECT max(iteration) AS last_discovery, (
 SQL["agg_coverage"] = with_(RESULT + ", e AS (SELECT min(sharpe) AS a, max(sharpe) AS b, min(cagr) AS c, max(cagr) AS d FROM r)", f"SELECT count(DISTINCT (least(floor((sharpe - a) * 10 / (b - a)), 9), least(floor((cagr - c) * 10 / (d - c)), 9))) AS visited, {r4('count(DISTINCT (least(floor((sharpe - a) * 10 / (b - a)), 9), least(floor((cagr - c) * 10 / (d - c)), 9))) / 100.0')} AS coverage FROM r, e")
 SQL["swp_neighbours"] = with_(
     RESULT + ", g2 AS (SELECT symbol, strategy_type, config_id, entry_lookback // 5 AS n, exit_lookback AS k, sharpe FROM r), h AS (SELECT a.symbol, a.strategy_type, a.config_id, any_value(a.sharpe) AS x, count(b.sharpe) AS n, avg(b.sharpe) AS mean, coalesce(var_pop(b.sharpe), 0) AS v FROM g2 a LEFT JOIN g2 b ON b.symbol = a.symbol AND b.strategy_type = a.strategy_type AND greatest(abs(b.n - a.n), abs(b.k - a.k)) BETWEEN 1 AND 2 GROUP BY 1, 2, 3)",
-    f"SELECT symbol, strategy_type, config_id, n, {r4('mean')} AS mean, {r4('v')} AS variance, {r4('CASE WHEN v > 0 THEN 1 / (1 + abs(x - mean) / greatest(sqrt(v), 0.001)) ELSE 1 END')} AS stability FROM h",
+    f"SELECT symbol, strategy_type, config_id, n, round(mean, 8) + 0.0 AS mean, round(v, 12) + 0.0 AS variance, round(CASE WHEN v > 0 THEN 1 / (1 + abs(x - mean) / greatest(sqrt(v), 0.001)) ELSE 1 END, 8) + 0.0 AS stability FROM h",
 )
 # Weights of four risk profiles on seven components.
 PROFILE = {
@@ -349,7 +352,7 @@ def robust(sharpe: float, least: float, hit: float, down: float, tail: float, ku
     return f"({sharpe} * least(greatest(avg_sharpe / 2, 0), 1.5) + {least} * least(greatest(min_sharpe / 2, -0.5), 1) + {hit} * hit + {down} * (1 - least(greatest(down, 0), 1)) + 0.5 * ({tail} + {kurtosis} + {regime}))"
 
 
-SQL["lb_robust_score"] = with_(ACROSS, f"SELECT config_id, {r4(robust(0.25, 0.10, 0.20, 0.15, 0.10, 0.10, 0.10))} AS score, {r4(robust(*PROFILE['trend_options']))} AS trend_score FROM a")
+SQL["lb_robust_score"] = with_(ACROSS, f"SELECT config_id, round({robust(0.25, 0.10, 0.20, 0.15, 0.10, 0.10, 0.10)}, 12) + 0.0 AS score, round({robust(*PROFILE['trend_options'])}, 12) + 0.0 AS trend_score FROM a")
 _boards = " UNION ALL ".join(f"SELECT '{p}' AS profile, (row_number() OVER (ORDER BY v DESC, config_id))::INT AS rank, config_id, {r4('v')} AS rank_value FROM (SELECT *, row_number() OVER (PARTITION BY strategy_type ORDER BY v DESC, config_id) AS i FROM (SELECT strategy_type, config_id, {robust(*ws)} AS v FROM a)) WHERE i <= 3" for p, ws in PROFILE.items())
 SQL["lb_ranked_by_profile"] = with_(ACROSS, f"SELECT * FROM ({_boards}) WHERE rank <= 10")
 _boards = " UNION ALL ".join(f"SELECT '{m}' AS metric, (row_number() OVER (ORDER BY {c} DESC, config_id))::INT AS rank, config_id, {r4(c)} AS rank_value FROM a" for m, c in (("avg_sharpe", "avg_sharpe"), ("min_sharpe", "min_sharpe"), ("geo_mean_cagr", "geo"), ("hit_rate", "hit"), ("mean_oos_sharpe", "avg_sharpe")))
@@ -536,3 +539,15 @@ SQL["stat_p_values"] = with_(
     RESULT + f", a1 AS (SELECT config_id, count(sharpe) AS n, avg(sharpe + 0.05) AS mean, CASE WHEN count(sharpe) >= 3 THEN avg(sharpe + 0.05) / (stddev_samp(sharpe) / sqrt(count(sharpe))) END AS t FROM r GROUP BY 1), a2 AS (SELECT *, n - 1 AS df, atan(t / sqrt(n - 1)) AS th FROM a1), a3 AS (SELECT *, CASE WHEN t IS NOT NULL THEN greatest(1e-10, least(1 - 1e-10, 0.5 - 0.5 * CASE WHEN df % 2 = 0 THEN {_even} ELSE {_odd} END)) END AS p FROM a2), a4 AS (SELECT *, count(p) OVER () AS m, row_number() OVER (ORDER BY p NULLS LAST, config_id) AS i FROM a3)",
     f"SELECT config_id, n, {r4('mean')} AS mean, {r4('t')} AS t, {r4('p')} AS p, {r4('least(1, p * m)')} AS bonferroni, {r4('least(1, CASE WHEN p IS NOT NULL THEN max(p * (m - i + 1)) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) END)')} AS holm, {r4('least(1, CASE WHEN p IS NOT NULL THEN min(p * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) END)')} AS bh FROM a4",
 )
+
+# one series over many tasks: the same definitions over all events
+ONE = """b0 AS (SELECT 'ALL' AS symbol, time_bucket(INTERVAL 10 MINUTE, ts)::TIMESTAMP AS ts, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close FROM events GROUP BY 2),
+b AS (SELECT *, row_number() OVER s AS rn, lag(close) OVER s AS pc, lag(high) OVER s AS ph, lag(low) OVER s AS pl FROM b0 WINDOW s AS (PARTITION BY symbol ORDER BY ts))"""
+SQL["one_means"] = recursive(f"{ONE}, {ema(20, '2.0::DOUBLE / 21', 'close', 'b', 'e1')}, {ema(14, '1.0::DOUBLE / 14', 'close', 'b', 'e2')}", f"SELECT b.symbol, b.ts, {r4('e1.v')} AS ema, {r4('e2.v')} AS wilder FROM b LEFT JOIN e1 USING (symbol, rn) LEFT JOIN e2 USING (symbol, rn)")
+SQL["one_rsi"] = recursive(f"{ONE}, {RSI_MEANS}", f"SELECT b.symbol, b.ts, {RSI_VALUE} AS rsi FROM b LEFT JOIN u USING (symbol, rn) LEFT JOIN n USING (symbol, rn)")
+SQL["one_macd"] = recursive(f"{ONE}, {LINES}", f"SELECT b.symbol, b.ts, CASE WHEN g.v IS NOT NULL THEN {r4('ln.line')} END AS macd, {r4('g.v')} AS macd_signal, {r4('ln.line - g.v')} AS macd_hist FROM b LEFT JOIN ln USING (symbol, rn) LEFT JOIN g USING (symbol, rn)")
+SQL["one_dmi"] = SQL["rec_dmi"].replace(NATION, ONE)
+ONE_SIM = f"{ONE}, t AS (SELECT *, NULL::DOUBLE AS u, NULL::DOUBLE AS l2 FROM b), {SIM.removeprefix(DC + ', ')}".replace("coalesce(rn > 20 AND close > u, FALSE)", "coalesce(close / pc - 1 > 0.05, FALSE)").replace("coalesce(rn > 20 AND close < l2, FALSE)", "coalesce(close / pc - 1 < -0.03, FALSE)")
+_one = {"fill_price": ("price", 8), "fill_fees": ("fees", 10), "cash": ("cash", 4), "equity": ("equity", 4), "drawdown": ("dd", 8)}
+SQL["one_long_only"] = recursive(f"{ONE_SIM}, {RET.format('q')}", "SELECT symbol, ts, pos AS position_state, ef AS entry_fill, xf AS exit_fill, " + ", ".join(f"round({x}, {k}) + 0.0 AS {n}" for n, (x, k) in _one.items()) + " FROM rd")
+SQL["one_metrics"] = SQL["met_metrics"].replace(f"{NATION}, {SIM}", ONE_SIM)

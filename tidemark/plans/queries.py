@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import chunks
 from tidemark.functions import indicators as ind
 from tidemark.functions import recurrence as rec
-from tidemark.operators import analysis, cluster, explore, leaderboard, results, scan, sector, statistics, sweep, validation
+from tidemark.operators import analysis, cluster, explore, leaderboard, long_series, results, scan, sector, statistics, sweep, validation
 from tidemark.operators import signals as sig
 from tidemark.operators.backtest import Costs, along_path, fills, long_only, paired, pyramid, trades, turtle_size, volatility_size
 from tidemark.operators.metrics import metrics, streaks, with_returns
@@ -26,8 +27,9 @@ def query(f):
     return f
 
 
-def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
-    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+def rounded(df: DataFrame, digits: int = 4, **other: int) -> DataFrame:
+    """``other``: digits of some columns.  Where short decimals meet in a mean or a product, more digits keep ties out."""
+    return df.select(*[(F.round(c, other.get(c, digits)) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def nation(spark: SparkSession, d: str) -> DataFrame:
@@ -221,6 +223,53 @@ def rec_darvas(spark, d):
     return keyed(flags(_along(nation(spark, d), a=rec.darvas(2)), "box_complete"), "box_top", "box_bottom", "box_complete")
 
 
+# --- one series over many tasks ---
+
+
+def one(spark: SparkSession, d: str) -> DataFrame:
+    """All events as one series, in chunks of a fraction of it."""
+    return chunks.chunked(src.bars_one(spark, d), rows=600)
+
+
+@query
+def one_means(spark, d):
+    means = [chunks.Smoothing("ema", "close", 20, 2.0 / 21), chunks.Smoothing("wilder", "close", 14, 1.0 / 14)]
+    return keyed(chunks.smoothed(one(spark, d), means), "ema", "wilder")
+
+
+@query
+def one_rsi(spark, d):
+    return keyed(chunks.rsi(one(spark, d)), "rsi")
+
+
+@query
+def one_macd(spark, d):
+    return keyed(chunks.macd(one(spark, d)), "macd", "macd_signal", "macd_hist")
+
+
+@query
+def one_dmi(spark, d):
+    return keyed(chunks.dmi(one(spark, d)), "plus_di", "minus_di", "adx")
+
+
+def _one_simulated(spark, d) -> DataFrame:
+    """Momentum over a bar: in on a rise over 5 %, out on a fall over 3 %."""
+    b = chunks.previous(one(spark, d), ["close"], "_p")
+    change = F.col("close") / F.col("_p.close") - 1
+    return long_series.long_only(b.withColumns({"raw_entry": change > 0.05, "raw_exit": change < -0.03}).drop("_p"), COSTS)
+
+
+@query
+def one_long_only(spark, d):
+    out = _one_simulated(spark, d).select("symbol", "ts", "position_state", "entry_fill", "exit_fill", "fill_price", "fill_fees", "cash", "equity", "drawdown")
+    return rounded(out, fill_price=8, fill_fees=10, drawdown=8)
+
+
+@query
+def one_metrics(spark, d):
+    return rounded(long_series.metrics(_one_simulated(spark, d), COSTS))
+
+
 # --- strategies ---
 
 #: Parameters under which each strategy trades on the weekly bars.
@@ -337,7 +386,7 @@ def swp_costs(spark, d):
 def swp_neighbours(spark, d):
     # lookbacks of five apart become neighbours
     r = result_table(spark, d).withColumn("entry_lookback", (F.col("entry_lookback") / 5).cast("int"))
-    return rounded(sweep.neighbours(r).drop("value"))
+    return rounded(sweep.neighbours(r).drop("value"), 8, variance=12)
 
 
 # --- results ---
@@ -694,7 +743,7 @@ def lb_across_symbols(spark, d):
 @query
 def lb_robust_score(spark, d):
     a = leaderboard.across_symbols(result_table(spark, d))
-    return rounded(a.select("config_id", leaderboard.robust_score(a).alias("score"), leaderboard.robust_score(a, leaderboard.profile_weights("trend_options")).alias("trend_score")))
+    return rounded(a.select("config_id", leaderboard.robust_score(a).alias("score"), leaderboard.robust_score(a, leaderboard.profile_weights("trend_options")).alias("trend_score")), 12)
 
 
 @query

@@ -144,3 +144,10 @@ def bars_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read("orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
     o = o.select(F.col("n_name").alias("symbol"), F.col("r_name").alias("sector"), F.date_trunc("week", "o_orderdate").cast("timestamp_ntz").alias("ts"), "o_totalprice", "o_orderdate", "o_orderkey")
     return _folded(o, "o_totalprice", ["o_orderdate", "o_orderkey"], ["symbol", "sector", "ts"], "1w")
+
+
+def bars_one(spark: SparkSession, sf_dir: str, minutes: int = 10) -> DataFrame:
+    """One series of all event values."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = e.select(F.lit("ALL").alias("symbol"), F.window("ts", f"{minutes} minutes")["start"].cast("timestamp_ntz").alias("ts"), F.col("ts").alias("at"), "event_id", "value")
+    return _folded(e, "value", ["at", "event_id"], ["symbol", "ts"], f"{minutes}m")
