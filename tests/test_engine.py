@@ -187,7 +187,7 @@ def test_distributions():
 def test_bootstrap_of_long_series(spark):
     """More values than any cap would let pass; the interval of the mean of normal values is that of theory."""
     df = spark.range(300_000).select(F.lit("a").alias("k"), "id", F.randn(3).alias("x")).unionByName(spark.range(50).select(F.lit("b").alias("k"), "id", (F.col("id") % 5).cast("double").alias("x")))
-    got = {r.k: r for r in statistics.bootstrap(df, ["k"], "x", ["id"], rounds=200).collect()}
+    got = {r.k: r for r in statistics.bootstrap(df, ["k"], "x", rounds=200).collect()}
     assert got["a"].n == 300_000 and got["b"].n == 50 and got["b"].value == pytest.approx(2.0)
     assert got["a"].std_error == pytest.approx(300_000**-0.5, rel=0.2) and got["a"].lower < got["a"].value < got["a"].upper
     assert got["b"].std_error == pytest.approx(2**0.5 / 50**0.5, rel=0.25)
@@ -206,7 +206,7 @@ def test_bootstrap_of_sharpe(spark, walk, method):
 def test_permutation(spark):
     r = np.random.default_rng(0)
     rows = [("far", i, float(v), i < 50) for i, v in enumerate([*r.normal(0, 1, 50), *r.normal(2, 1, 50)])] + [("same", i, float(v), i < 50) for i, v in enumerate(r.normal(0, 1, 100))] + [("one", 0, 1.0, True)]
-    got = {x.k: x for x in statistics.permutation_test(spark.createDataFrame(rows, "k string, i int, x double, f boolean"), ["k"], "x", F.col("f"), ["i"], rounds=500).collect()}
+    got = {x.k: x for x in statistics.permutation_test(spark.createDataFrame(rows, "k string, i int, x double, f boolean"), ["k"], "x", F.col("f"), rounds=500).collect()}
     assert got["far"].p < 0.01 and got["same"].p > 0.05 and got["one"].p is None and got["far"].n_first == 50
 
 

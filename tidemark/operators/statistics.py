@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tidemark.operators.order import p_bucket, with_running
+from tidemark.operators.resampling import drawn, drawn_blocks, keyed, positions
 
 ITERATIONS = 10_000
 SEED = 42
@@ -19,145 +19,82 @@ SEED = 42
 
 # --- resampling ---
 
-#: Statistics of a resample, from its number of values, their sum and the sum of their squares.
-STATISTICS: dict[str, Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]] = {}
-
-
-def _statistic(f):
-    STATISTICS[f.__name__] = f
-    return f
+def mean(n: Column, s: Column, q: Column) -> Column:
+    return s / n
 
 
-@_statistic
-def mean(n, s, q):
-    return s / np.maximum(n, 1)
+def std(n: Column, s: Column, q: Column) -> Column:
+    return F.sqrt(F.greatest(q - s * s / n, F.lit(0.0)) / F.greatest(n - 1, F.lit(1)))
 
 
-@_statistic
-def std(n, s, q):
-    return np.sqrt(np.maximum(q - s * s / np.maximum(n, 1), 0.0) / np.maximum(n - 1, 1))
-
-
-@_statistic
-def sharpe(n, s, q):
+def sharpe(n: Column, s: Column, q: Column) -> Column:
     dev = std(n, s, q)
-    return np.where(dev < 1e-10, 0.0, mean(n, s, q) / np.where(dev < 1e-10, 1.0, dev) * math.sqrt(252.0))
-
+    return F.when(dev < 1e-10, 0.0).otherwise(mean(n, s, q) / dev * math.sqrt(252.0))
 
-def _batches_by_key(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """Pieces of sorted batches with one key each."""
-    for b in batches:
-        code = b.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
-        cuts = [0, *(np.nonzero(np.diff(code))[0] + 1).tolist(), len(b)]
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if hi > lo:
-                yield tuple(None if pd.isna(v) else v for v in b.iloc[lo][keys]), b.iloc[lo:hi]
 
-
-def _dealt(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+#: Statistics of a resample, from its number of values, their sum and the sum of their squares.
+STATISTICS: dict[str, Callable[[Column, Column, Column], Column]] = {f.__name__: f for f in (mean, std, sharpe)}
 
 
-def bootstrap(df: DataFrame, keys: list[str], column: str, order: list[str], statistic: str = "mean", method: str = "iid", block: float | None = None, rounds: int = ITERATIONS, level: float = 0.95, seed: int = SEED) -> DataFrame:
-    """keys, n, value, std_error, lower, upper of a statistic (``STATISTICS``) of each series, by resampling.
+def bootstrap(df: DataFrame, keys: list[str], column: str, statistic: str = "mean", method: str = "iid", block: float | None = None, rounds: int = ITERATIONS, level: float = 0.95, seed: int = SEED) -> DataFrame:
+    """keys, n, value, std_error, lower, upper, boot_mean, boot_median of a statistic (``STATISTICS``) of each key's values that aren't null, by resampling.
 
-    Each round gives each value, or each block of values in ``order``, a Poisson number of copies: blocks are single values (iid), runs of ``block`` values
-    (moving) or of geometric lengths with that mean (stationary); by default the cube root of n, 2 at least.  A round needs the number, sum
-    and sum of squares of its values only, so each series is passed through once, batch by batch: its length isn't bounded, and memory is
-    that of ``rounds`` sums.  The interval is between percentiles at the floor of their index; std_error is of the population."""
+    Each round draws n values: single ones (iid), blocks of ``block`` values in the order of ts (moving), or blocks of geometric lengths with that mean around a
+    circle (stationary); by default the cube root of n, 2 at least.  No key is a task (``resampling``).  The interval is between
+    percentiles at the floor of their index, std_error is of the population, the median is at half the number of rounds; under 2 values these are null."""
     if method not in ("iid", "moving", "stationary"):
         raise ValueError(method)
-    total = df.where(F.col(column).isNotNull())
-    sizes = total.groupBy(*keys).agg(F.count("*").alias("_n"))
-    joined = total.select(*keys, *order, F.col(column).cast("double").alias("_x")).join(sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n"), [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]).drop(*[f"_k{i}" for i in range(len(keys))])
+    values = keyed(df, keys, column)
+    sizes = values.groupBy("_key").agg(F.count("*").alias("n"), F.sum("_x").alias("s"), F.sum(F.col("_x") * F.col("_x")).alias("q"))
+    if method == "iid":
+        found = drawn(values, sizes, F.col("n"), rounds, seed, replaced=True)
+    else:
+        # a cube root that is whole stays so
+        size = F.lit(float(block)) if block else F.greatest(F.lit(2.0), F.floor(F.pow(F.col("n"), F.lit(1 / 3)) + 1e-9) if method == "moving" else F.pow(F.col("n"), F.lit(1 / 3)))
+        found = drawn_blocks(positions(df, keys, column), sizes, size, method == "stationary", rounds, seed)
     of = STATISTICS[statistic]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = None
-
-        def done() -> pd.DataFrame:
-            found = np.sort(of(sums[0], sums[1], sums[2]))
-            lower, upper = found[int((1 - level) / 2 * rounds)], found[min(int((1 + level) / 2 * rounds), rounds - 1)]
-            return pd.DataFrame([(*key, int(seen[0]), float(of(*seen[:, None])[0]), float(found.std()), float(lower), float(upper))], columns=[*keys, "n", "value", "std_error", "lower", "upper"])
-
-        for now, b in _batches_by_key(batches, keys):
-            if now != key:
-                if key is not None:
-                    yield done()
-                key, rng = now, np.random.default_rng(seed)
-                sums, seen, at = np.zeros((3, rounds)), np.zeros(3), 0
-                size = 1.0 if method == "iid" else max(block or int(b["_n"].iloc[0]) ** (1 / 3), 2.0 if block is None else 1.0)
-                phase, held = rng.integers(0, max(int(size), 1), rounds), np.zeros(rounds)
-            x = b["_x"].to_numpy()
-            for lo in range(0, len(x), 512):
-                part = x[lo : lo + 512]
-                i = np.arange(at, at + len(part))[:, None]
-                if method == "moving":
-                    fresh = (i + phase) % max(int(size), 1) == 0
-                else:
-                    fresh = rng.random((len(part), rounds)) < 1.0 / size
-                fresh |= i == 0
-                drawn = rng.poisson(1.0, fresh.shape).astype(float)
-                last = np.maximum.accumulate(np.where(fresh, np.arange(len(part))[:, None], -1), axis=0)
-                copies = np.where(last >= 0, np.take_along_axis(drawn, np.maximum(last, 0), 0), held)
-                held, at = copies[-1], at + len(part)
-                values = np.stack([np.ones(len(part)), part, part * part])
-                sums += values @ copies
-                seen += values.sum(axis=1)
-        if key is not None:
-            yield done()
-
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n long, value double, std_error double, lower double, upper double"
-    return _dealt(joined, keys, order).select(*keys, "_x", "_n").mapInPandas(run, schema)
+    each = found.join(sizes.select("_key", "n"), "_key").select("_key", of(F.col("n"), F.col("s"), F.col("q")).alias("v"))
+    # as many values a key as rounds
+    spread = each.groupBy("_key").agg(F.sort_array(F.collect_list("v")).alias("v"), F.stddev_pop("v").alias("std_error"), F.avg("v").alias("boot_mean"))
+    alpha = 1.0 - level
+    at = lambda i: F.get("v", F.lit(min(int(i), rounds - 1)))
+    spread = spread.select("_key", "std_error", at(alpha / 2 * rounds).alias("lower"), at((1 - alpha / 2) * rounds).alias("upper"), "boot_mean", at(rounds // 2).alias("boot_median"))
+    names = keyed(df, keys, column, *keys).groupBy("_key").agg(*[F.first(k).alias(k) for k in keys])
+    out = sizes.withColumn("value", of(F.col("n"), F.col("s"), F.col("q"))).join(spread, "_key").join(names, "_key")
+    return out.select(*keys, "n", "value", *[F.when(F.col("n") >= 2, F.col(c)).alias(c) for c in ("std_error", "lower", "upper", "boot_mean", "boot_median")])
 
 
 def bootstrap_sharpe(returns: DataFrame, keys: list[str], column: str = "ret", method: str = "stationary", rounds: int = 1000, level: float = 0.95, seed: int = SEED) -> DataFrame:
     """keys, n, sharpe, std_error, lower, upper, grade and the sample statistics (mean, std, skew, kurtosis) of each series of returns (keys, ts, column).
     Grades: high if the lower bound is over 0.5, medium if over 0, low from 252 returns on, else insufficient, as with fewer than 30."""
-    found = bootstrap(returns, keys, column, ["ts"], "sharpe", method, None, rounds, level, seed).withColumnRenamed("value", "sharpe")
+    found = bootstrap(returns, keys, column, "sharpe", method, None, rounds, level, seed).withColumnRenamed("value", "sharpe")
     grade = F.when(F.col("lower") > 0.5, "high").when(F.col("lower") > 0, "medium").when(F.col("n") >= 252, "low").otherwise("insufficient")
     enough = F.col("n") >= 30
-    found = found.select(*keys, "n", *[F.when(enough, F.col(c)).alias(c) for c in ("sharpe", "std_error", "lower", "upper")], F.when(enough, grade).otherwise("insufficient").alias("grade"))
+    found = found.select(*keys, "n", *[F.when(enough, F.col(c)).alias(c) for c in ("sharpe", "std_error", "lower", "upper", "boot_mean", "boot_median")], F.when(enough, grade).otherwise("insufficient").alias("grade"))
     moments = sample_statistics(returns, keys, column).select(*keys, "mean", "std", "skew", "kurtosis")
-    return found.join(moments, keys)
+    return _joined(found, moments, keys)
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join in which null keys meet."""
+    renamed = right.select(*[F.col(k).alias(f"_of_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    return left.join(renamed, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]).drop(*[f"_of_{k}" for k in keys])
 
 
-def permutation_test(df: DataFrame, keys: list[str], column: str, first: Column, order: list[str], rounds: int = ITERATIONS, seed: int = SEED) -> DataFrame:
+def permutation_test(df: DataFrame, keys: list[str], column: str, first: Column, rounds: int = ITERATIONS, seed: int = SEED) -> DataFrame:
     """keys, n_first, n_second, difference, p: two-sided test of the difference of means between the rows for which ``first`` holds and the others.
 
-    Each round draws a subset of the first group's size without replacement as rows go by (a row is taken with the probability of those still to be
-    taken among those still to come), which makes all subsets equally likely; so one pass does, in bounded memory.  p = (extreme + 1) / (rounds + 1)."""
-    own = df.where(F.col(column).isNotNull()).select(*keys, *order, F.col(column).cast("double").alias("_x"), F.coalesce(first, F.lit(False)).alias("_first"))
-    sizes = own.groupBy(*keys).agg(F.count("*").alias("_n"), F.count_if("_first").alias("_m"), F.coalesce(F.avg(F.when(F.col("_first"), F.col("_x"))) - F.avg(F.when(~F.col("_first"), F.col("_x"))), F.lit(float("nan"))).alias("_d"), F.sum("_x").alias("_s"))
-    joined = _dealt(own.join(sizes, keys), keys, order).select(*keys, "_x", "_n", "_m", "_d", "_s")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = None
-
-        def done() -> pd.DataFrame:
-            p = None
-            if 0 < m < n:
-                drawn = total / m - (everything - total) / (n - m)
-                p = float((np.abs(drawn) >= abs(seen) - 1e-12).sum() + 1) / (rounds + 1)
-            return pd.DataFrame([(*key, m, n - m, None if m in (0, n) else seen, p)], columns=[*keys, "n_first", "n_second", "difference", "p"])
-
-        for now, b in _batches_by_key(batches, keys):
-            if now != key:
-                if key is not None:
-                    yield done()
-                key, rng = now, np.random.default_rng(seed)
-                n, m, seen, everything = int(b["_n"].iloc[0]), int(b["_m"].iloc[0]), float(b["_d"].iloc[0]), float(b["_s"].iloc[0])
-                left, total, to_come = np.full(rounds, m), np.zeros(rounds), n
-            for x in b["_x"].to_numpy():
-                taken = rng.random(rounds) * to_come < left
-                total += taken * x
-                left, to_come = left - taken, to_come - 1
-        if key is not None:
-            yield done()
-
-    kinds = dict(df.dtypes)
-    return joined.mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n_first long, n_second long, difference double, p double")
+    Each round draws a subset of the first group's size without replacement, all subsets being equally likely; no key is a task (``resampling``).
+    p = (extreme + 1) / (rounds + 1); null if a group is empty."""
+    own = keyed(df, keys, column, *keys, F.coalesce(first, F.lit(False)).alias("_first"))
+    mean_of = lambda c: F.avg(F.when(c, F.col("_x")))
+    sizes = own.groupBy("_key").agg(F.count("*").alias("n"), F.count_if("_first").alias("m"), (mean_of(F.col("_first")) - mean_of(~F.col("_first"))).alias("d"), F.sum("_x").alias("total"), *[F.first(k).alias(k) for k in keys])
+    both = sizes.where("m > 0 and m < n")
+    found = drawn(own.select("_key", "_x"), both, F.col("m"), rounds, seed, replaced=False)
+    joined = found.join(both, "_key")
+    difference = F.col("s") / F.col("m") - (F.col("total") - F.col("s")) / (F.col("n") - F.col("m"))
+    p = joined.groupBy("_key").agg(((F.count_if(F.abs(difference) >= F.abs("d") - 1e-12) + 1) / F.lit(rounds + 1)).alias("p"))
+    return sizes.join(p, "_key", "left").select(*keys, F.col("m").alias("n_first"), (F.col("n") - F.col("m")).alias("n_second"), F.col("d").alias("difference"), "p")
 
 
 def cross_confidence(df: DataFrame, keys: list[str], column: str, least: int, floors: tuple[float, float], rounds: int = 1000, seed: int = SEED) -> DataFrame:
@@ -165,12 +102,12 @@ def cross_confidence(df: DataFrame, keys: list[str], column: str, least: int, fl
 
     High: lower bound over 0.5, interval under 0.75 wide, at least 80% of members positive, and the worst over the first floor; medium: lower bound over
     0, 70%, and the worst over the second; insufficient under ``least`` members."""
-    found = bootstrap(df, keys, column, [column], "mean", "iid", None, rounds, 0.95, seed)
+    found = bootstrap(df, keys, column, "mean", "iid", None, rounds, 0.95, seed)
     own = df.groupBy(*keys).agg(F.min(column).alias("_least"), F.avg((F.col(column) > 0).cast("double")).alias("_positive"))
     low, up, worst, share = F.col("lower"), F.col("upper"), F.col("_least"), F.col("_positive")
     grade = F.when((low > 0.5) & (up - low < 0.75) & (share >= 0.8) & (worst > floors[0]), "high").when((low > 0) & (share >= 0.7) & (worst > floors[1]), "medium").otherwise("low")
     enough = F.col("n") >= least
-    return found.join(own, keys).select(*keys, "n", F.when(enough, F.col("value")).alias("mean"), F.when(enough, low).alias("lower"), F.when(enough, up).alias("upper"), F.when(enough, grade).otherwise("insufficient").alias("grade"))
+    return _joined(found, own, keys).select(*keys, "n", F.when(enough, F.col("value")).alias("mean"), F.when(enough, low).alias("lower"), F.when(enough, up).alias("upper"), F.when(enough, grade).otherwise("insufficient").alias("grade"))
 
 
 def symbol_confidence(results: DataFrame, keys: list[str]) -> DataFrame:

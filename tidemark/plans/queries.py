@@ -617,13 +617,13 @@ def stat_bootstrap(spark, d):
 
 @query
 def stat_bootstrap_mean(spark, d):
-    return rounded(statistics.bootstrap(result_table(spark, d), ["sector"], "sharpe", ["sharpe"], "mean", rounds=2000))
+    return rounded(statistics.bootstrap(result_table(spark, d), ["sector"], "sharpe"))
 
 
 @query
 def stat_permutation(spark, d):
     r = result_table(spark, d)
-    return rounded(statistics.permutation_test(r, ["sector"], "sharpe", F.col("strategy_type") == "BUILDING", ["sharpe", "symbol"], rounds=2000))
+    return rounded(statistics.permutation_test(r, ["sector"], "sharpe", F.col("strategy_type") == "BUILDING"))
 
 
 @query
