@@ -76,9 +76,20 @@ def coverage_ratio(visited: DataFrame, strategy: str, size: float = CELL) -> Dat
     return visited.agg((F.count("*") / float(math.ceil(1 / size) ** len(BOUNDS[strategy]))).alias("coverage"))
 
 
-def least_visited(visited: DataFrame, candidates: DataFrame, n: int = 1) -> DataFrame:
-    """The ``n`` candidate cells with the fewest visits."""
-    return candidates.join(visited, "cell", "left").fillna(0, ["visits"]).orderBy("visits", "cell").limit(n)
+def least_visited(visited: DataFrame, candidates: DataFrame, n: int = 1, seed: int = 42) -> DataFrame:
+    """The ``n`` candidate cells with the fewest visits; of cells with as many, those whose hash with the seed is least, so that no corner is favoured."""
+    return candidates.join(visited, "cell", "left").fillna(0, ["visits"]).orderBy("visits", F.xxhash64("cell", F.lit(seed)), "cell").limit(n)
+
+
+# Of all cells a tenth is drawn, between these bounds.
+LEAST_DRAWS, MOST_DRAWS = 1_000, 10_000
+
+
+def next_cells(visited: DataFrame, strategy: str, n: int = 1, size: float = CELL, seed: int = 42) -> DataFrame:
+    """(cell, visits): random least-visited cells of a strategy's cube, of a random tenth of all cells."""
+    total = math.ceil(1 / size) ** len(BOUNDS[strategy])
+    draws = min(max(total // 10, LEAST_DRAWS), MOST_DRAWS, total)
+    return least_visited(visited, random_cells(visited.sparkSession, strategy, draws, size, seed), n, seed)
 
 
 def random_cells(spark: SparkSession, strategy: str, n: int, size: float = CELL, seed: int = 42) -> DataFrame:
@@ -104,11 +115,21 @@ def winners(history: DataFrame, strategy: str, most: int = 500) -> DataFrame:
     return history.where((F.col("strategy_type") == strategy) & (F.col("avg_sharpe") > 0)).orderBy(F.desc("tested_at"), F.desc("avg_sharpe"), "config_id").limit(most)
 
 
-def untested(candidates: DataFrame, history: DataFrame, tolerance_days: int = 7) -> DataFrame:
-    """Candidates (config_hash, tested_start, tested_end) without a test of the same hash over about the same range: an anti-join."""
-    h = history.select(F.col("config_hash").alias("_h"), F.col("tested_start").alias("_s"), F.col("tested_end").alias("_e"))
-    near = (F.col("config_hash") == F.col("_h")) & (F.abs(F.datediff("tested_start", "_s")) <= tolerance_days) & (F.abs(F.datediff("tested_end", "_e")) <= tolerance_days)
-    return candidates.join(h, near, "left_anti")
+def untested(candidates: DataFrame, history: DataFrame, days: int = 180) -> DataFrame:
+    """Candidates (config_hash, tested_start, tested_end) without a test of the same hash over about the same range: start and end differ by more than
+    ``days`` together from those of every test.
+
+    In the coordinates (start + end, start - end) the ranges within ``days`` are a square.  Tests are dealt to cells of its width and to the eight around
+    them, so a candidate meets its own cell by an equi-join, however many ranges a hash has.  A null hash or date matches nothing."""
+    day = lambda c: F.unix_date(F.to_date(c)).cast("long")
+    u, v = (lambda s, e: day(s) + day(e)), (lambda s, e: day(s) - day(e))
+    cell = lambda x: F.floor(x / (days + 1))
+    h = history.select(F.col("config_hash").alias("_h"), u("tested_start", "tested_end").alias("_u"), v("tested_start", "tested_end").alias("_v")).distinct()
+    around = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    h = h.withColumn("_c", F.explode(F.array(*[F.struct((cell(F.col("_u")) + i).alias("u"), (cell(F.col("_v")) + j).alias("v")) for i, j in around])))
+    own_u, own_v = u("tested_start", "tested_end"), v("tested_start", "tested_end")
+    same = (F.col("config_hash") == F.col("_h")) & (cell(own_u) == F.col("_c.u")) & (cell(own_v) == F.col("_c.v"))
+    return candidates.join(h, same & (F.abs(own_u - F.col("_u")) <= days) & (F.abs(own_v - F.col("_v")) <= days), "left_anti")
 
 
 # Shares of (local jitter, pure random, cover) by how much is covered, in the warm-up, and with many jumps.

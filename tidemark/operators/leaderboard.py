@@ -114,6 +114,14 @@ def with_fdr(df: DataFrame, alpha: float = 0.05, p: str = "p", grade: str = "gra
     return out.withColumns({"significant": F.col("bh") < alpha, grade: F.when(F.col("bh").isNotNull(), downgraded(F.col(grade), F.col("bh"), alpha)).otherwise(F.col(grade))})
 
 
+def covered(spans: DataFrame, start: Column, end: Column, least: float = 0.6, most_lag_days: int = 365) -> DataFrame:
+    """``spans`` (first, last: dates) of the symbols that cover enough of the window from ``start`` to ``end`` to be aggregated: at least the share ``least`` of its
+    days, and begun at most ``most_lag_days`` after it; without dates they don't.  Ranges of less than a day count as one."""
+    days = lambda a, b: F.greatest(F.abs(F.datediff(b, a)), F.lit(1)).cast("double")
+    enough = days(F.col("first"), F.col("last")) / days(start, end) >= least
+    return spans.where(enough & (F.datediff(F.col("first"), start) <= most_lag_days))
+
+
 def common_dates(curves: DataFrame, group: str | None = None) -> DataFrame:
     """Dates on which every symbol (of the group) has a value: by counting, not by n joins."""
     keys = [group] if group else []

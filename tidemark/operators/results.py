@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantiles import aggregated
+
 from tidemark.operators.analysis import correlation
 from tidemark.operators.order import with_running
 
@@ -102,12 +104,15 @@ def compare_strategies(df: DataFrame) -> DataFrame:
 
 def strategy_summary(df: DataFrame) -> DataFrame:
     """Medians, means and sample deviations by strategy, the best median first."""
-    stats = [f(c).alias(f"{n}_{c}") for c in ("sharpe", "cagr", "max_drawdown") for n, f in (("mean", F.avg), ("median", F.median), ("std", F.stddev_samp))]
-    return df.groupBy("strategy_type").agg(F.count("*").alias("n"), F.countDistinct("symbol").alias("symbols"), *stats).orderBy(F.desc("median_sharpe"), "strategy_type")
+    columns = ("sharpe", "cagr", "max_drawdown")
+    stats = [f(c).alias(f"{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_samp))]
+    out = aggregated(df, ["strategy_type"], [F.count("*").alias("n"), F.countDistinct("symbol").alias("symbols"), *stats], {f"median_{c}": (c, 0.5) for c in columns})
+    return out.select("strategy_type", "n", "symbols", *[f"{n}_{c}" for c in columns for n in ("mean", "median", "std")]).orderBy(F.desc("median_sharpe"), "strategy_type")
 
 
 def symbol_summary(df: DataFrame) -> DataFrame:
-    return df.groupBy("symbol").agg(F.count("*").alias("n"), F.avg("sharpe").alias("mean_sharpe"), F.median("sharpe").alias("median_sharpe"), F.max("sharpe").alias("max_sharpe"), F.avg("cagr").alias("mean_cagr"), F.avg("max_drawdown").alias("mean_drawdown"))
+    means = [F.count("*").alias("n"), F.avg("sharpe").alias("mean_sharpe"), F.max("sharpe").alias("max_sharpe"), F.avg("cagr").alias("mean_cagr"), F.avg("max_drawdown").alias("mean_drawdown")]
+    return aggregated(df, ["symbol"], means, {"median_sharpe": ("sharpe", 0.5)}).select("symbol", "n", "mean_sharpe", "median_sharpe", "max_sharpe", "mean_cagr", "mean_drawdown")
 
 
 def matrix(df: DataFrame, symbols: list[str] | None = None) -> DataFrame:
@@ -154,7 +159,8 @@ def exploded(df: DataFrame, column: str = "components") -> DataFrame:
 def combo_components(df: DataFrame) -> DataFrame:
     """By component of combinations: count, mean, median, configurations, share of all combinations."""
     total = df.agg(F.countDistinct("config_id").alias("all_combos"))
-    out = exploded(df).groupBy("component").agg(F.count("*").alias("n"), F.avg("sharpe").alias("mean_sharpe"), F.median("sharpe").alias("median_sharpe"), F.countDistinct("config_id").alias("configs"))
+    out = aggregated(exploded(df), ["component"], [F.count("*").alias("n"), F.avg("sharpe").alias("mean_sharpe"), F.countDistinct("config_id").alias("configs")], {"median_sharpe": ("sharpe", 0.5)})
+    out = out.select("component", "n", "mean_sharpe", "median_sharpe", "configs")
     return out.crossJoin(total).withColumn("pct_of_combos", 100.0 * F.col("configs") / F.col("all_combos")).drop("all_combos")
 
 
@@ -167,8 +173,9 @@ def synergy(combos: DataFrame, singles: DataFrame, keys: tuple[str, ...] = ("sym
 
 def voting_methods(df: DataFrame) -> DataFrame:
     """Of combinations, by voting_method: count, median, mean and deviation of Sharpe, and medians and means of the rest, the best median first."""
-    out = df.where("is_combo").groupBy("voting_method").agg(F.count("*").alias("n"), F.median("sharpe").alias("median_sharpe"), F.avg("sharpe").alias("mean_sharpe"), F.stddev_samp("sharpe").alias("std_sharpe"), F.median("cagr").alias("median_cagr"), F.avg("max_drawdown").alias("avg_max_dd"), F.avg("num_trades").alias("avg_trades"))
-    return out.orderBy(F.desc("median_sharpe"), "voting_method")
+    means = [F.count("*").alias("n"), F.avg("sharpe").alias("mean_sharpe"), F.stddev_samp("sharpe").alias("std_sharpe"), F.avg("max_drawdown").alias("avg_max_dd"), F.avg("num_trades").alias("avg_trades")]
+    out = aggregated(df.where("is_combo"), ["voting_method"], means, {"median_sharpe": ("sharpe", 0.5), "median_cagr": ("cagr", 0.5)})
+    return out.select("voting_method", "n", "median_sharpe", "mean_sharpe", "std_sharpe", "median_cagr", "avg_max_dd", "avg_trades").orderBy(F.desc("median_sharpe"), "voting_method")
 
 
 def combo_robustness(df: DataFrame, least_symbols: int = 5) -> DataFrame:
@@ -181,7 +188,7 @@ def combo_robustness(df: DataFrame, least_symbols: int = 5) -> DataFrame:
 
 
 def combo_against_single(df: DataFrame, key: str = "is_combo") -> DataFrame:
-    return df.groupBy(key).agg(F.count("*").alias("n"), F.avg("sharpe").alias("mean_sharpe"), F.median("sharpe").alias("median_sharpe"), F.max("sharpe").alias("max_sharpe"), (100.0 * F.avg((F.col("sharpe") > 0).cast("double"))).alias("pct_positive"))
+    return aggregated(df, [key], [F.count("*").alias("n"), F.avg("sharpe").alias("mean_sharpe"), F.max("sharpe").alias("max_sharpe"), (100.0 * F.avg((F.col("sharpe") > 0).cast("double"))).alias("pct_positive")], {"median_sharpe": ("sharpe", 0.5)}).select(key, "n", "mean_sharpe", "median_sharpe", "max_sharpe", "pct_positive")
 
 
 def discovery(df: DataFrame, n: int = 10) -> DataFrame:

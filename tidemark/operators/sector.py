@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantiles import aggregated
+
 from tidemark.operators.results import by
 
 
@@ -17,7 +19,7 @@ def performance(df: DataFrame) -> DataFrame:
 def dispersion(df: DataFrame, metric: str) -> DataFrame:
     """cv is NaN where the mean is about 0; quartiles are interpolated."""
     m = F.col(metric)
-    out = df.groupBy("sector").agg(F.count(m).alias("n"), F.avg(m).alias("mean"), F.stddev_pop(m).alias("std"), F.min(m).alias("min"), F.max(m).alias("max"), F.percentile(m, 0.5).alias("median"), F.percentile(m, 0.25).alias("q25"), F.percentile(m, 0.75).alias("q75"))
+    out = aggregated(df, ["sector"], [F.count(m).alias("n"), F.avg(m).alias("mean"), F.stddev_pop(m).alias("std"), F.min(m).alias("min"), F.max(m).alias("max")], {"median": (metric, 0.5), "q25": (metric, 0.25), "q75": (metric, 0.75)})
     return out.withColumns({"range": F.col("max") - F.col("min"), "cv": F.when(F.abs("mean") > 1e-10, F.col("std") / F.abs("mean")).otherwise(float("nan"))})
 
 
@@ -60,4 +62,4 @@ def of(df: DataFrame, sectors: list[str]) -> DataFrame:
 
 
 def strategy_sectors(df: DataFrame, least: int = 5) -> DataFrame:
-    return df.groupBy("strategy_type", "sector").agg(F.count("*").alias("n"), F.avg("sharpe").alias("mean_sharpe"), F.median("sharpe").alias("median_sharpe")).where(F.col("n") >= least)
+    return aggregated(df, ["strategy_type", "sector"], [F.count("*").alias("n"), F.avg("sharpe").alias("mean_sharpe")], {"median_sharpe": ("sharpe", 0.5)}).where(F.col("n") >= least)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tidemark.operators.order import p_bucket, with_running
+from tidemark.operators.quantiles import aggregated
 from tidemark.operators.resampling import drawn, drawn_blocks, keyed, positions
 
 ITERATIONS = 10_000
@@ -208,4 +209,6 @@ def sample_statistics(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     x = F.col(column)
     n, mean, sd = F.count(x), F.avg(x), F.stddev_samp(x)
     ratio = F.stddev_pop(x) / sd
-    return df.groupBy(*keys).agg(n.alias("n"), mean.alias("mean"), sd.alias("std"), (sd / F.sqrt(n)).alias("se"), F.min(x).alias("min"), F.max(x).alias("max"), F.percentile(x, 0.5).alias("median"), F.percentile(x, 0.25).alias("q1"), F.percentile(x, 0.75).alias("q3"), (F.skewness(x) * F.pow(ratio, 3.0)).alias("skew"), ((F.kurtosis(x) + 3.0) * F.pow(ratio, 4.0) - 3.0).alias("kurtosis"))
+    moments = [n.alias("n"), mean.alias("mean"), sd.alias("std"), (sd / F.sqrt(n)).alias("se"), F.min(x).alias("min"), F.max(x).alias("max"), (F.skewness(x) * F.pow(ratio, 3.0)).alias("skew"), ((F.kurtosis(x) + 3.0) * F.pow(ratio, 4.0) - 3.0).alias("kurtosis")]
+    out = aggregated(df, keys, moments, {"median": (column, 0.5), "q1": (column, 0.25), "q3": (column, 0.75)})
+    return out.select(*keys, "n", "mean", "std", "se", "min", "max", "median", "q1", "q3", "skew", "kurtosis")

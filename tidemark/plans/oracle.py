@@ -551,3 +551,9 @@ ONE_SIM = f"{ONE}, t AS (SELECT *, NULL::DOUBLE AS u, NULL::DOUBLE AS l2 FROM b)
 _one = {"fill_price": ("price", 8), "fill_fees": ("fees", 10), "cash": ("cash", 4), "equity": ("equity", 4), "drawdown": ("dd", 8)}
 SQL["one_long_only"] = recursive(f"{ONE_SIM}, {RET.format('q')}", "SELECT symbol, ts, pos AS position_state, ef AS entry_fill, xf AS exit_fill, " + ", ".join(f"round({x}, {k}) + 0.0 AS {n}" for n, (x, k) in _one.items()) + " FROM rd")
 SQL["one_metrics"] = SQL["met_metrics"].replace(f"{NATION}, {SIM}", ONE_SIM)
+
+SQL["exp_untested"] = """WITH r AS (SELECT o_orderkey, o_orderstatus, o_custkey AS config_hash, o_orderdate::DATE AS tested_start, o_orderdate::DATE + floor(o_totalprice / 1000)::INT AS tested_end FROM orders)
+SELECT o_orderkey, config_hash, tested_start, tested_end FROM r WHERE o_orderstatus <> 'F' AND NOT EXISTS (SELECT 1 FROM r h WHERE h.o_orderstatus = 'F' AND h.config_hash = r.config_hash
+  AND abs(h.tested_start - r.tested_start) + abs(h.tested_end - r.tested_end) <= 180)"""
+SQL["lb_covered"] = """WITH s AS (SELECT o_custkey AS symbol, min(o_orderdate)::DATE AS first, max(o_orderdate)::DATE AS last FROM orders GROUP BY 1), w AS (SELECT min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS z FROM orders)
+SELECT symbol, first, last FROM s, w WHERE greatest(last - first, 1) / greatest(z - a, 1)::DOUBLE >= 0.6 AND first - a <= 365"""

@@ -790,6 +790,23 @@ def lb_portfolio_summary(spark, d):
     return rounded(found.withColumn("largest_weight", F.array_max(F.map_values("weights"))).drop("weights"))
 
 
+@query
+def exp_untested(spark, d):
+    """Ranges of orders by customer, finished ones taken for tested."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    r = o.select("o_orderkey", "o_orderstatus", F.col("o_custkey").alias("config_hash"), F.to_date("o_orderdate").alias("tested_start"), F.date_add(F.to_date("o_orderdate"), F.floor(F.col("o_totalprice") / 1000).cast("int")).alias("tested_end"))
+    return explore.untested(r.where("o_orderstatus <> 'F'"), r.where("o_orderstatus = 'F'")).drop("o_orderstatus")
+
+
+@query
+def lb_covered(spark, d):
+    """Customers whose orders cover enough of all orders' days."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    spans = o.groupBy(F.col("o_custkey").alias("symbol")).agg(F.to_date(F.min("o_orderdate")).alias("first"), F.to_date(F.max("o_orderdate")).alias("last"))
+    window = o.agg(F.to_date(F.min("o_orderdate")).alias("start"), F.to_date(F.max("o_orderdate")).alias("end"))
+    return leaderboard.covered(spans.crossJoin(F.broadcast(window)), F.col("start"), F.col("end")).select("symbol", "first", "last")
+
+
 @query
 def exp_samples(spark, d):
     return explore.sample_table(spark, "donchian", 50)
