@@ -3,7 +3,7 @@
 Templates are word sequences with the key phrases they must contain.  The index holds each template's words with their places.  Words' weights (IDF)
 come from the document frequencies of the index's words over all documents.  A file looks up its highest-IDF words of each template: their places
 in the file less their places in the template are starts, and starts on which enough of these words agree, give or take SLACK words, are
-alignments.  An alignment counts if every mandatory key phrase stands word for word where the template has it, give or take SLACK words.  Its score is the share of
+alignments.  Only files with the rarest word of each of a template's key phrases can have one.  An alignment counts if every mandatory key phrase stands word for word where the template has it, give or take SLACK words.  Its score is the share of
 the template's weight that is found in place.
 
 A phrase is a template whose one key phrase is the whole of it; its rarest word alone proposes starts, so all of its places are found.
@@ -18,7 +18,7 @@ rows each have a result; an empty table gives an empty one; other columns aren't
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -126,12 +126,10 @@ class Index:
         """The id of every word, -1 for those that no template has."""
         sizes = words.ends - words.starts
         short = np.flatnonzero(sizes <= self.width)
-        padded = np.concatenate([words.data, np.zeros(self.width, np.uint8)])
-        keys = np.zeros(len(short), np.uint64)
-        for k in range(min(7, self.width)):
-            byte = np.where(sizes[short] > k, padded[words.starts[short] + k], 0).astype(np.uint64)
-            keys |= byte << np.uint64(8 * k)
-        keys |= sizes[short].astype(np.uint64) << np.uint64(56)
+        padded = np.concatenate([words.data, np.zeros(max(self.width, 8), np.uint8)])
+        eight = np.ndarray(len(words.data) + 1, "<u8", padded.tobytes(), strides=(1,))  # the eight bytes from each place on
+        first = np.uint64(2**56 - 1) >> (np.uint64(8) * (7 - np.minimum(sizes[short], 7)).astype(np.uint64))
+        keys = (eight[words.starts[short]] & first) | sizes[short].astype(np.uint64) << np.uint64(56)
         out = np.full(len(sizes), -1, np.int32)
         left, right = np.searchsorted(self._keys, keys), np.searchsorted(self._keys, keys, side="right")
         for step in range(int((right - left).max(initial=0))):  # several words can have one key
@@ -144,6 +142,19 @@ class Index:
         return out
 
 
+    def rarest_of_keys(self, ids: np.ndarray, bounds: np.ndarray, weight: np.ndarray) -> Callable[[Template], list[int]]:
+        """A function that gives the texts of a slice that have the rarest word of each of a notice's key phrases: no others can have the notice."""
+        rarest = {t: {int(max(self.sequences[t][at : at + n], key=lambda w: weight[w])) for at, n in t.keys} for t in self.notices}
+        wanted = np.zeros(len(weight) + 1, bool)  # the last is for words that no template has
+        wanted[sorted(set().union(*rarest.values()))] = True
+        at = np.flatnonzero(wanted[ids])
+        doc = np.searchsorted(bounds, at, side="right") - 1
+        of: dict[int, set[int]] = {}
+        for d, w in {*zip(doc.tolist(), ids[at].tolist(), strict=True)}:
+            of.setdefault(w, set()).add(d)
+        return lambda t: sorted(set.intersection(*(of.get(w, set()) for w in rarest[t])))
+
+
 def _slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, bytes, offsets) of stretches of a string column."""
     column = column.cast(pa.large_string())
@@ -274,10 +285,13 @@ def scan_slice(data: np.ndarray, offsets: np.ndarray, index: Index, weight: np.n
             last[d] = p if last[d] is None else max(last[d], p)
             base[d].add(phrase.label)
             score[d] = 1.0
+    has = index.rarest_of_keys(ids, bounds, weight)
     for notice in index.notices:
-        for d, _, s in alignments(ids, bounds, index, weight, notice):
-            labels[d].add(notice.label)
-            score[d] = max(score[d], s)
+        for d in has(notice):
+            lo, hi = int(bounds[d]), int(bounds[d + 1])
+            for _, _, s in alignments(ids[lo:hi], np.array([0, hi - lo]), index, weight, notice):
+                labels[d].add(notice.label)
+                score[d] = max(score[d], s)
     join = lambda sets: [",".join(sorted(x)) for x in sets]
     return {"n_words": np.diff(bounds), "n_base": n_base, "first_word": first, "last_word": last, "base_labels": join(base), "labels": join(a | b for a, b in zip(base, labels, strict=True)), "score": score}
 
