@@ -75,8 +75,13 @@ def adjusted(raw: DataFrame) -> DataFrame:
 def read_vendor_csv(spark: SparkSession, path: str, symbol: str, timeframe: str = "1d") -> DataFrame:
     """Date, Open, High, Low, Close, Adj Close, Volume; rows with a ``null`` are dropped, other text in a number is an error."""
     raw = spark.read.csv(path, header=True, schema=VENDOR_CSV, nullValue="null", enforceSchema=False)
+    return vendor_bars(raw.withColumn("symbol", F.lit(symbol)), timeframe)
+
+
+def vendor_bars(raw: DataFrame, timeframe: str = "1d") -> DataFrame:
+    """Adjusted bars of VENDOR_CSV rows with their symbol."""
     number = lambda c: F.col(f"`{c}`").cast("double")
-    out = raw.dropna().select(F.to_timestamp("Date").alias("ts"), number("Open").alias("open"), number("High").alias("high"), number("Low").alias("low"), number("Close").alias("close"), number("Adj Close").alias("adj_close"), number("Volume").alias("volume"), F.lit(symbol).alias("symbol"), F.lit(timeframe).alias("timeframe"))
+    out = raw.dropna().select(F.to_timestamp("Date").alias("ts"), number("Open").alias("open"), number("High").alias("high"), number("Low").alias("low"), number("Close").alias("close"), number("Adj Close").alias("adj_close"), number("Volume").alias("volume"), "symbol", F.lit(timeframe).alias("timeframe"))
     return adjusted(out)
 
 
