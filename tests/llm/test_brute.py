@@ -132,3 +132,56 @@ def test_op10_removals_leave_one_copy(spark):
     texts = [" ".join(words_of(r, 30)) + f" {p} " + " ".join(words_of(r, 30)) for _ in range(5)]
     out = substring_dedup.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
     assert sum(p in t for t in out.text) == 1 and all(len(t.split()) in (60, 130) for t in out.text)
+
+
+def test_op10_patchwork_is_no_passage(spark):
+    """Three documents with a run of 30 words each, and one with the three runs one after the other: no two share more than 30 words."""
+    r = random.Random(8)
+    parts = [words_of(r, 30) for _ in range(3)]
+    texts = [" ".join([*words_of(r, 50), *p, *words_of(r, 50)]) for p in parts] + [" ".join([*words_of(r, 50), *sum(parts, []), *words_of(r, 50)])]
+    assert not len(spans(spark, texts))
+
+
+def test_op10_adjoining_runs_by_brute_force(spark):
+    """Documents made of pieces of 20 to 70 words that others hold too, side by side: a removed passage is text that one document before it holds."""
+    r = random.Random(21)
+    pieces = [[f"p{k}w{i}" for i in range(r.choice([20, 30, 45, 70]))] for k in range(16)]
+    docs = []
+    for d in range(20):
+        out = [f"d{d}x{i}" for i in range(15)]
+        for n in range(r.randrange(2, 5)):
+            out += r.choice(pieces) + [f"d{d}n{n}x{i}" for i in range(r.choice([0, 0, 12]))]
+        docs.append(out)
+
+    def run(d, i, e, k):
+        n = 0
+        while i + n < len(docs[d]) and k + n < len(docs[e]) and docs[d][i + n] == docs[e][k + n] and (d, i) != (e, k):
+            n += 1
+        return n
+
+    got = substring_dedup.substring_dedup(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")).toPandas()
+    got = got[(got.kind == "passage") & got.removed]
+    for d, s, e in zip(got.doc_id, got.start, got.end):
+        starts = [0]
+        for w in docs[d]:
+            starts.append(starts[-1] + len(w) + 1)
+        first, last = starts.index(s), starts.index(e + 1)
+        # places of several partners that overlap by half are one, so each word needs a long common run of its own
+        covered = set()
+        for i in range(first, last):
+            for other in range(d + 1):
+                for k in (k for k, w in enumerate(docs[other]) if w == docs[d][i]):
+                    n = run(d, i, other, k)
+                    if n >= substring_dedup.LEAST_PASSAGE:
+                        covered |= set(range(i, i + n))
+        assert covered >= set(range(first, last)), (d, first, last)
+    assert len(got) > 5
+
+
+def test_op10_classes_are_components(spark):
+    """Each copy of a passage has a row: the first stays, and all have its class."""
+    r = random.Random(4)
+    p, q = words_of(r, 60), words_of(r, 55)
+    texts = [" ".join([*words_of(r, 40 + i), *(p if i % 2 else q), *words_of(r, 30)]) for i in range(9)]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
+    assert len(got) == 9 and set(got[~got.removed].doc_id) == {0, 1} and (got.class_id == got.doc_id % 2).all()

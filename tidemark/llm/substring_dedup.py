@@ -8,12 +8,14 @@ A repeated passage need not be a line: it may stand in the middle of one, or run
 what stays when repeated paragraphs are gone.  For these each text also gives sub-paragraph windows of ``WINDOW`` words.  They begin at anchors: of
 each ``SPREAD`` consecutive 3-word shingles the one with the least hash, which is a MinHash of one row for every stretch of text, and depends on the
 words of the stretch alone.  So any common run of ``WINDOW + SPREAD - 1`` words, 24, has an equal window in all its copies, without exception; and
-a passage of over 50 words with a similarity of 0.8 has such a run between its changes.  Equal windows only propose: adjoining ones make runs, each
-run is extended word by word along the text of its partner (the first occurrence; for the first, the last) to where they differ, and
-runs that are at most ``GAP`` words apart make one passage.  What has ``LEAST_PASSAGE`` words or more counts.  Gaps are the only words not matched,
-hence at least 0.8 of a passage's words are matched in order with copies elsewhere, an edit distance of at most a fifth of its length.
+a passage of over 50 words with a similarity of 0.8 has such a run between its changes.  Equal windows only propose, and pairs of documents are what is compared: a window
+is paired with its first and with its last occurrence, and windows of one pair of documents at one distance make runs.  Runs of a pair are extended word by
+word to where the two texts differ, and those at most ``GAP`` words apart in both make one passage.  A passage counts if it has ``LEAST_PASSAGE`` words or more,
+of which at least 0.8 are matched in order with the one partner, an edit distance of at most a fifth of its length.  Text that is shared piece by piece with several documents is
+no passage.  (A document that shares a passage with another, parts of which both earlier and later documents hold too, is found by those parts.)
 
-Of each class of paragraphs, and of each window, the first member in the order of row numbers stays; the others are removals.
+Places of passages in a document that overlap by half are one.  Pairs of places are links, whose components are the classes: the first place of a class, in the
+order of row numbers, stays and has a row; of each pair the later place is a removal.  Of each class of paragraphs likewise the first member stays.
 
 Edge cases: null, empty and short texts have no paragraphs and no rows; what is repeated within one document is a repeat; repeated rows
 repeat one another; texts of any length are read whole; offsets are in code points, end exclusive; other columns, whatever their names, aren't read,
@@ -32,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, frozen, numbered
+from tidemark.llm.components import components
 from tidemark.llm.minhash import MEMBERS, WORDS, Signatures, choose_bands, classes, located_words, rolling, shingles
 
 LEAST_WORDS = 25
@@ -156,41 +159,54 @@ def remaining(cut: DataFrame, gone: DataFrame) -> DataFrame:
     return windows.join(frozen(lists, "removed-lines").hint("merge"), "of", "left").mapInPandas(run, "key long, of long, at int")
 
 
-#: A run of windows with equal partners: its words [at, to), its document's number of the run, and the partners of its first and last window.
-RUNS = "of long, run int, at int, to int, removed boolean, first_of long, first_at int, last_of long, last_at int, class_row long"
+#: A run of equal words of two documents, x before y: [at, to) in x, and where it begins in y.
+RUNS = "x long, y long, at int, to int, there int"
+
+
+def _near(groups: dict[int, list], distance: int, at: int, there: int, gap: int) -> list | None:
+    """Of the groups by the distance of their last run, the one that a run may go on from: it begins at most ``gap`` words after the last one's end in both texts
+    (or before it, where both were extended over equal words)."""
+    for d in range(distance - GAP, distance + GAP + 1):
+        last = groups.get(d)
+        if last and -GAP <= at - last[-1][1] <= gap and -GAP <= there - last[-1][1] - d <= gap:
+            return last
+    return None
 
 
 def runs(windows: DataFrame, least: int = LEAST_PASSAGE) -> DataFrame:
     """RUNS of windows (key, of, at) that occur elsewhere too, in this document or another; written.  Runs that couldn't reach ``least`` words if they
-    were extended on both sides as far as they can be are left out."""
+    were extended on both sides as far as they can be, and joined, are left out."""
     place = F.struct("of", "at")
     shared = windows.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     shared = frozen(shared, "shared-windows")
     # merged at every size: few shared windows could be broadcast, but most inputs have too many
-    met = windows.join(shared.hint("merge"), "key").select("of", F.struct("at", (F.col("first") != place).alias("removed"), F.when(F.col("first") != place, F.col("first")).otherwise(F.col("last")).alias("partner"), F.col("first.of").alias("class_row")).alias("w"))
-    lists = met.groupBy("of").agg(F.sort_array(F.collect_list("w")).alias("windows"))
+    met = windows.join(shared.hint("merge"), "key").withColumn("p", place).where("p <> first")
+    pair = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    pairs = F.when(F.col("p") == F.col("last"), F.array(pair(F.col("first"), F.col("p")))).otherwise(F.array(pair(F.col("first"), F.col("p")), pair(F.col("p"), F.col("last"))))
+    met = met.select(F.explode(pairs).alias("w"))
+    lists = met.groupBy(F.col("w.x.of").alias("x"), F.col("w.y.of").alias("y")).agg(F.collect_list(F.struct(F.col("w.x.at").alias("at"), F.col("w.y.at").alias("there"))).alias("windows"))
     reach = SPREAD - 1
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out: list[list] = []
-            for of, windows in zip(b["of"], b["windows"], strict=True):
-                own: list[list] = []
-                for w in windows:
-                    p = w["partner"]
-                    if own and w["at"] <= own[-1][3] and w["removed"] == own[-1][4]:
-                        own[-1][3], own[-1][7:9], own[-1][9] = w["at"] + WINDOW, (p["of"], p["at"]), min(own[-1][9], w["class_row"])
+            out: list[tuple] = []
+            for x, y, windows in zip(b["x"], b["y"], b["windows"], strict=True):
+                own: list[list] = []  # [at, to, there], of one distance after the other
+                for d, at in sorted((w["there"] - w["at"], w["at"]) for w in windows):
+                    if own and own[-1][2] - own[-1][0] == d and at <= own[-1][1]:
+                        own[-1][1] = max(own[-1][1], at + WINDOW)
                     else:
-                        own.append([of, len(own), w["at"], w["at"] + WINDOW, w["removed"], p["of"], p["at"], p["of"], p["at"], w["class_row"]])
-                near: list[list] = []
-                for r in [*own, None]:
-                    if r and near and r[2] - near[-1][3] <= 2 * reach + GAP:
-                        near.append(r)
-                        continue
-                    if near and near[-1][3] - near[0][2] + 2 * reach >= least:
-                        out += near
-                    near = [r]
-            yield pd.DataFrame(out, columns=[x.split(" ")[0] for x in RUNS.split(", ")])
+                        own.append([at, at + WINDOW, at + d])
+                groups: dict[int, list] = {}
+                whole: list[list] = []
+                for r in sorted(own):
+                    d = r[2] - r[0]
+                    if (g := _near(groups, d, r[0], r[2], 2 * reach + GAP)) is None:
+                        whole.append(g := [])
+                    g.append(r)
+                    groups[d] = g
+                out += [(x, y, *r) for g in whole if g[-1][1] - g[0][0] + 2 * reach >= least for r in g]
+            yield pd.DataFrame(out, columns=["x", "y", "at", "to", "there"])
 
     return frozen(lists.mapInPandas(chain, RUNS), "runs")
 
@@ -200,20 +216,18 @@ SURROUNDINGS = "of long, at int, side int, words binary, places binary"
 
 
 def _surroundings(found: DataFrame) -> DataFrame:
-    """(of, at, side, own) of the words next to each end of each run and of its partners, once each; ``own``: whether places are needed."""
-    ends = [("of", "at", -1, True), ("of", "to", 1, True), ("first_of", "first_at", -1, False), ("last_of", F.col("last_at") + WINDOW, 1, False)]
-    parts = [found.select(F.col(of).alias("of"), (F.col(at) if isinstance(at, str) else at).alias("at"), F.lit(side).alias("side"), F.lit(own).alias("own")) for of, at, side, own in ends]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    return out.groupBy("of", "at", "side").agg(F.max("own").alias("own"))
+    """(of, at, side) of the words next to each end of each run in both texts, once each."""
+    end = F.col("there") + F.col("to") - F.col("at")
+    ends = [("x", F.col("at"), -1), ("x", F.col("to"), 1), ("y", F.col("there"), -1), ("y", end, 1)]
+    parts = [found.select(F.col(of).alias("of"), at.alias("at"), F.lit(side).alias("side")) for of, at, side in ends]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).distinct()
 
 
-def _beside(words: tuple, at: int, side: int, own: bool) -> tuple[bytes, bytes]:
+def _beside(words: tuple, at: int, side: int) -> tuple[bytes, bytes]:
     hashes, starts, ends, _ = words
     near = np.arange(max(0, at - SPREAD), at)[::-1] if side < 0 else np.arange(at, min(len(hashes), at + SPREAD))
-    places = b""
-    if own:
-        places = (starts[np.append(at, near)] if side < 0 else ends[np.append(at - 1, near)]).astype("<i4").tobytes()
-    return hashes[near].astype("<u4").tobytes(), places
+    places = starts[np.append(at, near)] if side < 0 else ends[np.append(at - 1, near)]
+    return hashes[near].astype("<u4").tobytes(), places.astype("<i4").tobytes()
 
 
 def _texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -242,29 +256,31 @@ def _sets_of_lines(docs: DataFrame, lines: DataFrame) -> Callable[[DataFrame], D
 
 def beside(docs: DataFrame, found: DataFrame) -> DataFrame:
     """SURROUNDINGS of runs and their partners; written."""
-    asked = frozen(_surroundings(found).groupBy("of").agg(F.collect_list(F.struct("at", "side", "own")).alias("ends")), "asked-ends")
+    asked = frozen(_surroundings(found).groupBy("of").agg(F.collect_list(F.struct("at", "side")).alias("ends")), "asked-ends")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for of, text, ends in zip(b["of"], b["text"], b["ends"], strict=True):
                 words = located_words(text)
-                rows += [(of, x["at"], x["side"], *_beside(words, x["at"], x["side"], x["own"])) for x in ends]
+                rows += [(of, x["at"], x["side"], *_beside(words, x["at"], x["side"])) for x in ends]
             yield pd.DataFrame(rows, columns=[x.split(" ")[0] for x in SURROUNDINGS.split(", ")])
 
     return frozen(_texts(docs, asked).select("of", "text", "ends").mapInPandas(run, SURROUNDINGS), "surroundings")
 
 
+#: A passage of two documents: where it stands in each.
+PAIRS = "x long, x_start int, x_end int, y long, y_start int, y_end int"
+
+
 def passages(found: DataFrame, words: DataFrame, least: int = LEAST_PASSAGE) -> DataFrame:
-    """SCHEMA, of runs(): runs extended along their partners' texts, joined over gaps, of at least ``least`` words."""
-    out = found
-    for side, name, at, of, there in ((-1, "left", "at", "first_of", F.col("first_at")), (1, "right", "to", "last_of", F.col("last_at") + WINDOW)):
-        own = words.where(F.col("side") == side).select("of", F.col("at").alias(at), F.col("words").alias(f"{name}_words"), F.col("places").alias(f"{name}_places"))
-        other = words.where(F.col("side") == side).select(F.col("of").alias("_of"), F.col("at").alias("_at"), F.col("words").alias(f"{name}_others"))
-        out = out.join(own, ["of", at]).withColumn("_there", there)
-        out = out.join(other, (F.col(of) == F.col("_of")) & (F.col("_there") == F.col("_at"))).drop("_of", "_at", "_there")
-    sides = ["left_words", "left_places", "left_others", "right_words", "right_places", "right_others"]
-    lists = out.groupBy("of").agg(F.sort_array(F.collect_list(F.struct("run", "at", "to", "removed", "class_row", *sides))).alias("runs"))
+    """PAIRS of runs(), extended in both texts, joined over gaps, of at least ``least`` words, 0.8 of them matched; written."""
+    end = F.col("there") + F.col("to") - F.col("at")
+    out = found.withColumn("there_to", end)
+    for name, of, at, side in (("xl", "x", "at", -1), ("xr", "x", "to", 1), ("yl", "y", "there", -1), ("yr", "y", "there_to", 1)):
+        own = words.where(F.col("side") == side).select(F.col("of").alias(of), F.col("at").alias(at), F.struct("words", "places").alias(name))
+        out = out.join(own, [of, at])
+    lists = out.groupBy("x", "y").agg(F.sort_array(F.collect_list(F.struct("at", "to", "there", "xl", "xr", "yl", "yr"))).alias("runs"))
 
     def more(a: bytes, b: bytes) -> int:
         n = min(len(a), len(b)) // 4
@@ -272,23 +288,70 @@ def passages(found: DataFrame, words: DataFrame, least: int = LEAST_PASSAGE) ->
         return n if same.all() else int(same.argmin())
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = lambda side, n: int(np.frombuffer(side["places"], "<i4")[n])
         for b in batches:
             rows = []
-            for of, own in zip(b["of"], b["runs"], strict=True):
+            for x, y, own in zip(b["x"], b["y"], b["runs"], strict=True):
+                groups: dict[int, list] = {}
                 made: list[list] = []
                 for r in own:
-                    left, right = more(r["left_words"], r["left_others"]), more(r["right_words"], r["right_others"])
-                    at, to = r["at"] - left, r["to"] + right
-                    start, end = int(np.frombuffer(r["left_places"], "<i4")[left]), int(np.frombuffer(r["right_places"], "<i4")[right])
-                    if made and at <= made[-1][1] + GAP and r["removed"] == made[-1][4]:
-                        p = made[-1]
-                        p[1], p[3], p[5] = max(p[1], to), max(p[3], end), min(p[5], r["class_row"])
+                    left, right = more(r["xl"]["words"], r["yl"]["words"]), more(r["xr"]["words"], r["yr"]["words"])
+                    at, to, there = r["at"] - left, r["to"] + right, r["there"] - left
+                    d, ends = there - at, (place(r["xr"], right), place(r["yr"], right))
+                    # runs that meet when they are extended are one
+                    same = groups.get(d)
+                    if same and at <= same[-1][1]:
+                        g, new = same, max(0, to - same[-1][1])
                     else:
-                        made.append([at, to, start, end, r["removed"], r["class_row"]])
-                rows += [(of, "passage", start, end, c, removed) for at, to, start, end, removed, c in made if to - at >= least]
-            yield pd.DataFrame(rows, columns=["doc_row", "kind", "start", "end", "class_row", "removed"])
-
-    return lists.mapInPandas(join, SCHEMA)
+                        g = _near(groups, d, at, there, GAP)
+                        new = to - max(at, g[0][1]) if g else 0
+                    if g is None:
+                        made.append(g := [[at, to, 0], (place(r["xl"], left), place(r["yl"], left)), ends])
+                        g.append(g[0])
+                        new = to - at
+                    g[0][2] += max(0, new)
+                    if to >= g[0][1]:
+                        g[0][1], g[2] = to, ends
+                    groups[d] = g
+                rows += [(x, g[1][0], g[2][0], y, g[1][1], g[2][1]) for g in made if g[0][1] - g[0][0] >= least and 5 * g[0][2] >= 4 * (g[0][1] - g[0][0])]
+            yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in PAIRS.split(", ")])
+
+    return frozen(lists.mapInPandas(join, PAIRS), "passages")
+
+
+def places(pairs: DataFrame) -> DataFrame:
+    """SCHEMA, of PAIRS: the places of passages in each document, with their classes."""
+    side = lambda s, later: pairs.select(F.col(s).alias("doc"), F.col(f"{s}_start").alias("start"), F.col(f"{s}_end").alias("end"), F.lit(later).alias("later"))
+    spans = side("x", False).unionByName(side("y", True)).groupBy("doc", "start", "end").agg(F.max("later").alias("later"))
+    lists = spans.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "end", "later"))).alias("spans"))
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for doc, own in zip(b["doc"], b["spans"], strict=True):
+                made: list[list] = []  # [start, end, spans]
+                for s in own:
+                    last = made[-1] if made else None
+                    if last and 2 * (min(last[1], s["end"]) - s["start"]) >= min(last[1] - last[0], s["end"] - s["start"]):
+                        last[1] = max(last[1], s["end"])
+                        last[2].append(s)
+                    else:
+                        made.append([s["start"], s["end"], [s]])
+                for start, _, members in made:
+                    # what is a removal goes; a place without removals stays
+                    gone = [m for m in members if m["later"]] or members
+                    shown = (min(m["start"] for m in gone), max(m["end"] for m in gone), gone[0]["later"])
+                    key = xxhash.xxh3_64_intdigest(f"{doc}:{start}") - 2**63
+                    rows += [(doc, m["start"], m["end"], key, *shown) for m in members]
+            yield pd.DataFrame(rows, columns=["doc", "start", "end", "place", "from", "to", "removed"])
+
+    at = frozen(lists.mapInPandas(merge, "doc long, start int, end int, place long, from int, to int, removed boolean"), "places")
+    of = lambda s: at.select(F.col("doc").alias(s), F.col("start").alias(f"{s}_start"), F.col("end").alias(f"{s}_end"), F.col("place").alias(f"{s}_place"))
+    edges = pairs.join(of("x"), ["x", "x_start", "x_end"]).join(of("y"), ["y", "y_start", "y_end"]).select(F.col("x_place").alias("u"), F.col("y_place").alias("v"))
+    roots = components(edges)
+    each = at.select("doc", "place", "from", "to", "removed").distinct().join(roots.withColumnRenamed("node", "place"), "place", "left").withColumn("root", F.coalesce("root", "place"))
+    first = each.groupBy("root").agg(F.min("doc").alias("class_row"))
+    return each.join(first, "root").select(F.col("doc").alias("doc_row"), F.lit("passage").alias("kind"), F.col("from").alias("start"), F.col("to").alias("end"), "class_row", "removed")
 
 
 def near_paragraphs(docs: DataFrame, lines: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
@@ -306,9 +369,10 @@ def _repeats(own: DataFrame, least: int = LEAST_WORDS, least_passage: int = LEAS
     cut = cut_texts(docs, bands, rows, least)
     near = frozen(near_paragraphs(docs, cut.where("bands is not null").select("_row", "of", "start", "end", "first", "last", "n", "set_hash", "bands")), "paragraphs")
     found = runs(remaining(cut, near.where("removed").select("doc_row", "first", "last")), least_passage)
-    out = near.drop("first", "last").unionByName(passages(found, beside(docs, found), least_passage))
+    pairs = passages(found, beside(docs, found), least_passage)
+    out = near.drop("first", "last").unionByName(places(pairs))
     out = frozen(out, "repeats")
-    discard(cut, near, found)
+    discard(cut, near, found, pairs)
     return out
 
 
