@@ -93,6 +93,11 @@ class EmaAdjusted:
         return (self.above / self.below if self.seen >= self.n and self.below else None,)
 
 
+class AdjustedMean(EmaAdjusted):
+    def next(self, x: Value) -> Value:
+        return self.step(x)[0]
+
+
 class Macd:
     """line, signal, histogram; null until all exist."""
 
@@ -143,6 +148,14 @@ class Dmi:
         return p, m, adx
 
 
+class DmiAdjusted(Dmi):
+    """Dmi by weighted means of all values so far with weights (1 - 1/n)**age, instead of Wilder's."""
+
+    def __init__(self, n: int):
+        self.plus, self.minus, self.range, self.adx = (AdjustedMean(n, 1.0 / n) for _ in range(4))
+        self.last = None
+
+
 class HeikinAshi:
     """ha_open, ha_high, ha_low, ha_close."""
 
@@ -156,6 +169,19 @@ class HeikinAshi:
         return opened, max(h, opened, close), min(lo, opened, close), close
 
 
+class HeikinAshiAdjusted:
+    """HeikinAshi whose open is the weighted mean of all closes before, with weights halved at each bar; the first is the middle of the body."""
+
+    def __init__(self):
+        self.mean = AdjustedMean(1, 0.5)
+
+    def step(self, o: float, h: float, lo: float, c: float) -> tuple[float, float, float, float]:
+        close = (o + h + lo + c) / 4.0
+        opened = (o + c) / 2.0 if not self.mean.seen else self.mean.above / self.mean.below
+        self.mean.next(close)
+        return opened, max(h, opened, close), min(lo, opened, close), close
+
+
 class Supertrend:
     """st_up, st_value from atr (null during warm-up).
 
@@ -272,6 +298,18 @@ def ema_adjusted(n: int, name: str = "ema_adjusted", column: str = "close"):
     return lambda: EmaAdjusted(n, 2.0 / (n + 1)), [column], f"{name} double"
 
 
+def wilder_adjusted(n: int, column: str, name: str):
+    return lambda: EmaAdjusted(n, 1.0 / n), [column], f"{name} double"
+
+
+def dmi_adjusted(n: int = 14, prefix: str = "adjusted_"):
+    return lambda: DmiAdjusted(n), HLC, f"{prefix}plus_di double, {prefix}minus_di double, {prefix}adx double"
+
+
+def heikin_ashi_adjusted(prefix: str = "adjusted_"):
+    return HeikinAshiAdjusted, OHLC, ", ".join(f"{prefix}ha_{c} double" for c in ("open", "high", "low", "close"))
+
+
 def macd(fast: int = 12, slow: int = 26, signal: int = 9, prefix: str = "macd"):
     return lambda: Macd(fast, slow, signal), CLOSE, f"{prefix} double, {prefix}_signal double, {prefix}_hist double"
 

@@ -557,3 +557,24 @@ SELECT o_orderkey, config_hash, tested_start, tested_end FROM r WHERE o_ordersta
   AND abs(h.tested_start - r.tested_start) + abs(h.tested_end - r.tested_end) <= 180)"""
 SQL["lb_covered"] = """WITH s AS (SELECT o_custkey AS symbol, min(o_orderdate)::DATE AS first, max(o_orderdate)::DATE AS last FROM orders GROUP BY 1), w AS (SELECT min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS z FROM orders)
 SELECT symbol, first, last FROM s, w WHERE greatest(last - first, 1) / greatest(z - a, 1)::DOUBLE >= 0.6 AND first - a <= 365"""
+
+
+# means with adjusted weights
+def adjusted_mean(n: int, k: str, x: str, rel: str, name: str) -> str:
+    """CTE of (symbol, rn, v): the weighted mean of all values of x so far, once there are n; x begins at the first bar where it isn't null."""
+    return (
+        f"{name}_x AS (SELECT symbol, rn, {x} AS x, row_number() OVER (PARTITION BY symbol ORDER BY rn) AS j FROM {rel} WHERE {x} IS NOT NULL), "
+        f"{name}_r AS (SELECT symbol, rn, j, x AS a, 1.0::DOUBLE AS z FROM {name}_x WHERE j = 1 UNION ALL SELECT x.symbol, x.rn, x.j, r.a * (1 - {k}) + x.x, r.z * (1 - {k}) + 1 FROM {name}_r r JOIN {name}_x x ON x.symbol = r.symbol AND x.j = r.j + 1), "
+        f"{name} AS (SELECT symbol, rn, a / z AS v FROM {name}_r WHERE j >= {n})"
+    )
+
+
+_K = "1.0::DOUBLE / 14"
+SQL["rec_adjusted"] = recursive(
+    f"{NATION}, m AS (SELECT symbol, rn, coalesce({TR}, high - low) AS tr, CASE WHEN high - ph > pl - low AND high - ph > 0 THEN high - ph ELSE 0 END AS pd, CASE WHEN pl - low > high - ph AND pl - low > 0 THEN pl - low ELSE 0 END AS md, (open + high + low + close) / 4 AS hc FROM b), "
+    + ", ".join(adjusted_mean(14, _K, x, "m", n) for x, n in (("tr", "a"), ("pd", "u"), ("md", "n")))
+    + ", di AS (SELECT a.symbol, a.rn, CASE WHEN a.v = 0 THEN 0 ELSE 100 * u.v / a.v END AS p, CASE WHEN a.v = 0 THEN 0 ELSE 100 * n.v / a.v END AS q FROM a JOIN u USING (symbol, rn) JOIN n USING (symbol, rn)), dx AS (SELECT *, CASE WHEN p + q = 0 THEN 0 ELSE 100 * abs(p - q) / (p + q) END AS dx FROM di), "
+    + f"{adjusted_mean(14, _K, 'dx', 'dx', 'ax')}, {adjusted_mean(1, '0.5::DOUBLE', 'hc', 'm', 'hm')}, h AS (SELECT b.*, (b.open + b.high + b.low + b.close) / 4 AS hc, coalesce(hm.v, (b.open + b.close) / 2) AS ho FROM b LEFT JOIN hm ON hm.symbol = b.symbol AND hm.rn = b.rn - 1)",
+    "SELECT h.symbol, h.ts, " + ", ".join(f"round({x}, 8) + 0.0 AS {n}" for n, x in (("atr_adjusted", "a.v"), ("adjusted_plus_di", "di.p"), ("adjusted_minus_di", "di.q"), ("adjusted_adx", "ax.v"), ("adjusted_ha_open", "ho"), ("adjusted_ha_high", "greatest(high, ho, hc)"), ("adjusted_ha_low", "least(low, ho, hc)"), ("adjusted_ha_close", "hc")))
+    + " FROM h LEFT JOIN a USING (symbol, rn) LEFT JOIN di USING (symbol, rn) LEFT JOIN ax USING (symbol, rn)",
+)

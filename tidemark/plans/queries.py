@@ -207,6 +207,13 @@ def rec_heikin_ashi(spark, d):
     return keyed(_along(nation(spark, d), a=rec.heikin_ashi()), "ha_open", "ha_high", "ha_low", "ha_close", digits=6)
 
 
+@query
+def rec_adjusted(spark, d):
+    b = ind.with_true_range(nation(spark, d))
+    out = _along(b, a=rec.wilder_adjusted(14, "true_range", "atr_adjusted"), b=rec.dmi_adjusted(14), c=rec.heikin_ashi_adjusted())
+    return keyed(out, "atr_adjusted", "adjusted_plus_di", "adjusted_minus_di", "adjusted_adx", *[f"adjusted_ha_{c}" for c in ("open", "high", "low", "close")], digits=8)
+
+
 @query
 def rec_supertrend(spark, d):
     b = ind.with_true_range(nation(spark, d)).withColumn("atr", ind.atr(10))
