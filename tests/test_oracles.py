@@ -17,7 +17,7 @@ def con():
     out = duckdb.connect()
     for f in os.listdir(SF):
         out.sql(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{SF}/{f}'")
-    out.sql("CREATE MACRO unrounded(x, digits) AS x")
+    out.sql("CREATE MACRO unrounded(x) AS round(x), (x, digits) AS x")
     return out
 
 
