@@ -139,7 +139,13 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int, text: str = "text",
     picked = frozen(labels.orderBy(F.xxhash64("_id"), "_id", "label").limit(most), "picked")
     own = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(picked, "_id")
     own = frozen(own.withColumn("_h", F.xxhash64("_id", "text")).dropDuplicates(["_h", "_id", "label"]), "labelled")
-    last = own.select("_h").orderBy("_h").limit(most).agg(F.max("_h")).first()[0]
-    out = frozen(own.where(F.col("_h") <= F.lit(last)).orderBy("_h", "_id", "label").limit(most).select(F.col("_id").alias("doc_id"), "text", "label"), "sample")
+    order = ["_h", "_id", "label"]
+    last = own.select(*order).orderBy(*order).limit(most).orderBy(*[F.desc(c) for c in order]).first()
+    if last:  # the rows up to that one, where they are: no task gathers them
+        h, i, v = (F.col(c) for c in order)
+        own_rows = own.where((h < last[0]) | (h == last[0]) & ((i < F.lit(last[1])) | (i == F.lit(last[1])) & (v <= last[2])))
+    else:
+        own_rows = own
+    out = frozen(own_rows.select(F.col("_id").alias("doc_id"), "text", "label"), "sample")
     discard(picked, own)
     return out
