@@ -29,7 +29,7 @@ from tidemark.llm.pieces import split
 
 LONG = 256
 KNOWN = 200_000
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 500_000
 NONE = np.int32(2**31 - 1)
 
 
