@@ -133,7 +133,7 @@ def entities(docs: DataFrame, near: int = NEAR) -> DataFrame:
     return docs.mapInPandas(run, "_row long, text_hash long, entities array<long>, terms array<string>, of array<array<int>>, words array<string>")
 
 
-def term_frequencies(docs: DataFrame, most: int = 200_000) -> DataFrame:
+def term_frequencies(docs: DataFrame, most: int = 50_000) -> DataFrame:
     """(term, df) over all documents; each task sends partial counts of at most ``most`` terms at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
