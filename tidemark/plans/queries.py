@@ -497,7 +497,7 @@ def agg_synergy(spark, d):
     r = result_table(spark, d)
     others = r.select("strategy_type").distinct().select(F.col("strategy_type").alias("other"))
     # each configuration with each strategy as its second component: five rows of a dimension
-    combos = r.crossJoin(F.broadcast(others)).withColumn("components", F.array("strategy_type", "other")).withColumn("config_id", F.concat_ws("+", "config_id", "other"))
+    combos = r.crossJoin(others).withColumn("components", F.array("strategy_type", "other")).withColumn("config_id", F.concat_ws("+", "config_id", "other"))
     return rounded(results.synergy(combos, r))
 
 
