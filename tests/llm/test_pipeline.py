@@ -67,6 +67,21 @@ def test_pipeline_by_brute_force(spark):
     assert got == want and len(got) > 50
 
 
+def test_stages_bound_batches_by_bytes(spark):
+    sizes = lambda: spark.range(0, 40, 1, 1).selectExpr("repeat('a', 1000000) text").mapInPandas(lambda bs: (pd.DataFrame({"n": [b["text"].str.len().sum()]}) for b in bs), "n long").toPandas().n
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    try:
+        for stage in (corpus_pipeline.drop_copies, corpus_pipeline.encode):
+            spark.conf.unset(corpus_pipeline.BATCH)
+            stage(spark, docs, SF)
+            assert sizes().max() <= 8_000_000 and sizes().sum() == 40_000_000
+        spark.conf.set(corpus_pipeline.BATCH, "12m")  # the session's own limit stays
+        corpus_pipeline.encode(spark, docs, SF)
+        assert spark.conf.get(corpus_pipeline.BATCH) == "12m"
+    finally:
+        spark.conf.unset(corpus_pipeline.BATCH)
+
+
 def test_rules_by_brute_force(spark):
     """The first rule that holds, condition by condition, on statistics counted in Python."""
     r = random.Random(4)

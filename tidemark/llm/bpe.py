@@ -18,7 +18,6 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -77,14 +76,15 @@ class Bpe:
         self.start = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(a, b, r) for t, r in ranks.items() for k in range(1, len(t)) if (a := ranks.get(t[:k])) is not None and (b := ranks.get(t[k:])) is not None]
         self.table = PairTable(*np.array(pairs, np.int64).reshape(-1, 3).T)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, 32 bits each: a third of what tuples of them would hold."""
         out: list = [None] * len(pieces)
         buckets: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
             if (r := self.ranks.get(p)) is not None:
-                out[i] = (r,)
+                out[i] = np.int32(r).tobytes()
             elif len(p) > LONG:
                 out[i] = self._by_heap(p)
             else:
@@ -97,7 +97,7 @@ class Bpe:
                     out[i] = ids
         return out
 
-    def _merge_rows(self, pieces: list[bytes], width: int) -> list[tuple[int, ...]]:
+    def _merge_rows(self, pieces: list[bytes], width: int) -> list[bytes]:
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         flat = self.start[np.frombuffer(b"".join(pieces), np.uint8)]
         ids = np.full((len(pieces), width), -1, np.int32)
@@ -110,7 +110,7 @@ class Bpe:
             best = ranks[np.arange(len(rows)), at]
             if (over := best == NONE).any():
                 for row, line in zip(rows[over], ids[over], strict=True):
-                    out[row] = tuple(line[line >= 0].tolist())
+                    out[row] = line[line >= 0].tobytes()
                 rows, ids, ranks, at, best = (x[~over] for x in (rows, ids, ranks, at, best))
                 if not len(rows):
                     break
@@ -127,7 +127,7 @@ class Bpe:
             ranks[before, at[before] - 1] = self.table.find(ids[before, at[before] - 1], best[before])
         return out
 
-    def _by_heap(self, piece: bytes) -> tuple[int, ...]:
+    def _by_heap(self, piece: bytes) -> bytes:
         """The same merges, leftmost of least rank first, in O(n log n)."""
         ids = [int(self.start[b]) for b in piece]
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
@@ -145,7 +145,7 @@ class Bpe:
             for k in (before[i], i):
                 if k >= 0 and (x := rank(k)) is not None:
                     heapq.heappush(heap, (x, k))
-        return tuple(x for x in ids if x >= 0)
+        return np.array([x for x in ids if x >= 0], np.int32).tobytes()
 
     def encode(self, texts: list[str], pattern: str) -> Iterator[list[int]]:
         """Ids of each text; the new pieces of all of them are merged together."""
@@ -155,7 +155,7 @@ class Bpe:
         new = list(set().union(*parts) - self.known.keys())
         self.known.update(zip(new, self.encode_pieces([p.encode() for p in new]), strict=True))
         for p in parts:
-            yield list(chain.from_iterable(map(self.known.__getitem__, p)))
+            yield np.frombuffer(b"".join(map(self.known.__getitem__, p)), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
