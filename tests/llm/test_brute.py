@@ -4,10 +4,11 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 import pytest
 
-from tidemark.llm import minhash, ngram_join, queries, substring_dedup
+from tidemark.llm import common, minhash, ngram_join, queries, substring_dedup
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -185,3 +186,29 @@ def test_op10_classes_are_components(spark):
     texts = [" ".join([*words_of(r, 40 + i), *(p if i % 2 else q), *words_of(r, 30)]) for i in range(9)]
     got = substring_dedup.substring_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
     assert len(got) == 9 and set(got[~got.removed].doc_id) == {0, 1} and (got.class_id == got.doc_id % 2).all()
+
+
+def test_runs_of_windows_at_one_distance():
+    r, width = np.random.default_rng(5), substring_dedup.WINDOW
+    lists = [np.array([(int(a) << 32) | int(t) for a, t in zip(r.integers(0, 60, n), r.integers(0, 60, n), strict=True)], np.int64) for n in (1, 40, 3, 200)]
+    for windows, got in zip(lists, substring_dedup._one_distance(lists), strict=True):
+        own = []
+        for d, at in sorted(((int(w) & 0xFFFFFFFF) - (int(w) >> 32), int(w) >> 32) for w in windows):
+            if own and own[-1][2] - own[-1][0] == d and at <= own[-1][1]:
+                own[-1][1] = max(own[-1][1], at + width)
+            else:
+                own.append([at, at + width, at + d])
+        assert sorted(map(tuple, own)) == got
+    assert list(substring_dedup._one_distance([])) == []
+
+
+def test_substring_dedup_removes_what_was_used(spark, monkeypatch):
+    there = {}
+    for name in ("runs", "passages", "places"):
+        own = getattr(substring_dedup, name)
+        monkeypatch.setattr(substring_dedup, name, lambda *a, own=own, name=name: (there.update({name: {x.rsplit("/", 1)[1].rsplit("-", 1)[0] for x in common._written - before}}), own(*a))[1])
+    before = set(common._written)
+    text = " ".join(f"w{i}" for i in range(60))
+    got = substring_dedup.substring_dedup(spark.createDataFrame([(i, f"a{i} b{i} {text} c{i}") for i in range(3)], "doc_id long, text string"))
+    assert got.where("removed").count() == 2
+    assert "cut-texts" not in there["runs"] and "windows" not in there["passages"] and not {"runs", "surroundings"} & there["places"]

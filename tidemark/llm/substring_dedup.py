@@ -139,7 +139,7 @@ def cut_texts(docs: DataFrame, bands: int, rows: int, least: int = LEAST_WORDS)
 
 
 def remaining(cut: DataFrame, gone: DataFrame) -> DataFrame:
-    """(key, of, at): the windows of cut_texts() that no removed paragraph (doc_row, first, last) touches."""
+    """(key, of, at): the windows of cut_texts() that no removed paragraph (doc_row, first, last) touches; written, since they are read twice."""
     lists = gone.groupBy(F.col("doc_row").alias("of")).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("gone"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,7 +156,7 @@ def remaining(cut: DataFrame, gone: DataFrame) -> DataFrame:
 
     windows = cut.where("keys is not null").select("of", "ats", "keys")
     # merged at every size: few removed lines could be broadcast, but most inputs have too many
-    return windows.join(frozen(lists, "removed-lines").hint("merge"), "of", "left").mapInPandas(run, "key long, of long, at int")
+    return frozen(windows.join(frozen(lists, "removed-lines").hint("merge"), "of", "left").mapInPandas(run, "key long, of long, at int"), "windows")
 
 
 #: A run of equal words of two documents, x before y: [at, to) in x, and where it begins in y.
@@ -173,6 +173,27 @@ def _near(groups: dict[int, list], distance: int, at: int, there: int, gap: int)
     return None
 
 
+def _one_distance(lists: list[np.ndarray]) -> Iterator[list[tuple[int, int, int]]]:
+    """Of each pair of documents, whose windows are 2**32 * at + there: (at, to, there) of the runs of windows at one distance that overlap or touch, sorted."""
+    if not lists:
+        return
+    packed, pair = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    at, there = packed >> 32, packed & 0xFFFFFFFF
+    order = np.lexsort((at, there - at, pair))
+    at, there, pair = at[order], there[order], pair[order]
+    d = there - at
+    new = np.ones(len(at), bool)
+    new[1:] = (pair[1:] != pair[:-1]) | (d[1:] != d[:-1]) | (at[1:] > at[:-1] + WINDOW)
+    first = np.nonzero(new)[0]
+    last = np.append(first[1:], len(at)) - 1
+    pair, at, to, there = pair[first], at[first], at[last] + WINDOW, there[first]
+    order = np.lexsort((there, to, at, pair))
+    rows = list(zip(at[order].tolist(), to[order].tolist(), there[order].tolist(), strict=True))
+    ends = np.searchsorted(pair, np.arange(len(lists) + 1))
+    for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        yield rows[lo:hi]
+
+
 def runs(windows: DataFrame, least: int = LEAST_PASSAGE) -> DataFrame:
     """RUNS of windows (key, of, at) that occur elsewhere too, in this document or another; written.  Runs that couldn't reach ``least`` words if they
     were extended on both sides as far as they can be, and joined, are left out."""
@@ -184,22 +205,18 @@ def runs(windows: DataFrame, least: int = LEAST_PASSAGE) -> DataFrame:
     pair = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     pairs = F.when(F.col("p") == F.col("last"), F.array(pair(F.col("first"), F.col("p")))).otherwise(F.array(pair(F.col("first"), F.col("p")), pair(F.col("p"), F.col("last"))))
     met = met.select(F.explode(pairs).alias("w"))
-    lists = met.groupBy(F.col("w.x.of").alias("x"), F.col("w.y.of").alias("y")).agg(F.collect_list(F.struct(F.col("w.x.at").alias("at"), F.col("w.y.at").alias("there"))).alias("windows"))
+    # where a window stands in both, as one number: lists of numbers are arrays in Python, those of structs are dicts
+    both = F.shiftleft(F.col("w.x.at").cast("long"), 32).bitwiseOR(F.col("w.y.at").cast("long"))
+    lists = met.groupBy(F.col("w.x.of").alias("x"), F.col("w.y.of").alias("y")).agg(F.collect_list(both).alias("windows"))
     reach = SPREAD - 1
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out: list[tuple] = []
-            for x, y, windows in zip(b["x"], b["y"], b["windows"], strict=True):
-                own: list[list] = []  # [at, to, there], of one distance after the other
-                for d, at in sorted((w["there"] - w["at"], w["at"]) for w in windows):
-                    if own and own[-1][2] - own[-1][0] == d and at <= own[-1][1]:
-                        own[-1][1] = max(own[-1][1], at + WINDOW)
-                    else:
-                        own.append([at, at + WINDOW, at + d])
+            for x, y, own in zip(b["x"], b["y"], _one_distance(b["windows"].tolist()), strict=True):
                 groups: dict[int, list] = {}
                 whole: list[list] = []
-                for r in sorted(own):
+                for r in own:
                     d = r[2] - r[0]
                     if (g := _near(groups, d, r[0], r[2], 2 * reach + GAP)) is None:
                         whole.append(g := [])
@@ -211,16 +228,15 @@ def runs(windows: DataFrame, least: int = LEAST_PASSAGE) -> DataFrame:
     return frozen(lists.mapInPandas(chain, RUNS), "runs")
 
 
-#: side: -1 before, 1 behind the word number ``at``; words: 32-bit hashes of up to SPREAD words, nearest first; places: where each begins (ends), after that of the run itself.
-SURROUNDINGS = "of long, at int, side int, words binary, places binary"
+#: Of the words [at, to) of a document, up to SPREAD words before (left) and behind (right), nearest first: 32-bit hashes, and where each begins (ends), after that of [at, to) itself.
+SURROUNDINGS = "of long, at int, to int, left binary, left_places binary, right binary, right_places binary"
 
 
 def _surroundings(found: DataFrame) -> DataFrame:
-    """(of, at, side) of the words next to each end of each run in both texts, once each."""
-    end = F.col("there") + F.col("to") - F.col("at")
-    ends = [("x", F.col("at"), -1), ("x", F.col("to"), 1), ("y", F.col("there"), -1), ("y", end, 1)]
-    parts = [found.select(F.col(of).alias("of"), at.alias("at"), F.lit(side).alias("side")) for of, at, side in ends]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).distinct()
+    """(of, at, to) of each run in both texts, once each."""
+    x = found.select(F.col("x").alias("of"), "at", "to")
+    y = found.select(F.col("y").alias("of"), F.col("there").alias("at"), (F.col("there") + F.col("to") - F.col("at")).alias("to"))
+    return x.unionByName(y).distinct()
 
 
 def _beside(words: tuple, at: int, side: int) -> tuple[bytes, bytes]:
@@ -256,14 +272,14 @@ def _sets_of_lines(docs: DataFrame, lines: DataFrame) -> Callable[[DataFrame], D
 
 def beside(docs: DataFrame, found: DataFrame) -> DataFrame:
     """SURROUNDINGS of runs and their partners; written."""
-    asked = frozen(_surroundings(found).groupBy("of").agg(F.collect_list(F.struct("at", "side")).alias("ends")), "asked-ends")
+    asked = frozen(_surroundings(found).groupBy("of").agg(F.collect_list(F.struct("at", "to")).alias("ends")), "asked-ends")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for of, text, ends in zip(b["of"], b["text"], b["ends"], strict=True):
                 words = located_words(text)
-                rows += [(of, x["at"], x["side"], *_beside(words, x["at"], x["side"])) for x in ends]
+                rows += [(of, x["at"], x["to"], *_beside(words, x["at"], -1), *_beside(words, x["to"], 1)) for x in ends]
             yield pd.DataFrame(rows, columns=[x.split(" ")[0] for x in SURROUNDINGS.split(", ")])
 
     return frozen(_texts(docs, asked).select("of", "text", "ends").mapInPandas(run, SURROUNDINGS), "surroundings")
@@ -273,31 +289,55 @@ def beside(docs: DataFrame, found: DataFrame) -> DataFrame:
 PAIRS = "x long, x_start int, x_end int, y long, y_start int, y_end int"
 
 
+#: RUNS extended over equal words on both sides, with where they begin and end in both texts; first, second: where the run stood, for its order.
+EXTENDED = "x long, y long, first long, second int, at int, to int, there int, x_start int, x_end int, y_start int, y_end int"
+
+
+def _more(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """How many words of each of ``a`` and of ``b`` are equal from the first on."""
+    wide = lambda x: np.frombuffer(b"".join(v.ljust(4 * SPREAD, b"\0") for v in x), "<u4").reshape(-1, SPREAD)
+    n = np.minimum([len(v) // 4 for v in a], [len(v) // 4 for v in b])
+    same = (wide(a) == wide(b)) & (np.arange(SPREAD) < n[:, None])
+    return np.logical_and.accumulate(same, axis=1).sum(axis=1)
+
+
+def _extended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """EXTENDED of runs with SURROUNDINGS of both places."""
+
+    def place(places: pd.Series, n: np.ndarray) -> np.ndarray:
+        sizes = places.map(len).to_numpy() // 4
+        return np.frombuffer(b"".join(places), "<i4")[np.cumsum(sizes) - sizes + n]
+
+    for b in batches:
+        if not len(b):
+            continue
+        left, right = _more(b["x_left"].tolist(), b["y_left"].tolist()), _more(b["x_right"].tolist(), b["y_right"].tolist())
+        at, to, there = b["at"].to_numpy(), b["to"].to_numpy(), b["there"].to_numpy()
+        out = {"x": b["x"], "y": b["y"], "first": at.astype(np.int64) << 32 | to, "second": there, "at": at - left, "to": to + right, "there": there - left}
+        for of in "xy":
+            out |= {f"{of}_start": place(b[f"{of}_left_places"], left), f"{of}_end": place(b[f"{of}_right_places"], right)}
+        yield pd.DataFrame(out)
+
+
 def passages(found: DataFrame, words: DataFrame, least: int = LEAST_PASSAGE) -> DataFrame:
     """PAIRS of runs(), extended in both texts, joined over gaps, of at least ``least`` words, 0.8 of them matched; written."""
-    end = F.col("there") + F.col("to") - F.col("at")
-    out = found.withColumn("there_to", end)
-    for name, of, at, side in (("xl", "x", "at", -1), ("xr", "x", "to", 1), ("yl", "y", "there", -1), ("yr", "y", "there_to", 1)):
-        own = words.where(F.col("side") == side).select(F.col("of").alias(of), F.col("at").alias(at), F.struct("words", "places").alias(name))
-        out = out.join(own, [of, at])
-    lists = out.groupBy("x", "y").agg(F.sort_array(F.collect_list(F.struct("at", "to", "there", "xl", "xr", "yl", "yr"))).alias("runs"))
-
-    def more(a: bytes, b: bytes) -> int:
-        n = min(len(a), len(b)) // 4
-        same = np.frombuffer(a, "<u4", n) == np.frombuffer(b, "<u4", n)
-        return n if same.all() else int(same.argmin())
+    out = found.withColumn("there_to", F.col("there") + F.col("to") - F.col("at"))
+    for of, at, to in (("x", "at", "to"), ("y", "there", "there_to")):
+        sides = [F.col(c).alias(f"{of}_{c}") for c in ("left", "left_places", "right", "right_places")]
+        out = out.join(words.select(F.col("of").alias(of), F.col("at").alias(at), F.col("to").alias(to), *sides), [of, at, to])
+    # what is compared stays where it is joined; numbers go on
+    longer = out.mapInPandas(_extended, EXTENDED)
+    lists = longer.groupBy("x", "y").agg(F.sort_array(F.collect_list(F.struct("first", "second", "at", "to", "there", "x_start", "x_end", "y_start", "y_end"))).alias("runs"))
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place = lambda side, n: int(np.frombuffer(side["places"], "<i4")[n])
         for b in batches:
             rows = []
             for x, y, own in zip(b["x"], b["y"], b["runs"], strict=True):
                 groups: dict[int, list] = {}
                 made: list[list] = []
                 for r in own:
-                    left, right = more(r["xl"]["words"], r["yl"]["words"]), more(r["xr"]["words"], r["yr"]["words"])
-                    at, to, there = r["at"] - left, r["to"] + right, r["there"] - left
-                    d, ends = there - at, (place(r["xr"], right), place(r["yr"], right))
+                    at, to, there = r["at"], r["to"], r["there"]
+                    d, ends = there - at, (r["x_end"], r["y_end"])
                     # runs that meet when they are extended are one
                     same = groups.get(d)
                     if same and at <= same[-1][1]:
@@ -306,7 +346,7 @@ def passages(found: DataFrame, words: DataFrame, least: int = LEAST_PASSAGE) ->
                         g = _near(groups, d, at, there, GAP)
                         new = to - max(at, g[0][1]) if g else 0
                     if g is None:
-                        made.append(g := [[at, to, 0], (place(r["xl"], left), place(r["yl"], left)), ends])
+                        made.append(g := [[at, to, 0], (r["x_start"], r["y_start"]), ends])
                         g.append(g[0])
                         new = to - at
                     g[0][2] += max(0, new)
@@ -368,11 +408,16 @@ def _repeats(own: DataFrame, least: int = LEAST_WORDS, least_passage: int = LEAS
     docs = own.select("_row", F.coalesce("text", F.lit("")).alias("text"))
     cut = cut_texts(docs, bands, rows, least)
     near = frozen(near_paragraphs(docs, cut.where("bands is not null").select("_row", "of", "start", "end", "first", "last", "n", "set_hash", "bands")), "paragraphs")
-    found = runs(remaining(cut, near.where("removed").select("doc_row", "first", "last")), least_passage)
-    pairs = passages(found, beside(docs, found), least_passage)
+    windows = remaining(cut, near.where("removed").select("doc_row", "first", "last"))
+    discard(cut)
+    found = runs(windows, least_passage)
+    discard(windows)
+    words = beside(docs, found)
+    pairs = passages(found, words, least_passage)
+    discard(found, words)
     out = near.drop("first", "last").unionByName(places(pairs))
     out = frozen(out, "repeats")
-    discard(cut, near, found, pairs)
+    discard(near, pairs)
     return out
 
 
