@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -212,3 +213,68 @@ def test_substring_dedup_removes_what_was_used(spark, monkeypatch):
     got = substring_dedup.substring_dedup(spark.createDataFrame([(i, f"a{i} b{i} {text} c{i}") for i in range(3)], "doc_id long, text string"))
     assert got.where("removed").count() == 2
     assert "cut-texts" not in there["runs"] and "windows" not in there["passages"] and not {"runs", "surroundings"} & there["places"]
+
+
+def few_blocks(r, n, most):
+    """Blocks (rows, copies, sides, sets, buckets, bucket, across) of near copies."""
+    blocks = []
+    for k in range(n):
+        size, base, sets = int(r.integers(2, most + 1)), r.integers(0, 2**40, 60).astype(np.uint64), []
+        for _ in range(size):
+            x, c = base.copy(), int(r.integers(0, 12))
+            x[r.integers(0, 60, c)] = r.integers(0, 2**40, c).astype(np.uint64)
+            sets.append(np.unique(x[: int(r.integers(40, 61))]).tobytes())
+        bucket = int(r.integers(-5, 5))
+        own = [np.unique(np.append(r.integers(-40, 40, 3), bucket)) for _ in sets]
+        blocks.append((r.permutation(10**6)[:size].astype(np.int64), r.integers(1, 5, size), r.integers(0, 2, size), sets, own, bucket, bool(k % 2)))
+    return blocks
+
+
+def test_few_members_are_compared_together_as_alone():
+    r, threshold = np.random.default_rng(1), minhash.THRESHOLD
+    blocks = few_blocks(r, 100, minhash.FEW)
+    want = pd.concat([minhash._compare(*b, threshold) for b in blocks])
+    assert len(want) > 100 and (want.to_numpy() == minhash._compare_few(blocks, threshold)[want.columns].to_numpy()).all()
+    apart = [(*b[:3], [np.array([i], np.uint64).tobytes() for i in range(len(b[3]))], *b[4:]) for b in blocks[:3]]
+    assert len(minhash._compare_few(apart, threshold)) == 0
+    # pairs, the most of all blocks: one by one they took a sixth of op10's time
+    pairs, times = few_blocks(r, 1000, 2), []
+    for f in (lambda: [minhash._compare(*b, threshold) for b in pairs], lambda: minhash._compare_few(pairs, threshold)):
+        begin = time.process_time()
+        f()
+        times.append(time.process_time() - begin)
+    assert 2 * times[1] < times[0]
+
+
+def test_windows_of_several_texts():
+    r = np.random.default_rng(2)
+    texts = [r.integers(0, 2**64, n, np.uint64) for n in (*range(11, 21), 11, 11, 200, 1000, 16, 15)] + [r.integers(0, 3, n).astype(np.uint64) for n in range(11, 60)]
+    for own in (texts, texts[::-1], texts[:1], texts[5:6]):
+        at, keys, counts = substring_dedup.windows_of(own)
+        want = [substring_dedup.anchors(t) for t in own]
+        assert counts.tolist() == [len(w) for w in want] and at.tolist() == [a for w in want for a in w]
+        assert keys.tolist() == [k for t, w in zip(own, want, strict=True) for k in substring_dedup.window_keys(t, w)]
+
+
+def test_surroundings_of_several_texts():
+    far = substring_dedup.SPREAD
+    words = [minhash.located_words(" ".join(f"w{i}" for i in range(n))) for n in (11, 12, 40)]
+    ends = [np.array([(a << 32) | b for a in range(len(w[0])) for b in range(a + 1, len(w[0]) + 1)], np.int64) for w in words]
+    got = substring_dedup._beside([7, 8, 9], words, ends).to_dict("records")
+    cases = [(of, w, a, b) for of, w in zip((7, 8, 9), words, strict=True) for a in range(len(w[0])) for b in range(a + 1, len(w[0]) + 1)]
+    for x, (of, (hashes, starts, stops, _), a, b) in zip(got, cases, strict=True):
+        assert (x["of"], x["at"], x["to"]) == (of, a, b)
+        assert x["left"] == hashes[max(0, a - far) : a][::-1].astype("<u4").tobytes() and x["right"] == hashes[b : b + far].astype("<u4").tobytes()
+        assert x["left_places"] == starts[max(0, a - far) : a + 1][::-1].astype("<i4").tobytes() and x["right_places"] == stops[b - 1 : b + far].astype("<i4").tobytes()
+
+
+def test_places_as_numbers_and_as_structs(spark):
+    rows = [(1, 5, 7), (1, 5, 9), (1, 3, 1000), (2, 2**40, 0), (2, 2**40, 3), (3, 0, 0)]
+    windows = spark.createDataFrame(rows, "key long, of long, at int")
+    for bits, kind in ((63, "bigint"), (50, "struct<of:bigint,at:int>")):
+        place, of, at = substring_dedup._places_of(windows, bits)
+        got = windows.groupBy("key").agg(substring_dedup.F.min(place).alias("a"), substring_dedup.F.max(place).alias("b"))
+        assert got.dtypes[1][1] == kind
+        got = got.select("key", *[f(substring_dedup.F.col(c)) for c in "ab" for f in (of, at)]).collect()
+        assert {tuple(x) for x in got} == {(1, 3, 1000, 5, 9), (2, 2**40, 0, 2**40, 3), (3, 0, 0, 0, 0)}
+    substring_dedup._places_of(windows.limit(0))

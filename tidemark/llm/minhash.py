@@ -5,7 +5,7 @@
 3. Representatives are grouped by band hash.  Buckets of one member fall away, and of buckets with the same members one stays.
 4. A bucket is dealt to blocks of about ``BLOCK`` members and about ``BLOCK_SHINGLES`` shingles at most; a task compares two
    blocks, so no task holds a whole large bucket, whatever the length of its texts.  Intersections of the full sets come from products of 0/1 matrices.  A pair that shares several buckets counts in the first
-   of them.  A task returns, for each member, its number of links and one parent: a spanning forest, never the pairs.
+   of them.  Blocks of few members, the most by far, are compared many at once, by sorting.  A task returns, for each member, its number of links and one parent: a spanning forest, never the pairs.
 5. The forests' edges give the components.
 
 A pair of similarity s meets in some band with probability 1 - (1 - s**rows)**bands; ``choose_bands`` takes the most rows a band for
@@ -34,6 +34,9 @@ RECALL = 0.9999
 BLOCK = 512
 BLOCK_SHINGLES = 1_000_000
 COLUMNS = 8192
+#: Blocks of up to so many members are compared together, until they hold so many shingles.
+FEW = 32
+TOGETHER = 200_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -160,10 +163,12 @@ def signatures(items: DataFrame, k: int, bands: int, rows: int, keep: tuple[str,
 def _members(reps: DataFrame) -> DataFrame:
     """(_row, buckets): of each representative, the buckets that are kept, with their sizes and shingles."""
     each = reps.select("_row", "n", F.explode("bands").alias("bucket"))
-    # counted before they meet: a bucket of a third of all rows sends one row per map task
-    sizes = each.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.bit_xor(F.xxhash64("_row")).alias("x"), F.bit_xor(F.xxhash64("_row", F.lit(1))).alias("y")).where("size > 1")
+    # counted before they meet: a bucket of a third of all rows sends one row per map task; most buckets have one member, so only counts are sent of all
+    more = frozen(each.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "shared-buckets")
+    met = frozen(each.join(more.select("bucket"), "bucket"), "met")
+    sizes = met.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.bit_xor(F.xxhash64("_row")).alias("x"), F.bit_xor(F.xxhash64("_row", F.lit(1))).alias("y"))
     kept = frozen(sizes.groupBy("size", "weight", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "size", "weight"), "buckets")
-    return each.join(kept, "bucket").groupBy("_row").agg(F.collect_list(F.struct("bucket", "size", "weight")).alias("buckets"))
+    return met.join(kept, "bucket").groupBy("_row").agg(F.collect_list(F.struct("bucket", "size", "weight")).alias("buckets"))
 
 
 def similar(x: np.ndarray, owner: np.ndarray, sizes: np.ndarray, threshold: Fraction) -> np.ndarray:
@@ -220,6 +225,51 @@ def _compare(rows, copies, sides, sets, buckets, bucket: int, across: bool, thre
     return pd.DataFrame({"_row": rows, "parent": _parents(linked, rows), "links": links, "docs": docs})[keep]
 
 
+def _compare_few(blocks: list[tuple], threshold: Fraction) -> pd.DataFrame:
+    """_compare() of blocks (rows, copies, sides, sets, buckets, bucket, across) of at most FEW members, all at once: most buckets have two or three."""
+    counts = np.array([len(b[0]) for b in blocks])
+    block = np.repeat(np.arange(len(blocks)), counts)
+    rows, copies = (np.concatenate([b[i] for b in blocks]) for i in (0, 1))
+    sets = [s for b in blocks for s in b[3]]
+    sizes = np.fromiter((len(s) // 8 for s in sets), np.int64, len(sets))
+    x, owner = np.frombuffer(b"".join(sets), np.uint64), np.repeat(np.arange(len(sets)), sizes)
+    order = np.lexsort((x, block[owner]))
+    x, owner = x[order], owner[order]
+    # which elements of a block are equal; their owners ascend
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (block[owner[1:]] != block[owner[:-1]])
+    run = np.cumsum(new)
+    met = []
+    for step in range(1, FEW):
+        equal = run[step:] == run[:-step]
+        if not equal.any():
+            break
+        met.append(owner[:-step][equal] * FEW + owner[step:][equal] - owner[:-step][equal])
+    common = np.bincount(np.concatenate(met) if met else np.zeros(0, np.int64))
+    pair = np.nonzero(common)[0]
+    common = common[pair]
+    a, b = pair // FEW, pair // FEW + pair % FEW
+    p, q = threshold.numerator, threshold.denominator
+    linked = (p + q) * common >= p * (sizes[a] + sizes[b])
+    sides, across = np.concatenate([b[2] for b in blocks]), np.array([b[6] for b in blocks])[block]
+    linked &= ~across[a] | (sides[a] != sides[b])
+    a, b = a[linked], b[linked]
+    # pairs that share an earlier bucket count there
+    earlier = [{i for i in own if i < bk[5]} for bk in blocks for own in bk[4]]
+    first = np.array([earlier[i].isdisjoint(earlier[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)], bool)
+    a, b = a[first], b[first]
+    both, other = np.concatenate([a, b]), np.concatenate([b, a])
+    links, docs, label = np.bincount(both, minlength=len(rows)), np.zeros(len(rows), np.int64), rows.copy()
+    np.add.at(docs, both, copies[other])
+    while True:
+        least = label.copy()
+        np.minimum.at(least, both, label[other])
+        if (least == label).all():
+            break
+        label = least
+    return pd.DataFrame({"_row": rows, "parent": label, "links": links, "docs": docs})[links > 0]
+
+
 def sets_of_texts(items: DataFrame, k: int) -> Callable[[DataFrame], DataFrame]:
     """A function that adds the shingle sets to members (_row, ...), from items (_row, text)."""
 
@@ -252,11 +302,22 @@ def links(reps: DataFrame, threshold: Fraction, sets: Callable[[DataFrame], Data
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list = []
         key = None
+        few: list[tuple] = []
+        size = 0
 
         def done() -> Iterator[pd.DataFrame]:
+            nonlocal few, size
             if len(held) > 1:
                 row, copies, side, sets, own = zip(*held, strict=True)
-                yield _compare(np.array(row, np.int64), np.array(copies, np.int64), np.array(side), sets, own, key[0], key[1] != key[2], threshold)
+                block = np.array(row, np.int64), np.array(copies, np.int64), np.array(side), sets, own, key[0], key[1] != key[2]
+                if len(held) > FEW:
+                    yield _compare(*block, threshold)
+                else:
+                    few.append(block)
+                    size += sum(map(len, sets)) // 8
+            if size > TOGETHER:
+                yield _compare_few(few, threshold)
+                few, size = [], 0
 
         for b in batches:
             for row, copies, sets, own, bucket, side, first, second in b[["_row", "copies", "shingles", "own", "bucket", "side", "first", "second"]].itertuples(index=False):
@@ -265,6 +326,8 @@ def links(reps: DataFrame, threshold: Fraction, sets: Callable[[DataFrame], Data
                     held, key = [], (bucket, first, second)
                 held.append((row, copies, side, sets, own))
         yield from done()
+        if few:
+            yield _compare_few(few, threshold)
 
     return tasks.mapInPandas(compare, "_row long, parent long, links long, docs long")
 

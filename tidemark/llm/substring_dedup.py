@@ -30,7 +30,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, frozen, numbered
@@ -70,6 +70,28 @@ def anchors(hashes: np.ndarray, spread: int = SPREAD, window: int = WINDOW) -> n
     return at[at + window <= len(hashes)]
 
 
+def windows_of(texts: list[np.ndarray], spread: int = SPREAD, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """anchors() and window_keys() of several texts' words, one after another, and how many windows each text has."""
+    n = np.array([len(x) for x in texts])
+    begin, words = np.cumsum(n) - n, np.concatenate(texts)
+    h = rolling(words, 3)
+    # a zero takes the place of shingles over two texts: no run of shingles that it stands in has an anchor
+    h = np.append(h, np.zeros(len(words) - len(h), np.uint64))
+    for i in (1, 2):
+        h[(begin + n - i)[n >= i]] = 0
+    edge = np.zeros(spread - 1, np.uint64)
+    least = np.concatenate([edge, _slid(np.minimum, np.concatenate([h, edge]), spread)])
+    at = np.nonzero((_slid(np.maximum, least, spread) == h) & (h > 0))[0]
+    of = np.searchsorted(begin, at, "right") - 1
+    # of texts with fewer shingles than a run has, all are one run
+    short = n < spread + 2
+    stays = ~short[of] & (at - begin[of] + window <= n[of])
+    own = [anchors(texts[i], spread, window) + begin[i] for i in np.nonzero(short)[0]]
+    at = np.sort(np.concatenate([at[stays], *own]))
+    of = np.searchsorted(begin, at, "right") - 1
+    return at - begin[of], window_keys(words, at, window), np.bincount(of, minlength=len(texts))
+
+
 def window_keys(hashes: np.ndarray, at: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """A signed 64-bit hash of the words of each window."""
     if not len(at):
@@ -79,19 +101,19 @@ def window_keys(hashes: np.ndarray, at: np.ndarray, window: int = WINDOW) -> np.
 
 def _lines(rows: list[int], words: list[tuple], signer: Signatures, least: int) -> pd.DataFrame:
     """of, start, end, first, last, n, set_hash, bands of the paragraphs of some documents, from their located_words(), all at once."""
-    offset, parts = 0, []
-    for row, (hashes, starts, _, points) in zip(rows, words, strict=True):
-        ends = np.append(np.nonzero(points == 10)[0], len(points))
-        last = np.searchsorted(starts, ends)
-        first = np.append(0, last[:-1])
-        long = np.nonzero(last - first >= least)[0]
-        if len(long):
-            begin = np.append(0, ends[:-1] + 1)
-            parts.append((np.full(len(long), row), begin[long], ends[long], first[long], last[long], first[long] + offset))
-        offset += len(hashes)
-    if not parts:
+    # a line feed ends each text; words and places are counted on from text to text
+    points = np.concatenate([x for w in words for x in (w[3], np.full(1, 10, np.uint32))])
+    n, sizes = (np.array([len(w[i]) for w in words]) for i in (0, 3))
+    before, begin = np.cumsum(n) - n, np.cumsum(sizes + 1) - sizes - 1
+    ends = np.nonzero(points == 10)[0]
+    last = np.searchsorted(np.concatenate([w[1] for w in words]) + np.repeat(begin, n), ends)
+    at, start = np.append(0, last[:-1]), np.append(0, ends[:-1] + 1)
+    long = np.nonzero(last - at >= least)[0]
+    if not len(long):
         return pd.DataFrame()
-    of, start, end, first, last, at = map(np.concatenate, zip(*parts, strict=True))
+    at, last, start, end = at[long], last[long], start[long], ends[long]
+    doc = np.searchsorted(begin, start, "right") - 1
+    of, start, end, first, last = np.array(rows)[doc], start - begin[doc], end - begin[doc], at - before[doc], last - before[doc]
     grams, counts = rolling(np.concatenate([w[0] for w in words]), WORDS), last - first - WORDS + 1
     places = np.cumsum(counts) - counts
     x = grams[np.repeat(at - places, counts) + np.arange(counts.sum())]
@@ -101,6 +123,12 @@ def _lines(rows: list[int], words: list[tuple], signer: Signatures, least: int)
     return pd.DataFrame({"of": of, "start": start, "end": end, "first": first, "last": last, "n": counts, "set_hash": digests, "bands": list(signer.band_hashes_of(x, places))})
 
 
+def _split(x: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """The bytes of so many values of ``x`` each, one after another."""
+    raw, ends = x.tobytes(), (np.cumsum(counts) * x.itemsize).tolist()
+    return [raw[lo:hi] for lo, hi in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 def _filled(rows: pd.DataFrame, names: list[str]) -> pd.DataFrame:
     """All of ``names`` as columns, null where ``rows`` hasn't them."""
     return rows.assign(**{c: None for c in names if c not in rows.columns})[names]
@@ -116,8 +144,8 @@ def cut_texts(docs: DataFrame, bands: int, rows: int, least: int = LEAST_WORDS)
 
         def frames(of: list[int], words: list[tuple]) -> Iterator[pd.DataFrame]:
             if of:
-                ats = [anchors(w[0]) for w in words]
-                windows = pd.DataFrame({"of": of, "ats": [at.astype("<i4").tobytes() for at in ats], "keys": [window_keys(w[0], at).tobytes() for w, at in zip(words, ats, strict=True)]})
+                at, keys, counts = windows_of([w[0] for w in words])
+                windows = pd.DataFrame({"of": of, "ats": _split(at.astype("<i4"), counts), "keys": _split(keys, counts)})
                 yield _filled(windows, names)
                 if len(lines := _lines(of, words, signer, least)):
                     yield _filled(lines, names)
@@ -159,6 +187,21 @@ def remaining(cut: DataFrame, gone: DataFrame) -> DataFrame:
     return frozen(windows.join(frozen(lists, "removed-lines").hint("merge"), "of", "left").mapInPandas(run, "key long, of long, at int"), "windows")
 
 
+def _both(high: Column, low: Column) -> Column:
+    """Two columns of word numbers as one number, 2**32 * high + low."""
+    return F.shiftleft(high.cast("long"), 32).bitwiseOR(low.cast("long"))
+
+
+def _places_of(windows: DataFrame, bits: int = 63) -> tuple[Column, Callable[[Column], Column], Callable[[Column], Column]]:
+    """The place of a window (key, of, at), which orders as (of, at) does, and how to get of and at from it: one number, whose least and greatest are found by
+    hashing, if the table's greatest of and at together have up to ``bits`` bits, else a struct."""
+    most_of, most_at = (x or 0 for x in windows.agg(F.max("of"), F.max("at")).first())
+    low = most_at.bit_length()
+    if most_of.bit_length() + low > bits:
+        return F.struct("of", "at"), lambda p: p["of"], lambda p: p["at"]
+    return F.shiftleft("of", low).bitwiseOR(F.col("at").cast("long")), lambda p: F.shiftright(p, low), lambda p: p.bitwiseAND(F.lit(2**low - 1))
+
+
 #: A run of equal words of two documents, x before y: [at, to) in x, and where it begins in y.
 RUNS = "x long, y long, at int, to int, there int"
 
@@ -197,17 +240,17 @@ def _one_distance(lists: list[np.ndarray]) -> Iterator[list[tuple[int, int, int]
 def runs(windows: DataFrame, least: int = LEAST_PASSAGE) -> DataFrame:
     """RUNS of windows (key, of, at) that occur elsewhere too, in this document or another; written.  Runs that couldn't reach ``least`` words if they
     were extended on both sides as far as they can be, and joined, are left out."""
-    place = F.struct("of", "at")
+    place, of, at = _places_of(windows)
     shared = windows.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     shared = frozen(shared, "shared-windows")
     # merged at every size: few shared windows could be broadcast, but most inputs have too many
     met = windows.join(shared.hint("merge"), "key").withColumn("p", place).where("p <> first")
-    pair = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    pairs = F.when(F.col("p") == F.col("last"), F.array(pair(F.col("first"), F.col("p")))).otherwise(F.array(pair(F.col("first"), F.col("p")), pair(F.col("p"), F.col("last"))))
+    pair = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    pairs = F.when(F.col("p") == F.col("last"), F.array(pair("first", "p"))).otherwise(F.array(pair("first", "p"), pair("p", "last")))
     met = met.select(F.explode(pairs).alias("w"))
     # where a window stands in both, as one number: lists of numbers are arrays in Python, those of structs are dicts
-    both = F.shiftleft(F.col("w.x.at").cast("long"), 32).bitwiseOR(F.col("w.y.at").cast("long"))
-    lists = met.groupBy(F.col("w.x.of").alias("x"), F.col("w.y.of").alias("y")).agg(F.collect_list(both).alias("windows"))
+    x, y = F.col("w.x"), F.col("w.y")
+    lists = met.groupBy(of(x).alias("x"), of(y).alias("y")).agg(F.collect_list(_both(at(x), at(y))).alias("windows"))
     reach = SPREAD - 1
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -239,11 +282,20 @@ def _surroundings(found: DataFrame) -> DataFrame:
     return x.unionByName(y).distinct()
 
 
-def _beside(words: tuple, at: int, side: int) -> tuple[bytes, bytes]:
-    hashes, starts, ends, _ = words
-    near = np.arange(max(0, at - SPREAD), at)[::-1] if side < 0 else np.arange(at, min(len(hashes), at + SPREAD))
-    places = starts[np.append(at, near)] if side < 0 else ends[np.append(at - 1, near)]
-    return hashes[near].astype("<u4").tobytes(), places.astype("<i4").tobytes()
+def _beside(of: list[int], words: list[tuple], ends: list[np.ndarray]) -> pd.DataFrame:
+    """SURROUNDINGS of the ends (2**32 * at + to) in some documents, all at once."""
+    n, each = np.array([len(w[0]) for w in words]), np.array([len(x) for x in ends])
+    hashes, starts, stops = (np.concatenate([w[i] for w in words]).astype(kind) for i, kind in ((0, "<u4"), (1, "<i4"), (2, "<i4")))
+    packed, begin = np.concatenate(ends), np.repeat(np.cumsum(n) - n, each)
+    at, to = packed >> 32, packed & 0xFFFFFFFF
+    out = {"of": np.repeat(of, each), "at": at, "to": to}
+    behind = np.arange(SPREAD + 1)
+    for side, place, step, count, places in (("left", at, -1, np.minimum(at, SPREAD), starts), ("right", to, 1, np.minimum(np.repeat(n, each) - to, SPREAD), stops)):
+        # the nearest word of a side: before at, or the one at to; its places begin with the edge of [at, to) itself
+        near, edge = (begin + place - (step < 0), begin + place - (step > 0))
+        out[side] = _split(hashes[(near[:, None] + step * behind[:-1])[behind[:-1] < count[:, None]]], count)
+        out[f"{side}_places"] = _split(places[(edge[:, None] + step * behind)[behind <= count[:, None]]], count + 1)
+    return pd.DataFrame(out)
 
 
 def _texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -272,15 +324,23 @@ def _sets_of_lines(docs: DataFrame, lines: DataFrame) -> Callable[[DataFrame], D
 
 def beside(docs: DataFrame, found: DataFrame) -> DataFrame:
     """SURROUNDINGS of runs and their partners; written."""
-    asked = frozen(_surroundings(found).groupBy("of").agg(F.collect_list(F.struct("at", "to")).alias("ends")), "asked-ends")
+    asked = frozen(_surroundings(found).groupBy("of").agg(F.collect_list(_both(F.col("at"), F.col("to"))).alias("ends")), "asked-ends")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for of, text, ends in zip(b["of"], b["text"], b["ends"], strict=True):
-                words = located_words(text)
-                rows += [(of, x["at"], x["to"], *_beside(words, x["at"], -1), *_beside(words, x["to"], 1)) for x in ends]
-            yield pd.DataFrame(rows, columns=[x.split(" ")[0] for x in SURROUNDINGS.split(", ")])
+            of, words, ends, held = [], [], [], 0
+            for row, text, own in zip(b["of"], b["text"], b["ends"], strict=True):
+                located = located_words(text)[:3]
+                for lo in range(0, len(own), 100_000):
+                    of.append(row)
+                    words.append(located)
+                    ends.append(own[lo : lo + 100_000])
+                    held += len(located[0]) + len(ends[-1])
+                    if held > 100_000:
+                        yield _beside(of, words, ends)
+                        of, words, ends, held = [], [], [], 0
+            if of:
+                yield _beside(of, words, ends)
 
     return frozen(_texts(docs, asked).select("of", "text", "ends").mapInPandas(run, SURROUNDINGS), "surroundings")
 
