@@ -162,6 +162,37 @@ def test_brackets_hold_and_pass_rows_over(spark):
     assert (low <= s).all() and (s <= high).all() and (high < np.sort(s)[-20]).mean() > 0.5
 
 
+def test_no_vectors_are_broadcast(spark, monkeypatch):
+    """The planner would look at the file of the anchors, not at a copy of them for each shelf."""
+    monkeypatch.setattr(hard_negatives, "BLOCK", 32)
+    kept, plans, sent = hard_negatives.frozen, [], []
+    monkeypatch.setattr(hard_negatives, "frozen", lambda df, name: (plans.append(df._jdf.queryExecution().sparkPlan()), kept(df, name))[1])
+    r = np.random.default_rng(2)
+    table = kept(spark.createDataFrame([(i, r.normal(size=4).tolist(), i % 3) for i in range(400)], "vec_id long, embedding array<double>, label int"), "vectors-test")
+    assert hard_negatives.mine(hard_negatives.vectors(table, F.col("vec_id") % 100 == 0)).count()
+    while plans:
+        node = plans.pop()
+        plans += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName().startswith("Broadcast"):
+            sent.append((node.left() if node.buildSide().toString() == "BuildLeft" else node.right()).schema().simpleString())
+    assert sent and not [x for x in sent if "binary" in x or "array" in x]
+
+
+@pytest.mark.parametrize("scale", [1.0, 2.0**8])
+def test_hard_negatives_in_runs_of_blocks(spark, scale, monkeypatch):
+    """Blocks of many runs, the first in pieces, some passed over; ties within and across them; scores in four and eight bytes."""
+    for name, value in (("BLOCK", 64), ("RUN", 4), ("ANCHORS", 4)):
+        monkeypatch.setattr(hard_negatives, name, value)
+    r = np.random.default_rng(13)
+    centres = r.normal(size=(9, 3))
+    data = [(i, [float(np.float32(x * scale)) for x in centres[i % 9] + r.normal(size=3) * 0.2 * (i % 4)], int(r.integers(0, 3))) for i in range(900)]
+    table = frozen(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int").repartition(2), "vectors-test")
+    own = [(x._row, x.doc.vec_id, x.doc.embedding, x.doc.label) for x in numbered(table).collect()]
+    got = hard_negatives.mine(hard_negatives.vectors(table, F.col("vec_id") % 100 == 0)).collect()
+    assert sorted(str((x.anchor_id, x.positive_id, x.positive_score, x.rank, x.negative_id, x.negative_score)) for x in got) == mined(own)
+    assert got
+
+
 def test_hard_negatives_of_nothing(spark):
     for data in ([], [(1, None, 1)], [(100, [1.0], 1)]):
         table = frozen(spark.createDataFrame(data, "vec_id long, embedding array<float>, label int"), "no-vectors")
