@@ -190,7 +190,7 @@ def test_hard_negatives_in_runs_of_blocks(spark, scale, monkeypatch):
     own = [(x._row, x.doc.vec_id, x.doc.embedding, x.doc.label) for x in numbered(table).collect()]
     got = hard_negatives.mine(hard_negatives.vectors(table, F.col("vec_id") % 100 == 0)).collect()
     assert sorted(str((x.anchor_id, x.positive_id, x.positive_score, x.rank, x.negative_id, x.negative_score)) for x in got) == mined(own)
-    assert got
+    assert got and hard_negatives.BATCH not in spark.conf.getAll
 
 
 def test_hard_negatives_of_nothing(spark):

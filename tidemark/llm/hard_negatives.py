@@ -20,12 +20,13 @@ the order of rows; an anchor's own row is never its positive.  Without rows ther
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, frozen, numbered
@@ -43,6 +44,9 @@ NO_ID = 2**63 - 1
 LARGEST = float(2**61)
 #: Beyond all scores.
 FAR = 2**62
+#: What goes from the JVM to Python at once while shelves are searched.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+MOST_BYTES = "8m"
 
 
 def vectors(table: DataFrame, is_anchor: Column, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", scale: float = 256.0) -> DataFrame:
@@ -232,9 +236,11 @@ def _ask(shelf: list[Block], space: Space, k: int, same: bool, label: int, rows:
                 continue
             at = np.arange(first, end)[np.repeat(used, RUN)[: end - first]]
             score = q[askers] @ (block.x[first:end] if used.all() else block.x[at]).T
-            bound = lambda v: v[askers, None].astype(space.kind)
-            i, c = np.divmod(np.flatnonzero(((score >= bound(floor)) & (score <= bound(top))).ravel()), len(at))
-            value, i, c = score[i, c].astype(np.int64), askers[i], at[c]
+            floor, top = floor[askers].astype(space.kind), top[askers].astype(space.kind)
+            found = np.flatnonzero(score.max(axis=1) >= floor)  # mostly few anchors, when much has been seen
+            score = score[found]
+            i, c = np.divmod(np.flatnonzero(((score >= floor[found, None]) & (score <= top[found, None])).ravel()), len(at))
+            value, i, c = score[i, c].astype(np.int64), askers[found[i]], at[c]
             if same:
                 other = block.rows[c] != rows[i]
                 value, i, c = value[other], i[other], c[other]
@@ -292,6 +298,19 @@ def _first(found: DataFrame, keys: list[str], k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of MOST_BYTES for what runs here, unless the session sets them."""
+    unset = BATCH not in spark.conf.getAll
+    if unset:
+        spark.conf.set(BATCH, MOST_BYTES)
+    try:
+        yield
+    finally:
+        if unset:
+            spark.conf.unset(BATCH)
+
+
 def mine(own: DataFrame, positives: int = 5, negatives: int = 10, least: int = 30, most: int = 90, space: Space | None = None) -> DataFrame:
     """From vectors(), for each anchor and each of its first ``positives`` rows of the same label the first ``negatives`` rows of other labels whose scores
     lie between ``least`` and ``most`` percent of the positive's: anchor_row, anchor_id, positive_row, positive_id, positive_score, rank, negative_row, negative_id, negative_score."""
@@ -309,7 +328,8 @@ def mine(own: DataFrame, positives: int = 5, negatives: int = 10, least: int = 3
     last = (stored.count() - 1) // per
     first = blocks(asked, ANCHORS).join(shelved.select("label", "shelf").distinct().hint("merge"), "label")
     of_label = _search(_met(first, shelved), space, positives, same=True)
-    best = frozen(_first(of_label, ["anchor_row"], positives).select("anchor_row", "rank", "row", "id", "score"), "positives")
+    with small_batches(spark):
+        best = frozen(_first(of_label, ["anchor_row"], positives).select("anchor_row", "rank", "row", "id", "score"), "positives")
     share = lambda percent: F.col("score").cast("decimal(20,0)") * percent / 100
     bounds = F.struct("rank", "row", "id", "score", F.ceil(share(least)).cast("long").alias("low"), F.floor(share(most)).cast("long").alias("high"))
     each = best.groupBy("anchor_row").agg(F.array_sort(F.collect_list(bounds)).alias("best"))
@@ -324,6 +344,7 @@ def mine(own: DataFrame, positives: int = 5, negatives: int = 10, least: int = 3
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
     ranked = ranked.withColumnRenamed("row", "negative_row").withColumnRenamed("id", "negative_id").withColumnRenamed("score", "negative_score")
     ranked = ranked.select("anchor_row", known("anchor_id"), "positive_row", known("positive_id"), "positive_score", "rank", "negative_row", known("negative_id"), "negative_score")
-    out = frozen(ranked, "negatives")
+    with small_batches(spark):
+        out = frozen(ranked, "negatives")
     discard(stored, asked, best, second)
     return out
